@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, minhash, sstable, urlfilter, warc
+from quern.llm import bpe, chat, decontaminate, embedding, minhash, sstable, urlfilter, warc
 from quern.scratch import scratch_path
 
 
@@ -35,6 +35,16 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(spark, folder, manifest)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived, read back from the archives."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
@@ -56,9 +66,24 @@ FROM f
 """
 
 
+EMBEDDING_ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9
+), r AS (
+  SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id
+), c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op4_bpe, op5_chat_format, op6_token_shards, op9_warc, op10_url_filter)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op4_bpe, op5_chat_format, op6_token_shards, op7_decontaminate, op8_embedding_dedup, op9_warc, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.ORACLE, "op9_warc": WARC_ORACLE}
+    return {"op5_chat_format": chat.ORACLE, "op8_embedding_dedup": EMBEDDING_ORACLE, "op9_warc": WARC_ORACLE}
