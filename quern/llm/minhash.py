@@ -11,11 +11,12 @@ cost is the number of elements plus the number of darts, not their product.
 
 Candidates come from joining bands of the signature; every pair is then checked
 exactly on whole texts.  Exact copies (equal shingle sets) are one node from the
-start.  Buckets of up to ``small`` nodes are compared in full, so a row meets a
-bounded number of partners.  A larger bucket is compared with two leaders; since
-1 - Jaccard is a metric, of the rest only pairs that the triangle inequality
-leaves open need a comparison, and only if not yet in one component.  No link is
-given up, and no group is gathered in one task.
+start.  Buckets of up to ``SMALL`` nodes are compared in full, so a row meets a
+bounded number of partners.  The nodes of larger buckets are compared with two
+leaders of the bucket; those that are not in the leader's component then meet all
+nodes of the bucket in blocks of ``BLOCK``, by exact counts of common shingles, and
+a pair of blocks gives a forest of its links, not the links.  No link is given up,
+no group is gathered in one task, and rows grow in proportion to the input.
 """
 
 from __future__ import annotations
@@ -234,8 +235,76 @@ def prefilter(pairs: DataFrame, sigs: DataFrame, least: float, k: int) -> DataFr
 
 #: Buckets of up to so many nodes are compared in full.
 SMALL = 32
-#: Rounds of leaders for larger buckets; what is left then is compared in full, too.
-LEADER_ROUNDS = 4
+#: Nodes of a block of a larger bucket; two blocks meet in a task.
+BLOCK = 64
+#: Ids that are broadcast at most, to read only the texts that are compared.
+BROADCAST_IDS = 2_000_000
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(node, text) of the documents whose id is in the column ``node`` of ``ids``, n distinct ones."""
+    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "node", "left_semi")
+
+
+def common_counts(sets: list[np.ndarray], columns: int = 16384) -> np.ndarray:
+    """How many elements each two sets share."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # an element of one set alone counts for nothing
+    place = np.cumsum(shared) - 1
+    on = shared[at]
+    owner, at = owner[on], place[at[on]]
+    out = np.zeros((n, n), np.float32)
+    for start in range(0, int(shared.sum()), columns):
+        here = (at >= start) & (at < start + columns)
+        m = np.zeros((n, columns), np.float32)
+        m[owner[here], at[here] - start] = 1
+        out += m @ m.T
+    out[np.arange(n), np.arange(n)] = [len(x) for x in sets]
+    return out.round().astype(np.int64)
+
+
+def _block_links(state: DataFrame, texts: DataFrame, threshold: float, weighted: bool, shingle_words: int) -> DataFrame:
+    """Links (a, b) between nodes of large buckets in different components, as forests.
+
+    ``state`` has (bucket, node, open): open nodes are compared with all of their bucket.
+    """
+    sizes = state.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("open").alias("u")).where("u > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long").alias(c)
+    rows = state.join(sizes.select("bucket", blocks("n"), blocks("u")), "bucket")
+    h = F.xxhash64("node")
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    # side 0: as one of the open nodes, against each block of all; side 1: as one of all, against each block of open ones
+    first = F.when(F.col("open"), F.transform(upto("n"), lambda j: F.struct(F.pmod(h, "u").alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.expr("cast(array() as array<struct<i:bigint,j:bigint,side:int>>)"))
+    second = F.transform(upto("u"), lambda i: F.struct(i.alias("i"), F.pmod(h, "n").alias("j"), F.lit(1).alias("side")))
+    tasks = rows.select("bucket", "node", F.explode(F.concat(first, second)).alias("t")).select("bucket", "node", "t.*").join(texts, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        shingler = Shingler(shingle_words)
+        node, side = table["node"].to_numpy(), table["side"].to_numpy()
+        found = [np.unique(shingler.shingles(t), return_counts=True) for t in table["text"].to_pylist()]
+        if weighted:  # the i-th repetition of a shingle is an element of its own
+            sets = [mix(np.repeat(u, c) + (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint64) * _P) for u, c in found]
+        else:
+            sets = [u for u, _ in found]
+        common = common_counts(sets)
+        size = np.diag(common)
+        whole = size[:, None] + size[None, :] - common
+        linked = (common >= threshold * whole) & (whole > 0) & (side[:, None] == 0) & (side[None, :] == 1) & (node[:, None] != node[None, :])
+        row, col = np.nonzero(linked)
+        label = node.copy()
+        while len(row):
+            new = label.copy()
+            np.minimum.at(new, row, label[col])
+            np.minimum.at(new, col, label[row])
+            if (new == label).all():
+                break
+            label = new
+        on = label != node
+        return pa.table({"a": label[on], "b": node[on]})
+
+    return tasks.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _pairs_within(groups: DataFrame) -> DataFrame:
@@ -267,53 +336,39 @@ def near_duplicates(
     * Equal similarities need no tie rule: the class is a minimum.  An empty table
       gives an empty result; columns other than the two named are not read.
     """
-    spark, scratch, k = docs.sparkSession, Scratch(docs.sparkSession), bands * rows
+    scratch, k = Scratch(docs.sparkSession), bands * rows
     docs = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     sk = scratch.keep(sketch(docs, "node", "text", weighted, bands, rows, shingle_words), "minhash-sketch")
     known = sk.where("node is not null and h1 is not null")
     nodes = scratch.keep(known.groupBy("h1", "h2").agg(F.min(F.struct("node", "sig", "bands")).alias("r")).select("h1", "h2", "r.node", "r.sig", "r.bands"), "minhash-nodes")
     sigs = nodes.select("node", "sig")
-    pair_type = "a long, b long, similarity double"
-    edges = spark.createDataFrame([], pair_type)
-    made: list[DataFrame] = []
 
     def verified(pairs: DataFrame, least: float) -> DataFrame:
-        found = exact_jaccard(prefilter(pairs, sigs, least, k), docs, weighted, shingle_words)
-        made.append(scratch.keep(found, "minhash-pairs"))
-        return made[-1]
+        pairs = scratch.keep(prefilter(pairs, sigs, least, k), "minhash-pairs")
+        ids = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "minhash-ids")
+        found = exact_jaccard(pairs, texts_of(docs, ids, ids.count()), weighted, shingle_words).where(F.col("similarity") >= least)
+        return scratch.keep(found, "minhash-links")
 
     buckets = nodes.select(F.explode("bands").alias("key"), "node")
-    for turn in range(LEADER_ROUNDS + 1):
-        # a leader is the least node of a bucket, so that the buckets of a group share it; the other one is the least by a hash
-        sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("l1"), F.min_by("node", F.xxhash64("node")).alias("l2")).where("n > 1")
-        shared = scratch.keep(buckets.join(sizes, "key"), "minhash-buckets")
-        small = shared.where(F.col("n") <= SMALL)
-        groups = small.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("g")).groupBy("g").agg(F.count("*").alias("times"))
-        within = _pairs_within(groups).groupBy("a", "b").agg(F.count("*").alias("times"))
-        edges = edges.union(verified(within, threshold).where(F.col("similarity") >= threshold))
-        large = shared.where(F.col("n") > SMALL)
-        if not large.limit(1).count():
-            break
-        if turn == LEADER_ROUNDS:
-            x, y = large.select("key", F.col("node").alias("a")), large.select("key", F.col("node").alias("b"))
-            rest = x.join(y, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("times"))
-            edges = edges.union(verified(rest, threshold).where(F.col("similarity") >= threshold))
-            break
-        led = large.select(F.col("l1").alias("a"), F.col("node").alias("b")).union(large.select(F.col("l2").alias("a"), F.col("node").alias("b")))
-        led = verified(led.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("times")), 2 * threshold - 1)
-        edges = edges.union(led.where(F.col("similarity") >= threshold))
-        labels = connected_components(edges, "a", "b")
-        toward = led.select(F.col("a").alias("l1"), F.col("b").alias("node"), "similarity")
-        state = large.join(toward, ["l1", "node"], "left").select("key", "node", F.when(F.col("node") == F.col("l1"), 1.0).otherwise(F.col("similarity")).alias("near"))
-        state = scratch.keep(state.join(labels, "node", "left").select("key", "node", "near", F.coalesce("label", "node").alias("label")), "minhash-state")
-        # d(b, c) >= |d(l1, b) - d(l1, c)|: only these pairs of a leader's star and the rest can be links
-        star = state.where(F.col("near") >= threshold).select("key", F.col("node").alias("x"), F.col("near").alias("nx"), F.col("label").alias("lx"))
-        close = state.where((F.col("near") < threshold) & (F.col("near") >= 2 * threshold - 1)).select("key", F.col("node").alias("y"), F.col("near").alias("ny"), F.col("label").alias("ly"))
-        open_ = star.join(close, "key").where((F.col("lx") != F.col("ly")) & (F.abs(F.col("nx") - F.col("ny")) <= 1 - threshold + 1e-9))
-        open_ = open_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
-        edges = edges.union(verified(open_, threshold).where(F.col("similarity") >= threshold))
-        buckets = state.where(F.col("near").isNull() | (F.col("near") < threshold)).select("key", "node")
+    # the first leader of a bucket is its least node, so that the buckets of a group share it; the second the least by a hash
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("l1"), F.min_by("node", F.xxhash64("node")).alias("l2")).where("n > 1")
+    shared = scratch.keep(buckets.join(sizes, "key"), "minhash-buckets")
+    groups = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("g"))
+    within = _pairs_within(groups.groupBy("g").agg(F.count("*").alias("times")))
+    large = shared.where(F.col("n") > SMALL)
+    led = large.select(F.col("l1").alias("a"), F.col("node").alias("b")).union(large.select(F.col("l2").alias("a"), F.col("node").alias("b"))).where("a <> b")
+    pairs = within.union(led).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
+    edges = verified(pairs, threshold).select("a", "b")
     labels = connected_components(edges, "a", "b")
+    if large.limit(1).count():
+        state = large.select(F.col("l1").alias("bucket"), "node").union(large.select(F.col("l1").alias("bucket"), "l1")).groupBy("bucket", "node").agg(F.count("*").alias("times"))
+        of_node = labels.select("node", F.col("label").alias("own"))
+        of_leader = labels.select(F.col("node").alias("bucket"), F.col("label").alias("lead"))
+        state = state.join(of_node, "node", "left").join(of_leader, "bucket", "left")
+        state = scratch.keep(state.select("bucket", "node", (F.coalesce("own", "node") != F.coalesce("lead", "bucket")).alias("open")), "minhash-state")
+        ids = scratch.keep(state.select("node").distinct(), "minhash-ids")
+        forest = scratch.keep(_block_links(state, texts_of(docs, ids, ids.count()), threshold, weighted, shingle_words), "minhash-forest")
+        labels = connected_components(edges.union(forest), "a", "b")
     classes = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
     out = sk.select("node", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     of = F.when(F.col("node").isNotNull(), F.coalesce("class_id", "node"))
