@@ -179,9 +179,11 @@ class SpeculativeBPE:
 
     def learn(self, words: set[str]) -> None:
         """Encode words not seen before: propose, test all adjacent pairs at once, merge the rest."""
-        words = [w for w in words if w not in self.known]
-        if len(self.known) + len(words) > MOST_WORDS:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > MOST_WORDS:
             self.known.clear()
+            new = list(words)
+        words = new
         proposed = [self.propose(w) for w in words]
         first, second, owner = [], [], []
         for i, p in enumerate(proposed):
