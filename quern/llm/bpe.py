@@ -14,6 +14,7 @@ a word-end suffix, with NFC, white space and lower-case normalisers.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Words that a worker remembers before it starts anew.
-MOST_WORDS = 300_000
+MOST_WORDS = 600_000
 
 
 def byte_characters() -> list[str]:
@@ -256,6 +257,12 @@ class SpeculativeBPE:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> SpeculativeBPE:
+    """One encoder per worker process, with what it remembers, for all tasks that the process runs."""
+    return SpeculativeBPE(path)
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", decoded: bool = False) -> DataFrame:
     """(id_col, ids array<int>[, decoded string]) of each row's whole text.
 
@@ -266,7 +273,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_
     """
 
     def run(batches):
-        bpe = SpeculativeBPE(path)
+        bpe = encoder(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a in range(0, len(texts), 200):
@@ -285,7 +292,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     """Add the decoded text of each row's ids; null ids give an empty text."""
 
     def run(series):
-        bpe = SpeculativeBPE(path)
+        bpe = encoder(path)
         for s in series:
             yield s.map(lambda ids: "" if ids is None else bpe.decode(ids))
 
@@ -307,7 +314,7 @@ def digests(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc
     """
 
     def run(batches):
-        bpe, sha = SpeculativeBPE(path), hashlib.sha256
+        bpe, sha = encoder(path), hashlib.sha256
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             n, one, two = [], [], []
