@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, embedding, minhash, sstable, urlfilter, warc
+from quern.llm import bpe, chat, decontaminate, embedding, lm, minhash, sstable, toxicity, urlfilter, warc
 from quern.scratch import scratch_path
 
 
@@ -18,6 +18,16 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the model, and under the unigram base."""
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled ones outside the held-out fold."""
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -82,7 +92,7 @@ FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op4_bpe, op5_chat_format, op6_token_shards, op7_decontaminate, op8_embedding_dedup, op9_warc, op10_url_filter)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_toxicity, op4_bpe, op5_chat_format, op6_token_shards, op7_decontaminate, op8_embedding_dedup, op9_warc, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
