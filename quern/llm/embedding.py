@@ -1,6 +1,6 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, components.
 
-K-means on a sample of unit vectors gives about sqrt(n) cells.  A vector lives in the cell
+K-means on a sample of unit vectors gives sqrt(n) / 4 cells.  A vector lives in the cell
 A of its nearest centroid and visits other cells B whose centroid is nearly as near.  A
 linked pair u in A, v in B is compared if either visits the other's cell.  If neither did,
 ``u.A - u.B`` and ``v.B - v.A`` would both exceed the margin, so their sum, which is
@@ -28,9 +28,9 @@ from quern.scratch import Scratch
 
 THRESHOLD = 0.9
 #: Rows of a block; two of them meet in a task.
-BLOCK = 512
+BLOCK = 1024
 #: Vectors per cell in the sample that k-means is fitted on, and its rounds.
-SAMPLE_PER_CELL, ROUNDS = 32, 8
+SAMPLE_PER_CELL, ROUNDS = 64, 8
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -98,7 +98,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 def _links(vectors: DataFrame, n: int, threshold: float, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     spark = vectors.sparkSession
-    k = max(1, round(math.sqrt(n)))
+    k = max(1, round(math.sqrt(n) / 4))
     # the fit is on a bounded sample, chosen by a hash of the id; every vector is assigned
     take = min(n, SAMPLE_PER_CELL * k)
     share = int(min(1.0, 1.2 * take / n) * (1 << 20)) + 1
@@ -108,7 +108,7 @@ def _links(vectors: DataFrame, n: int, threshold: float, block: int, scratch: Sc
     sample = _unit(chosen["v"].combine_chunks())
     k = min(k, len(sample))
     centroids = spherical_kmeans(sample, k)
-    # sqrt(n) rows: even 10^10 vectors give a broadcast of 10^5
+    # sqrt(n) / 4 rows: even 10^10 vectors give a broadcast of 25,000
     shared = spark.sparkContext.broadcast(centroids)
     bound = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 + 1e-9
     kind = vectors.schema["v"].dataType.simpleString()
@@ -124,15 +124,16 @@ def _links(vectors: DataFrame, n: int, threshold: float, block: int, scratch: Sc
                 home = sim.argmax(1)
                 gap = sim[np.arange(len(x)), home][:, None] - sim
                 row, cell = np.nonzero(gap <= apart[home])
-                cells = np.split(cell, np.flatnonzero(np.diff(row)) + 1)
+                # few cells with many rows each: the share of cells visited, not their number, sets the work
+                cells = np.split(cell.astype(np.int32), np.flatnonzero(np.diff(row)) + 1)
                 at = pa.array(row)
                 yield pa.record_batch(
-                    [ids.take(at), pa.array(cell), pa.array(home[row]), pa.array(cells, pa.list_(pa.int64())).take(at), v.take(at)],
+                    [ids.take(at), pa.array(cell), pa.array(home[row]), pa.array(cells, pa.list_(pa.int32())).take(at), v.take(at)],
                     ["id", "cell", "home", "cells", "v"],
                 )
 
     # from here on a row is a vector in one of its cells, home or visited
-    placed = scratch.keep(vectors.select("id", "v").mapInArrow(assign, f"id long, cell long, home long, cells array<long>, v {kind}"), "cells")
+    placed = scratch.keep(vectors.select("id", "v").mapInArrow(assign, f"id long, cell long, home long, cells array<int>, v {kind}"), "cells")
     at_home = F.col("cell") == F.col("home")
     sizes = placed.groupBy("cell").agg(F.count_if(at_home).alias("h"), F.count_if(~at_home).alias("g"))
     blocks = lambda c: F.ceil(F.col(c) / block).cast("long").alias(c)
