@@ -92,7 +92,9 @@ FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_toxicity, op4_bpe, op5_chat_format, op6_token_shards, op7_decontaminate, op8_embedding_dedup, op9_warc, op10_url_filter)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_toxicity, op4_bpe, op5_chat_format, op6_token_shards, op7_decontaminate, op8_embedding_dedup, op9_warc, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
