@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    from quern.plans import retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
