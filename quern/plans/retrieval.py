@@ -222,7 +222,7 @@ def centroid_search_dedup(spark, d):
     return out(S.top(S.against(kept, S.mean_vectors(seeds).select(F.col("centroid").alias("q"))), 20))
 
 
-@query("for_you_state", sql("SELECT (SELECT count(*) FROM points JOIN favorites USING (id)) AS likes, (SELECT count(*) FROM points JOIN dislikes USING (id)) AS dislikes, (SELECT max("at") FROM feedback) AS freshest, (SELECT count(*) FROM (SELECT id FROM favorites UNION SELECT id FROM dislikes)) AS excluded"))
+@query("for_you_state", sql("SELECT (SELECT count(*) FROM points JOIN favorites USING (id)) AS likes, (SELECT count(*) FROM points JOIN dislikes USING (id)) AS dislikes, (SELECT max(f.at) FROM feedback f) AS freshest, (SELECT count(*) FROM (SELECT id FROM favorites UNION SELECT id FROM dislikes)) AS excluded"))
 def for_you_state(spark, d):
     v, f, x = X.vectors(spark, d).select("id"), X.favorites(spark, d), X.dislikes(spark, d)
     return (
