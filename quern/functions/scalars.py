@@ -57,5 +57,5 @@ def zip_entry(shard: Column, path: Column) -> Column:
 
 def cache_key(vector: Column, *parts: Column) -> Column:
     """Twenty digits of a hash over a vector to eight places, and other parts."""
-    rounded = F.array_join(F.transform(vector, lambda x: F.format_number(x, "0.00000000")), ",")
+    rounded = F.array_join(F.transform(vector, lambda x: F.format_string("%.8f", x)), ",")
     return F.substring(F.sha2(F.concat_ws("|", F.sha2(rounded, 256), *parts), 256), 1, 20)
