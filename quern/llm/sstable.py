@@ -19,13 +19,15 @@ that a lost executor's task can be repeated.  The manifest has one row per shard
 from __future__ import annotations
 
 import bisect
+import functools
+import os
+import re
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,9 +40,12 @@ FOOTER = struct.Struct("<QQQQQQ8s")
 INDEX = struct.Struct("<QQQQ")
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-MOST_PIECES = 400_000
-# fixed value: the pattern by which byte-level tokenizer files split text
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+MOST_PIECES = 700_000
+# fixed value: the pattern by which byte-level tokenizer files split text, in terms of Python's
+# classes; on the characters of PLAIN both say the same
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Characters whose classes no Unicode version has changed, and whose digits are ASCII's.
+PLAIN = r"[\x00-\x1b\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞]*"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -193,40 +198,81 @@ class Table:
 
 
 class PieceEncoder:
-    """The tokenizers library's ids of a text as bytes, remembering those of its pieces.
+    """The tokenizers library's ids of texts as bytes, remembering those of their pieces.
 
-    Merges never cross the pieces into which a byte-level tokenizer splits a text, so
-    the library need encode a piece only once.  A text with special tokens, or with
-    characters on which Unicode versions could differ, goes to the library whole.
+    Merges never cross the pieces into which a byte-level tokenizer splits a text, so the
+    library need encode a piece only once.  New pieces of a run of texts go to it together:
+    those that are a blank and letters as one text, which splits at the blanks again.  A
+    text with special tokens, or with other characters than the plain ones, goes to the
+    library whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(PIECES).findall
-        self.plain = regex.compile(r"[\x00-\x1b\x20-\x7e\xa0-ɏ‐-‧‰-⁞]*").fullmatch
+        self.find = re.compile(PIECES).findall
+        self.plain = re.compile(PLAIN).fullmatch
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        joined = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        for a in range(0, len(joined), 1000):
+            part = joined[a : a + 1000]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids, word = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(ids))
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer splits text in another way")
+            data, at = ids.tobytes(), 0
+            for p, end in zip(part, ends.tolist()):
+                self.known[p] = data[at : 4 * end]
+                at = 4 * end
+        rest = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        self.known.update(zip(rest, self._library(rest)))
+
+    def encode_batch(self, texts: list[str | None]):
+        """Yield the ids of each text; runs of texts bound the memory."""
+        run, size = [], 0
+        for t in texts:
+            if not t:
+                run.append([])
+            elif self.plain(t) and not any(s in t for s in self.special):
+                run.append(self.find(t))
+            else:
+                run.append(self._library([t])[0])
+            size += len(run[-1])
+            if size > 100_000:
+                yield from self._encode(run)
+                run, size = [], 0
+        yield from self._encode(run)
+
+    def _encode(self, run: list):
+        pieces = {p for x in run if x.__class__ is list for p in x}
+        new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > MOST_PIECES:
+            self.known.clear()
+            new = list(pieces)
+        self._learn(new)
+        known = self.known.__getitem__
+        for x in run:
+            yield b"".join(map(known, x)) if x.__class__ is list else x
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.plain(text) or any(s in text for s in self.special):
-            return self._library([text])[0]
-        pieces, known = self.find(text), self.known
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > MOST_PIECES:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self._library(new)))
-        return b"".join(map(known.__getitem__, pieces))
+        return next(iter(self.encode_batch([text])))
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> PieceEncoder:
+    """One encoder per worker process, with what it remembers, for all tasks that the process runs."""
+    return PieceEncoder(path)
 
 
 def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -242,13 +288,15 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str =
         store, path = open_filesystem(folder)
         shard = TaskContext.get().partitionId()
         final, temporary = f"shard-{shard:06d}.sst", f".shard-{shard:06d}-{uuid.uuid4().hex}"
-        table, encoder, end = None, None, np.array([end_id], "<u4").tobytes()
+        table, end = None, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if table is None:
-                    out = store.open_output_stream(f"{path}/{temporary}")
-                    table, encoder = TableWriter(out), PieceEncoder(tokenizer)
-                table.add(key_of(key), encoder.encode(text) + end)
+            if table is None and batch.num_rows:
+                out = store.open_output_stream(f"{path}/{temporary}")
+                table = TableWriter(out)
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                for key, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode_batch(part.column(1).to_pylist())):
+                    table.add(key_of(key), ids + end)
         if table is not None:
             table.close()
             out.close()
