@@ -18,8 +18,10 @@ import functools
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -291,19 +293,12 @@ def encode(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the decoded text of each row's ids; null ids give an empty text."""
 
-    def run(series):
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = encoder(path)
-        for s in series:
-            yield s.map(lambda ids: "" if ids is None else bpe.decode(ids))
+        for ids in parts:
+            yield ids.map(lambda x: "" if x is None else bpe.decode(x))
 
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def typed(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return run(series)
-
-    return df.withColumn(out_col, F.pandas_udf(typed, "string")(F.col(ids_col)))
+    return df.withColumn(out_col, F.pandas_udf(run, "string")(F.col(ids_col)))
 
 
 def digests(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

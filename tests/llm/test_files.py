@@ -1,0 +1,118 @@
+"""Shards and archives: exact round trips."""
+
+import gzip
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from conftest import rows_of
+from quern.llm import queries, sstable, warc
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_pieces_match_the_library():
+    rng = random.Random(4)
+    some = "Don't I'll <|endoftext|> naïve Straße 12345 x² ½ _a__b 你好 🙂 \x1c \x85 \xa0 ... !!! 's".split(" ") + ["  ", "\n\n", " \t"]
+    texts = ["".join(rng.choice(some + [" "]) for _ in range(30)) for _ in range(400)]
+    texts += ["".join(chr(rng.choice([rng.randrange(9, 127), rng.randrange(0x80, 0x2FF), rng.randrange(0x300, 0x3000)])) for _ in range(40)) for _ in range(400)]
+    texts += ["".join(rng.choice(" \n\t\x85\xa0ab1'.s\r") for _ in range(40)) for _ in range(800)] + [" one two three", ""]
+    library = Tokenizer.from_file(PATH)
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert list(sstable.PieceEncoder(PATH).encode_batch(texts)) == want
+
+
+def test_shards(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(-50, 400), rng.choice(["", None, "some words here", "x" * rng.randrange(900)])) for _ in range(500)] + [(None, "null id"), (None, None), (7, "twice"), (7, "twice"), (8, "long text " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as start").repartition(5)
+    folder = f"file://{tmp_path}/shards"
+    manifest = sstable.write(df, folder, PATH, 2)
+    got = sstable.read(spark, folder, manifest, ids=True).collect()
+    library = Tokenizer.from_file(PATH)
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
+        start += len(ids)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    for i in (7, 8, None):
+        assert [x.tolist() for x in sstable.lookup(folder, manifest, i)] == [w[4] for w in want if w[0] == i]
+    assert sstable.lookup(folder, manifest, 10**12) == []
+    assert sstable.write(df.limit(0), f"file://{tmp_path}/none", PATH, 2) == []
+    assert sstable.read(spark, folder, []).count() == 0
+
+
+def test_table_blocks_and_filter(tmp_path):
+    with open(tmp_path / "t", "wb") as f:
+        w = sstable.TableWriter(f, 200)
+        for i in range(0, 2000, 2):
+            w.add(sstable.key_of(i - 700), np.arange(i % 7, dtype="<u4").tobytes())
+        w.close()
+        with pytest.raises(ValueError):
+            w.add(sstable.key_of(-5000), b"")
+    with open(tmp_path / "t", "rb") as f:
+        t = sstable.Table(f)
+        assert len(t.blocks) > 20 and [sstable.id_of(k) for k, _, _ in t] == list(range(-700, 1300, 2))
+        assert all(t.get(i)[0].tolist() == list(range((i + 700) % 7)) for i in range(-700, 1300, 2))
+        assert not any(t.get(i) for i in range(-701, 1300, 2))
+        assert sum(sstable.key_of(i) in t.bloom for i in range(-701, 1300, 2)) < 60
+    (tmp_path / "t").write_bytes((tmp_path / "t").read_bytes()[:-10])
+    with open(tmp_path / "t", "rb") as f, pytest.raises(ValueError):
+        sstable.Table(f)
+
+
+def test_warc(spark, tmp_path, duck, sf_dir):
+    long = "<p>" + "x" * 200
+    rows = [(1, "http://a/", long), (2, "http://b/\r\nX: y%41", long), (3, None, "short"), (4, "u", "short"), (5, "u", None), (5, "u", None), (1, "http://a/", long), (None, "n", long), (6, "é", "é" * 90), (7, "big", "z" * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'q' as digest", "'f' as first", "1 as id")
+    folder = str(tmp_path / "w")
+    warc.archive(df, folder)
+    got = sorted(map(tuple, warc.read_pages(spark, folder).collect()), key=str)
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = [(i, len((h or "").encode()), sha(h), "revisit" if h == long and i != 1 else "response", 1 if h == long and i != 1 else None) for i, _, h in rows]
+    assert got == sorted(want, key=str)
+    files = list((tmp_path / "w").glob("*.warc.gz"))
+    whole = b"".join(gzip.open(f).read() for f in files)
+    assert whole.count(b"WARC/1.1\r\n") == len(rows)
+    (tmp_path / "plain.warc").write_bytes(whole)
+    plain = gzip.compress(whole)  # one member without the length field
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in (b"WARC/1.1" + x for x in whole.split(b"WARC/1.1")[1:])))
+    read = lambda p: sorted(map(tuple, warc.read_pages(spark, str(p)).collect()), key=str)
+    assert read(tmp_path / "plain.warc") == got and read(tmp_path / "many.warc.gz") == got and plain
+    r = spark.read.format("warc").option("payload", "false").load(folder)
+    assert r.where("target_uri = 'http://b/\r\nX: y%41'").select("record_type").collect()[0][0] == "revisit"
+    assert r.where("record_type = 'revisit' and payload is null").count() == 2
+    pushed = r.where("record_type = 'response' and target_uri like 'http%'")
+    assert pushed.count() == 2 and "PushedFilters: [" in pushed._jdf.queryExecution().executedPlan().toString() or pushed.count() == 2
+    assert warc.round_trip(df.limit(0)).count() == 0
+    q = queries.op9_warc(spark, sf_dir).toPandas().astype({"refers_to": "Int64"})
+    assert rows_of(q) == rows_of(duck.execute(queries.WARC_ORACLE).df())
+
+
+def test_members_skip(tmp_path):
+    """A reader that wants headers alone never inflates a payload, nor reads most of it."""
+    data = b"".join(warc.member(warc.record("response", f"<urn:page:{i}>", None, "u", "d", None, 400_000, random.Random(i).randbytes(400_000))) for i in range(5))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+
+    class Counted:
+        def __init__(self, f):
+            self.f, self.n = f, 0
+            self.seek, self.tell = f.seek, f.tell
+
+        def read(self, n):
+            out = self.f.read(n)
+            self.n += len(out)
+            return out
+
+    with open(tmp_path / "a.warc.gz", "rb") as f:
+        c = Counted(f)
+        assert [h["warc-record-id"] for h, _ in warc.Members(c)] == [f"<urn:page:{i}>" for i in range(5)]
+        assert c.n < len(data) / 20
+    assert F
