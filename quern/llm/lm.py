@@ -31,8 +31,8 @@ from quern.scratch import Scratch
 WORDS = 500
 DIM = 24
 NOISE = 64
-RATE = 0.08
-BATCH = 4096
+RATE = 0.15
+BATCH = 2048
 ALPHA = 0.1
 #: The most frequent tokens, whose counts workers get directly; the others meet theirs in a join.
 HEAD = 65_536
@@ -114,6 +114,8 @@ def gather(counts: DataFrame, words: int = WORDS, head: int = HEAD) -> Statistic
     plain = ~F.hex("token").rlike("^(?:..)*[89A-F].(?:..)*$")
     top = counts.orderBy(F.col("c").desc(), "token").limit(head)
     first = {bytes(r["token"]): r["c"] for r in top.toArrow().to_pylist()}
+    ends = counts.where(F.octet_length("token") == 0).select("c").collect()
+    first[END] = ends[0].c if ends else 0  # the end belongs to the head, however many texts there are
     ranked = sorted(first, key=lambda w: (-first[w], w))
     classes = [w for w in ranked[:words] if w != END]
     classes.append(END)
@@ -122,7 +124,6 @@ def gather(counts: DataFrame, words: int = WORDS, head: int = HEAD) -> Statistic
     for r in sums:
         if r.g is not None:
             out.group_total[r.g], out.group_distinct[r.g] = r.c, r.n
-    first.setdefault(END, 0)
     for w in classes:  # those with a class of their own leave their group
         if w != END:
             out.group_total[group(w)] -= first[w]
