@@ -133,8 +133,8 @@ def _with_slots(docs, benchmark, best, id_col, text_col, item_col, item_text_col
         places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(kinds, w), i).otherwise(F.lit(-1))), lambda i: i >= 0)
         return F.arrays_zip(places.alias("at"), values.alias("value"))
 
-    d = docs.join(best.select(F.col("doc").alias("_doc"), "item", "n", "n_windows", "low", "high"), F.col(id_col) == F.col("_doc"))
-    d = d.select(F.col("_doc").alias("doc"), "item", "n", "n_windows", "low", "high", slotted(clear(F.col(text_col))).alias("dslots"))
+    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).join(best.select("doc", "item", "n", "n_windows", "low", "high"), "doc")
+    d = d.select("doc", "item", "n", "n_windows", "low", "high", slotted(clear(F.col("_text"))).alias("dslots"))
     b = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), slotted(clear(F.col(item_text_col))).alias("islots"))
     both = d.join(b, "item")
     # an item's slot at position p lies between p + low and p + high in the document
@@ -168,4 +168,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     found = Scratch(docs.sparkSession).keep(found, "decontaminate-ids")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    return docs.join(found, F.col(id_col) == F.col("_found"), "left_anti")
+    return docs.join(found, docs[id_col] == found["_found"], "left_anti")
