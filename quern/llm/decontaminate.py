@@ -1,17 +1,18 @@
 r"""Benchmark decontamination by template canonicalisation, in Spark expressions alone.
 
-Numbers, names and units become typed placeholders, so that a question keeps its template
-when its values are exchanged.  A text is lower-cased and split into words; a window is
-``WINDOW`` consecutive template words (a shorter item is one window of its own length).
-Windows of benchmark items and documents meet in an equi-join on their hashes, each with
-its position, which gives alignments of an item in a document: pairs of positions with one
-offset.  An item counts as found if windows on nearly the same offset cover at least
-``COVERAGE`` of its windows, and if its slots are consistent: within the aligned windows,
-every value of the item always becomes one value of the document and the other way round.
-
-Names are capitalised words after a lower-case letter, comma, colon or semicolon and a
-space; numbers are runs of digits with inner points or commas; units are the words of
-``UNITS`` after a digit and a space.
+A text is split into words: runs of digits with inner points or commas, and runs of other
+letters, marks, numerals and hyphens.  There are two readings of the words.  The verbatim one is the
+words in lower case.  In the template, names (capitalised words of two letters or more, wherever
+they stand, be it the start of a sentence), numbers and units (words of ``UNITS`` after a
+number) are placeholders, so that a question keeps its template when its values are exchanged.
+
+Windows of ``WINDOW`` consecutive words of items and documents meet in an equi-join on
+their hashes, each reading with itself, each with its position, which gives alignments of
+an item in a document: pairs of positions with one offset.  A place is one offset, or a range of
+offsets that allows for inserted words.  An item counts as found at a place where at least
+``COVERAGE`` of its windows match, and where, in the
+template, its slots are consistent: word by word within the matched windows, every value
+of the item becomes one value of the document and the other way round.
 """
 
 from __future__ import annotations
@@ -30,52 +31,78 @@ BROADCAST_ROWS = 1_000_000
 DRIFT = 4
 
 UNITS = "km|m|cm|mm|miles|mile|feet|foot|inches|inch|yards|kg|g|mg|grams|gram|tons|ton|pounds|pound|lbs|ounces|ounce|litres|litre|liters|liter|ml|l|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|percent|dollars|dollar|euros|euro|cents|cent|degrees|degree|mph|kmh|gb|mb|kb|tb|volts|watts|hz"
-# markers of private use stand for the placeholders, so that no text can imitate them
+# markers of private use stand for the placeholders; no word can imitate them
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
-_NAME = r"(?<=[\p{Ll},;:] )\p{Lu}[\p{L}]+"
-_UNIT = rf"(?<=\d )(?:{UNITS})\b"
-_NUMBER = r"\d+(?:[.,]\d+)*"
-_SLOT = f"({_NAME}|{_UNIT}|{_NUMBER})"
-_SPLIT = r"[^\p{L}\p{M}\p{N}-]+"
+VERBATIM, TEMPLATE = 0, 1
+_WORD = r"\d+(?:[.,]\d+)*|[[\p{L}\p{M}\p{N}-]&&[^0-9]]+"
+_NAME = r"^\p{Lu}\p{L}"
 
 
-def clear(text: Column) -> Column:
-    """The text without the markers; null is empty."""
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME + NUMBER + UNIT, "   ")
+def _let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once; as a column of its own the optimizer may copy it into the lambdas of body."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def template_words(text: Column) -> Column:
-    """Template words of a text that has been through ``clear``."""
-    out = F.regexp_replace(text, _NAME, f" {NAME} ")
-    # the digit before a unit is still there; after a name's mark none can be
-    out = F.regexp_replace(out, _UNIT, f" {UNIT} ")
-    out = F.regexp_replace(out, _NUMBER, f" {NUMBER} ")
-    return F.split(F.trim(F.regexp_replace(F.lower(out), _SPLIT, " ")), " ")
+def words_of(text: Column) -> Column:
+    """The words as they stand; a null text has none."""
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(_WORD), 0)
 
 
-def slot_values(text: Column) -> Column:
-    """The values in the order of the placeholders."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_SLOT), 1), lambda s: F.lower(s))
+def _is_number(word: Column) -> Column:
+    return (word >= "0") & (word < ":")
 
 
-def window_hashes(words: Column, width: int) -> Column:
-    """Hashes of all windows; those of a text of fewer words have one of all, those of none none."""
-    n = F.size(words)
-    some = F.element_at(words, 1) != ""
-    starts = F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)))
-    return F.when(some, F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, width), " ")))).otherwise(F.expr("cast(array() as array<bigint>)"))
+def template_words(words: Column) -> Column:
+    """Placeholders for names, numbers and units, other words in lower case."""
+
+    def typed(w, i):
+        low = F.lower(w)
+        unit = low.isin(UNITS.split("|")) & F.coalesce(_is_number(F.get(words, i - 1)), F.lit(False))
+        return F.when(_is_number(w), NUMBER).when(unit, UNIT).when((w != low) & w.rlike(_NAME), NAME).otherwise(low)
+
+    return F.transform(words, typed)
+
+
+def window_hashes(words: Column, widths: list[int]) -> Column:
+    """For each word the hashes of the windows from it on, of each width in both readings.
+
+    Windows that reach beyond the end meet no item's.
+    """
+
+    def windows(lower, typed):
+        h = lambda c, reading, w, i: F.xxhash64(F.lit(2 * w + reading), *[F.get(c, i + k) for k in range(w)])
+        return F.transform(lower, lambda _, i: F.array(*[h(c, reading, w, i) for w in widths for reading, c in ((VERBATIM, lower), (TEMPLATE, typed))]))
+
+    return _let(words, lambda x: _let(_hashed(F.transform(x, lambda w: F.lower(w))), lambda v: _let(_hashed(template_words(x)), lambda t: windows(v, t))))
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _width(n: Column, width: int) -> Column:
+    return F.least(n, F.lit(width)).cast("int")
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
-    """(item, n_words, h, ipos, n_windows) of each window of each item.
+    """(item, width, n_windows, reading, ipos, h) of each window of each item in both readings.
 
-    An item of fewer words than a window is kept apart by its length: its only window is
-    matched with windows of that length.
+    A window of the template that has a name and whose words are mostly placeholders says
+    nothing and is not matched, but counts among the item's windows.
     """
-    b = benchmark.select(F.col(item_col).alias("item"), template_words(clear(F.col(text_col))).alias("words"))
-    b = b.where("item is not null and element_at(words, 1) <> ''").withColumn("width", F.least(F.size("words"), F.lit(width)))
-    b = b.withColumn("hashes", F.transform(F.sequence(F.lit(0), F.size("words") - F.col("width")), lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, F.col("width")), " "))))
-    return b.select("item", "width", F.size("hashes").alias("n_windows"), F.posexplode("hashes").alias("ipos", "h"))
+    b = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("words")).where("item is not null and size(words) > 0")
+    b = b.select("item", "words", template_words(F.col("words")).alias("typed"), _width(F.size("words"), width).alias("width"))
+    b = b.withColumn("n_windows", F.size("words") - F.col("width") + 1)
+    lower = F.transform("words", lambda w: F.lower(w))
+    b = b.select("item", "width", "n_windows", "typed", F.array(_hashed(lower), _hashed(F.col("typed"))).alias("both"))
+    b = b.select("item", "width", "n_windows", "typed", F.posexplode("both").alias("reading", "hashes"))
+    b = b.withColumn("ipos", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)))
+    part = F.slice("typed", F.col("ipos") + 1, F.col("width"))
+    literal = F.size(F.filter(part, lambda w: ~w.isin(NAME, NUMBER, UNIT)))
+    says = (F.col("reading") == VERBATIM) | ~F.array_contains(part, NAME) | (literal >= F.greatest(F.lit(1), F.floor(F.col("width") / 2)))
+    # the hash of window_hashes, for a width that differs by row
+    h = F.coalesce(*[F.when(F.col("width") == w, F.xxhash64(2 * F.lit(w) + F.col("reading"), *[F.get("hashes", F.col("ipos") + k) for k in range(w)])) for w in range(1, width + 1)])
+    return b.where(says).select("item", "width", "n_windows", "reading", "ipos", h.alias("h"))
 
 
 def find_contamination(
@@ -99,55 +126,69 @@ def find_contamination(
     * Short items of fewer words than a window must occur whole.
     * An empty table on either side gives an empty result; other columns are not read.
     """
-    items = item_windows(benchmark, item_col, item_text_col, width).dropDuplicates(["item", "width", "ipos", "h"])
+    items = item_windows(benchmark, item_col, item_text_col, width).dropDuplicates(["item", "width", "reading", "ipos", "h"])
     n = items.count()
     small = n <= BROADCAST_ROWS
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())
+    widths = sorted(r[0] for r in items.select("width").distinct().collect()) or [width]
     items = F.broadcast(items) if small else items
-    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), template_words(clear(F.col(text_col))).alias("words"))
-    hits = None
-    for w in widths or [width]:
-        at = d.select("doc", F.posexplode(window_hashes(F.col("words"), w)).alias("dpos", "h"))
-        found = at.join(items.where(F.col("width") == w), "h")
-        hits = found if hits is None else hits.unionByName(found)
-    # windows on nearly one offset belong to one place; a place on the border of two bins counts in both
+    d = docs.where(F.col(id_col).isNotNull())
+    at = d.select(F.col(id_col).alias("doc"), F.posexplode(window_hashes(words_of(F.col(text_col)), widths)).alias("dpos", "hs")).select("doc", "dpos", F.explode("hs").alias("h"))
+    hits = at.join(items, "h")
+    # a place is one offset, or windows on nearly one offset; what is on the border of two bins counts in both
     offset = F.col("dpos") - F.col("ipos")
     bins = F.array(F.floor(offset / (2 * DRIFT)), F.floor((offset + DRIFT) / (2 * DRIFT)) + F.lit(1 << 40))
-    placed = hits.select("doc", "item", "n_windows", "ipos", "width", offset.alias("offset"), F.explode(bins).alias("bin"))
-    places = placed.groupBy("doc", "item", "n_windows", "width", "bin", "ipos").agg(F.min("offset").alias("offset"))
-    places = places.groupBy("doc", "item", "n_windows", "width", "bin").agg(F.count("*").alias("n"), F.min("offset").alias("low"), F.max("offset").alias("high"))
-    best = places.where(F.col("n") >= coverage * F.col("n_windows")).groupBy("doc", "item").agg(F.max(F.struct("n", F.struct(-F.col("low"), -F.col("high")), "n_windows", "low", "high")).alias("b"))
-    best = Scratch(docs.sparkSession).keep(best.select("doc", "item", "b.n", "b.n_windows", "b.low", "b.high"), "decontaminate")
-    if best.count() <= BROADCAST_ROWS:
-        best = F.broadcast(best)
-    return _with_slots(docs, benchmark, best, id_col, text_col, item_col, item_text_col, consistent)
-
-
-def _with_slots(docs, benchmark, best, id_col, text_col, item_col, item_text_col, consistent):
-    """Compare the slots of each finding; only texts with findings are read for it."""
-
-    def slotted(text):
-        """Position and value of each slot."""
-        words, values = template_words(text), slot_values(text)
-        kinds = F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT))
-        places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(kinds, w), i).otherwise(F.lit(-1))), lambda i: i >= 0)
-        return F.arrays_zip(places.alias("at"), values.alias("value"))
-
-    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).join(best.select("doc", "item", "n", "n_windows", "low", "high"), "doc")
-    d = d.select("doc", "item", "n", "n_windows", "low", "high", slotted(clear(F.col("_text"))).alias("dslots"))
-    b = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), slotted(clear(F.col(item_text_col))).alias("islots"))
-    both = d.join(b, "item")
-    # an item's slot at position p lies between p + low and p + high in the document
-    near = F.flatten(
-        F.transform("islots", lambda i: F.transform(F.slice(F.filter("dslots", lambda x: (x.getField("at") >= i.getField("at") + F.col("low")) & (x.getField("at") <= i.getField("at") + F.col("high"))), 1, 1), lambda x: F.struct(i.getField("value").alias("of"), x.getField("value").alias("to"))))
+    key = ["doc", "item", "n_windows", "width", "reading", "bin"]
+    placed = hits.select("doc", "item", "n_windows", "width", "reading", "ipos", offset.alias("offset"), F.explode(bins).alias("bin"))
+    lines = placed.groupBy(*key, "offset").agg(F.sort_array(F.collect_set("ipos")).alias("at"))
+    # the longest run of windows from word to word: a window further on in each step
+    run = F.aggregate("at", F.struct(F.lit(-9).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best")), lambda s, p: _step(s, p), lambda s: s.getField("best"))
+    lines = lines.select(*key, "offset", F.size("at").alias("support"), run.alias("run"), F.explode("at").alias("ipos"))
+    # each window of the item on the offset of most windows
+    places = lines.groupBy(*key, "ipos").agg(F.max(F.struct("support", (-F.col("offset")).alias("o"))).alias("m"), F.max("run").alias("run"))
+    places = places.groupBy(*key).agg(F.count("*").alias("n"), F.max("run").alias("run"), F.sort_array(F.collect_list(F.struct("ipos", (-F.col("m.o")).alias("offset")))).alias("at"))
+    enough = F.col("n") >= coverage * F.col("n_windows")
+    places = places.where(enough).select("doc", "item", "n_windows", "width", "reading", "n", "at").distinct()
+    # one verbatim place settles the item: its values are unchanged
+    places = places.groupBy("doc", "item").agg(
+        F.max(F.when(F.col("reading") == VERBATIM, F.struct("n", "n_windows", "width", "at"))).alias("same"),
+        F.collect_list(F.when(F.col("reading") == TEMPLATE, F.struct("n", "n_windows", "width", "at"))).alias("others"),
     )
-    both = both.select("doc", "item", "n", "n_windows", near.alias("pairs"))
-    distinct = both.withColumn("maps", F.array_distinct("pairs"))
+    places = Scratch(docs.sparkSession).keep(places.select("doc", "item", F.when(F.col("same").isNotNull(), F.array("same")).otherwise(F.col("others")).alias("places"), F.col("same").isNotNull().alias("verbatim")), "decontaminate")
+    if places.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    return _with_slots(docs, benchmark, places, id_col, text_col, item_col, item_text_col, consistent)
+
+
+def _step(state: Column, at: Column) -> Column:
+    n = F.when(at == state.getField("last") + 1, state.getField("n") + 1).otherwise(F.lit(1))
+    return F.struct(at.alias("last"), n.alias("n"), F.greatest(n, state.getField("best")).alias("best"))
+
+
+def _with_slots(docs, benchmark, places, id_col, text_col, item_col, item_text_col, consistent):
+    """Compare the slots of every place; only texts with findings are read for it."""
+    lower = lambda c: F.transform(c, lambda w: F.lower(w))
+    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).join(places, "doc")
+    d = d.select("doc", "item", "places", "verbatim", lower(words_of(F.col("_text"))).alias("dwords"))
+    b = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("words"))
+    slots = F.filter(F.transform(_let(F.col("words"), template_words), lambda w, i: F.when(w.isin(NAME, NUMBER, UNIT), i)), lambda i: i.isNotNull())
+    both = d.join(b.select("item", lower("words").alias("iwords"), slots.alias("slots")), "item")
+
+    def pairs(place, dwords, iwords, slots):
+        """Of each slot within a matched window its value and the word that stands there in the document."""
+        inside = lambda a, i: (a.getField("ipos") <= i) & (i < a.getField("ipos") + place.getField("width"))
+        over = F.transform(slots, lambda i: F.struct(F.get(iwords, i).alias("of"), F.get(dwords, i + F.get(F.filter(place.getField("at"), lambda a: inside(a, i)), 0).getField("offset")).alias("to")))
+        return F.filter(over, lambda p: p.getField("to").isNotNull())
+
+    rows = lambda dw, iw, sl: F.transform("places", lambda p: F.struct(p.getField("n").alias("n"), p.getField("n_windows").alias("n_windows"), pairs(p, dw, iw, sl).alias("pairs")))
+    each = _let(F.col("dwords"), lambda dw: _let(F.col("iwords"), lambda iw: _let(F.col("slots"), lambda sl: rows(dw, iw, sl))))
+    both = both.select("doc", "item", "verbatim", F.explode(each).alias("p"))
+    both = both.select("doc", "item", "verbatim", "p.n", "p.n_windows", "p.pairs").withColumn("maps", F.array_distinct("pairs"))
     # one to one: as many distinct pairs as distinct values on either side
     sides = F.size(F.array_distinct(F.transform("maps", lambda p: p.getField("of")))) + F.size(F.array_distinct(F.transform("maps", lambda p: p.getField("to"))))
     share = F.when(F.size("maps") == 0, 1.0).otherwise(sides / (2.0 * F.size("maps")))
-    rated = distinct.select("doc", "item", "n", "n_windows", F.size("pairs").cast("long").alias("n_slots"), F.size(F.filter("pairs", lambda p: p.getField("of") != p.getField("to"))).cast("long").alias("n_changed"), share.alias("consistency"))
-    rated = rated.where(F.col("consistency") >= consistent)
+    changed = F.size(F.filter("pairs", lambda p: p.getField("of") != p.getField("to"))).cast("long")
+    rated = both.select("doc", "item", "n", "n_windows", F.size("pairs").cast("long").alias("n_slots"), changed.alias("n_changed"), share.alias("consistency"), (2 * F.size("maps") - sides).alias("clashes"), "verbatim")
+    rated = rated.where(F.col("verbatim") | (F.col("n_changed") == 0) | (F.col("consistency") >= consistent))
     out = rated.groupBy("doc", "item").agg(F.max(F.struct("n", "consistency", F.struct(-F.col("n_changed")), "n_windows", "n_slots", "n_changed")).alias("r"))
     return out.select(
         F.col("doc").alias(id_col),

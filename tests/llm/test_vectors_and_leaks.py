@@ -85,6 +85,21 @@ def test_leaks(spark):
     assert D.find_contamination(df.limit(0), b).count() == 0 and D.find_contamination(df, b.limit(0)).count() == 0
 
 
+def found(spark, items, docs):
+    rows = D.find_contamination(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): r.kind for r in rows}
+
+
+def test_leaks_with_names_at_the_start_and_in_other_cases(spark):
+    tom = "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have now?"
+    maria = "Maria sold 48 clips to Peter in April and then Maria sold half as many clips to Peter in May"
+    got = found(spark, [tom, "What is the capital city of France?", maria], [
+        tom.replace("Tom", "Anna").replace("3", "8").replace("4", "2"), "She asked, What is the capital city of France?", maria.lower(), maria.upper(),
+        "Anna has a cat. Anna buys more food for the cat in May", "What a city! Who is the mayor of Rome?",
+    ])
+    assert got == {(0, 0): "parameterised", (1, 1): "verbatim", (2, 2): "verbatim", (3, 2): "verbatim"}
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against its operator, on its predecessor's rows; the rest of the columns untouched."""
     import corpus_pipeline as P
