@@ -10,7 +10,7 @@ Windows of ``WINDOW`` consecutive words of items and documents meet in an equi-j
 their hashes, each reading with itself, each with its position, which gives alignments of
 an item in a document: pairs of positions with one offset.  A place is one offset, or a range of
 offsets that allows for inserted words.  An item counts as found at a place where at least
-``COVERAGE`` of its windows match, and where, in the
+``COVERAGE`` of its windows or ``RUN`` consecutive words of it match, and where, in the
 template, its slots are consistent: word by word within the matched windows, every value
 of the item becomes one value of the document and the other way round.
 """
@@ -21,8 +21,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.scratch import Scratch
 
-WINDOW = 8
+WINDOW = 5
+#: Items of fewer words have a single window; between it and three windows' length windows are a third of the item, so that one edited word leaves half of them.
+WHOLE = 8
 COVERAGE = 0.5
+#: So many consecutive words are a leak, however long the item is.
+RUN = 13
 #: Least share of slot values that must map one to one.
 CONSISTENT = 0.9
 #: Rows of windows or findings that are broadcast at most; more of them are joined by shuffling.
@@ -81,7 +85,7 @@ def _hashed(words: Column) -> Column:
 
 
 def _width(n: Column, width: int) -> Column:
-    return F.least(n, F.lit(width)).cast("int")
+    return F.when(n < WHOLE, n).otherwise(F.least(F.floor((n + 1) / 3), F.lit(width))).cast("int")
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
@@ -101,7 +105,7 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int)
     literal = F.size(F.filter(part, lambda w: ~w.isin(NAME, NUMBER, UNIT)))
     says = (F.col("reading") == VERBATIM) | ~F.array_contains(part, NAME) | (literal >= F.greatest(F.lit(1), F.floor(F.col("width") / 2)))
     # the hash of window_hashes, for a width that differs by row
-    h = F.coalesce(*[F.when(F.col("width") == w, F.xxhash64(2 * F.lit(w) + F.col("reading"), *[F.get("hashes", F.col("ipos") + k) for k in range(w)])) for w in range(1, width + 1)])
+    h = F.coalesce(*[F.when(F.col("width") == w, F.xxhash64(2 * F.lit(w) + F.col("reading"), *[F.get("hashes", F.col("ipos") + k) for k in range(w)])) for w in range(1, max(width, WHOLE) + 1)])
     return b.where(says).select("item", "width", "n_windows", "reading", "ipos", h.alias("h"))
 
 
@@ -123,7 +127,7 @@ def find_contamination(
     * Null, empty or wordless texts and items match nothing; a null id of a document or an
       item is left out, for there is nothing to call the finding by.
     * Rows that repeat a document's id are one document; so are repeated items.
-    * Short items of fewer words than a window must occur whole.
+    * Short items of fewer than ``WHOLE`` words must occur whole.
     * An empty table on either side gives an empty result; other columns are not read.
     """
     items = item_windows(benchmark, item_col, item_text_col, width).dropDuplicates(["item", "width", "reading", "ipos", "h"])
@@ -146,7 +150,7 @@ def find_contamination(
     # each window of the item on the offset of most windows
     places = lines.groupBy(*key, "ipos").agg(F.max(F.struct("support", (-F.col("offset")).alias("o"))).alias("m"), F.max("run").alias("run"))
     places = places.groupBy(*key).agg(F.count("*").alias("n"), F.max("run").alias("run"), F.sort_array(F.collect_list(F.struct("ipos", (-F.col("m.o")).alias("offset")))).alias("at"))
-    enough = F.col("n") >= coverage * F.col("n_windows")
+    enough = (F.col("n") >= coverage * F.col("n_windows")) | (F.col("run") + F.col("width") - 1 >= RUN)
     places = places.where(enough).select("doc", "item", "n_windows", "width", "reading", "n", "at").distinct()
     # one verbatim place settles the item: its values are unchanged
     places = places.groupBy("doc", "item").agg(

@@ -100,6 +100,16 @@ def test_leaks_with_names_at_the_start_and_in_other_cases(spark):
     assert got == {(0, 0): "parameterised", (1, 1): "verbatim", (2, 2): "verbatim", (3, 2): "verbatim"}
 
 
+def test_leaks_in_part_and_with_one_edit(spark):
+    rng = random.Random(4)
+    text = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    long, short, eight, book = text(57), text(15), text(8), text(300)
+    around = lambda words: " ".join(text(20) + words + text(20))
+    docs = [around(long[10:40]), around(short[:7] + text(1) + short[8:]), around(short[:7] + text(1) + short[7:]), around(eight[:4] + text(1) + eight[5:]), around(book[100:113]), around(book[100:112]), around(short[:4])]
+    got = found(spark, [" ".join(x) for x in (long, short, eight, book)], docs)
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 3)}
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against its operator, on its predecessor's rows; the rest of the columns untouched."""
     import corpus_pipeline as P
