@@ -27,7 +27,7 @@ WHOLE = 8
 COVERAGE = 0.5
 #: So many consecutive words are a leak, however long the item is.
 RUN = 13
-#: Least share of slot values that must map one to one.
+#: Least share of slot values that must map one to one; a single coincidence of values is let pass, unchanged values always.
 CONSISTENT = 0.9
 #: Rows of windows or findings that are broadcast at most; more of them are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
@@ -140,7 +140,7 @@ def find_contamination(
     hits = at.join(items, "h")
     # a place is one offset, or windows on nearly one offset; what is on the border of two bins counts in both
     offset = F.col("dpos") - F.col("ipos")
-    bins = F.array(F.floor(offset / (2 * DRIFT)), F.floor((offset + DRIFT) / (2 * DRIFT)) + F.lit(1 << 40))
+    bins = F.array(F.floor(offset / (2 * DRIFT)), F.floor((offset + DRIFT) / (2 * DRIFT)) + F.lit(1 << 40), offset + F.lit(1 << 41))
     key = ["doc", "item", "n_windows", "width", "reading", "bin"]
     placed = hits.select("doc", "item", "n_windows", "width", "reading", "ipos", offset.alias("offset"), F.explode(bins).alias("bin"))
     lines = placed.groupBy(*key, "offset").agg(F.sort_array(F.collect_set("ipos")).alias("at"))
@@ -192,7 +192,7 @@ def _with_slots(docs, benchmark, places, id_col, text_col, item_col, item_text_c
     share = F.when(F.size("maps") == 0, 1.0).otherwise(sides / (2.0 * F.size("maps")))
     changed = F.size(F.filter("pairs", lambda p: p.getField("of") != p.getField("to"))).cast("long")
     rated = both.select("doc", "item", "n", "n_windows", F.size("pairs").cast("long").alias("n_slots"), changed.alias("n_changed"), share.alias("consistency"), (2 * F.size("maps") - sides).alias("clashes"), "verbatim")
-    rated = rated.where(F.col("verbatim") | (F.col("n_changed") == 0) | (F.col("consistency") >= consistent))
+    rated = rated.where(F.col("verbatim") | (F.col("n_changed") == 0) | (F.col("clashes") <= 1) | (F.col("consistency") >= consistent))
     out = rated.groupBy("doc", "item").agg(F.max(F.struct("n", "consistency", F.struct(-F.col("n_changed")), "n_windows", "n_slots", "n_changed")).alias("r"))
     return out.select(
         F.col("doc").alias(id_col),

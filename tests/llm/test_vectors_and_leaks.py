@@ -110,6 +110,18 @@ def test_leaks_in_part_and_with_one_edit(spark):
     assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 2), (4, 3)}
 
 
+def test_leaks_after_a_look_alike(spark):
+    item = "then Alice bought 12 kg of apples for 30 dollars and Alice gave 7 kg to her friend Bob on that day"
+    unlike = item.replace("Alice bought", "Maria bought").replace("Alice gave", "Eve gave").replace("12 kg", "9 kg").replace("7 kg", "9 miles").replace("30", "9")
+    other = item.replace("Alice", "Maria").replace("12", "5").replace(" 7 ", " 6 ")
+    few = "a box holds 3 red balls and a bag holds 4 green balls so how many balls are there in all"
+    got = found(spark, [item, few], [
+        f"{unlike}. Next: {item}", f"{unlike}. Next: {other}", item.replace("bought 12", "bought him 12"), other.replace("bought 5", "bought him 5"),
+        few.replace("3", "5").replace("4", "5"), unlike,
+    ])
+    assert got == {(0, 0): "verbatim", (1, 0): "parameterised", (2, 0): "verbatim", (3, 0): "parameterised", (4, 1): "parameterised"}
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against its operator, on its predecessor's rows; the rest of the columns untouched."""
     import corpus_pipeline as P
