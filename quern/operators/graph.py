@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from quern.scratch import Scratch
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Label every node of an undirected edge table with the least node of its component.
 
-    Min-label propagation with shortcutting: in each round a node takes the least
-    of its own label, its neighbours' labels and the label of its label, so that
-    chains shorten geometrically.  Every exchange feeds either a partial
+    Hooking and shortcutting (FastSV): in each round the least label of the labels of a node's
+    neighbours goes to the node and to the node's label, and a node takes the label of its
+    label.  So whole trees hook onto each other, whatever the order of the ids, and rounds
+    go on until nothing changes.  Every exchange feeds either a partial
     aggregate or a plain equi-join that adaptive execution can split, so a node
     with very many edges does not fill one task.  Each round is written to the
     shared scratch folder, which cuts lineage and survives lost executors.
@@ -25,17 +26,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = scratch.keep(e.union(e.select("b", "a")).groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b"), "cc-edges")
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"), F.lit(True).alias("changed")), "cc-labels")
-    for _ in range(max_rounds):
+    changed = True
+    while changed:
         at = labels.select(F.col("node").alias("at"), F.col("label").alias("seen"))
-        near = both.join(at, both.b == at["at"]).select(F.col("a").alias("node"), F.col("seen").alias("label"), F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
-        jump = labels.join(at, labels.label == at["at"]).select("node", F.least("label", "seen").alias("label"), F.col("label").alias("old"))
-        new = near.unionByName(jump).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        none = F.lit(None).cast(labels.schema["label"].dataType).alias("old")
+        jump = labels.join(at, labels.label == at["at"]).select("node", F.col("seen").alias("label"), F.col("label").alias("old"))
+        far = jump.select(F.col("node").alias("at"), F.col("label").alias("seen"))
+        near = both.join(far, both.b == far["at"]).groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("label"))
+        near = scratch.keep(near, "cc-near")
+        hook = near.withColumnRenamed("label", "least").join(labels.select("node", "label"), "node").select(F.col("label").alias("node"), F.col("least").alias("label"), none)
+        new = jump.unionByName(near.select("node", "label", none)).unionByName(hook).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         new = scratch.keep(new.select("node", "label", (F.col("label") != F.col("old")).alias("changed")), "cc-labels")
-        scratch.drop(labels)
+        scratch.drop(labels, near)
         labels = new
-        if not labels.where("changed").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"no convergence after {max_rounds} rounds")
+        changed = labels.where("changed").limit(1).count() > 0
     scratch.drop(both)
     return labels.select("node", "label")

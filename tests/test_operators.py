@@ -125,6 +125,15 @@ def test_components_chain_star_and_loop(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 160)} == {100} and got[200] == 200 and 300 not in got
 
 
+def test_components_of_chains_in_any_order(spark):
+    n = 120
+    rng = np.random.default_rng(5)
+    chains = [[0, *range(n - 1, 0, -1)], [1000 + int(i) for i in rng.permutation(n)], [2000 + i for i in range(n)], [3000 + i for i in range(n - 1, -1, -1)]]
+    edges = [(a, b) for c in chains for a, b in zip(c, c[1:])]
+    got = {r.node: r.label for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: min(c) for c in chains for i in c}
+
+
 def test_hamming_pairs_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 20)
