@@ -264,3 +264,20 @@ def test_discovery_replays_alike():
     assert a == replay("s", [i % 2 for i in range(20)], ids, m) and a != replay("t", [i % 2 for i in range(20)], ids, m)
     assert len(a) == 21 and [x[3] for x in a[:10]] == ["seed"] * 10 and {x[3] for x in a[10:]} == {"burst"}
     assert len({i for x in a for i in x[1:3]}) == 42
+
+
+def test_replay_takes_all_picks_and_all_vectors(spark, tmp_path):
+    from quern.plans import registry
+
+    rng = np.random.default_rng(8)
+    spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)], 0) for i in range(2200)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(e, e % 40, e // 40) for e in range(40 * 30)], "event_id long, user_id long, ts long").write.parquet(f"{tmp_path}/events.parquet")
+    rows = registry.queries()["discover_replay"](spark, str(tmp_path)).toPandas()
+    assert rows.groupby("user_id").size().tolist() == [31] * 40
+    # every id can be shown: of 2200 ids the first pairs are those of the least hashes over all
+    import hashlib
+
+    first = rows[rows["round"] == 1].set_index("user_id")
+    for u in range(40):
+        best = sorted(range(2200), key=lambda i: hashlib.md5(f"{u}:0:{i}".encode()).hexdigest())[:2]
+        assert [first.left_id[u], first.right_id[u]] == best
