@@ -281,3 +281,18 @@ def test_replay_takes_all_picks_and_all_vectors(spark, tmp_path):
     for u in range(40):
         best = sorted(range(2200), key=lambda i: hashlib.md5(f"{u}:0:{i}".encode()).hexdigest())[:2]
         assert [first.left_id[u], first.right_id[u]] == best
+
+
+def test_feed_collapses_copies(spark, tmp_path):
+    from quern.fixtures import LIKER
+    from quern.plans import registry
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 64))
+    # ids 40 to 79 have the texts of 0 to 39 under other vectors, 80 to 119 their directions; 120 is liked
+    v = [*base, *rng.normal(size=(40, 64)), *(base * 1.01), base[0] + base[1]]
+    spark.createDataFrame([(i, [float(y) for y in x], 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"text {i % 40 if i < 80 else i}", "en", "s", 6) for i in range(121)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, LIKER, "purchase", '{"k": 120}', 1)], "event_id long, user_id long, event_type string, props string, ts long").write.parquet(f"{tmp_path}/events.parquet")
+    got = [r.id for r in registry.queries()["for_you_feed"](spark, str(tmp_path)).orderBy("position").collect()]
+    assert len(got) == 30 and len({i % 40 for i in got}) == 30
