@@ -1,23 +1,35 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
 Tokens are words between white space, lower-cased in A-Z, then one end per text.  Counts of
-all training tokens are gathered by an ordinary aggregate.  The model speaks about classes:
-the ``WORDS`` most frequent tokens have one each, all other words share a few by their last
-character and by whether they have other than ASCII characters.  The probability of a token
-is that of its class, given the two classes before it, times its share in the class, which
-for a shared class comes from the counts, smoothed like the unigram base.
-
-The log-bilinear model predicts a vector ``A r[u] + B r[v]`` from the vectors of the classes
-before (A, B diagonal) and scores a class by the product with its output vector, plus a
-bias.  Noise-contrastive estimation trains it without normalising: real classes against
-draws from the unigram distribution.  Every partition of the training texts trains a copy,
-all from the same start, over all of its tokens; the average, weighted by tokens, is the
-model.  For scoring, batched matrix products give the normaliser of every pair of context
-classes once, so that each token costs one lookup of an exactly normalised log-probability.
+all training tokens are gathered by an ordinary aggregate.
+
+**Vocabulary.**  It grows with the corpus: the ``GROWTH * sqrt(N)`` most frequent of the
+tokens seen at least ``MIN_COUNT`` times have vectors of their own, up to ``MOST_WORDS``, which
+bounds a worker's memory.  Every other token, seen or not, is spelt out: as a context its
+vector is the sum of those of two hashed character n-grams (its beginning and its end), and
+as an outcome it belongs to the class of its ending.
+
+**Two levels.**  The probability of a token is that of its class, given the two tokens before
+it, times that of the token within the class.  The ``SINGLES`` most frequent words are classes
+of their own; the other words of the vocabulary are cut by frequency into about sqrt(V)
+classes of equal mass, within which the neural model decides again; within the ``GROUPS``
+classes of spelt tokens the smoothed counts of all training texts decide.  Both levels are
+normalised exactly, by batched matrix products.
+
+**Training.**  The model predicts ``A r[u] + B r[v]`` from the vectors of the tokens before
+(A, B diagonal) and scores an outcome by the product with its output vector, plus a bias.
+Noise-contrastive estimation trains both levels without normalising: real outcomes against
+draws from the unigram distribution.  The training texts are dealt to shards of about
+``SHARD_TOKENS`` tokens by a hash of id and text, and to ``ROUNDS`` slices; in each round every
+shard trains a copy over its slice, in the order of that hash, from the average of the last
+round.  Shards, slices and order depend on the rows alone, so the model does not depend on
+how the input is partitioned.  A vector's average is weighted by how often a copy has
+trained it.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from dataclasses import dataclass, field
 
@@ -28,14 +40,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from quern.scratch import Scratch
 
-WORDS = 500
 DIM = 24
+SINGLES = 512
+GROUPS = 64
+#: Hashed beginnings and endings of words without a vector of their own.
+NGRAMS = 1024
+GROWTH, MIN_COUNT, MOST_WORDS = 8.0, 2, 1 << 18
 NOISE = 64
-RATE = 0.15
-BATCH = 2048
+RATE = 0.06
+BATCH = 1024
+#: Tokens that a copy holds and goes over in random order.
+BUFFER = 500_000
+ROUNDS = 3
+#: Tokens of a shard; beyond MOST_SHARDS shards become longer, so that the copies stay a small part of the input.
+SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
+#: Small corpora are gone over several times, until about so many tokens have been seen by the model.
+ENOUGH, MOST_PASSES = 3_000_000, 8
 ALPHA = 0.1
 #: The most frequent tokens, whose counts workers get directly; the others meet theirs in a join.
 HEAD = 65_536
+#: Rows of a parameter matrix that travel together.
+ROWS = 1024
 END = b""
 LN10 = math.log(10.0)
 
@@ -45,34 +70,27 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-# Classes shared by words outside the most frequent ones.
-GROUPS = 16
+def spelling(word: bytes) -> int:
+    """Hashed n-grams of a word's ending and beginning, as one number below NGRAMS**2."""
+    end = xxhash.xxh32_intdigest(word[-3:], 1) % NGRAMS
+    return end * NGRAMS + xxhash.xxh32_intdigest(word[:4], 2) % NGRAMS
 
 
-def group(word: bytes) -> int:
-    last = word[-1:]
-    if last.isalpha():
-        g = (last[0] - 97) % 5
-    elif last in (b".", b","):
-        g = 5 if last == b"." else 6
-    else:
-        g = 7
-    return g + 8 * (not word.isascii())
+def group_of(spelt):
+    """Class of a spelt token: by its ending."""
+    return spelt // NGRAMS % GROUPS
 
 
 @dataclass
 class Statistics:
-    """Counts that workers get: of the head's tokens one each, of the rest by group."""
+    """Counts that workers get: of the head's tokens one each, of all spelt tokens by class."""
 
     head: dict = field(repr=False)
     total: int = 0
     distinct: int = 0
-    group_total: list = field(default_factory=lambda: [0] * GROUPS)
-    group_distinct: list = field(default_factory=lambda: [0] * GROUPS)
-    classes: list = field(default_factory=list)
-
-    def class_counts(self) -> np.ndarray:
-        return np.array([self.head[w] for w in self.classes] + [self.group_total[g] for g in range(GROUPS)], float)
+    words: list = field(default_factory=list, repr=False)
+    group_total: np.ndarray = field(default_factory=lambda: np.zeros(GROUPS))
+    group_distinct: np.ndarray = field(default_factory=lambda: np.zeros(GROUPS))
 
 
 def training_fold(id_col: str):
@@ -81,15 +99,15 @@ def training_fold(id_col: str):
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """(token binary, c long) of all texts; each task adds up what it can before the shuffle."""
+    """(token binary, spelt long, c long) of all texts; each task adds up what it can before the shuffle."""
 
     def run(batches):
         held: dict[bytes, int] = {}
 
         def flush():
-            out = pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "c"])
+            out = [pa.array(list(held), pa.binary()), pa.array([spelling(w) for w in held], pa.int64()), pa.array(list(held.values()), pa.int64())]
             held.clear()
-            return out
+            return pa.record_batch(out, ["token", "spelt", "c"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -101,300 +119,447 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
-def gather(counts: DataFrame, words: int = WORDS, head: int = HEAD) -> Statistics:
-    """Bring to the driver the bounded part of the counts: the head and sums by group."""
-    last = F.expr("substring(token, -1, 1)")
-    code = F.conv(F.hex(last), 16, 10).cast("int")
-    letter = (code >= 97) & (code <= 122)
-    # the same classes as group(): bytes.isalpha is true for ASCII letters only, and tokens are lower-cased
-    g = F.when(letter, F.pmod(code - 97, F.lit(5))).when(code == 46, 5).when(code == 44, 6).otherwise(7)
-    plain = ~F.hex("token").rlike("^(?:..)*[89A-F].(?:..)*$")
-    top = counts.orderBy(F.col("c").desc(), "token").limit(head)
-    first = {bytes(r["token"]): r["c"] for r in top.toArrow().to_pylist()}
-    ends = counts.where(F.octet_length("token") == 0).select("c").collect()
-    first[END] = ends[0].c if ends else 0  # the end belongs to the head, however many texts there are
-    ranked = sorted(first, key=lambda w: (-first[w], w))
-    classes = [w for w in ranked[:words] if w != END]
-    classes.append(END)
-    sums = counts.groupBy((g + 8 * (~plain).cast("int")).alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
-    out = Statistics(first, sum(r.c for r in sums), sum(r.n for r in sums), classes=classes)
+    counted = texts.mapInArrow(run, "token binary, spelt long, c long")
+    return counted.groupBy("token").agg(F.first("spelt").alias("spelt"), F.sum("c").alias("c"))
+
+
+def gather(counts: DataFrame, head: int = HEAD, growth: float = GROWTH) -> Statistics:
+    """Bring to the driver the bounded part of the counts: the head and sums by class of spelt tokens."""
+    group = F.pmod(F.floor(F.col("spelt") / NGRAMS), F.lit(GROUPS))
+    is_end = F.octet_length("token") == 0
+    sums = counts.where(~is_end).groupBy(group.alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.count_if(F.col("c") >= MIN_COUNT).alias("often")).collect()
+    ends = counts.where(is_end).select("c").collect()
+    end = ends[0].c if ends else 0
+    total = sum(r.c for r in sums) + end
+    size = min(sum(r.often for r in sums), round(growth * math.sqrt(total)), MOST_WORDS)
+    top = counts.where(~is_end).orderBy(F.col("c").desc(), "token").limit(max(head, size)).select("token", "c").toArrow()
+    first = dict(zip(top["token"].to_pylist(), top["c"].to_pylist()))
+    ranked = sorted(first, key=lambda w: (-first[w], w))[:size]
+    out = Statistics(first | {END: end}, total, sum(r.n for r in sums) + len(ends), [END, *ranked])
     for r in sums:
-        if r.g is not None:
-            out.group_total[r.g], out.group_distinct[r.g] = r.c, r.n
-    for w in classes:  # those with a class of their own leave their group
-        if w != END:
-            out.group_total[group(w)] -= first[w]
-            out.group_distinct[group(w)] -= 1
-    # the end has been put to the last group by the expression above, having no last character
-    end_group = 7
-    out.group_total[end_group] -= first[END]
-    out.group_distinct[end_group] -= 1 if first[END] else 0
+        out.group_total[r.g], out.group_distinct[r.g] = r.c, r.n
+    for w in ranked:  # those with vectors of their own leave their group
+        g = group_of(spelling(w))
+        out.group_total[g] -= first[w]
+        out.group_distinct[g] -= 1
     return out
 
 
-class Coder:
-    """Texts to class numbers: frequent words, groups, the end; ``start`` stands before a text."""
+class Layout:
+    """Numbers of words, classes and context rows.
+
+    Codes of tokens: words from 0 (the end), then ``V + spelling``.  Classes: singles, bins, groups.
+    """
 
     def __init__(self, stats: Statistics):
-        self.number = {w: i for i, w in enumerate(stats.classes)}
-        self.end = self.number[END]
-        self.groups = len(stats.classes)
-        self.size = self.groups + GROUPS
-        self.start = self.size
-        self.known: dict[bytes, int] = {}
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        out = np.empty(len(words) + 1, np.int32)
-        for i, w in enumerate(words):
-            c = known.get(w)
-            if c is None:
-                c = self.number.get(w)
-                if c is None:
-                    c = self.groups + group(w)
-                known[w] = c
-            out[i] = c
-        out[-1] = self.end
-        return out
+        c = np.array([stats.head[w] for w in stats.words], float)
+        self.v = v = len(c)
+        self.singles = s = min(SINGLES, v)
+        bins = round(math.sqrt(v)) if v > s else 0
+        mass = np.cumsum(c[s:])
+        # by frequency, of equal mass
+        self.bin_of = np.minimum((mass - c[s:]) / max(mass[-1], 1) * bins, bins - 1).astype(np.int32) if bins else np.empty(0, np.int32)
+        _, self.bin_of = np.unique(self.bin_of, return_inverse=True)
+        self.bins = int(self.bin_of.max()) + 1 if bins else 0
+        self.bin_start = s + np.searchsorted(self.bin_of, np.arange(self.bins + 1))
+        self.classes = s + self.bins + GROUPS
+        self.word_class = np.concatenate([np.arange(s), s + self.bin_of]).astype(np.int32)
+        self.word_counts = c
+        spelt = np.maximum(stats.group_total, 0)
+        self.class_counts = np.concatenate([np.bincount(self.word_class, c, s + self.bins), spelt])
+        self.endings, self.beginnings = v, v + NGRAMS
+        self.start = v + 2 * NGRAMS
+        self.none = self.start + 1
+        self.contexts = self.none + 1
+
+    def class_of(self, codes: np.ndarray) -> np.ndarray:
+        word = codes < self.v
+        return np.where(word, self.word_class[np.where(word, codes, 0)], self.singles + self.bins + group_of(np.maximum(codes - self.v, 0)))
+
+    def rows_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two context rows of each code; the second of words, and of the start (-1), is ``none``."""
+        spelt = codes - self.v
+        word = spelt < 0
+        one = np.where(word, np.where(codes < 0, self.start, codes), self.endings + spelt // NGRAMS)
+        return one, np.where(word, self.none, self.beginnings + spelt % NGRAMS)
+
+
+def before(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes two before and one before each token of texts laid end to end; -1 stands before a text."""
+    v = np.concatenate([[-1], codes[:-1]])
+    u = np.concatenate([[-1, -1], codes[:-2]])[: len(codes)]
+    v[starts] = -1
+    u[starts] = -1
+    second = starts + 1
+    u[second[second < len(codes)]] = -1
+    return u, v
 
 
 class LogBilinear:
-    """Parameters and training of the model over ``size`` classes; one more class stands for the start."""
+    """Parameters, training step and exact scores.  Matrices have the bias, or nothing, as their last column."""
+
+    NAMES = ("r", "q", "p", "ab")
 
-    def __init__(self, counts: np.ndarray, dim: int = DIM, seed: int = 11):
+    def __init__(self, layout: Layout, dim: int = DIM, seed: int = 11):
         rng = np.random.default_rng(seed)
-        n = len(counts)
-        self.n, self.dim = n, dim
-        p = (counts + ALPHA) / (counts + ALPHA).sum()
-        self.noise = p
-        self.r = rng.normal(0, 0.1, (n + 1, dim)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (n, dim)).astype(np.float32)
-        self.a = np.ones(dim, np.float32)
-        self.b = np.ones(dim, np.float32)
-        self.bias = np.log(p).astype(np.float32)
-
-    NAMES = ("r", "q", "a", "b", "bias")
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, x).ravel() for x in self.NAMES]).astype(np.float64)
-
-    def load(self, flat: np.ndarray) -> LogBilinear:
-        at = 0
+        self.layout, self.dim = layout, dim
+        # outputs start at nothing but the unigram distribution
+        self.r = rng.normal(0, 0.3, (layout.contexts, dim)).astype(np.float32)
+        self.r[layout.none] = 0
+        log = lambda c: np.log((c + ALPHA) / (c + ALPHA).sum())
+        self.q = np.zeros((layout.v, dim + 1), np.float32)
+        self.q[:, -1] = log(layout.word_counts)
+        self.p = np.zeros((layout.classes, dim + 1), np.float32)
+        self.p[:, -1] = log(layout.class_counts)
+        self.ab = np.ones((2, dim), np.float32) * np.float32(0.7)
+
+    def copy(self) -> LogBilinear:
+        out = copy.copy(self)
         for x in self.NAMES:
-            shape = getattr(self, x).shape
-            size = int(np.prod(shape))
-            setattr(self, x, flat[at : at + size].reshape(shape).astype(np.float32))
-            at += size
-        return self
+            setattr(out, x, getattr(self, x).copy())
+        return out
 
-    def prepare(self, seed: int):
-        self.rng = np.random.default_rng(seed)
-        self.cumulative = np.cumsum(self.noise)
-        self.log_noise = np.log(self.noise * NOISE).astype(np.float32)
-        self.grown = {x: np.full(getattr(self, x).shape, 1e-3, np.float32) for x in self.NAMES}
+    def prepare(self, seed: int, rate: float = RATE, noise: int = NOISE) -> LogBilinear:
+        self.rng, self.rate, self.k = np.random.default_rng(seed), np.float32(rate), noise
+        self.grown = {x: np.full(len(getattr(self, x)), 0.1, np.float32) for x in self.NAMES}
+        self.times = {x: np.zeros(len(getattr(self, x)), np.float32) for x in self.NAMES}
+        lay = self.layout
 
-    def _step(self, name: str, gradient: np.ndarray) -> None:
-        """Adagrad."""
-        g = self.grown[name]
-        g += gradient * gradient
-        setattr(self, name, getattr(self, name) + np.float32(RATE) * gradient / np.sqrt(g))
+        def noise_of(counts):
+            p = (counts + ALPHA) / (counts + ALPHA).sum()
+            return np.cumsum(p), np.log(p * noise).astype(np.float32)
 
-    def _scatter(self, at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(at, rows[:, d], n) for d in range(rows.shape[1])], 1).astype(np.float32)
+        self.class_noise = noise_of(lay.class_counts)
+        self.word_noise = noise_of(lay.word_counts[lay.singles :]) if lay.bins else None
+        return self
 
-    def update(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        """One step on contexts (u, v) and following classes w, against NOISE draws shared by the batch."""
-        ru, rv = self.r[u], self.r[v]
-        h = ru * self.a + rv * self.b
-        qw = self.q[w]
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), self.n - 1)
-        qn = self.q[noise]
-        real = (h * qw).sum(1) + self.bias[w] - self.log_noise[w]
-        fake = h @ qn.T + (self.bias[noise] - self.log_noise[noise])
+    def _step(self, name: str, at: np.ndarray, gradient: np.ndarray) -> None:
+        """Adagrad, with one rate a row, on the rows ``at`` (each may occur often)."""
+        order = np.argsort(at, kind="stable")
+        s = at[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        rows, g = s[first], np.add.reduceat(gradient[order], first, axis=0)
+        grown = self.grown[name]
+        grown[rows] += (g * g).mean(1)
+        getattr(self, name)[rows] += self.rate / np.sqrt(grown[rows])[:, None] * g
+        self.times[name][rows] += np.diff(np.append(first, len(s)))
+
+    def _contrast(self, name, h, target, noise, offset):
+        """Gradients of one level on the hidden vectors and the outcomes, against draws shared by the batch."""
+        out = getattr(self, name)
+        cumulative, log_noise = noise
+        draw = np.minimum(np.searchsorted(cumulative, self.rng.random(self.k)), len(cumulative) - 1)
+        qw, qn = out[target], out[draw + offset]
+        real = np.einsum("ij,ij->i", h, qw[:, :-1]) + qw[:, -1] - log_noise[target - offset]
+        fake = h @ qn[:, :-1].T + (qn[:, -1] - log_noise[draw])
         gr = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # 1 - sigmoid
         gf = -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-        scale = np.float32(1 / len(w))
-        gr, gf = gr * scale, gf * scale
-        gh = gr[:, None] * qw + gf @ qn
-        gq = self._scatter(w, gr[:, None] * h, self.n)
-        gb = np.bincount(w, gr, self.n).astype(np.float32)
-        np.add.at(gq, noise, gf.T @ h)
-        np.add.at(gb, noise, gf.sum(0))
-        gr_ = self._scatter(np.concatenate([u, v]), np.concatenate([gh * self.a, gh * self.b]), self.n + 1)
-        ga, gb2 = (gh * ru).sum(0), (gh * rv).sum(0)
-        self._step("r", gr_)
-        self._step("q", gq)
-        self._step("a", ga)
-        self._step("b", gb2)
-        self._step("bias", gb)
-
-    def log_normalisers(self) -> np.ndarray:
-        """Natural log of the normaliser of every pair of context classes, by batched matrix products."""
-        out = np.empty((self.n + 1, self.n + 1))
-        right = (self.r * self.b) @ self.q.T
-        left = (self.r * self.a) @ self.q.T + self.bias
-        top = left.max(1, keepdims=True), right.max(1, keepdims=True)
-        # a sum of exponentials of sums is a product of matrices of exponentials
-        out = np.log(np.exp((left - top[0]).astype(np.float64)) @ np.exp((right - top[1]).astype(np.float64)).T)
-        return out + top[0] + top[1].T
-
-
-def contexts(codes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The classes two before and one before each token of a text."""
-    before = np.concatenate([[start, start], codes]).astype(np.int32)
-    return before[:-2], before[1:-1]
-
-
-def train(texts: DataFrame, stats: Statistics) -> LogBilinear:
-    """Train a copy per partition on all its texts and average the copies."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(stats)
+        gh = gr[:, None] * qw[:, :-1] + gf @ qn[:, :-1]
+        gw = np.concatenate([gr[:, None] * h, gr[:, None]], 1)
+        gn = np.concatenate([gf.T @ h, gf.sum(0)[:, None]], 1)
+        return gh, np.concatenate([target, draw + offset]), np.concatenate([gw, gn])
+
+    def hidden(self, u: np.ndarray, v: np.ndarray):
+        """Hidden vectors of contexts (codes), with what they are made of."""
+        rows = [self.layout.rows_of(x) for x in (u, v)]
+        c = [self.r[one] + self.r[two] if (two != self.layout.none).any() else self.r[one] for one, two in rows]
+        return c[0] * self.ab[0] + c[1] * self.ab[1], rows, c
+
+    def update(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+        """One step on contexts (u, v) and following tokens w, all codes."""
+        lay = self.layout
+        h, rows, c = self.hidden(u, v)
+        gh, at, g = self._contrast("p", h, lay.class_of(w), self.class_noise, 0)
+        inner = np.flatnonzero((w >= lay.singles) & (w < lay.v))
+        if len(inner):
+            gi, ai, gq = self._contrast("q", h[inner], w[inner], self.word_noise, lay.singles)
+            gh[inner] += gi
+            self._step("q", ai, gq)
+        self._step("p", at, g)
+        left, right = gh * self.ab[0], gh * self.ab[1]
+        gab = np.stack([(gh * c[0]).sum(0), (gh * c[1]).sum(0)]) / np.float32(len(w))
+        one = np.concatenate([rows[0][0], rows[1][0]])
+        two = np.concatenate([rows[0][1], rows[1][1]])
+        both = np.concatenate([left, right])
+        spelt = np.flatnonzero(two != lay.none)
+        self._step("r", np.concatenate([one, two[spelt]]), np.concatenate([both, both[spelt]]))
+        self._step("ab", np.arange(2), gab)
+
+    def learn(self, codes: np.ndarray, starts: np.ndarray, batch: int = BATCH) -> None:
+        u, v = before(codes, starts)
+        order = self.rng.permutation(len(codes))
+        for i in range(0, len(codes), batch):
+            at = order[i : i + batch]
+            self.update(u[at], v[at], codes[at])
+
+    def log_probabilities(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Natural log of the exactly normalised probability of each word, and of the class of each spelt token."""
+        lay, out = self.layout, np.zeros(len(codes))
+        u, v = before(codes, starts)
+        pt, pb = np.ascontiguousarray(self.p[:, :-1].T), self.p[:, -1]
+        for a in range(0, len(codes), 32_768):
+            w = codes[a : a + 32_768]
+            h = self.hidden(u[a : a + 32_768], v[a : a + 32_768])[0]
+            k = lay.class_of(w)
+            here = out[a : a + 32_768]
+            for b in range(0, len(w), 2048):
+                s = h[b : b + 2048] @ pt
+                s += pb
+                here[b : b + 2048] = _log_softmax_at(s, k[b : b + 2048])
+            inner = np.flatnonzero((w >= lay.singles) & (w < lay.v))
+            inner = inner[np.argsort(w[inner], kind="stable")]
+            cuts = np.searchsorted(w[inner], lay.bin_start)
+            for j in np.flatnonzero(np.diff(cuts)):
+                low, high = lay.bin_start[j], lay.bin_start[j + 1]
+                if high - low > 1:
+                    for b in range(cuts[j], cuts[j + 1], 4096):
+                        at = inner[b : min(b + 4096, cuts[j + 1])]
+                        s = h[at] @ self.q[low:high, :-1].T
+                        s += self.q[low:high, -1]
+                        here[at] += _log_softmax_at(s, w[at] - low)
+        return out
+
+
+def _log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    own = s[np.arange(len(s)), at].astype(np.float64)
+    top = s.max(1, keepdims=True)
+    s -= top
+    np.exp(s, out=s)
+    return own - top[:, 0] - np.log(s.sum(1, dtype=np.float64))
+
+
+class Coder:
+    """Texts to codes: words of the vocabulary by number, others by their spelling; remembers what it has met."""
+
+    def __init__(self, stats: Statistics, most: int = 500_000):
+        self.stats, self.v, self.most = stats, len(stats.words), most
+        self.forget()
+
+    def forget(self) -> None:
+        coder, number = self, {w: i for i, w in enumerate(self.stats.words)}
+        head = self.stats.head
+        self.words = [*self.stats.words, *(w for w in head if w not in number)]
+        self.codes = [number[w] if w in number else self.v + spelling(w) for w in self.words]
+        self.logs = np.log10(np.array([head[w] for w in self.words], float) + ALPHA)
+        self.first_rare = len(self.words)
+
+        class Places(dict):
+            def __missing__(self, w):
+                at = self[w] = len(coder.words)
+                coder.words.append(w)
+                coder.codes.append(coder.v + spelling(w))
+                return at
+
+        self.places = Places(zip(self.words, range(len(self.words))))
+        self._array = np.array(self.codes, np.int64)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places, codes); a place below ``first_rare`` has its count in ``logs``, others their word in ``words``."""
+        if len(self.words) > self.first_rare + self.most:
+            self.forget()
+        places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        if len(self._array) < len(self.codes):
+            self._array = np.concatenate([self._array, np.array(self.codes[len(self._array) :], np.int64)])
+        return places, self._array[places]
+
+
+def encode(docs: DataFrame, stats: Statistics) -> DataFrame:
+    """(id, ord, training, n, known, base, within, codes, rare, times) of each row of (id, text, ord, training).
+
+    ``base`` and ``within`` (the log10 share of spelt tokens in their classes) lack the tokens
+    outside the head, which ``rare`` names with their ``times``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(stats)
+    kind = dict(docs.dtypes)["id"]
 
     def run(batches):
         s = shared.value
         coder = Coder(s)
-        model = LogBilinear(s.class_counts())
-        seen, u, v, w, held = 0, [], [], [], 0
-        ready = False
-
-        def learn():
-            nonlocal u, v, w, held, seen
-            a, b, c = (np.concatenate(x) for x in (u, v, w))
-            order = model.rng.permutation(len(c))
-            for i in range(0, len(c), BATCH):
-                at = order[i : i + BATCH]
-                model.update(a[at], b[at], c[at])
-            seen += len(c)
-            u, v, w, held = [], [], [], 0
-
+        denominator = math.log10(s.total + ALPHA * (s.distinct + 1))
+        share = np.log10(np.maximum(s.group_total, 0) + ALPHA * (np.maximum(s.group_distinct, 0) + 1))
+        no_end = s.head[END] == 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if not ready:
-                    model.prepare(xxhash.xxh32_intdigest(t or ""))
-                    ready = True
-                codes = coder.encode(tokens(t))
-                x, y = contexts(codes, coder.start)
-                u.append(x)
-                v.append(y)
-                w.append(codes)
-                held += len(codes)
-                if held >= 64 * BATCH:
+            out = {k: [] for k in ("n", "known", "base", "within", "codes", "rare", "times")}
+            for text in batch.column(1).to_pylist():
+                w = tokens(text)
+                w.append(END)
+                places, codes = coder.encode(w)
+                rare = places >= coder.first_rare
+                common = ~rare
+                logs = coder.logs[places[common]]
+                spelt = codes >= coder.v
+                named, times = np.unique(places[rare], return_counts=True)
+                out["n"].append(len(w))
+                out["known"].append(int(common.sum()) - no_end)
+                out["base"].append(float(logs.sum()) - len(w) * denominator)
+                out["within"].append(float(logs[spelt[common]].sum()) - float(share[group_of(codes[spelt] - coder.v)].sum()))
+                out["codes"].append(codes.astype(np.int32))
+                out["rare"].append([coder.words[i] for i in named])
+                out["times"].append(times)
+            kinds = {"n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "within": pa.float64(), "codes": pa.list_(pa.int32()), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), *[pa.array(out[k], t) for k, t in kinds.items()]], ["id", "ord", "training", *kinds])
+
+    schema = f"id {kind}, ord long, training boolean, n long, known long, base double, within double, codes array<int>, rare array<binary>, times array<long>"
+    return docs.select("id", "text", "ord", "training").mapInArrow(run, schema)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of lists end to end, and where each list starts and the last ends."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def _runs(batches, column: int, limit: int):
+    """(batch, first row, codes end to end, starts) of runs of rows with about ``limit`` tokens together."""
+    for batch in batches:
+        flat, cuts = _flat(batch.column(column))
+        row = 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(cuts, cuts[row] + limit)))
+            end = min(end, batch.num_rows)
+            yield batch, row, flat[cuts[row] : cuts[end]], cuts[row:end] - cuts[row]
+            row = end
+
+
+def train(encoded: DataFrame, stats: Statistics, scratch: Scratch) -> LogBilinear:
+    """Rounds of copies, one a shard, and their average."""
+    spark = encoded.sparkSession
+    shards = max(1, min(MOST_SHARDS, math.ceil(stats.total / SHARD_TOKENS)))
+    passes = max(1, min(MOST_PASSES, math.ceil(ENOUGH / max(1, stats.total))))
+    # each task adds up the copies of its shards, so that as many copies are written as there are tasks
+    tasks = min(shards, 2 * spark.sparkContext.defaultParallelism)
+    model = LogBilinear(Layout(stats))
+    rows = encoded.where("training").select("ord", "codes", F.pmod("ord", F.lit(shards)).alias("shard"), F.pmod(F.shiftright("ord", 24), F.lit(ROUNDS)).alias("slice"))
+    for turn in range(ROUNDS if stats.total else 0):
+        start = spark.sparkContext.broadcast(model)
+
+        def run(batches, turn=turn, start=start):
+            base, sums, trained, shard, held, size = start.value, None, None, None, [], 0
+
+            def learn():
+                nonlocal held, size
+                codes = np.concatenate([c for c, _ in held])
+                at, starts = 0, []
+                for c, s in held:
+                    starts.append(s + at)
+                    at += len(c)
+                starts = np.concatenate(starts)
+                for _ in range(passes):
+                    trained.learn(codes, starts)
+                held, size = [], 0
+
+            def close():
+                nonlocal sums
+                if held:
                     learn()
-        if held:
-            learn()
-        if seen:
-            yield pa.record_batch([pa.array([model.flat() * seen], pa.list_(pa.float64())), pa.array([seen], pa.int64())], ["parameters", "n"])
-
-    copies = texts.mapInArrow(run, "parameters array<double>, n long")
-    # sums by place: what reaches the driver has one copy's size
-    copies = Scratch(spark).keep(copies, "lm-copies")
-    summed = copies.select(F.posexplode("parameters").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    total = copies.agg(F.sum("n")).first()[0]
-    model = LogBilinear(stats.class_counts())
-    if total:
-        flat = np.zeros(summed.num_rows)
-        flat[summed["i"].to_numpy()] = summed["x"].to_numpy()
-        model.load(flat / total)
+                sums = sums or {x: np.zeros((len(getattr(base, x)), getattr(base, x).shape[1] + 1), np.float32) for x in base.NAMES}
+                for x in base.NAMES:
+                    t = trained.times[x]
+                    on = np.flatnonzero(t)
+                    sums[x][on, :-1] += t[on, None] * (getattr(trained, x)[on] - getattr(base, x)[on])
+                    sums[x][on, -1] += t[on]
+
+            for batch in batches:
+                numbers = batch.column(0).to_numpy()
+                cuts = np.flatnonzero(np.diff(numbers)) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(numbers)]):
+                    if b == a:
+                        continue
+                    if numbers[a] != shard:
+                        if trained is not None:
+                            close()
+                        shard, trained = numbers[a], base.copy().prepare(int(numbers[a]) * ROUNDS + turn)
+                    flat, cuts = _flat(batch.column(1).slice(a, b - a))
+                    row = 0
+                    while row < b - a:  # buffers end at the same rows however rows come in batches
+                        end = min(b - a, int(np.searchsorted(cuts, cuts[row] + BUFFER - size)))
+                        held.append((flat[cuts[row] : cuts[end]], cuts[row:end] - cuts[row]))
+                        size += cuts[end] - cuts[row]
+                        row = end
+                        if size >= BUFFER:
+                            learn()
+            if trained is not None:
+                close()
+                for name, m in sums.items():
+                    for i in range(0, len(m), ROWS):
+                        part = m[i : i + ROWS]
+                        if part[:, -1].any():
+                            yield pa.record_batch([pa.array([name]), pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["name", "at", "part"])
+
+        dealt = rows.where(F.col("slice") == turn).repartition(tasks, "shard").sortWithinPartitions("shard", "ord", "codes")
+        copies = scratch.keep(dealt.select("shard", "codes").mapInArrow(run, "name string, at long, part binary"), "lm-copies")
+        added = copies.repartition("name", "at").sortWithinPartitions("name", "at").mapInArrow(_add_up, "name string, at long, part binary").toArrow()
+        model = model.copy()
+        for name, at, part in zip(*(added[c].to_pylist() for c in ("name", "at", "part"))):
+            m = getattr(model, name)
+            x = np.frombuffer(part, np.float32).reshape(-1, m.shape[1] + 1)
+            m[at : at + ROWS] += x[:, :-1] / np.maximum(x[:, -1:], 1)
+        scratch.drop(copies)
     return model
 
 
-@dataclass
-class Tables:
-    """What scoring looks up: class scores in natural logs, log10 shares within a class."""
+def _add_up(batches):
+    """Sums of parts of one name and place, which come one after another; memory holds one sum."""
+    key, total = None, None
+
+    def out():
+        return pa.record_batch([pa.array([key[0]]), pa.array([key[1]], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["name", "at", "part"])
 
-    stats: Statistics
-    r: np.ndarray = field(repr=False)
-    q: np.ndarray = field(repr=False)
-    a: np.ndarray = field(repr=False)
-    b: np.ndarray = field(repr=False)
-    bias: np.ndarray = field(repr=False)
-    normaliser: np.ndarray = field(repr=False)
+    for batch in batches:
+        for name, at, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            x = np.frombuffer(part, np.float32)
+            if (name, at) == key:
+                total = total + x
+            else:
+                if key is not None:
+                    yield out()
+                key, total = (name, at), x
+    if key is not None:
+        yield out()
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, growth: float = GROWTH) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row's whole text.
 
     * Null texts are empty ones: their only token is the end.
     * Rows with a null id are not for training and are scored like others; rows that
       repeat an id are scored each on its own, and each counts in training.
     * Without training rows every count is 0, and base and model share the mass evenly.
+    * The result does not depend on how the rows are partitioned or ordered, but for
+      rounding in single precision.
     * An empty table gives an empty result; only the two columns are read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    training = docs.where(training_fold("id")).select("text")
-    counts = scratch.keep(count_tokens(training), "lm-counts")
-    stats = gather(counts, words, head)
-    model = train(training, stats)
-    tables = Tables(stats, model.r, model.q, model.a, model.b, model.bias, model.log_normalisers())
-    shared = spark.sparkContext.broadcast(tables)
-    denominator = math.log10(stats.total + ALPHA * (stats.distinct + 1))
+    docs = docs.withColumn("training", training_fold("id")).withColumn("ord", F.xxhash64(F.col("id").cast("string"), "text"))
+    counts = scratch.keep(count_tokens(docs.where("training").select("text")), "lm-counts")
+    stats = gather(counts, head, growth)
+    encoded = scratch.keep(encode(docs, stats).withColumn("row", F.monotonically_increasing_id()), "lm-encoded")
+    shared = spark.sparkContext.broadcast(train(encoded, stats, scratch))
+    kind = dict(encoded.dtypes)["id"]
 
     def run(batches):
-        t = shared.value
-        s = t.stats
-        coder = Coder(s)
-        shares = [-math.log10(max(s.group_total[g], 0) + ALPHA * (max(s.group_distinct[g], 0) + 1)) for g in range(GROUPS)]
-        table = {w: (coder.number[w] if w in coder.number else coder.groups + group(w), math.log10(c + ALPHA)) for w, c in s.head.items()}
-        end = math.log10(s.head[END] + ALPHA)
-        left, right = t.r * t.a, t.r * t.b
-        for batch in batches:
-            out = {k: [] for k in ("row", "n", "known", "base", "score", "rare", "times")}
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                w = tokens(text)
-                codes = np.empty(len(w) + 1, np.int32)
-                logs = np.zeros(len(w) + 1)
-                rare: dict[bytes, int] = {}
-                for i, x in enumerate(w):
-                    found = table.get(x)
-                    if found is None:
-                        codes[i] = coder.groups + group(x)
-                        rare[x] = rare.get(x, 0) + 1
-                    else:
-                        codes[i], logs[i] = found
-                codes[-1], logs[-1] = coder.end, end
-                u, v = contexts(codes, coder.start)
-                z = 0.0
-                for a in range(0, len(codes), 50_000):
-                    uu, vv, cc = u[a : a + 50_000], v[a : a + 50_000], codes[a : a + 50_000]
-                    z += float((((left[uu] + right[vv]) * t.q[cc]).sum(1) + t.bias[cc] - t.normaliser[uu, vv]).sum()) / LN10
-                shared_class = codes >= coder.groups
-                # within a shared class: (c + alpha) / (class total + alpha (class distinct + 1)); the rare tokens' c follow
-                z += float(logs[shared_class].sum()) + float(np.bincount(codes[shared_class] - coder.groups, minlength=GROUPS) @ np.array(shares))
-                out["n"].append(len(codes))
-                out["known"].append(len(codes) - sum(rare.values()) - (s.head[END] == 0))
-                out["base"].append(float(logs.sum()) - len(codes) * denominator)
-                out["score"].append(z)
-                out["rare"].append(list(rare))
-                out["times"].append(list(rare.values()))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array(out["rare"], pa.list_(pa.binary())), pa.array(out["times"], pa.list_(pa.int64()))],
-                ["id", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
-            )
-
-    schema = f"id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>"
-    scored = docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    scored = scratch.keep(scored, "lm-scored")
+        model = shared.value
+        for batch, row, codes, starts in _runs(batches, 6, 100_000):
+            z = np.add.reduceat(model.log_probabilities(codes, starts), starts) / LN10
+            part = batch.slice(row, len(starts))
+            score = part.column(5).to_numpy() + z
+            yield pa.record_batch([*part.columns[:5], pa.array(score)], ["row", "id", "n", "known", "base", "score"])
+
+    scored = encoded.select("row", "id", "n", "known", "base", "within", "codes").mapInArrow(run, f"row long, id {kind}, n long, known long, base double, score double")
     # the tokens outside the head find their counts in a join; none of them is frequent, so none is hot
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    tail = rare.join(counts, "token", "left").groupBy("row").agg(
+    rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
+    tail = rare.join(counts.select("token", "c"), "token", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ALPHA))).alias("logs"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),
     )
     held = ~training_fold("id") & F.col("id").isNotNull()
-    out = scored.drop("rare", "times").join(tail, "row", "left")
-    return out.select(
+    return scored.join(tail, "row", "left").select(
         F.col("id").alias(id_col),
         held.alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.col("n").alias("n_tokens"),
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(stats.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
+        (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("logs", F.lit(0.0))).alias("score"),
     )

@@ -35,7 +35,7 @@ def test_lm_against_brute_force_and_held_out(spark):
     rows += [(1000, None), (1001, ""), (1002, "Ünseen\x0bWORDS\x1ctab É"), (None, "a1 a1x"), (3, "b1 b1x"), (1003, "a2 a2x " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "'t' as token", "2 as c", "3 as score")
     for head in (65_536, 20):  # the tail's join must give what the head gives
-        got = sorted(lm.score(df, head=head, words=15).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
+        got = sorted(lm.score(df, head=head, growth=0.05).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
         n, want = base_scores(rows)
         order = sorted(range(len(rows)), key=lambda j: (rows[j][0] is None, rows[j][0] or 0, want[j][0]))
         assert [r.n_tokens for r in got] == [want[j][0] for j in order] and [r.n_known for r in got] == [want[j][1] for j in order]
@@ -48,17 +48,57 @@ def test_lm_against_brute_force_and_held_out(spark):
     assert lm.score(df.limit(0)).count() == 0
 
 
-def test_lm_is_normalised():
-    rng = np.random.default_rng(0)
-    m = lm.LogBilinear(rng.integers(1, 100, 30).astype(float), 6)
-    m.prepare(1)
-    for _ in range(20):
-        u, v, w = (rng.integers(0, 30, 256) for _ in range(3))
-        m.update(u, v, w)
-    z = m.log_normalisers()
-    for u, v in ((0, 1), (30, 30), (5, 30)):
-        s = (m.r[u] * m.a + m.r[v] * m.b) @ m.q.T + m.bias
-        assert abs(np.exp(s - z[u, v]).sum() - 1) < 1e-4
+def test_lm_score_is_an_exact_softmax(spark):
+    """Scores recomputed token by token from the trained parameters, each level summed over all its outcomes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40").select("doc_id", "text")
+    docs = docs.withColumn("id", docs.doc_id).withColumn("training", lm.training_fold("id")).withColumn("ord", docs.doc_id)
+    counts = lm.count_tokens(docs.where("training").select("text"))
+    stats = lm.gather(counts, growth=16.0)
+    encoded = lm.encode(docs, stats).cache()
+    model = lm.train(encoded, stats, lm.Scratch(spark))
+    lay, coder = model.layout, lm.Coder(stats)
+    assert lay.bins > 1 and np.abs(model.q[:, :-1]).max() > 0.1 and np.abs(model.p[:, :-1]).max() > 0.1
+
+    def row(code):
+        one, two = lay.rows_of(np.array([code]))
+        return (model.r[one] + model.r[two])[0].astype(float)
+
+    text = docs.where("doc_id = 3").first().text
+    words = [*lm.tokens(text)[:60], b"neverseenbefore", b""]
+    codes = coder.encode(words)[1]
+    got = model.log_probabilities(codes, np.array([0]))
+    assert any(c >= lay.v for c in codes) and any(lay.singles <= c < lay.v for c in codes)
+    before = [-1, -1, *codes]
+    for i, c in enumerate(codes):
+        h = row(before[i]) * model.ab[0] + row(before[i + 1]) * model.ab[1]
+        classes = np.exp(model.p[:, :-1].astype(float) @ h + model.p[:, -1])
+        k = lay.class_of(np.array([c]))[0]
+        p = classes[k] / classes.sum()
+        if lay.singles <= c < lay.v:
+            inside = np.flatnonzero(lay.word_class == k)
+            each = np.exp(model.q[inside, :-1].astype(float) @ h + model.q[inside, -1])
+            p *= each[inside == c][0] / each.sum()
+        assert got[i] == pytest.approx(math.log(p), abs=1e-4)
+    encoded.unpersist()
+
+
+def test_lm_shares_of_spelt_tokens(spark):
+    """Words of a class of spelt tokens, and one unseen token, share its probability."""
+    docs = spark.createDataFrame([(1, "a b c d e f g a b"), (2, "a h i")], "doc_id long, text string")
+    stats = lm.gather(lm.count_tokens(docs.select("text")))
+    spelt = [w for w in stats.head if w not in stats.words]
+    for g in range(lm.GROUPS):
+        c = [stats.head[w] for w in spelt if lm.group_of(lm.spelling(w)) == g]
+        assert stats.group_total[g] == sum(c) and stats.group_distinct[g] == len(c)
+
+
+def test_lm_gain_whatever_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    gains = []
+    for n in (1, 8, 32):
+        held = lm.score(docs.repartition(n)).where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b", "sum(n_tokens) as n").first()
+        gains.append((held.s - held.b) / held.n)
+    assert min(gains) > 0.25 and max(gains) - min(gains) < 0.01, gains
 
 
 # -- toxicity ----------------------------------------------------------------------
