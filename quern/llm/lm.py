@@ -7,19 +7,20 @@ all training tokens are gathered by an ordinary aggregate.
 tokens seen at least ``MIN_COUNT`` times have vectors of their own, up to ``MOST_WORDS``, which
 bounds a worker's memory.  Every other token, seen or not, is spelt out: as a context its
 vector is the sum of those of two hashed character n-grams (its beginning and its end), and
-as an outcome it belongs to the class of its ending.
+as an outcome it belongs to the group of its ending.
 
-**Two levels.**  The probability of a token is that of its class, given the two tokens before
-it, times that of the token within the class.  The ``SINGLES`` most frequent words are classes
-of their own; the other words of the vocabulary are cut by frequency into about sqrt(V)
-classes of equal mass, within which the neural model decides again; within the ``GROUPS``
-classes of spelt tokens the smoothed counts of all training texts decide.  Both levels are
-normalised exactly, by batched matrix products.
+**Three levels.**  The first level's outcomes are the ``SINGLES`` most frequent words, ``COARSE``
+bins of all other words of the vocabulary, and ``GROUPS`` groups of spelt tokens.  A coarse
+bin has fine bins (of words of like frequency and of equal mass), a fine bin words, and at each
+level the neural model decides, given the two tokens before.  Within a group the smoothed
+counts of all training texts decide.  Every level is normalised exactly, by batched matrix
+products, so a token's probability is the product of two or three exact softmaxes.
 
 **Training.**  The model predicts ``A r[u] + B r[v]`` from the vectors of the tokens before
 (A, B diagonal) and scores an outcome by the product with its output vector, plus a bias.
-Noise-contrastive estimation trains both levels without normalising: real outcomes against
-draws from the unigram distribution.  The training texts are dealt to shards of about
+Noise-contrastive estimation trains all levels without normalising: real outcomes against the
+unigram distribution among the outcomes of the same parent, by draws, and at the first level
+against what draws give in expectation.  The training texts are dealt to shards of about
 ``SHARD_TOKENS`` tokens by a hash of id and text, and to ``ROUNDS`` slices; in each round every
 shard trains a copy over its slice, in the order of that hash, from the average of the last
 round.  Shards, slices and order depend on the rows alone, so the model does not depend on
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import copy
 import math
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,25 +42,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from quern.scratch import Scratch
 
-DIM = 24
-SINGLES = 512
-GROUPS = 64
-#: Hashed beginnings and endings of words without a vector of their own.
+DIM = 8
+#: Words that are outcomes of the first level, coarse bins of the others, fine bins in a coarse one, groups of spelt tokens.
+SINGLES, COARSE, FINE, GROUPS = 16, 8, 64, 16
+#: Hashed beginnings and endings of words without a vector of their own; a power of two.
 NGRAMS = 1024
-GROWTH, MIN_COUNT, MOST_WORDS = 8.0, 2, 1 << 18
-NOISE = 64
-RATE = 0.06
-BATCH = 1024
+GROWTH, MIN_COUNT, MOST_WORDS = 6.0, 2, 1 << 18
+#: Draws for each token at the lower levels.
+NOISE = 1
+RATE = 0.15
+BATCH = 4096
 #: Tokens that a copy holds and goes over in random order.
 BUFFER = 500_000
 ROUNDS = 3
-#: Tokens of a shard; beyond MOST_SHARDS shards become longer, so that the copies stay a small part of the input.
+#: Tokens of a shard; beyond MOST_SHARDS shards become longer.
 SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
 #: Small corpora are gone over several times, until about so many tokens have been seen by the model.
 ENOUGH, MOST_PASSES = 3_000_000, 8
 ALPHA = 0.1
 #: The most frequent tokens, whose counts workers get directly; the others meet theirs in a join.
-HEAD = 65_536
+HEAD = 200_000
 #: Rows of a parameter matrix that travel together.
 ROWS = 1024
 END = b""
@@ -70,10 +73,14 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def _hash(part: bytes) -> int:
+    """Spark's xxhash64 of the bytes, but for the sign."""
+    return xxhash.xxh64_intdigest(part, 42)
+
+
 def spelling(word: bytes) -> int:
     """Hashed n-grams of a word's ending and beginning, as one number below NGRAMS**2."""
-    end = xxhash.xxh32_intdigest(word[-3:], 1) % NGRAMS
-    return end * NGRAMS + xxhash.xxh32_intdigest(word[:4], 2) % NGRAMS
+    return _hash(word[-3:]) % NGRAMS * NGRAMS + _hash(word[:4]) % NGRAMS
 
 
 def group_of(spelt):
@@ -99,35 +106,34 @@ def training_fold(id_col: str):
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """(token binary, spelt long, c long) of all texts; each task adds up what it can before the shuffle."""
+    """(token binary, c long) of all texts; each task adds up what it can before the shuffle."""
 
     def run(batches):
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
 
         def flush():
-            out = [pa.array(list(held), pa.binary()), pa.array([spelling(w) for w in held], pa.int64()), pa.array(list(held.values()), pa.int64())]
+            out = pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "c"])
             held.clear()
-            return pa.record_batch(out, ["token", "spelt", "c"])
+            return out
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                for w in tokens(t):
-                    held[w] = held.get(w, 0) + 1
-                held[END] = held.get(END, 0) + 1
-                if len(held) > 300_000:
+                held.update(tokens(t))
+                held[END] += 1
+                if len(held) > 400_000:
                     yield flush()
         if held:
             yield flush()
 
-    counted = texts.mapInArrow(run, "token binary, spelt long, c long")
-    return counted.groupBy("token").agg(F.first("spelt").alias("spelt"), F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def gather(counts: DataFrame, head: int = HEAD, growth: float = GROWTH) -> Statistics:
-    """Bring to the driver the bounded part of the counts: the head and sums by class of spelt tokens."""
-    group = F.pmod(F.floor(F.col("spelt") / NGRAMS), F.lit(GROUPS))
+    """Bring to the driver the bounded part of the counts: the head and sums by group of spelt tokens."""
+    group = F.pmod(F.pmod(F.xxhash64(F.expr("right_bytes")), F.lit(NGRAMS)), F.lit(GROUPS))
     is_end = F.octet_length("token") == 0
-    sums = counts.where(~is_end).groupBy(group.alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.count_if(F.col("c") >= MIN_COUNT).alias("often")).collect()
+    ending = F.expr("substring(token, greatest(octet_length(token) - 2, 1), 3) as right_bytes")
+    sums = counts.where(~is_end).select("c", ending).groupBy(group.alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.count_if(F.col("c") >= MIN_COUNT).alias("often")).collect()
     ends = counts.where(is_end).select("c").collect()
     end = ends[0].c if ends else 0
     total = sum(r.c for r in sums) + end
@@ -146,42 +152,57 @@ def gather(counts: DataFrame, head: int = HEAD, growth: float = GROWTH) -> Stati
 
 
 class Layout:
-    """Numbers of words, classes and context rows.
+    """Numbers of words, outcomes and context rows.
 
-    Codes of tokens: words from 0 (the end), then ``V + spelling``.  Classes: singles, bins, groups.
+    Codes of tokens: words from 0 (the end), then ``V + spelling``.  The first level's outcomes:
+    singles, coarse bins, groups of spelt tokens.  The second level's: fine bins.  The third's: words.
     """
 
     def __init__(self, stats: Statistics):
         c = np.array([stats.head[w] for w in stats.words], float)
         self.v = v = len(c)
         self.singles = s = min(SINGLES, v)
-        bins = round(math.sqrt(v)) if v > s else 0
+        # words by frequency in fine bins of equal mass, fine bins in coarse ones
+        fine = min(COARSE * FINE, max(1, (v - s) // 8)) if v > s else 0
         mass = np.cumsum(c[s:])
-        # by frequency, of equal mass
-        self.bin_of = np.minimum((mass - c[s:]) / max(mass[-1], 1) * bins, bins - 1).astype(np.int32) if bins else np.empty(0, np.int32)
-        _, self.bin_of = np.unique(self.bin_of, return_inverse=True)
-        self.bins = int(self.bin_of.max()) + 1 if bins else 0
-        self.bin_start = s + np.searchsorted(self.bin_of, np.arange(self.bins + 1))
-        self.classes = s + self.bins + GROUPS
-        self.word_class = np.concatenate([np.arange(s), s + self.bin_of]).astype(np.int32)
-        self.word_counts = c
-        spelt = np.maximum(stats.group_total, 0)
-        self.class_counts = np.concatenate([np.bincount(self.word_class, c, s + self.bins), spelt])
+        cut = np.minimum((mass - c[s:]) / max(mass[-1], 1) * fine, fine - 1).astype(np.int32) if fine else np.empty(0, np.int32)
+        _, self.fine_of = np.unique(cut, return_inverse=True)
+        self.fine = int(self.fine_of.max()) + 1 if fine else 0
+        self.word_start = s + np.searchsorted(self.fine_of, np.arange(self.fine + 1))
+        self.coarse_of = np.arange(self.fine) * COARSE // max(self.fine, 1)
+        _, self.coarse_of = np.unique(self.coarse_of, return_inverse=True)
+        self.coarse = int(self.coarse_of.max()) + 1 if fine else 0
+        self.fine_start = np.searchsorted(self.coarse_of, np.arange(self.coarse + 1))
+        self.outcomes = s + self.coarse + GROUPS
+        self.word_outcome = np.concatenate([np.arange(s), s + self.coarse_of[self.fine_of]]).astype(np.int32)
+        self.word_counts = c[s:]
+        self.fine_counts = np.bincount(self.fine_of, c[s:], self.fine)
+        self.outcome_counts = np.concatenate([np.bincount(self.word_outcome, c, s + self.coarse), np.maximum(stats.group_total, 0)])
         self.endings, self.beginnings = v, v + NGRAMS
         self.start = v + 2 * NGRAMS
-        self.none = self.start + 1
-        self.contexts = self.none + 1
+        self.contexts = self.start + 1
 
-    def class_of(self, codes: np.ndarray) -> np.ndarray:
+    def levels(self):
+        """Counts of each level's outcomes, and what they are divided among: all, the coarse bin, the fine bin."""
+        return (self.outcome_counts, np.zeros(self.outcomes, int)), (self.fine_counts, self.coarse_of), (self.word_counts, self.fine_of)
+
+    def outcome_of(self, codes: np.ndarray) -> np.ndarray:
         word = codes < self.v
-        return np.where(word, self.word_class[np.where(word, codes, 0)], self.singles + self.bins + group_of(np.maximum(codes - self.v, 0)))
+        return np.where(word, self.word_outcome[np.where(word, codes, 0)], self.singles + self.coarse + group_of(np.maximum(codes - self.v, 0)))
+
+    def rows_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The context row of each code (-1: the start), which of them are spelt, and the second rows of those."""
+        spelt = np.flatnonzero(codes >= self.v)
+        rows = np.where(codes < 0, self.start, codes)
+        number = codes[spelt] - self.v
+        rows[spelt] = self.endings + number // NGRAMS
+        return rows, spelt, self.beginnings + number % NGRAMS
 
-    def rows_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two context rows of each code; the second of words, and of the start (-1), is ``none``."""
-        spelt = codes - self.v
-        word = spelt < 0
-        one = np.where(word, np.where(codes < 0, self.start, codes), self.endings + spelt // NGRAMS)
-        return one, np.where(word, self.none, self.beginnings + spelt % NGRAMS)
+
+def _shares(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Smoothed share of each outcome among those of its parent."""
+    c = counts + ALPHA
+    return c / np.bincount(of, c)[of] if len(c) else c
 
 
 def before(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,21 +217,25 @@ def before(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class LogBilinear:
-    """Parameters, training step and exact scores.  Matrices have the bias, or nothing, as their last column."""
+    """Parameters, training step and exact scores.
+
+    ``r`` are the context vectors, ``ab`` the diagonals; ``p``, ``f`` and ``q`` the outputs of the
+    three levels, with the bias as their last column.
+    """
 
-    NAMES = ("r", "q", "p", "ab")
+    NAMES = ("r", "p", "f", "q", "ab")
 
     def __init__(self, layout: Layout, dim: int = DIM, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.layout, self.dim = layout, dim
-        # outputs start at nothing but the unigram distribution
         self.r = rng.normal(0, 0.3, (layout.contexts, dim)).astype(np.float32)
-        self.r[layout.none] = 0
-        log = lambda c: np.log((c + ALPHA) / (c + ALPHA).sum())
-        self.q = np.zeros((layout.v, dim + 1), np.float32)
-        self.q[:, -1] = log(layout.word_counts)
-        self.p = np.zeros((layout.classes, dim + 1), np.float32)
-        self.p[:, -1] = log(layout.class_counts)
+
+        def outputs(counts, of):  # at first nothing but the unigram distribution
+            out = np.zeros((len(counts), dim + 1), np.float32)
+            out[:, -1] = np.log(_shares(counts, of))
+            return out
+
+        self.p, self.f, self.q = (outputs(c, of) for c, of in layout.levels())
         self.ab = np.ones((2, dim), np.float32) * np.float32(0.7)
 
     def copy(self) -> LogBilinear:
@@ -223,109 +248,149 @@ class LogBilinear:
         self.rng, self.rate, self.k = np.random.default_rng(seed), np.float32(rate), noise
         self.grown = {x: np.full(len(getattr(self, x)), 0.1, np.float32) for x in self.NAMES}
         self.times = {x: np.zeros(len(getattr(self, x)), np.float32) for x in self.NAMES}
-        lay = self.layout
-
-        def noise_of(counts):
-            p = (counts + ALPHA) / (counts + ALPHA).sum()
-            return np.cumsum(p), np.log(p * noise).astype(np.float32)
-
-        self.class_noise = noise_of(lay.class_counts)
-        self.word_noise = noise_of(lay.word_counts[lay.singles :]) if lay.bins else None
+        self.noise = {}
+        for x, (counts, of) in zip("pfq", self.layout.levels()):
+            if len(counts):
+                share = _shares(counts, of)
+                ends = np.cumsum(share)  # each parent's outcomes take one unit of the line
+                self.noise[x] = ends, np.log(share * noise).astype(np.float32), of
         return self
 
     def _step(self, name: str, at: np.ndarray, gradient: np.ndarray) -> None:
         """Adagrad, with one rate a row, on the rows ``at`` (each may occur often)."""
-        order = np.argsort(at, kind="stable")
-        s = at[order]
+        # one sort of (row, place) packed in a number: stable, and much faster than a stable argsort
+        packed = np.sort((at.astype(np.uint64) << np.uint64(32)) | np.arange(len(at), dtype=np.uint64))
+        s, order = (packed >> np.uint64(32)).astype(np.int64), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        rows, g = s[first], np.add.reduceat(gradient[order], first, axis=0)
+        times = np.diff(np.append(first, len(s)))
+        g = gradient[order[first]]
+        often = np.flatnonzero(times > 1)
+        if len(often):  # the rest of rows that occur more than once
+            rest = np.ones(len(s), bool)
+            rest[first] = False
+            more = times[often] - 1
+            g[often] += np.add.reduceat(gradient[order[rest]], np.cumsum(more) - more, axis=0)
+        self._apply(name, s[first], g, times)
+
+    def _apply(self, name: str, rows: np.ndarray, g: np.ndarray, times: np.ndarray) -> None:
         grown = self.grown[name]
-        grown[rows] += (g * g).mean(1)
-        getattr(self, name)[rows] += self.rate / np.sqrt(grown[rows])[:, None] * g
-        self.times[name][rows] += np.diff(np.append(first, len(s)))
-
-    def _contrast(self, name, h, target, noise, offset):
-        """Gradients of one level on the hidden vectors and the outcomes, against draws shared by the batch."""
-        out = getattr(self, name)
-        cumulative, log_noise = noise
-        draw = np.minimum(np.searchsorted(cumulative, self.rng.random(self.k)), len(cumulative) - 1)
-        qw, qn = out[target], out[draw + offset]
-        real = np.einsum("ij,ij->i", h, qw[:, :-1]) + qw[:, -1] - log_noise[target - offset]
-        fake = h @ qn[:, :-1].T + (qn[:, -1] - log_noise[draw])
-        gr = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # 1 - sigmoid
-        gf = -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-        gh = gr[:, None] * qw[:, :-1] + gf @ qn[:, :-1]
-        gw = np.concatenate([gr[:, None] * h, gr[:, None]], 1)
-        gn = np.concatenate([gf.T @ h, gf.sum(0)[:, None]], 1)
-        return gh, np.concatenate([target, draw + offset]), np.concatenate([gw, gn])
+        new = grown[rows] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+        grown[rows] = new
+        getattr(self, name)[rows] += (self.rate / np.sqrt(new))[:, None] * g
+        self.times[name][rows] += times
+
+    def _contrast_all(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """A step of the first level, against what draws give in expectation; the gradient of the hidden vectors.
+
+        ``h`` has ones as its last column, for the biases.
+        """
+        out, (_, log_noise, _) = self.p, self.noise["p"]
+        s = h @ out.T
+        s -= log_noise
+        np.clip(s, -30, 30, out=s)
+        gr = 1 / (1 + np.exp(s[np.arange(len(s)), target]))  # 1 - sigmoid
+        np.negative(s, out=s)
+        np.exp(s, out=s)
+        s += 1
+        g = np.divide(-np.exp(log_noise), s, out=s)
+        g[np.arange(len(s)), target] += gr
+        gh = g @ out
+        self._apply("p", np.arange(len(out)), g.T @ h, np.bincount(target, minlength=len(out)).astype(np.float32))
+        return gh
+
+    def _contrast(self, name: str, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """A step of a lower level against ``k`` draws for each token among the outcomes of the same parent."""
+        out, (ends, log_noise, of) = getattr(self, name), self.noise[name]
+        n, k = len(target), self.k
+        draw = np.searchsorted(ends, (of[target][:, None] + self.rng.random((n, k))).ravel())
+        np.minimum(draw, len(ends) - 1, out=draw)
+        rows = np.concatenate([target, draw])
+        x = out[rows]
+        s = np.concatenate([np.einsum("ij,ij->i", x[:n], h), np.einsum("ikj,ij->ik", x[n:].reshape(n, k, -1), h).ravel()]) - log_noise[rows]
+        np.clip(s, -30, 30, out=s)
+        g = np.concatenate([1 / (1 + np.exp(s[:n])), -1 / (1 + np.exp(-s[n:]))])
+        x *= g[:, None]
+        gh = x[:n] + x[n:].reshape(n, k, -1).sum(1)
+        self._step(name, rows, np.concatenate([h, np.repeat(h, k, 0)]) * g[:, None])
+        return gh
 
     def hidden(self, u: np.ndarray, v: np.ndarray):
-        """Hidden vectors of contexts (codes), with what they are made of."""
-        rows = [self.layout.rows_of(x) for x in (u, v)]
-        c = [self.r[one] + self.r[two] if (two != self.layout.none).any() else self.r[one] for one, two in rows]
-        return c[0] * self.ab[0] + c[1] * self.ab[1], rows, c
+        """Hidden vectors (a last column of ones) of contexts given as codes, with what they are made of."""
+        out, parts = np.ones((len(u), self.dim + 1), np.float32), []
+        for codes in (u, v):
+            rows, spelt, second = self.layout.rows_of(codes)
+            c = self.r[rows]
+            c[spelt] += self.r[second]
+            parts.append((rows, spelt, second, c))
+        np.multiply(parts[0][3], self.ab[0], out=out[:, :-1])
+        out[:, :-1] += parts[1][3] * self.ab[1]
+        return out, parts
 
     def update(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
         """One step on contexts (u, v) and following tokens w, all codes."""
         lay = self.layout
-        h, rows, c = self.hidden(u, v)
-        gh, at, g = self._contrast("p", h, lay.class_of(w), self.class_noise, 0)
+        h, parts = self.hidden(u, v)
+        gh = self._contrast_all(h, lay.outcome_of(w))
         inner = np.flatnonzero((w >= lay.singles) & (w < lay.v))
         if len(inner):
-            gi, ai, gq = self._contrast("q", h[inner], w[inner], self.word_noise, lay.singles)
+            hi, wi = h[inner], w[inner] - lay.singles
+            gi = self._contrast("f", hi, lay.fine_of[wi])
+            gi += self._contrast("q", hi, wi)
             gh[inner] += gi
-            self._step("q", ai, gq)
-        self._step("p", at, g)
-        left, right = gh * self.ab[0], gh * self.ab[1]
-        gab = np.stack([(gh * c[0]).sum(0), (gh * c[1]).sum(0)]) / np.float32(len(w))
-        one = np.concatenate([rows[0][0], rows[1][0]])
-        two = np.concatenate([rows[0][1], rows[1][1]])
-        both = np.concatenate([left, right])
-        spelt = np.flatnonzero(two != lay.none)
-        self._step("r", np.concatenate([one, two[spelt]]), np.concatenate([both, both[spelt]]))
-        self._step("ab", np.arange(2), gab)
+        gh = gh[:, :-1]
+        at, g, ab = [], [], []
+        for (rows, spelt, second, c), d in zip(parts, self.ab):
+            x = gh * d
+            at += [rows, second]
+            g += [x, x[spelt]]
+            ab.append(np.einsum("ij,ij->j", gh, c) / np.float32(len(w)))
+        self._step("r", np.concatenate(at), np.concatenate(g))
+        self._apply("ab", np.arange(2), np.stack(ab), 1)
 
     def learn(self, codes: np.ndarray, starts: np.ndarray, batch: int = BATCH) -> None:
         u, v = before(codes, starts)
         order = self.rng.permutation(len(codes))
+        u, v, w = u[order], v[order], codes[order]
         for i in range(0, len(codes), batch):
-            at = order[i : i + batch]
-            self.update(u[at], v[at], codes[at])
+            self.update(u[i : i + batch], v[i : i + batch], w[i : i + batch])
 
     def log_probabilities(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log of the exactly normalised probability of each word, and of the class of each spelt token."""
         lay, out = self.layout, np.zeros(len(codes))
         u, v = before(codes, starts)
-        pt, pb = np.ascontiguousarray(self.p[:, :-1].T), self.p[:, -1]
-        for a in range(0, len(codes), 32_768):
-            w = codes[a : a + 32_768]
-            h = self.hidden(u[a : a + 32_768], v[a : a + 32_768])[0]
-            k = lay.class_of(w)
-            here = out[a : a + 32_768]
-            for b in range(0, len(w), 2048):
-                s = h[b : b + 2048] @ pt
-                s += pb
-                here[b : b + 2048] = _log_softmax_at(s, k[b : b + 2048])
+        pt = np.ascontiguousarray(self.p.T)
+        for a in range(0, len(codes), 65_536):
+            w = codes[a : a + 65_536]
+            h = self.hidden(u[a : a + 65_536], v[a : a + 65_536])[0]
+            here, k = out[a : a + 65_536], lay.outcome_of(w)
+            for b in range(0, len(w), 4096):
+                here[b : b + 4096] = _log_softmax_at(h[b : b + 4096] @ pt, k[b : b + 4096])
             inner = np.flatnonzero((w >= lay.singles) & (w < lay.v))
             inner = inner[np.argsort(w[inner], kind="stable")]
-            cuts = np.searchsorted(w[inner], lay.bin_start)
-            for j in np.flatnonzero(np.diff(cuts)):
-                low, high = lay.bin_start[j], lay.bin_start[j + 1]
-                if high - low > 1:
-                    for b in range(cuts[j], cuts[j + 1], 4096):
-                        at = inner[b : min(b + 4096, cuts[j + 1])]
-                        s = h[at] @ self.q[low:high, :-1].T
-                        s += self.q[low:high, -1]
-                        here[at] += _log_softmax_at(s, w[at] - low)
+            h, words = h[inner], w[inner] - lay.singles
+            gain = np.zeros(len(inner))
+            for level, at, starts_ in (("f", lay.fine_of[words], lay.fine_start), ("q", words, lay.word_start - lay.singles)):
+                table, cuts = getattr(self, level), np.searchsorted(at, starts_)
+                for j in np.flatnonzero(np.diff(cuts)):
+                    low, high = starts_[j], starts_[j + 1]
+                    if high - low > 1:
+                        t = table[low:high].T
+                        for b in range(cuts[j], cuts[j + 1], 4096):
+                            e = min(b + 4096, cuts[j + 1])
+                            gain[b:e] += _log_softmax_at(h[b:e] @ t, at[b:e] - low)
+            here[inner] += gain
         return out
 
 
 def _log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     own = s[np.arange(len(s)), at].astype(np.float64)
-    top = s.max(1, keepdims=True)
-    s -= top
+    # scores far beyond what single precision can sum are rare, and then the largest is taken off first
+    if s.max() > 60:
+        top = s.max(1, keepdims=True)
+        s -= top
+        own -= top[:, 0]
     np.exp(s, out=s)
-    return own - top[:, 0] - np.log(s.sum(1, dtype=np.float64))
+    return own - np.log(np.einsum("ij->i", s))
 
 
 class Coder:
@@ -366,7 +431,7 @@ class Coder:
 def encode(docs: DataFrame, stats: Statistics) -> DataFrame:
     """(id, ord, training, n, known, base, within, codes, rare, times) of each row of (id, text, ord, training).
 
-    ``base`` and ``within`` (the log10 share of spelt tokens in their classes) lack the tokens
+    ``base`` and ``within`` (the log10 share of spelt tokens in their groups) lack the tokens
     outside the head, which ``rare`` names with their ``times``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(stats)
@@ -378,26 +443,36 @@ def encode(docs: DataFrame, stats: Statistics) -> DataFrame:
         denominator = math.log10(s.total + ALPHA * (s.distinct + 1))
         share = np.log10(np.maximum(s.group_total, 0) + ALPHA * (np.maximum(s.group_distinct, 0) + 1))
         no_end = s.head[END] == 0
+
+        def table(part, words, n):
+            places, codes = coder.encode(words)
+            starts = np.cumsum(n) - n
+            total = lambda x: np.add.reduceat(x, starts)
+            rare, spelt = places >= coder.first_rare, codes >= coder.v
+            logs = np.where(rare, 0.0, coder.logs[np.where(rare, 0, places)])
+            within = np.where(spelt, logs - share[group_of(np.maximum(codes - coder.v, 0))], 0.0)
+            row = np.repeat(np.arange(len(n)), n)[rare]
+            named, times = np.unique(row.astype(np.int64) << 32 | places[rare], return_counts=True)
+            names = pa.array([coder.words[i] for i in (named & 0xFFFFFFFF).tolist()], pa.binary())
+            cuts = pa.array(np.searchsorted(named >> 32, np.arange(len(n) + 1)), pa.int32())
+            columns = [
+                part.column(0), part.column(2), part.column(3), pa.array(n), pa.array(n - total(rare.astype(np.int64)) - no_end),
+                pa.array(total(logs) - n * denominator), pa.array(total(within)),
+                pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)), pa.int32()), pa.array(codes, pa.int32())),
+                pa.ListArray.from_arrays(cuts, names), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["id", "ord", "training", "n", "known", "base", "within", "codes", "rare", "times"])
+
         for batch in batches:
-            out = {k: [] for k in ("n", "known", "base", "within", "codes", "rare", "times")}
-            for text in batch.column(1).to_pylist():
+            words, n, first = [], [], 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 w = tokens(text)
-                w.append(END)
-                places, codes = coder.encode(w)
-                rare = places >= coder.first_rare
-                common = ~rare
-                logs = coder.logs[places[common]]
-                spelt = codes >= coder.v
-                named, times = np.unique(places[rare], return_counts=True)
-                out["n"].append(len(w))
-                out["known"].append(int(common.sum()) - no_end)
-                out["base"].append(float(logs.sum()) - len(w) * denominator)
-                out["within"].append(float(logs[spelt[common]].sum()) - float(share[group_of(codes[spelt] - coder.v)].sum()))
-                out["codes"].append(codes.astype(np.int32))
-                out["rare"].append([coder.words[i] for i in named])
-                out["times"].append(times)
-            kinds = {"n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "within": pa.float64(), "codes": pa.list_(pa.int32()), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
-            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), *[pa.array(out[k], t) for k, t in kinds.items()]], ["id", "ord", "training", *kinds])
+                words += w
+                words.append(END)
+                n.append(len(w) + 1)
+                if len(words) > 200_000 or i + 1 == batch.num_rows:
+                    yield table(batch.slice(first, len(n)), words, np.array(n))
+                    words, n, first = [], [], i + 1
 
     schema = f"id {kind}, ord long, training boolean, n long, known long, base double, within double, codes array<int>, rare array<binary>, times array<long>"
     return docs.select("id", "text", "ord", "training").mapInArrow(run, schema)

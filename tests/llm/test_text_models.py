@@ -57,27 +57,30 @@ def test_lm_score_is_an_exact_softmax(spark):
     encoded = lm.encode(docs, stats).cache()
     model = lm.train(encoded, stats, lm.Scratch(spark))
     lay, coder = model.layout, lm.Coder(stats)
-    assert lay.bins > 1 and np.abs(model.q[:, :-1]).max() > 0.1 and np.abs(model.p[:, :-1]).max() > 0.1
+    assert lay.coarse > 1 and lay.fine > lay.coarse and all(np.abs(getattr(model, x)[:, :-1]).max() > 0.1 for x in "pfq")
 
     def row(code):
-        one, two = lay.rows_of(np.array([code]))
-        return (model.r[one] + model.r[two])[0].astype(float)
+        rows, spelt, second = lay.rows_of(np.array([code]))
+        return model.r[rows][0].astype(float) + (model.r[second][0] if len(spelt) else 0)
+
+    def share(table, among, outcome, h):
+        among = np.flatnonzero(among)
+        each = np.exp(table[among, :-1].astype(float) @ h + table[among, -1])
+        return each[among == outcome][0] / each.sum()
 
     text = docs.where("doc_id = 3").first().text
     words = [*lm.tokens(text)[:60], b"neverseenbefore", b""]
     codes = coder.encode(words)[1]
     got = model.log_probabilities(codes, np.array([0]))
-    assert any(c >= lay.v for c in codes) and any(lay.singles <= c < lay.v for c in codes)
+    assert any(c >= lay.v for c in codes) and any(lay.singles <= c < lay.v for c in codes) and any(c < lay.singles for c in codes)
     before = [-1, -1, *codes]
     for i, c in enumerate(codes):
         h = row(before[i]) * model.ab[0] + row(before[i + 1]) * model.ab[1]
-        classes = np.exp(model.p[:, :-1].astype(float) @ h + model.p[:, -1])
-        k = lay.class_of(np.array([c]))[0]
-        p = classes[k] / classes.sum()
+        p = share(model.p, np.ones(lay.outcomes), lay.outcome_of(np.array([c]))[0], h)
         if lay.singles <= c < lay.v:
-            inside = np.flatnonzero(lay.word_class == k)
-            each = np.exp(model.q[inside, :-1].astype(float) @ h + model.q[inside, -1])
-            p *= each[inside == c][0] / each.sum()
+            word = c - lay.singles
+            fine = lay.fine_of[word]
+            p *= share(model.f, lay.coarse_of == lay.coarse_of[fine], fine, h) * share(model.q, lay.fine_of == fine, word, h)
         assert got[i] == pytest.approx(math.log(p), abs=1e-4)
     encoded.unpersist()
 
