@@ -10,13 +10,14 @@ from quern.llm import decontaminate as D, embedding as E
 
 
 def brute(rows, threshold=0.9):
-    good = [(i, np.asarray(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    """Links and component of each id by comparing all distinct (id, vector)."""
+    good = list({(i, tuple(v)): None for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)})
     label, links = {i: i for i, _ in rows if i is not None}, {i: 0 for i, _ in rows if i is not None}
     pairs = []
     for a in range(len(good)):
         for b in range(a):
-            x, y = good[a][1], good[b][1]
-            if len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= threshold:
+            x, y = np.array(good[a][1]), np.array(good[b][1])
+            if good[a][0] != good[b][0] and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= threshold:
                 pairs.append((good[a][0], good[b][0]))
     for i, j in pairs:
         links[i] += 1
@@ -39,17 +40,50 @@ def test_embeddings_against_brute_force(spark, kind):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(9000, None), (9001, [0.0] * 12), (9002, [math.nan] + [1.0] * 11), (9003, [1.0, 2.0]), (9004, [2.0, 4.0]), (9005, []), (9006, [None] + [1.0] * 11), (9007, [math.inf] * 12), (None, [1.0] * 12)]
     df = spark.createDataFrame(rows, f"vec_id long, embedding {kind}").selectExpr("*", "1 as id", "2 as cell", "3 as label")
-    got = E.near_duplicates(df, block=32).collect()
-    assert len(got) == len(rows)
     want = brute(rows)
-    assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id is not None} == want
-    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+    for options in ({}, {"block": 32, "cells": 9, "spread": None}, {"block": 64, "cells": 9}):
+        got = E.near_duplicates(df, **options).collect()
+        assert len(got) == len(rows)
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id is not None} == want
+        assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_repeated_vectors(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.001])], "vec_id long, embedding array<double>")
-    assert sorted(tuple(r) for r in E.near_duplicates(df).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.001]), (3, [0.0, 1.0]), (2, [0.001, 1.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.1]), (4, [-2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in E.near_duplicates(df).collect()}
+    assert got == {(1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True)}
+    assert {(i, *v) for i, v in brute(rows).items()} == {r[:3] for r in got}
+
+
+def linked(rng, n, cosine, dim=64):
+    """n unit vectors and for each another one at exactly this cosine, in a random direction."""
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(n, dim))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * y
+
+
+def test_recall_right_at_the_threshold(spark):
+    """Vectors in no clusters, which cells suit least, in many cells: pairs at 0.9001 to 0.99, a dense group, against brute force."""
+    rng = np.random.default_rng(2)
+    pairs = [linked(rng, 700, c) for c in (0.9001, 0.93, 0.97, 0.99)]
+    group = rng.normal(size=(1, 64)) + rng.normal(size=(600, 64)) * 0.08
+    x = np.concatenate([v for p in pairs for v in p] + [group])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in E.near_duplicates(df, cells=64, block=256).collect()}
+    assert all(got[i] <= near[i].sum() for i in got)
+    found = sum(got.values())
+    assert found >= 0.9995 * near.sum()
+    assert sum(got[i] for i in range(1400)) >= 0.997 * near[:1400].sum()  # those at 0.9001
+    sure = {r.vec_id: r.n_links for r in E.near_duplicates(df, cells=64, spread=None).collect()}
+    assert all(sure[i] == near[i].sum() for i in sure)
 
 
 def test_leaks(spark):
@@ -81,7 +115,7 @@ def test_leaks(spark):
     plan = D.find_contamination(df, b)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     left = D.remove_contaminated(df, b)
-    assert left.columns == df.columns and left.count() == len(docs) - len({d for d, _ in want}) - 1  # 505 twice
+    assert left.columns == df.columns and left.count() == len(docs) - len({d for d, _ in want}) - 2  # 505 twice, and the row without an id
     assert D.find_contamination(df.limit(0), b).count() == 0 and D.find_contamination(df, b.limit(0)).count() == 0
 
 
