@@ -2,8 +2,10 @@
 
 Iterative and multi-pass operators cut their lineage by writing a Parquet table
 below the folder that the cluster names in ``spark.checkpoint.dir``, which the
-driver and all executors share.  Only where that setting is absent (local runs,
-tests) a folder of this process is used.
+driver and all executors share.  Only where that setting is absent and Spark runs in this
+process (local runs, tests) a folder of this process is used; a cluster without
+the setting is an error.  Operators remove what they have read to its end; tables that a
+lazy result still reads go when the driver's process ends.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_made: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if "root" not in _local:
             _local["root"] = "file://" + (folder := tempfile.mkdtemp(prefix="quern-"))
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -30,8 +35,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, which goes when this process ends."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _made[path] = spark
+    return path
+
+
+def _remove_all() -> None:
+    for path, spark in list(_made.items()):
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001 - the cluster is gone before its driver
+            return
 
 
 class Scratch:
@@ -39,14 +54,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = scratch_path(self.spark, label)
         df.write.parquet(path)
         # the schema is known, so that no job is spent on reading it back
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._quern_path = path  # keeps the frame and its path together
         return out
 
@@ -58,5 +71,9 @@ class Scratch:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
+    _made.pop(path, None)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+atexit.register(_remove_all)
