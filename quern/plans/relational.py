@@ -178,25 +178,74 @@ def membership_fold(spark, d):
     return O.memberships(e.select(F.col("user_id").alias("album_id"), F.get_json_object("props", "$.k").cast("long").alias("photo_id"), F.col("ts").alias("at"), (F.col("event_type") == "view").alias("added")))
 
 
-ALBUM_LOG = f", log AS (SELECT user_id AS album_id, ts AS {Q}, CASE event_type WHEN 'view' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'rename' END AS kind, trim(' n' || CAST(props->>'$.k' AS BIGINT) % 50 || ' ') AS name FROM events)"
+ALBUM_LOG = f""", elog AS (SELECT user_id AS owner, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, ts AS {Q},
+  CASE event_type WHEN 'view' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'cover' ELSE 'rename' END AS kind, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
+alog AS (SELECT owner, n, {Q}, kind, k % 7 AS album_id, CASE WHEN k % 10 = 9 THEN '' ELSE 'n' || (k % 10) END AS name, CASE WHEN k % 3 = 0 THEN 'd' || k END AS description, 'p' || k AS cover FROM elog)"""
+
+ALBUM_FOLD = ALBUM_LOG + f""", st AS (
+  SELECT DISTINCT owner, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(album_id BIGINT, name VARCHAR, description VARCHAR, cover VARCHAR, created_at TIMESTAMP, updated_at TIMESTAMP)[]) AS a FROM alog
+  UNION ALL
+  SELECT s.owner, l.n, CASE
+    WHEN l.kind = 'delete' THEN list_filter(s.a, lambda x: x.album_id <> l.album_id)
+    WHEN l.kind = 'cover' THEN list_transform(s.a, lambda x: CASE WHEN x.album_id = l.album_id THEN struct_pack(album_id := x.album_id, name := x.name, description := x.description, cover := l.cover, created_at := x.created_at, updated_at := l.{Q}) ELSE x END)
+    WHEN l.name = '' OR len(list_filter(s.a, lambda x: x.album_id <> l.album_id AND x.name = l.name)) > 0 THEN s.a
+    WHEN l.kind = 'rename' THEN list_transform(s.a, lambda x: CASE WHEN x.album_id = l.album_id THEN struct_pack(album_id := x.album_id, name := l.name, description := coalesce(l.description, x.description), cover := x.cover, created_at := x.created_at, updated_at := l.{Q}) ELSE x END)
+    WHEN len(list_filter(s.a, lambda x: x.album_id = l.album_id)) > 0 THEN s.a
+    ELSE list_append(s.a, struct_pack(album_id := l.album_id, name := l.name, description := coalesce(l.description, ''), cover := '', created_at := l.{Q}, updated_at := l.{Q})) END
+  FROM st s JOIN alog l ON l.owner = s.owner AND l.n = s.n + 1
+), done AS (SELECT owner, unnest(arg_max(a, n)) AS x FROM st GROUP BY owner)
+SELECT owner, x.album_id AS album_id, x.name AS name, x.description AS description, x.cover AS cover, x.created_at AS created_at, x.updated_at AS updated_at FROM done"""
+
+
+def _library_log(spark, d):
+    """Events as a person's log over a few albums and searches, with names that collide."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return X.table(spark, d, "events").select(F.col("user_id").alias("owner"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), "event_type", k.alias("k"))
+
+
+@query("album_crud_fold", sql(ALBUM_FOLD))
+def album_crud_fold(spark, d):
+    e, k = _library_log(spark, d), F.col("k")
+    kind = F.when(F.col("event_type") == "view", "create").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "cover").otherwise("rename")
+    name = F.when(k % 10 == 9, "  ").otherwise(F.concat(F.lit(" n"), k % 10, F.lit(" ")))
+    return O.live_albums(e.select("owner", "at", "seq", kind.alias("kind"), (k % 7).alias("album_id"), name.alias("name"), F.when(k % 3 == 0, F.concat(F.lit("d"), k)).alias("description"), F.concat(F.lit("p"), k).alias("cover")))
+
+
+SAVED_FOLD = ALBUM_LOG + f""", slog AS (SELECT owner, n, {Q}, CASE kind WHEN 'delete' THEN 'delete' ELSE 'create' END AS kind, k % 9 AS saved_id, CASE WHEN k % 12 = 11 THEN repeat('x', 81) WHEN k % 12 = 10 THEN '' ELSE 's' || (k % 12) END AS name, CASE WHEN k % 5 = 0 THEN '' ELSE 'cat ' || k END AS p, CASE WHEN k % 4 = 0 THEN 'dog' ELSE '' END AS m FROM elog),
+st AS (
+  SELECT DISTINCT owner, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(saved_id BIGINT, name VARCHAR, positives VARCHAR, negatives VARCHAR, created_at TIMESTAMP)[]) AS a FROM slog
+  UNION ALL
+  SELECT s.owner, l.n, CASE
+    WHEN l.kind = 'delete' THEN list_filter(s.a, lambda x: x.saved_id <> l.saved_id)
+    WHEN length(l.name) NOT BETWEEN 1 AND 80 OR (l.p = '' AND l.m = '') OR len(list_filter(s.a, lambda x: x.saved_id = l.saved_id OR x.name = l.name)) > 0 THEN s.a
+    ELSE list_append(s.a, struct_pack(saved_id := l.saved_id, name := l.name, positives := l.p, negatives := l.m, created_at := l.{Q})) END
+  FROM st s JOIN slog l ON l.owner = s.owner AND l.n = s.n + 1
+), done AS (SELECT owner, unnest(arg_max(a, n)) AS x FROM st GROUP BY owner)
+SELECT owner, x.saved_id AS saved_id, x.name AS name, x.positives AS positives, x.negatives AS negatives, x.created_at AS created_at FROM done"""
+
+
+@query("saved_search_fold", sql(SAVED_FOLD))
+def saved_search_fold(spark, d):
+    e, k = _library_log(spark, d), F.col("k")
+    name = F.when(k % 12 == 11, F.repeat(F.lit("x"), F.lit(81))).when(k % 12 == 10, " ").otherwise(F.concat(F.lit("s"), k % 12, F.lit(" ")))
+    positives = F.array(F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit(" cat "), k)), F.lit(None).cast("string"))
+    log = e.select("owner", "at", "seq", F.when(F.col("event_type") == "error", "delete").otherwise("create").alias("kind"), (k % 9).alias("saved_id"), name.alias("name"), positives.alias("positives"), F.array(F.when(k % 4 == 0, "dog ").otherwise("")).alias("negatives"))
+    return O.live_searches(log).select("owner", "saved_id", "name", F.array_join("positives", "|").alias("positives"), F.array_join("negatives", "|").alias("negatives"), "created_at")
 
 
-@query("album_crud_fold", sql(ALBUM_LOG + f""", st AS (SELECT album_id, arg_max(kind, {Q}) AS last, min({Q}) FILTER (WHERE kind = 'create') AS created_at, arg_max(name, {Q}) FILTER (WHERE kind <> 'delete') AS name FROM log GROUP BY album_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_at, album_id) AS n FROM st WHERE last <> 'delete' AND created_at IS NOT NULL AND name IS NOT NULL) SELECT album_id, name, created_at FROM r WHERE n = 1"""))
-def album_crud_fold(spark, d):
-    e = X.table(spark, d, "events")
-    kind = F.when(F.col("event_type") == "view", "create").when(F.col("event_type") == "error", "delete").otherwise("rename")
-    name = F.concat(F.lit(" n"), F.get_json_object("props", "$.k").cast("long") % 50, F.lit(" "))
-    return O.live_albums(e.select(F.col("user_id").alias("album_id"), F.col("ts").alias("at"), kind.alias("kind"), name.alias("name")))
+RESET = f", r AS (SELECT user_id, max(ts) AS reset FROM events WHERE event_type = 'error' AND CAST(props->>'$.k' AS BIGINT) % 5 = 0 GROUP BY 1)"
 
 
-@query("saved_search_fold", sql(f", log AS (SELECT user_id AS saved_id, ts AS {Q}, event_type <> 'error' AS mark FROM events), last AS (SELECT saved_id, arg_max({{'t': {Q}, 'm': mark}}, {{'t': {Q}, 'm': mark}}) AS r FROM log GROUP BY saved_id) SELECT saved_id, r.t AS {Q} FROM last WHERE r.m"))
-def saved_search_fold(spark, d):
-    e = X.table(spark, d, "events")
-    return O.marked(e.select(F.col("user_id").alias("saved_id"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("mark")), key="saved_id")
+@query("feedback_reset", sql(RESET + " SELECT e.event_id, e.user_id FROM events e LEFT JOIN r USING (user_id) WHERE e.event_type IN ('purchase', 'error') AND (reset IS NULL OR e.ts > reset)"))
+def feedback_reset(spark, d):
+    """Feedback that is left after each person's last reset."""
+    e = X.table(spark, d, "events").withColumn("at", F.col("ts"))
+    resets = e.where((F.col("event_type") == "error") & (F.get_json_object("props", "$.k").cast("long") % 5 == 0)).select("user_id", "at")
+    return O.after_reset(e.where("event_type in ('purchase', 'error')").select("event_id", "user_id", "at"), resets, "user_id").select("event_id", "user_id")
 
 
-@query("saved_search_json", sql(", raw AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[\"cat\",\"' || event_type || '\"]' WHEN 1 THEN '[]' ELSE '{oops' END AS t FROM events) SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN 2 ELSE 0 END AS BIGINT) AS n, CASE event_id % 3 WHEN 0 THEN 'cat|' || replace(split_part(t, ',', 2), '\"', '') ELSE '' END AS joined FROM raw".replace("replace(split_part(t, ',', 2), '\"', '')", "replace(replace(split_part(t, ',', 2), '\"', ''), ']', '')")))
+@query("saved_search_json", sql(""", raw AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '["cat","' || event_type || '"]' WHEN 1 THEN '[]' ELSE '{oops' END AS t FROM events),
+p AS (SELECT event_id, CASE WHEN json_valid(t) THEN CAST(TRY_CAST(t AS JSON) AS VARCHAR[]) ELSE [] END AS p FROM raw) SELECT event_id, len(p) AS n, array_to_string(p, '|') AS joined FROM p"""))
 def saved_search_json(spark, d):
     e = X.table(spark, d, "events")
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('["cat","'), "event_type", F.lit('"]'))).when(F.col("event_id") % 3 == 1, "[]").otherwise("{oops")
