@@ -19,8 +19,19 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 if either vector has no length."""
-    n = norm(a) * norm(b)
-    return F.when((norm(a) <= TINY) | (norm(b) <= TINY), 0.0).otherwise(dot(a, b) / n)
+    # one fold carries the product and both squares
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("ab", "aa", "bb")])
+
+    def step(s, z):
+        x, y = z["x"], z["y"]
+        return F.struct((s["ab"] + x * y).alias("ab"), (s["aa"] + x * x).alias("aa"), (s["bb"] + y * y).alias("bb"))
+
+    def finish(s):
+        flat = (s["aa"] <= TINY * TINY) | (s["bb"] <= TINY * TINY)
+        return F.when(flat, 0.0).otherwise(s["ab"] / F.sqrt(s["aa"] * s["bb"]))
+
+    both = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    return F.aggregate(both, start, step, finish)
 
 
 def l2_normalise(a: Column) -> Column:
