@@ -47,7 +47,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = e.join(d, e.vec_id == d.doc_id, "left")
     return j.select(
         e.vec_id.alias("id"),
-        F.transform(e.embedding, lambda x: x.cast("double")).alias("vector"),
+        e.embedding.cast("array<double>").alias("vector"),
         F.concat(F.lit("lib"), e.label).alias("collection"),
         F.coalesce(d.lang, F.lit("")).alias("shard"),
         F.concat(F.lit("/images/"), F.coalesce(d.source, F.lit("none")), F.lit("/lib"), e.label, F.lit("/"), e.vec_id, F.lit(".jpg")).alias("path"),
@@ -59,7 +59,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, vector and collection alone: no join for queries that need no document."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(e.vec_id.alias("id"), F.transform(e.embedding, lambda x: x.cast("double")).alias("vector"), F.concat(F.lit("lib"), e.label).alias("collection"))
+    return e.select(e.vec_id.alias("id"), e.embedding.cast("array<double>").alias("vector"), F.concat(F.lit("lib"), e.label).alias("collection"))
 
 
 def _k() -> Column:

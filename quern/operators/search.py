@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quern.functions.vectors import TINY, cosine, l2_normalise, literal
+from quern.functions.kernels import cosine_to, matrices, unit_rows
+from quern.functions.vectors import TINY, dot, l2_normalise
 
 # fixed values: limits of the search interface
 MOST_LIMIT = 200
@@ -48,10 +52,9 @@ def filtered(points: DataFrame, collections: Sequence[str] | None = None, allowe
     return points
 
 
-def scored(points: DataFrame, query: Sequence[float] | Column) -> DataFrame:
+def scored(points: DataFrame, query: Sequence[float]) -> DataFrame:
     """Cosine of each point with the query as ``score``; points without a vector are left out."""
-    q = query if isinstance(query, Column) else literal(query)
-    return points.where(F.col("vector").isNotNull()).withColumn("score", cosine(F.col("vector"), q))
+    return points.where(F.col("vector").isNotNull()).withColumn("score", cosine_to(query)("vector"))
 
 
 def top(points: DataFrame, page: Page | int) -> DataFrame:
@@ -61,50 +64,157 @@ def top(points: DataFrame, page: Page | int) -> DataFrame:
     return (out.offset(page.offset) if page.offset else out).limit(page.rows)
 
 
+def best(points: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` best, at most MOST_ROWS: the pool of whatever ranks or filters them further."""
+    return points.orderBy(F.col("score").desc(), "id").limit(min(rows, MOST_ROWS))
+
+
+def one_vector(query: DataFrame) -> list[float] | None:
+    """The vector in ``query`` (column ``q``), a table of a single row; None if there is none."""
+    row = query.select("q").limit(1).collect()
+    return list(row[0].q) if row and row[0].q is not None else None
+
+
 def against(points: DataFrame, query: DataFrame) -> DataFrame:
-    """Score points with the one vector in ``query`` (column ``q``), a table of a single row."""
-    one = query.select("q").limit(1)
-    return points.where(F.col("vector").isNotNull()).crossJoin(F.broadcast(one)).withColumn("score", F.when(F.col("q").isNull(), F.lit(0.0)).otherwise(cosine(F.col("vector"), F.col("q")))).drop("q")
+    """Score points with the one vector in ``query``; without it every score is 0, and without a row there are no points."""
+    row = query.select("q").limit(1).collect()
+    if not row:
+        return points.limit(0).withColumn("score", F.lit(0.0))
+    return scored(points, row[0].q) if row[0].q is not None else points.where(F.col("vector").isNotNull()).withColumn("score", F.lit(0.0))
+
+
+def page(points: DataFrame, page: Page | int, more: str = "filled") -> DataFrame:
+    """A page of the best with ``has_more``: by ``filled`` whether the page is full, by ``next`` whether another row follows."""
+    page = page if isinstance(page, Page) else Page(page)
+    out = points.orderBy(F.col("score").desc(), "id")
+    out = (out.offset(page.offset) if page.offset else out).limit(page.rows + (more == "next"))
+    # a window over the one bounded page
+    counted = out.withColumn("_n", F.count("*").over(W.partitionBy(F.lit(0)))).withColumn("_i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "id")))
+    has = F.col("_n") > page.rows if more == "next" else F.col("_n") >= page.limit
+    return counted.where(F.col("_i") <= page.rows).withColumn("has_more", has).drop("_n", "_i")
+
+
+def recommend_vector(points: DataFrame, positive: DataFrame, negative: DataFrame) -> list[float] | None:
+    """``recommend_target`` as a vector at hand."""
+    return one_vector(recommend_target(points, positive, negative))
 
 
 def vector_of(points: DataFrame, point_id: int) -> DataFrame:
     return points.where(F.col("id") == point_id).select(F.col("vector").alias("q"))
 
 
-def similar_to(points: DataFrame, point_id: int, limit: int) -> DataFrame:
-    """Neighbours of a point, itself excluded."""
-    return top(against(points.where(F.col("id") != point_id), vector_of(points, point_id)), limit)
+def similar_to(points: DataFrame, point_id: int) -> DataFrame:
+    """Points scored by a point's vector, itself excluded; a point that is not there is an error."""
+    q = one_vector(vector_of(points, point_id))
+    if q is None:
+        raise LookupError(f"there is no point {point_id}")
+    return scored(points.where(F.col("id") != point_id), q)
 
 
-def mean_vectors(rows: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """Normalised (weighted) mean of ``vector`` per group, as ``centroid`` with ``n``.
+def _key_type(rows: DataFrame, by: Sequence[str]) -> str:
+    return "".join(f"`{c}` {dict(rows.dtypes)[c]}, " for c in by)
 
-    Sums by place combine before the shuffle, so a group of any size costs each task one
-    row per place.  Groups whose mean has no length are left out.
+
+def sum_vectors(rows: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """(by, n, w, s): number, weight and weighted sum of the vectors of each group.
+
+    Every task adds up matrices of its rows, so a group of any size costs it one row; the
+    sums meet in one shuffle and are added as a sorted stream.  Vectors of a group must have
+    one dimension; rows without a vector, or with a null component, do not count.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
-    placed = rows.where(F.col("vector").isNotNull()).select(*by, w.alias("_w"), F.posexplode("vector").alias("_i", "_x"))
-    sums = placed.groupBy(*by, "_i").agg(F.sum(F.col("_w") * F.col("_x")).alias("_s"), F.sum("_w").alias("_t"), F.count("*").alias("n"))
-    whole = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", (F.col("_s") / F.col("_t")).alias("m")))).alias("_a"), F.max("n").alias("n"))
-    out = whole.withColumn("centroid", l2_normalise(F.transform("_a", lambda a: a.getField("m"))))
+    by, k = list(by), len(list(by))
+    out = _key_type(rows, by) + "n long, w double, s array<double>"
+    names = [*by, "n", "w", "s"]
+
+    def table(keys, n, w, s):
+        columns = [pa.array([key[i] for key in keys]) for i in range(k)]
+        return columns, [pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(s, pa.list_(pa.float64()))]
+
+    def grouped(batch) -> tuple[list, np.ndarray]:
+        if not k:
+            return [()], np.zeros(batch.num_rows, int)
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(k))))
+        number: dict = {}
+        group = np.fromiter((number.setdefault(x, len(number)) for x in keys), int, len(keys))
+        return list(number), group
+
+    def part(batches):
+        for batch in batches:
+            vectors = batch.column(k + 1)
+            lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            keys, group = grouped(batch)
+            weights = batch.column(k).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths[lengths > 0]):
+                n, w, s = np.zeros(len(keys), int), np.zeros(len(keys)), np.zeros((len(keys), dim))
+                for a, fits, m in matrices(vectors, int(dim)):
+                    g, x = group[a : a + len(m)][fits], weights[a : a + len(m)][fits]
+                    order = np.argsort(g, kind="stable")
+                    cuts = np.flatnonzero(np.diff(g[order], prepend=-1))
+                    if len(cuts):
+                        at = g[order][cuts]
+                        s[at] += np.add.reduceat(m[fits][order] * x[order][:, None], cuts, axis=0)
+                        w[at] += np.add.reduceat(x[order], cuts)
+                        n[at] += np.diff(np.append(cuts, len(g)))
+                on = np.flatnonzero(n)
+                if len(on):
+                    columns, sums = table([keys[i] for i in on], n[on], w[on], list(s[on]))
+                    yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(columns, batch.schema)), *sums], names)
+
+    def whole(batches):
+        key, n, w, s, kinds = None, 0, 0.0, None, None
+
+        def done():
+            columns, sums = table([key], [n], [w], [s])
+            return pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(columns, kinds)), *sums], names)
+
+        for batch in batches:
+            kinds = batch.schema
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(k)))) if k else [()] * batch.num_rows
+            for x, a, b, v in zip(keys, batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), batch.column(k + 2)):
+                v = v.values.to_numpy(zero_copy_only=False)
+                if x == key:
+                    n, w, s = n + a, w + b, s + v
+                else:
+                    if key is not None:
+                        yield done()
+                    key, n, w, s = x, a, b, v
+        if key is not None:
+            yield done()
+
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    parts = rows.where(F.col("vector").isNotNull()).select(*by, w.alias("_w"), "vector").mapInArrow(part, out)
+    parts = parts.repartition(*by).sortWithinPartitions(*by) if by else parts.coalesce(1)
+    return parts.mapInArrow(whole, out)
+
+
+def mean_vectors(rows: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Normalised (weighted) mean of ``vector`` per group, as ``centroid`` with ``n``; groups whose mean has no length are left out."""
+    sums = sum_vectors(rows, by, weight)
+    out = sums.withColumn("centroid", l2_normalise(F.transform("s", lambda x: x / F.col("w"))))
     return out.where(F.col("centroid").isNotNull()).select(*by, "n", "centroid")
 
 
 def recommend_target(points: DataFrame, positive: DataFrame, negative: DataFrame) -> DataFrame:
     """One row ``q``: the mean of the liked vectors minus the mean of the disliked, normalised.
 
-    Signed weights let both means come from one pass; without examples of a side that side is left out.
+    One pass over the points adds up both sides; a side without examples is left out.  An id
+    on both sides counts for both.
     """
-    signs = positive.select("id").distinct().withColumn("_p", F.lit(1)).join(negative.select("id").distinct().withColumn("_n", F.lit(1)), "id", "full")
-    rows = points.join(signs, "id").where(F.col("vector").isNotNull()).select("_p", "_n", F.posexplode("vector").alias("i", "x"))
-    m = rows.groupBy("i").agg((F.coalesce(F.avg(F.when(F.col("_p") == 1, F.col("x"))), F.lit(0.0)) - F.coalesce(F.avg(F.when(F.col("_n") == 1, F.col("x"))), F.lit(0.0))).alias("m"))
-    return m.agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("a")).select(l2_normalise(F.transform("a", lambda a: a.getField("m"))).alias("q"))
+    signs = positive.select("id", F.lit(1).alias("side")).union(negative.select("id", F.lit(-1))).distinct()
+    sums = sum_vectors(points.select("id", "vector").join(signs, "id"), ["side"])
+    each = sums.select(F.transform("s", lambda x: F.col("side") * x / F.col("w")).alias("m"))
+    both = each.agg(F.collect_list("m").alias("m"))  # two rows at most
+    total = F.when(F.size("m") == 2, F.zip_with(F.get("m", F.lit(0)), F.get("m", F.lit(1)), lambda x, y: x + y)).otherwise(F.get("m", F.lit(0)))
+    return both.select(l2_normalise(total).alias("q"))
 
 
-def recommend(points: DataFrame, positive: DataFrame, negative: DataFrame, limit: int) -> DataFrame:
-    """Nearest to the target; the examples themselves are excluded."""
+def recommend(points: DataFrame, positive: DataFrame, negative: DataFrame, rows: int, target: Sequence[float] | None = None) -> DataFrame:
+    """Nearest to the target (worked out here unless it is given); the examples themselves are excluded."""
     rest = filtered(points, excluded=positive.select("id").union(negative.select("id")))
-    return top(against(rest, recommend_target(points, positive, negative)), limit)
+    target = target if target is not None else recommend_vector(points, positive, negative)
+    if target is None:
+        return best(rest.where(F.col("vector").isNotNull()).withColumn("score", F.lit(0.0)), rows)
+    return best(scored(rest, target), rows)
 
 
 def blend(vectors: Sequence[Sequence[float]], weights: Sequence[float] | None = None) -> list[float]:
@@ -144,9 +254,9 @@ def parse_weights(raw: Sequence[str], n: int) -> list[float] | None:
 
 def compose(positive: Sequence[Sequence[float]], negative: Sequence[Sequence[float]]) -> list[float]:
     """Mean of the positive minus mean of the negative prompts' vectors, normalised."""
-    if not positive and not negative:
-        raise ValueError("no prompt")
-    dim = len((list(positive) + list(negative))[0])
+    if not positive:
+        raise ValueError("at least one positive prompt is needed")
+    dim = len(positive[0])
     mean = lambda vs: [sum(v[i] for v in vs) / len(vs) for i in range(dim)] if vs else [0.0] * dim
     return blend([[a - b for a, b in zip(mean(positive), mean(negative))]])
 
@@ -173,20 +283,98 @@ def with_flags(rows: DataFrame, favorites: DataFrame, dislikes: DataFrame) -> Da
     return rows.join(f, "id", "left").join(d, "id", "left").fillna(False, ["is_favorite", "is_disliked"])
 
 
+#: Seeds whose vectors are brought together in one matrix at most; larger sets stay distributed.
+SEEDS_AT_HAND = 2048
+
+
+def _at_hand(rows: DataFrame) -> tuple[list, np.ndarray] | None:
+    """Ids and unit vectors (those with length) of a set, or None where it is too large to be brought here."""
+    rows = rows.where(F.col("vector").isNotNull())
+    got = rows.select("id", "vector").limit(SEEDS_AT_HAND + 1).toArrow()
+    if got.num_rows > SEEDS_AT_HAND:
+        return None
+    v = unit_rows(np.array([np.asarray(x, float) for x in got["vector"].to_pylist()], float)) if got.num_rows else np.zeros((0, 1))
+    on = v.any(1)
+    return [i for i, x in zip(got["id"].to_pylist(), on) if x], v[on]
+
+
+def _lower_percentile(distances: np.ndarray) -> float:
+    return float(np.quantile(distances, 0.01, method="inverted_cdf")) if len(distances) else 0.0
+
+
 def near_dup_threshold(seeds: DataFrame) -> DataFrame:
     """One row ``threshold``: first percentile (lower) of the cosine distances among seeds; 0 for fewer than two.
 
-    All pairs of a seed set, which a person has chosen and so is small; seeds without length are left out.
+    All pairs of the set count.  Sets of up to SEEDS_AT_HAND seeds are compared by one matrix
+    product, larger ones by a distributed join.  Seeds without length are left out.
     """
+    held = _at_hand(seeds)
+    if held is not None:
+        v = held[1]
+        return seeds.sparkSession.createDataFrame([(_lower_percentile((1 - v @ v.T)[np.triu_indices(len(v), 1)]),)], "threshold double")
     s = seeds.where(F.col("vector").isNotNull()).select("id", l2_normalise(F.col("vector")).alias("v")).where(F.col("v").isNotNull())
     b = s.select(F.col("id").alias("id_b"), F.col("v").alias("v_b"))
-    d = s.join(F.broadcast(b), F.col("id") < F.col("id_b")).select((1 - cosine(F.col("v"), F.col("v_b"))).alias("d"))
+    d = s.join(b, F.col("id") < F.col("id_b")).select((1 - dot(F.col("v"), F.col("v_b"))).alias("d"))
     return d.agg(F.coalesce(F.expr("percentile_disc(0.01) WITHIN GROUP (ORDER BY d)"), F.lit(0.0)).alias("threshold"))
 
 
-def near_dup_filter(candidates: DataFrame, seeds: DataFrame, threshold: DataFrame) -> DataFrame:
-    """Candidates whose distance to every seed is at least the threshold; all of them without seeds."""
-    s = seeds.where(F.col("vector").isNotNull()).select(F.col("vector").alias("seed"))
-    best = candidates.select("id", "vector").crossJoin(F.broadcast(s)).groupBy("id").agg(F.max(cosine(F.col("vector"), F.col("seed"))).alias("most"))
-    out = candidates.join(best, "id", "left").crossJoin(F.broadcast(threshold))
-    return out.where(F.col("most").isNull() | (1 - F.col("most") + 1e-9 >= F.col("threshold"))).drop("threshold", "most")
+def near_dup_filter(candidates: DataFrame, seeds: DataFrame, threshold: DataFrame | float) -> DataFrame:
+    """Candidates whose distance to every seed is at least the threshold; all of them without seeds.
+
+    Seeds that fit are sent to the tasks as a matrix and candidates pass by in batches;
+    larger sets of seeds come as blocks, each of which takes a share of the seeds.
+    """
+    least = threshold if isinstance(threshold, float) else float(threshold.first()[0])
+    held = _at_hand(seeds)
+    spark = candidates.sparkSession
+    if held is not None:
+        shared = spark.sparkContext.broadcast(held[1])
+        seen = _nearest(shared)
+        return candidates.where(~F.coalesce(seen("vector") > 1 - least + 1e-9, F.lit(False)))
+    numbered = seeds.where(F.col("vector").isNotNull()).select("id", "vector")
+    blocks = math.ceil(numbered.count() / SEEDS_AT_HAND) + 1
+    left = candidates
+    for i in range(blocks):  # each block is a pass; a candidate that is dropped is not seen again
+        left = near_dup_filter(left, numbered.where(F.pmod(F.xxhash64("id"), F.lit(4 * blocks)).between(4 * i, 4 * i + 3)), least)
+    return left
+
+
+def _nearest(shared):
+    """A function of a vector column: the largest cosine with any of the shared unit vectors, null without any."""
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        s = shared.value
+        for part in parts:
+            out, ok = np.zeros(len(part)), np.zeros(len(part), bool)
+            if len(s):
+                for a, fits, m in matrices(part, s.shape[1]):
+                    u, most = unit_rows(m), np.full(len(m), -np.inf)
+                    for b in range(0, len(s), 1024):
+                        most = np.maximum(most, (u @ s[b : b + 1024].T).max(1))
+                    out[a : a + len(m)], ok[a : a + len(m)] = most, fits & u.any(1)
+            yield pa.array(out, mask=~ok)
+
+    return F.arrow_udf(run, "double")
+
+
+def search_without_copies(points: DataFrame, seeds: DataFrame, page: Page | int) -> DataFrame:
+    """A page of points near the mean of the seeds, neither seeds nor near-duplicates of one: (id, score, has_more).
+
+    Three times as many rows as the page has are fetched (within MOST_ROWS), so that the page is
+    full after copies are dropped.  ``has_more`` is true if something was dropped, if more
+    was kept than fits, or if the page is full.
+    """
+    page = page if isinstance(page, Page) else Page(page)
+    spark = points.sparkSession
+    centroid = one_vector(mean_vectors(seeds).select(F.col("centroid").alias("q")))
+    if centroid is None:
+        return points.limit(0).select("id", F.lit(0.0).alias("score"), F.lit(False).alias("has_more"))
+    rest = scored(filtered(points, excluded=seeds), centroid).orderBy(F.col("score").desc(), "id")
+    fetched = (rest.offset(page.offset) if page.offset else rest).limit(max(0, min(3 * page.rows, MOST_ROWS - page.offset)))
+    fetched = fetched.select("id", "score", "vector").toArrow()  # a few pages
+    rows = spark.createDataFrame(fetched) if fetched.num_rows else None
+    if rows is None:
+        return points.limit(0).select("id", F.lit(0.0).alias("score"), F.lit(False).alias("has_more"))
+    kept = near_dup_filter(rows, seeds, near_dup_threshold(seeds)).orderBy(F.col("score").desc(), "id").select("id", "score").collect()
+    more = len(kept) < fetched.num_rows or len(kept) >= page.rows
+    return spark.createDataFrame([(r.id, r.score, more) for r in kept[: page.rows]], "id long, score double, has_more boolean")

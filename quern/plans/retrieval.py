@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern import fixtures as X
-from quern.functions.vectors import cosine
 from quern.operators import search as S
 from quern.plans.registry import query
 
@@ -68,10 +67,12 @@ def knn_page(spark, d):
     return out(S.top(S.against(v, S.vector_of(v, 7)), S.Page(20, 30)))
 
 
-@query("topk_capped", near(7, tail="LIMIT 100 OFFSET 100"))
+@query("topk_capped", sql(", many AS (SELECT p.id * 16 + r.r AS id, p.vector FROM points p, range(16) r(r))" + f", scored AS (SELECT p.id, {COS.format(a='p.vector', b='q.vector')} AS score FROM many p, points q WHERE q.id = 7) SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 100 OFFSET 4900"))
 def topk_capped(spark, d):
+    """A page that the limit on all rows cuts from 200 to 100, over every point in sixteen copies."""
     v = X.vectors(spark, d)
-    return out(S.top(S.against(v, S.vector_of(v, 7)), S.Page(100, 100)))
+    many = v.select("vector", F.explode(F.sequence(F.col("id") * 16, F.col("id") * 16 + 15)).alias("id"))
+    return out(S.top(S.against(many, S.vector_of(v, 7)), S.Page(200, 4900)))
 
 
 @query("page_has_more", sql("SELECT count(*) > 40 AS has_more, least(count(*), 40) AS n FROM points"))
@@ -88,7 +89,19 @@ def knn_with_vectors(spark, d):
 
 @query("similar_to_id", near(12, "p.id <> 12", tail="LIMIT 25"))
 def similar_to_id(spark, d):
-    return out(S.similar_to(X.vectors(spark, d), 12, 25))
+    return out(S.top(S.similar_to(X.vectors(spark, d), 12), 25))
+
+
+@query("search_page", near(7, "p.collection = 'lib1'", columns="p.id, round(score, 6) AS score", tail="LIMIT 30 OFFSET 20").replace("SELECT p.id, round", "SELECT *, count(*) OVER () >= 30 AS has_more FROM (SELECT p.id, round") + ")")
+def search_page(spark, d):
+    """A page says that there may be more if it is full."""
+    v = X.vectors(spark, d)
+    return out(S.page(S.against(S.filtered(v, ["lib1"]), S.vector_of(v, 7)), S.Page(30, 20)), "has_more")
+
+
+@query("similar_page", near(12, "p.id <> 12", columns="p.id, round(score, 6) AS score", tail="LIMIT 26").replace("SELECT p.id, round", "SELECT id, score, n > 25 AS has_more FROM (SELECT *, count(*) OVER () AS n, row_number() OVER () AS i FROM (SELECT p.id, round") + ")) WHERE i <= 25")
+def similar_page(spark, d):
+    return out(S.page(S.similar_to(X.vectors(spark, d), 12), S.Page(25), "next"), "has_more")
 
 
 TARGET = """, pos AS (SELECT p.vector FROM points p JOIN favorites f USING (id)), neg AS (SELECT p.vector FROM points p JOIN dislikes x USING (id)),
@@ -161,11 +174,11 @@ def seeded(c: str = "id") -> str:
     return f"md5('seed:' || {c})"
 
 
-@query("surprise_sample", near(7, columns="p.id, md5('seed:' || p.id) AS h", tail="LIMIT 200").replace("SELECT p.id, md5", "SELECT * FROM (SELECT p.id, md5") + ") ORDER BY h, id LIMIT 28")
+@query("surprise_sample", near(7, columns="p.id, md5('seed:' || p.id) AS h", tail="LIMIT 5000").replace("SELECT p.id, md5", "SELECT * FROM (SELECT p.id, md5") + ") ORDER BY h, id LIMIT 28")
 def surprise_sample(spark, d):
     """The best are shuffled: by a hash of a seed and the id, so that a page can be repeated."""
     v = X.vectors(spark, d)
-    best = S.top(S.against(v, S.vector_of(v, 7)), 200)
+    best = S.best(S.against(v, S.vector_of(v, 7)), S.MOST_ROWS)
     return best.select("id", F.md5(F.concat(F.lit("seed:"), F.col("id").cast("string")).cast("binary")).alias("h")).orderBy("h", "id").limit(28)
 
 
@@ -175,11 +188,12 @@ def knn_favorites_pre(spark, d):
     return out(S.top(S.against(S.filtered(v, allowed=X.favorites(spark, d)), S.vector_of(v, 7)), 10))
 
 
-@query("knn_favorites_post", near(7, columns="p.id, p.score", tail="LIMIT 200").replace("SELECT p.id, p.score FROM", "SELECT t.id, round(t.score, 6) AS score FROM (SELECT p.id, p.score FROM") + ") t JOIN favorites f ON f.id = t.id ORDER BY t.score DESC, t.id LIMIT 10")
+@query("knn_favorites_post", near(7, columns="p.id, p.score", tail="LIMIT 5000").replace("SELECT p.id, p.score FROM", "SELECT id, round(score, 6) AS score, n > 15 AS has_more FROM (SELECT t.id, t.score, count(*) OVER () AS n, row_number() OVER (ORDER BY t.score DESC, t.id) AS i FROM (SELECT p.id, p.score FROM") + ") t JOIN favorites f ON f.id = t.id) WHERE i BETWEEN 6 AND 15")
 def knn_favorites_post(spark, d):
+    """A page of the likes among the best rows; there is more if likes are left behind it."""
     v = X.vectors(spark, d)
-    best = S.top(S.against(v, S.vector_of(v, 7)), 200)
-    return out(S.top(best.join(X.favorites(spark, d).select("id"), "id", "left_semi"), 10))
+    best = S.best(S.against(v, S.vector_of(v, 7)), S.MOST_ROWS)
+    return out(S.page(best.join(X.favorites(spark, d).select("id"), "id", "left_semi"), S.Page(10, 5), "next"), "has_more")
 
 
 @query("result_projection", near(7, columns="p.id, format('{:.3f}', p.score) AS score_str, '/photo/' || p.id || '/raw' AS url, p.id IN (SELECT id FROM favorites) AS is_favorite, p.id IN (SELECT id FROM dislikes) AS is_disliked, p.collection"))
@@ -214,12 +228,13 @@ def near_dup_filter(spark, d):
     return S.near_dup_filter(S.filtered(v, excluded=liked), seeds, S.near_dup_threshold(seeds)).select("id")
 
 
-@query("centroid_search_dedup", sql(THR + KEEP + ", m2 AS (SELECT i, avg(vector[i]) AS m FROM seeds, range(1, 65) r(i) GROUP BY i), c AS (SELECT list(m ORDER BY i) AS v FROM m2)" + f", s AS (SELECT p.id, {COS.format(a='p.vector', b='c.v')} AS score FROM points p JOIN kept USING (id), c) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 20"))
+@query("centroid_search_dedup", sql(THR + ", m2 AS (SELECT i, avg(vector[i]) AS m FROM seeds, range(1, 65) r(i) GROUP BY i), c AS (SELECT list(m ORDER BY i) AS v FROM m2)" + f""", f AS (SELECT p.id, p.vector, {COS.format(a='p.vector', b='c.v')} AS score FROM points p, c WHERE p.id NOT IN (SELECT id FROM seeds) ORDER BY score DESC, p.id LIMIT 60),
+k AS (SELECT f.id, f.score, max({COS.format(a='f.vector', b='s.vector')}) AS most FROM f, seeds s GROUP BY 1, 2), kept AS (SELECT id, score FROM k, thr WHERE 1 - most + 1e-9 >= thr.t)
+SELECT id, round(score, 6) AS score, (SELECT count(*) FROM kept) < (SELECT count(*) FROM f) OR (SELECT count(*) FROM kept) >= 20 AS has_more FROM kept ORDER BY kept.score DESC, id LIMIT 20"""))
 def centroid_search_dedup(spark, d):
-    v, liked = X.vectors(spark, d), X.favorites(spark, d)
-    seeds = v.join(liked, "id", "left_semi")
-    kept = S.near_dup_filter(S.filtered(v, excluded=liked), seeds, S.near_dup_threshold(seeds))
-    return out(S.top(S.against(kept, S.mean_vectors(seeds).select(F.col("centroid").alias("q"))), 20))
+    v = X.vectors(spark, d)
+    seeds = v.join(X.favorites(spark, d), "id", "left_semi")
+    return out(S.search_without_copies(v, seeds, 20), "has_more")
 
 
 @query("for_you_state", sql("SELECT (SELECT count(*) FROM points JOIN favorites USING (id)) AS likes, (SELECT count(*) FROM points JOIN dislikes USING (id)) AS dislikes, (SELECT max(f.at) FROM feedback f) AS freshest, (SELECT count(*) FROM (SELECT id FROM favorites UNION SELECT id FROM dislikes)) AS excluded"))
