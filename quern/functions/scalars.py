@@ -59,3 +59,12 @@ def cache_key(vector: Column, *parts: Column) -> Column:
     """Twenty digits of a hash over a vector to eight places, and other parts."""
     rounded = F.array_join(F.transform(vector, lambda x: F.format_string("%.8f", x)), ",")
     return F.substring(F.sha2(F.concat_ws("|", F.sha2(rounded, 256), *parts), 256), 1, 20)
+
+
+def iso_stamp(at: Column) -> Column:
+    """ISO 8601 text of a time in UTC, to the microsecond, as the index writes it."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def day_stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd")

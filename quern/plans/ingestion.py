@@ -35,8 +35,25 @@ def cache_rebuild(spark, d):
 
 @query("images_rebuild", sql("SELECT id, path, collection, coalesce(mtime, 0) AS mtime, size FROM indexed"))
 def images_rebuild(spark, d):
-    checked = F.when(F.col("id").isNull() | (F.coalesce("path", F.lit("")) == ""), F.raise_error(F.lit("a point without id or path"))).otherwise(F.col("id"))
-    return X.indexed(spark, d).select(checked.cast("long").alias("id"), "path", "collection", F.coalesce("mtime", F.lit(0)).alias("mtime"), "size")
+    from quern.sources.cache import checked_images
+
+    return checked_images(X.indexed(spark, d)).select("id", "path", "collection", F.coalesce("mtime", F.lit(0)).alias("mtime"), "size")
+
+
+@query("sync_counts", sql(", s AS (SELECT d.path, CASE WHEN i.path IS NULL THEN 'new' WHEN d.mtime = i.mtime AND d.size = i.size THEN 'skip' ELSE 'changed' END AS reason FROM disk d LEFT JOIN indexed i USING (path)), lost AS (SELECT path FROM indexed WHERE path NOT IN (SELECT path FROM disk)) SELECT count(*) FILTER (WHERE reason = 'new') AS indexed, count(*) FILTER (WHERE reason = 'changed') AS re_embedded, count(*) FILTER (WHERE reason = 'skip') AS skipped, 0 AS errors, (SELECT count(*) FROM lost) AS pruned FROM s"))
+def sync_counts(spark, d):
+    """What a run over all files does: embeds what is new or changed and prunes what is gone."""
+    from quern.functions.images import mock_image_embedding
+    from quern.operators.sync import Source, synced
+
+    files = X.disk(spark, d).withColumn("content", F.col("path").cast("binary"))
+    index = X.indexed(spark, d).select(C.point_id(F.lit(""), F.col("path")).alias("id"), "path", F.lit("all").alias("collection"), "mtime", "size", F.lit(None).cast("array<double>").alias("vector"))
+    return synced(index, [(Source("all", "/images", "/images"), files)], lambda c: mock_image_embedding(c, 16), pruning=True)[1]
+
+
+@query("stamps", f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS stamp, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def stamps(spark, d):
+    return X.table(spark, d, "events").select("event_id", C.iso_stamp(F.col("ts")).alias("stamp"), C.day_stamp(F.col("ts")).alias("day"))
 
 
 @query("sync_plan", sql("SELECT d.path, CASE WHEN i.path IS NULL THEN 'new' WHEN d.mtime = i.mtime AND d.size = i.size THEN 'skip' ELSE 'changed' END AS reason FROM disk d LEFT JOIN indexed i USING (path)"))
@@ -61,7 +78,7 @@ def delete_orphans(spark, d):
 
 
 HEAL = """, j AS (SELECT coalesce(d.path, i.path) AS path, d.path IS NOT NULL AS on_disk, i.path IS NOT NULL AS known, d.mtime AS fm, d.size AS fs, i.mtime AS im, i.size AS s FROM disk d FULL JOIN indexed i ON d.path = i.path),
-h AS (SELECT path, CASE WHEN NOT starts_with(lower(path), '/images/s1/') AND NOT starts_with(lower(path), '/images/s2/') AND FALSE THEN 'x' WHEN NOT starts_with(lower(path), '/images/') THEN 'outside' WHEN NOT known THEN 'new' WHEN NOT on_disk THEN 'orphan' WHEN fm IS NOT DISTINCT FROM im AND fs IS NOT DISTINCT FROM s THEN 'same' ELSE 'modified' END AS state FROM j)"""
+h AS (SELECT path, CASE WHEN NOT starts_with(lower(path), '/images/') THEN 'outside' WHEN NOT known THEN 'new' WHEN NOT on_disk THEN 'orphan' WHEN fm IS NOT DISTINCT FROM im AND fs IS NOT DISTINCT FROM s THEN 'same' ELSE 'modified' END AS state FROM j)"""
 
 
 @query("heal_reconcile", sql(HEAL + " SELECT path, state FROM h"))
@@ -124,7 +141,7 @@ def existing_ids(spark, d):
     return X.indexed(spark, d).select("id").join(X.files(spark, d).where("size > 3000"), "id", "left_semi")
 
 
-@query("common_root", sql("SELECT '/images' AS root FROM (SELECT count(*) FROM files)"))
+@query("common_root", sql(", p AS (SELECT string_split(path, '/') AS p FROM files), depth AS (SELECT min(len(p)) - 1 AS n FROM p), same AS (SELECT i, count(DISTINCT list_slice(p, 1, i)) AS heads FROM p, depth, range(1, 50) r(i) WHERE i <= depth.n GROUP BY i) SELECT array_to_string(list_slice((SELECT any_value(p) FROM p), 1, (SELECT max(i) FROM same WHERE heads = 1)), '/') AS root"))
 def common_root(spark, d):
     return I.common_root(X.files(spark, d))
 
@@ -200,7 +217,7 @@ def optional_int(spark, d):
     return X.table(spark, d, "events").select("event_id", C.optional_int(text).alias("n"))
 
 
-@query("cache_key")
+@query("cache_key", sql(" SELECT id, left(sha256(sha256(list_aggregate(list_transform(vector, lambda x: printf('%.8f', x)), 'string_agg', ',')) || '|balanced|' || collection), 20) AS key FROM points"))
 def cache_key(spark, d):
     return X.vectors(spark, d).select("id", C.cache_key(F.col("vector"), F.lit("balanced"), F.col("collection")).alias("key"))
 
