@@ -54,6 +54,8 @@ RATE = 0.15
 BATCH = 4096
 #: Tokens that a copy holds and goes over in random order.
 BUFFER = 500_000
+#: Tokens that are scored together, so that the bins have many of them each.
+CHUNK = 250_000
 ROUNDS = 3
 #: Tokens of a shard; beyond MOST_SHARDS shards become longer.
 SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
@@ -359,10 +361,10 @@ class LogBilinear:
         lay, out = self.layout, np.zeros(len(codes))
         u, v = before(codes, starts)
         pt = np.ascontiguousarray(self.p.T)
-        for a in range(0, len(codes), 65_536):
-            w = codes[a : a + 65_536]
-            h = self.hidden(u[a : a + 65_536], v[a : a + 65_536])[0]
-            here, k = out[a : a + 65_536], lay.outcome_of(w)
+        for a in range(0, len(codes), CHUNK):
+            w = codes[a : a + CHUNK]
+            h = self.hidden(u[a : a + CHUNK], v[a : a + CHUNK])[0]
+            here, k = out[a : a + CHUNK], lay.outcome_of(w)
             for b in range(0, len(w), 4096):
                 here[b : b + 4096] = _log_softmax_at(h[b : b + 4096] @ pt, k[b : b + 4096])
             inner = np.flatnonzero((w >= lay.singles) & (w < lay.v))
@@ -501,8 +503,8 @@ def train(encoded: DataFrame, stats: Statistics, scratch: Scratch) -> LogBilinea
     spark = encoded.sparkSession
     shards = max(1, min(MOST_SHARDS, math.ceil(stats.total / SHARD_TOKENS)))
     passes = max(1, min(MOST_PASSES, math.ceil(ENOUGH / max(1, stats.total))))
-    # each task adds up the copies of its shards, so that as many copies are written as there are tasks
-    tasks = min(shards, 2 * spark.sparkContext.defaultParallelism)
+    # a task adds up the copies of its shards, so that as many copies are written as there are tasks
+    tasks = min(shards, 8 * spark.sparkContext.defaultParallelism)
     model = LogBilinear(Layout(stats))
     rows = encoded.where("training").select("ord", "codes", F.pmod("ord", F.lit(shards)).alias("shard"), F.pmod(F.shiftright("ord", 24), F.lit(ROUNDS)).alias("slice"))
     for turn in range(ROUNDS if stats.total else 0):
@@ -561,7 +563,7 @@ def train(encoded: DataFrame, stats: Statistics, scratch: Scratch) -> LogBilinea
                         if part[:, -1].any():
                             yield pa.record_batch([pa.array([name]), pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["name", "at", "part"])
 
-        dealt = rows.where(F.col("slice") == turn).repartition(tasks, "shard").sortWithinPartitions("shard", "ord", "codes")
+        dealt = rows.where(F.col("slice") == turn).repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "ord", "codes")
         copies = scratch.keep(dealt.select("shard", "codes").mapInArrow(run, "name string, at long, part binary"), "lm-copies")
         added = copies.repartition("name", "at").sortWithinPartitions("name", "at").mapInArrow(_add_up, "name string, at long, part binary").toArrow()
         model = model.copy()
@@ -615,7 +617,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
 
     def run(batches):
         model = shared.value
-        for batch, row, codes, starts in _runs(batches, 6, 100_000):
+        for batch, row, codes, starts in _runs(batches, 6, CHUNK):
             z = np.add.reduceat(model.log_probabilities(codes, starts), starts) / LN10
             part = batch.slice(row, len(starts))
             score = part.column(5).to_numpy() + z
