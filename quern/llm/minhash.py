@@ -1,6 +1,6 @@
 """MinHash near-duplicate detection with DartMinHash signatures.
 
-A document is the set (or multiset) of its five-word shingles.  Every element
+A document is the multiset (or, on demand, the set) of its five-word shingles.  Every element
 owns a strip of the plane: its weight on one axis, rank on the other.  Darts fall
 on a strip as a Poisson process that depends on the element alone; a dart counts
 if it lies below the element's weight and below a rank limit chosen so that a
@@ -151,9 +151,14 @@ def chunks(texts: list, limit: int):
         yield start, len(texts)
 
 
+def version_of(text):
+    """What tells rows of one id apart: a hash of the text."""
+    return F.xxhash64(text.cast("string"))
+
+
 def sketch(df: DataFrame, id_col: str, text_col: str, weighted: bool = False, bands: int = BANDS, rows: int = ROWS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, n_shingles, h1, h2, sig, bands) of each row: hashes of the exact shingle set, a byte
-    of each coordinate, and band keys.  Texts without words have null hashes and no bands."""
+    """(node, version, n_shingles, h1, h2, sig, bands) of each row: hashes of its text and of the exact
+    shingle set, a byte of each coordinate, and band keys.  Texts without words have null hashes and no bands."""
 
     def run(batches):
         shingler, dart = Shingler(shingle_words), DartMinHash(bands * rows)
@@ -172,16 +177,18 @@ def sketch(df: DataFrame, id_col: str, text_col: str, weighted: bool = False, ba
                 yield pa.record_batch(
                     [
                         ids.slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array([len(u) for u in sets], pa.int64()),
                         pa.array([None if h is None else (h >> 64) - 2**63 for h in hashed], pa.int64()),
                         pa.array([None if h is None else (h & (2**64 - 1)) - 2**63 for h in hashed], pa.int64()),
                         pa.array([low[i].tobytes() if len(u) else None for i, u in enumerate(sets)], pa.binary()),
                         pa.array([keys[i] if len(u) else [] for i, u in enumerate(sets)], pa.list_(pa.int64())),
                     ],
-                    ["node", "n_shingles", "h1", "h2", "sig", "bands"],
+                    ["node", "version", "n_shingles", "h1", "h2", "sig", "bands"],
                 )
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "node long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>")
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long"), text, version_of(text)).mapInArrow(run, "node long, version long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>")
 
 
 def exact_jaccard(pairs: DataFrame, texts: DataFrame, weighted: bool = False, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -318,20 +325,22 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = THRESHOLD,
-    weighted: bool = False,
+    weighted: bool = True,
     bands: int = BANDS,
     rows: int = ROWS,
     shingle_words: int = SHINGLE_WORDS,
 ) -> DataFrame:
-    """One row per input row: (id_col, class_id, kept, n_shingles).
+    """One row per input row: (id_col, class_id, kept, n_shingles, version).
 
     ``class_id`` is the least id reachable by links, a link being a pair of documents
-    whose five-word shingle sets (with counts if ``weighted``) have a Jaccard
-    similarity of at least ``threshold``; ``kept`` marks the document of that id.
+    whose five-word shingles have a Jaccard similarity of at least ``threshold``: by their
+    counts (sum of the smaller over sum of the larger ones), or as sets if not ``weighted``; ``kept`` marks the document of that id.
 
     * Null, empty or wordless texts have nothing to compare: own class, kept.
     * A null id has a null class and is kept.  Rows that repeat an id are versions of
       one document; each has the class of its own version, and linked versions unite.
+      ``version`` is a hash of the text, which tells them apart.  A version is kept if
+      its class has no smaller id, so a unique text stays whatever else has its id.
     * Texts of fewer than five words are one shingle, so equal word runs are copies.
     * Equal similarities need no tie rule: the class is a minimum.  An empty table
       gives an empty result; columns other than the two named are not read.
@@ -347,7 +356,9 @@ def near_duplicates(
         pairs = scratch.keep(prefilter(pairs, sigs, least, k), "minhash-pairs")
         ids = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "minhash-ids")
         found = exact_jaccard(pairs, texts_of(docs, ids, ids.count()), weighted, shingle_words).where(F.col("similarity") >= least)
-        return scratch.keep(found, "minhash-links")
+        found = scratch.keep(found, "minhash-links")
+        scratch.drop(pairs, ids)
+        return found
 
     buckets = nodes.select(F.explode("bands").alias("key"), "node")
     # the first leader of a bucket is its least node, so that the buckets of a group share it; the second the least by a hash
@@ -358,7 +369,8 @@ def near_duplicates(
     large = shared.where(F.col("n") > SMALL)
     led = large.select(F.col("l1").alias("a"), F.col("node").alias("b")).union(large.select(F.col("l2").alias("a"), F.col("node").alias("b"))).where("a <> b")
     pairs = within.union(led).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
-    edges = verified(pairs, threshold).select("a", "b")
+    links = verified(pairs, threshold)
+    edges = links.select("a", "b")
     labels = connected_components(edges, "a", "b")
     if large.limit(1).count():
         state = large.select(F.col("l1").alias("bucket"), "node").union(large.select(F.col("l1").alias("bucket"), "l1")).groupBy("bucket", "node").agg(F.count("*").alias("times"))
@@ -369,7 +381,9 @@ def near_duplicates(
         ids = scratch.keep(state.select("node").distinct(), "minhash-ids")
         forest = scratch.keep(_block_links(state, texts_of(docs, ids, ids.count()), threshold, weighted, shingle_words), "minhash-forest")
         labels = connected_components(edges.union(forest), "a", "b")
+        scratch.drop(state, ids, forest)
+    scratch.drop(shared, links)
     classes = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
-    out = sk.select("node", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
+    out = sk.select("node", "version", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     of = F.when(F.col("node").isNotNull(), F.coalesce("class_id", "node"))
-    return out.select(F.col("node").alias(id_col), of.alias("class_id"), F.coalesce(of == F.col("node"), F.lit(True)).alias("kept"), "n_shingles")
+    return out.select(F.col("node").alias(id_col), of.alias("class_id"), F.coalesce(of == F.col("node"), F.lit(True)).alias("kept"), "n_shingles", "version")

@@ -64,7 +64,7 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     rng = random.Random(7)
     base = words(rng, 150)
     texts = [" ".join(edited(rng, base, rng.choice([1, 2, 4, 6, 8]))) for _ in range(170)] + [" ".join(words(rng, 60)) for _ in range(20)]
-    want = brute(texts)
+    want = brute(texts, weighted=True)
     got = classes(spark, list(enumerate(texts)))
     assert [got[i][0] for i in range(len(texts))] == want
 
@@ -99,3 +99,36 @@ def test_signatures_estimate_weighted_similarity():
     assert (d.signatures([a, np.empty(0, np.uint64)])[1] == 0).all()
     # a document's signature does not depend on its company
     assert (d.signatures([a])[0] == d.signatures([b, a])[1]).all()
+
+
+def test_query_uses_counts(spark, tmp_path):
+    """The query's links are by counts of shingles: a text is no copy of itself said three times over."""
+    from quern.llm import queries
+
+    rng = random.Random(3)
+    once = words(rng, 60)
+    rows = [(1, " ".join(once)), (2, " ".join(once * 3)), (3, " ".join(once * 3 + once[:9])), (4, " ".join(once) + " end")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in queries.op1_minhash_dedup(spark, str(tmp_path)).collect()}
+    assert brute([t for _, t in rows], weighted=True) == [0, 1, 1, 0] and got == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
+def test_recall_on_documents(spark):
+    """Every pair of documents of the small table that is linked by brute force is in one class, and no other."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10_000 + i, t + " and a few more") for i, t in rows if t][:60]
+    want = brute([t for _, t in rows], weighted=True)
+    got = classes(spark, rows)
+    first: dict = {}
+    for (i, _), g in zip(rows, want):
+        first[g] = min(i, first.get(g, i))
+    assert all(got[i][0] == first[g] for (i, _), g in zip(rows, want)) and len(set(want)) < len(rows) - 40
+
+
+def test_rows_of_one_id(spark):
+    """A unique text is kept whatever copies share its id."""
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    df = spark.createDataFrame([(4, a), (5, a), (5, b)], "doc_id long, text string")
+    got = {(r.doc_id, r.version): r.kept for r in M.near_duplicates(df).collect()}
+    key = {r.text: r.v for r in df.select("text", M.version_of(df.text).alias("v")).collect()}
+    assert got == {(4, key[a]): True, (5, key[a]): False, (5, key[b]): True}
