@@ -24,17 +24,21 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DECAY = 0.75
-WINDOW, STEP = 14, 7
+#: Long strings are read through windows of so many characters; a string of up to WINDOW - STEP + 1 is whole in one.
+WINDOW, STEP = 14, 2
 LANDMARKS = 128
 #: Labelled texts that the machine is fitted on at most, of each label.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
+#: Characters of a text that it is fitted on at most; longer ones are not fitted on, and scored whole like any other.
+LONGEST = 50_000
 THRESHOLD = 0.7
 #: So many strings of a text count, the worst, none with a larger margin than TOP.
 POOLED, TOP = 1, 4.0
@@ -46,7 +50,12 @@ MOST_STRINGS = 400_000
 
 WORD = re.compile(r"\S+")
 NOT_LETTERS = re.compile(r"[\W_]+")
-_CODES = 40
+#: Letters a-z and digits have places of their own, and so has each triple of them.
+_CODES = 37
+_EXACT = _CODES**3
+#: Triples with any other character share so many places, by a hash of the three.
+_HASHED = 1 << 18
+_PLACES = _EXACT + _HASHED
 
 
 def _code(c: str) -> int:
@@ -55,7 +64,7 @@ def _code(c: str) -> int:
         return o - 96
     if 48 <= o <= 57:
         return 27 + (o - 48)
-    return 37 if o < 0x250 else 38
+    return _CODES + o  # every character of every script has a code of its own
 
 
 def strings(text: str | None) -> set[str]:
@@ -65,14 +74,13 @@ def strings(text: str | None) -> set[str]:
         return out
     single = ""
     for w in set_runs(text):
-        if len(w) == 1:
+        if len(w) < 2:  # punctuation alone does not end a run of single characters
             single += w
             continue
         if len(single) > 2:
             out.update(_windows(single))
         single = ""
-        if w:
-            out.update((w,) if len(w) <= WINDOW else _windows(w))
+        out.update((w,) if len(w) <= WINDOW else _windows(w))
     if len(single) > 2:
         out.update(_windows(single))
     return out
@@ -86,7 +94,7 @@ def set_runs(text: str) -> list[str]:
 def _windows(w: str) -> list[str]:
     if len(w) <= WINDOW:
         return [w]
-    return [w[i : i + WINDOW] for i in range(0, len(w) - STEP, STEP)]
+    return [w[i : i + WINDOW] for i in range(0, len(w) - WINDOW + STEP, STEP)]
 
 
 class SubsequenceKernel:
@@ -104,7 +112,7 @@ class SubsequenceKernel:
 
     def encode(self, words: list[str]) -> np.ndarray:
         """Characters as codes, -1 after the end."""
-        out = np.full((len(words), WINDOW), -1, np.int32)
+        out = np.full((len(words), WINDOW), -1, np.int64)
         codes = self.codes
         for r, w in enumerate(words):
             for c, x in enumerate(w[:WINDOW]):
@@ -117,7 +125,15 @@ class SubsequenceKernel:
     def triples(self, codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Place and weight of each triple of strings of one length."""
         n = self.upto[length]
-        place = (codes[:, self.i[:n]] * _CODES + codes[:, self.j[:n]]) * _CODES + codes[:, self.k[:n]]
+        i, j, k = codes[:, self.i[:n]], codes[:, self.j[:n]], codes[:, self.k[:n]]
+        place = (i * _CODES + j) * _CODES + k
+        other = np.flatnonzero((codes[:, :length] >= _CODES).any(1))
+        if len(other):
+            x, y, z = (c[other].astype(np.uint64) for c in (i, j, k))
+            h = (x * np.uint64(0x9E3779B97F4A7C15) + y) * np.uint64(0xBF58476D1CE4E5B9) + z
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            some = (i[other] >= _CODES) | (j[other] >= _CODES) | (k[other] >= _CODES)
+            place[other] = np.where(some, _EXACT + (h >> np.uint64(46)).astype(np.int64), place[other])
         return place, self.weight[:n]
 
     def by_length(self, words: list[str]):
@@ -148,31 +164,35 @@ class SubsequenceKernel:
         before[np.concatenate([[True], row[1:] != row[:-1]])] = 0.0
         return np.sqrt(np.bincount(row, (ends - before) ** 2, len(codes)))
 
-    def project(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        """Inner product of each string's normalised features with a table of weights (or several, as columns)."""
+    def project(self, words: list[str], table: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Inner product of each string's normalised features with a table of weights.
+
+        Or with several, as columns of a table that has only the places that ``rows`` maps to
+        its rows (the last row stands for all others).
+        """
         out = np.zeros((len(words), *table.shape[1:]))
         for at, n, codes in self.by_length(words):
             if n < 3:
                 continue
             place, weight = self.triples(codes, n)
-            if table.ndim == 1:
+            if rows is None:
                 out[at] = (table[place] @ weight) / self.norms(codes, n)
             else:
                 for a in range(0, len(at), 500):
-                    out[at[a : a + 500]] = np.einsum("wtm,t->wm", table[place[a : a + 500]], weight) / self.norms(codes[a : a + 500], n)[:, None]
+                    out[at[a : a + 500]] = np.einsum("wtm,t->wm", table[rows[place[a : a + 500]]], weight) / self.norms(codes[a : a + 500], n)[:, None]
         return out
 
-    def features(self, words: list[str]) -> np.ndarray:
-        """Tables of the normalised features of a few strings, as columns."""
-        out = np.zeros((_CODES**3, len(words)), np.float32)
-        for at, n, codes in self.by_length(words):
-            if n < 3:
-                continue
-            place, weight = self.triples(codes, n)
-            norm = self.norms(codes, n)
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised features of a few strings as columns, one row for each place they use and one of zeros; and the row of each place."""
+        found = [(at, *self.triples(codes, n), self.norms(codes, n)) for at, n, codes in self.by_length(words) if n >= 3]
+        used = np.unique(np.concatenate([p.ravel() for _, p, _, _ in found])) if found else np.empty(0, int)
+        rows = np.full(_PLACES, len(used))
+        rows[used] = np.arange(len(used))
+        out = np.zeros((len(used) + 1, len(words)))
+        for at, place, weight, norm in found:
             for r, c in enumerate(at):
-                np.add.at(out[:, c], place[r], weight / norm[r])
-        return out
+                np.add.at(out[:, c], rows[place[r]], weight / norm[r])
+        return out, rows
 
 
 @dataclass
@@ -184,6 +204,9 @@ class Machine:
     slopes: tuple
     shift: float
     decay: float = DECAY
+    #: The landmarks and their weights: the table is the sum of their features times these.
+    landmarks: list = field(default_factory=list, repr=False)
+    alphas: np.ndarray = field(default_factory=lambda: np.zeros(0), repr=False)
 
     def margins(self, kernel: SubsequenceKernel, words: list[str]) -> np.ndarray:
         return kernel.project(words, self.table) + self.bias
@@ -230,7 +253,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Machine(np.zeros(_CODES**3), 0.0, (0.0,) * POOLED, float(np.log(share / (1 - share))), decay)
+        return Machine(np.zeros(_PLACES), 0.0, (0.0,) * POOLED, float(np.log(share / (1 - share))), decay)
     bags = [sorted(strings(t)) for t in texts]
     # how much more often a string is in toxic texts than in clean ones
     seen: dict[str, list[int]] = {}
@@ -249,8 +272,8 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
     marks = words[:half] + common
     if not marks:
         share = min(max(n1 / (n0 + n1), 1e-6), 1 - 1e-6)
-        return Machine(np.zeros(_CODES**3), 0.0, (0.0,) * POOLED, float(np.log(share / (1 - share))), decay)
-    tables = kernel.features(marks)
+        return Machine(np.zeros(_PLACES), 0.0, (0.0,) * POOLED, float(np.log(share / (1 - share))), decay)
+    tables, rows = kernel.features(marks)
     value, vector = np.linalg.eigh(tables.T @ tables)
     on = value > 1e-6 * value.max()
     whiten = vector[:, on] / np.sqrt(value[on])
@@ -272,12 +295,12 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
         counted = sorted(number)
         often = np.sqrt([number[s] for s in counted])
         bent = [_insert(s, rng) for s in counted for _ in range(4)]
-        x = kernel.project(counted + bent + negative, nystroem)
+        x = kernel.project(counted + bent + negative, nystroem, rows)
         target = np.r_[np.ones(len(counted) + len(bent)), -np.ones(len(negative))]
         rarely = np.sqrt([seen[s][0] for s in negative])
         cost = np.r_[often, np.repeat(often, 4) / 4, 2 * often.sum() * rarely / max(1.0, rarely.sum())]
         w, bias = hinge(x, target, cost)
-        table = nystroem @ w
+        table = np.append(tables @ (whiten @ w), 0.0)[np.minimum(rows, len(tables))]
         margin = kernel.project(distinct, table) + bias
         picked = [max(bag, key=lambda s: (margin[at[s]], s)) for bag in toxic_bags if bag and not witness.intersection(bag)]
         positive = [s for bag in toxic_bags for s in bag if s in witness] + [s for s in picked if margin[at[s]] > 0 and not seen[s][0]]
@@ -285,7 +308,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS,
         negative = sorted(set(some) | set(hard))
     pooled = np.array([pool([margin[at[s]] for s in bag if len(s) >= 3], bias) for bag in bags])
     slopes, shift = _logistic(pooled, y)
-    return Machine(table, float(bias), slopes, shift, decay)
+    return Machine(table, float(bias), slopes, shift, decay, marks, whiten @ w)
 
 
 def _logistic(pooled: np.ndarray, y: np.ndarray) -> tuple[tuple, float]:
@@ -306,36 +329,33 @@ def _logistic(pooled: np.ndarray, y: np.ndarray) -> tuple[tuple, float]:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Machine:
     """Fit on labelled documents whose crc32 of the id modulo 3 is not 1.
 
-    Of each label at most ``most_...`` rows are used, the first by a hash of the id.  Null
-    labels and ids, and labels of unknown documents, are left out; of several labels of an
-    id the largest counts.
+    Of each label at most ``most_...`` ids are used, the first by a hash of the id, and of each id
+    one text, the first by a hash of it, of at most LONGEST characters, so that what the
+    driver gets is bounded whatever the tables hold.  Null labels and ids, and labels of
+    unknown documents, are left out; of several labels of an id the largest counts.
     """
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(3))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(fold != 1)
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     order = F.xxhash64("id")
     take = known.where("label = 1").orderBy(order, "id").limit(most_toxic).union(known.where("label = 0").orderBy(order, "id").limit(most_clean))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(take), "id").select("id", "text", "label").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["id"], r["text"] or ""))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where(F.length("text") <= LONGEST)
+    one = texts.join(F.broadcast(take), "id").groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))
+    rows = one.toArrow().to_pylist()
+    rows.sort(key=lambda r: r["id"])
     return fit([r["text"] for r in rows], [r["label"] for r in rows])
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score double in 0..1) of each row's whole text.
-
-    A null or empty text, or one without a string of three characters, has the score of
-    the machine's bias.  Very long texts are read whole; repeated rows are scored alike;
-    null ids stay null; an empty table gives an empty result; only the two columns are read.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(machine)  # a table of 40^3 numbers
+def probability(machine: Machine, spark: SparkSession):
+    """A function of a text column: the score in 0..1 of each whole text, by Arrow batches."""
+    shared = spark.sparkContext.broadcast(machine)  # one table of weights
 
-    def run(batches):
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         kernel, known = SubsequenceKernel(m.decay), {}
-        for batch in batches:
-            texts, out = batch.column(1).to_pylist(), []
+        for part in parts:
+            texts, out = part.to_pylist(), []
             for a in range(0, len(texts), 500):
                 bags = [strings(t) for t in texts[a : a + 500]]
                 new = list({s for bag in bags for s in bag} - known.keys())
@@ -345,14 +365,34 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                         new = list({s for bag in bags for s in bag})
                     known.update(zip(new, m.margins(kernel, new).tolist()))
                 out += [pool(list(map(known.__getitem__, bag)), m.bias) for bag in bags]
-            yield pa.record_batch([batch.column(0), pa.array(m.probability(np.array(out, float).reshape(-1, POOLED)), pa.float64())], ["id", "score"])
+            yield pa.array(m.probability(np.array(out, float).reshape(-1, POOLED)), pa.float64())
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return F.arrow_udf(run, "double")
+
+
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, score double in 0..1) of each row's whole text.
+
+    A null or empty text, or one without a string of three characters, has the score of
+    the machine's bias.  Very long texts are read whole; repeated rows are scored alike;
+    null ids stay null; an empty table gives an empty result; only the two columns are read.
+    """
+    of = probability(machine, docs.sparkSession)
+    return docs.select(F.col(id_col), of(F.col(text_col).cast("string")).alias("score"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns.
+
+    Every row is judged on its own text, so rows that share an id, or have none, are kept
+    or dropped one by one.
+    """
+    score = probability(learn(docs, labels, id_col, text_col, label_col), docs.sparkSession)
+    return docs.where(score(F.col(text_col).cast("string")) < threshold)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id_col, held_out, score, predicted) of each document."""
+    """(id_col, held_out, score, predicted) of each row; a null id is not held out.  Cases are as in ``score``."""
     machine = learn(docs, labels, id_col, text_col, label_col)
     held = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1
     return score(docs, machine, id_col, text_col).select(id_col, F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
