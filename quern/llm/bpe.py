@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -28,6 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Words that a worker remembers before it starts anew.
 MOST_WORDS = 600_000
+#: Longer words are not remembered, so that what is remembered is bounded in bytes, too.
+LONGEST_KNOWN = 256
+#: Symbols from which on a word is merged by a heap.
+LONG = 64
 
 
 def byte_characters() -> list[str]:
@@ -163,8 +168,14 @@ class SpeculativeBPE:
         return out
 
     def merge(self, word: str) -> list[int]:
-        """Exact merging: again and again the pair of least rank, leftmost first."""
+        """Exact merging: again and again the pair of least rank, leftmost first.
+
+        Short words are gone over once a merge.  Long ones keep their pairs in a heap and
+        their symbols in a linked list, so the time grows hardly faster than the word.
+        """
         ids = [self.vocab[s] for s in self._symbols(word) if s in self.vocab]
+        if len(ids) > LONG:
+            return self._merge_long(ids)
         while len(ids) > 1:
             best = min(zip(ids, ids[1:]), key=lambda p: self.rank.get(p, 1 << 60))
             if best not in self.rank:
@@ -180,6 +191,27 @@ class SpeculativeBPE:
             ids = out
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        end, rank = len(ids), self.rank
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(rank[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= end or ids[j] != b:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = self.joined[a, b], -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < end:
+                    r = rank.get((ids[left], ids[right]))
+                    if r is not None:
+                        heapq.heappush(heap, (r, left, ids[left], ids[right]))
+        return [x for x in ids if x >= 0]
+
     def learn(self, words: set[str]) -> None:
         """Encode words not seen before: propose, test all adjacent pairs at once, merge the rest."""
         new = [w for w in words if w not in self.known]
@@ -253,6 +285,10 @@ class SpeculativeBPE:
                 else:
                     ids.append(w)
             yield ids
+        for p in run:
+            for w in p:
+                if w.__class__ is str and len(w) > LONGEST_KNOWN:
+                    known.pop(w, None)
 
     def decode(self, ids) -> str:
         """Tokens of a file without a decoder are joined by spaces."""

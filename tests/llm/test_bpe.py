@@ -32,6 +32,20 @@ def test_matches_the_library(pair):
     assert 0 < own.merged < own.speculated
 
 
+def test_words_of_any_length(pair):
+    """One word of 200,000 letters, and random ones around the length from which a heap merges."""
+    own, library = pair
+    rng = random.Random(3)
+    letters = "etaoinshrdluéß"
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (200_000, 1, 30, 60, 63, 64, 65, 70, 100, 500)]
+    words += ["a" * 5000, "ab" * 3000, "aaab" * 100, "the" * 400]
+    for w in words:
+        want = library.encode(w, add_special_tokens=False).ids
+        assert list(own.encode_batch([w])) == [want]
+        assert own.merge(w) == want or len(own.split(w)) > 1
+    assert not any(len(w) > bpe.LONGEST_KNOWN for w in own.known)
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MOST_WORDS", 3)
     own = bpe.SpeculativeBPE(PATH)
