@@ -3,8 +3,8 @@ r"""Benchmark decontamination by template canonicalisation, in Spark expressions
 A text is split into words: runs of digits with inner points or commas, and runs of other
 letters, marks, numerals and hyphens.  There are two readings of the words.  The verbatim one is the
 words in lower case.  In the template, names (capitalised words of two letters or more, wherever
-they stand, be it the start of a sentence), numbers and units (words of ``UNITS`` after a
-number) are placeholders, so that a question keeps its template when its values are exchanged.
+they stand, be it the start of a sentence), numbers (in digits or of ``NUMBER_WORDS``) and units
+(words of ``UNITS`` after a number) are placeholders, so that a question keeps its template when its values are exchanged.
 
 Windows of ``WINDOW`` consecutive words of items and documents meet in an equi-join on
 their hashes, each reading with itself, each with its position, which gives alignments of
@@ -35,6 +35,7 @@ BROADCAST_ROWS = 1_000_000
 DRIFT = 4
 
 UNITS = "km|m|cm|mm|miles|mile|feet|foot|inches|inch|yards|kg|g|mg|grams|gram|tons|ton|pounds|pound|lbs|ounces|ounce|litres|litre|liters|liter|ml|l|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|percent|dollars|dollar|euros|euro|cents|cent|degrees|degree|mph|kmh|gb|mb|kb|tb|volts|watts|hz"
+NUMBER_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million"
 # markers of private use stand for the placeholders; no word can imitate them
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 VERBATIM, TEMPLATE = 0, 1
@@ -61,8 +62,9 @@ def template_words(words: Column) -> Column:
 
     def typed(w, i):
         low = F.lower(w)
-        unit = low.isin(UNITS.split("|")) & F.coalesce(_is_number(F.get(words, i - 1)), F.lit(False))
-        return F.when(_is_number(w), NUMBER).when(unit, UNIT).when((w != low) & w.rlike(_NAME), NAME).otherwise(low)
+        before = F.get(words, i - 1)
+        unit = low.isin(UNITS.split("|")) & F.coalesce(_is_number(before) | F.lower(before).isin(NUMBER_WORDS.split("|")), F.lit(False))
+        return F.when(_is_number(w) | low.isin(NUMBER_WORDS.split("|")), NUMBER).when(unit, UNIT).when((w != low) & w.rlike(_NAME), NAME).otherwise(low)
 
     return F.transform(words, typed)
 
@@ -207,10 +209,16 @@ def _with_slots(docs, benchmark, places, id_col, text_col, item_col, item_text_c
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of documents in which no item is found, with all their columns; rows with a null id stay."""
-    found = find_contamination(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_found")).distinct()
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows in whose text no item is found, with all their columns.
+
+    Rows are judged by their own text, so rows that share an id, or have none, are kept or
+    dropped one by one; a null text has no words and stays.
+    """
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    texts = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+    found = find_contamination(texts, benchmark, "_key", "_text", **options).select(F.col("_key").alias("_found")).distinct()
     found = Scratch(docs.sparkSession).keep(found, "decontaminate-ids")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    return docs.join(found, docs[id_col] == found["_found"], "left_anti")
+    return docs.join(found, key == found["_found"], "left_anti")
