@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 BITS = 16
 GRAMS = (3, 4, 5)
+#: Characters of urls whose n-grams are hashed in one go, or a single longer url.
+RUN_CHARACTERS = 500_000
 
 #: A small labelled table: (url, 1 for block).
 LABELLED = [
@@ -103,17 +105,18 @@ def _crc_table() -> np.ndarray:
 _CRC = _crc_table()
 
 
+def _places(data: np.ndarray, at: np.ndarray, n: int, part: int) -> np.ndarray:
+    """Hashed places of the n-grams of bytes that start at ``at``, by CRC-32."""
+    crc = np.full(len(at), 0xFFFFFFFF ^ (part * 0x5BD1E995 & 0xFFFFFFFF), np.uint32)
+    for i in range(n):
+        crc = _CRC[(crc ^ data[at + i]) & 0xFF] ^ (crc >> np.uint32(8))
+    return ((crc ^ (crc >> np.uint32(16))) & np.uint32((1 << BITS) - 1)).astype(np.int64)
+
+
 def places(text: str, part: int) -> np.ndarray:
-    """Hashed places of a host's (part 0) or path's (part 1) n-grams, by CRC-32 of their UTF-8 bytes."""
+    """Hashed places of a host's (part 0) or path's (part 1) n-grams of UTF-8 bytes."""
     data = np.frombuffer(b"\x02" + text.encode("utf-8", "surrogatepass") + b"\x03", np.uint8)
-    out = []
-    for n in GRAMS:
-        if len(data) >= n:
-            crc = np.full(len(data) - n + 1, 0xFFFFFFFF ^ (part * 0x5BD1E995 & 0xFFFFFFFF), np.uint32)
-            for i in range(n):
-                crc = _CRC[(crc ^ data[i : len(data) - n + 1 + i]) & 0xFF] ^ (crc >> np.uint32(8))
-            out.append((crc ^ (crc >> np.uint32(16))) & np.uint32((1 << BITS) - 1))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+    return np.concatenate([_places(data, np.arange(max(0, len(data) - n + 1)), n, part) for n in GRAMS])
 
 
 def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +127,7 @@ def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
         if len(p):
             at.append(p)
             value.append(np.full(len(p), (1.0, 0.5)[part] / np.sqrt(len(p))))
-    return (np.concatenate(at), np.concatenate(value)) if at else (np.empty(0, np.uint32), np.empty(0))
+    return (np.concatenate(at), np.concatenate(value)) if at else (np.empty(0, np.int64), np.empty(0))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -163,6 +166,21 @@ class UrlModel:
         at, value = features(host, path)
         return float(1 / (1 + np.exp(-(self.weights[at] @ value + self.bias))))
 
+    def scores(self, hosts: list[str], paths: list[str]) -> np.ndarray:
+        """``score`` of each host and path, with the n-grams of all of them hashed at once."""
+        n, keys = len(hosts), []
+        for part, texts in enumerate((hosts, paths)):
+            coded = [b"\x02" + t.encode("utf-8", "surrogatepass") + b"\x03" for t in texts]
+            data, size = np.frombuffer(b"".join(coded), np.uint8), np.fromiter(map(len, coded), np.int64, n)
+            row, left = np.repeat(np.arange(n), size), np.repeat(np.cumsum(size), size) - np.arange(len(data))
+            for g in GRAMS:
+                at = np.flatnonzero(left >= g)
+                keys.append((row[at] * 2 + part) << BITS | _places(data, at, g, part))
+        key = np.unique(np.concatenate(keys))
+        place, owner = key & ((1 << BITS) - 1), key >> BITS
+        value = np.where(owner & 1, 0.5, 1.0) / np.sqrt(np.bincount(owner, minlength=2 * n))[owner]
+        return 1 / (1 + np.exp(-(np.bincount(owner >> 1, self.weights[place] * value, n) + self.bias)))
+
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
@@ -195,15 +213,23 @@ def judge(df: DataFrame, url_col: str = "url", id_col: str = "page_id", rules: S
     The verdict is the longest fitting rule's, else ``block`` where the model's score is
     at least ``threshold``.  A null url, or one without ``://``, has an empty host and path,
     no rule, and the model's score of nothing but its bias.  Very long urls are read whole;
-    repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
+    rows that repeat an id are judged each by its own url; a null id stays null; an empty
+    table gives an empty result; other columns are not read.
     """
     model = model or UrlModel()
 
-    def scores(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def scores(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for hosts, paths in parts:
-            yield pd.Series([model.score(h, p) for h, p in zip(hosts, paths)], dtype="float64")
-
-    score = F.pandas_udf(scores, "double")
+            out, start, size = [], 0, 0
+            hosts, paths = hosts.to_pylist(), paths.to_pylist()
+            for i, (h, p) in enumerate(zip(hosts, paths), 1):
+                size += len(h) + len(p) + 4
+                if size > RUN_CHARACTERS or i == len(hosts):
+                    out.append(model.scores(hosts[start:i], paths[start:i]))
+                    start, size = i, 0
+            yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
+
+    score = F.arrow_udf(scores, "double")
     url = F.col(url_col).cast("string")
     out = df.select(F.col(id_col).alias(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
     out = out.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", score("host", "path"))

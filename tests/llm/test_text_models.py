@@ -124,18 +124,72 @@ def brute_kernel(s, t, decay=T.DECAY):
 
 def test_kernel():
     k = T.SubsequenceKernel()
-    some = ["idiot", "idixot", "thione", "aaaa", "ab", "abcabcabcabcab", "éàü"]
-    tables = k.features(some)
-    got = k.project(some, tables)
+    some = ["idiot", "idixot", "thione", "aaaa", "ab", "abcabcabcabcab", "éàü", "ünï", "идиот", "дурак", "слова", "چرند", "愚か者だ", "idiоt"]
+    tables, rows = k.features(some)
+    got = k.project(some, tables, rows)
     for i, s in enumerate(some):
         for j, t in enumerate(some):
-            if not (set(s) | set(t)) - set("abcdefghijklmnopqrstuvwxyz"):
-                assert got[i, j] == pytest.approx(brute_kernel(s, t), abs=1e-5)
+            assert got[i, j] == pytest.approx(brute_kernel(s, t), abs=1e-3)
+    cyrillic = ["идиот", "дурак", "слова", "чисто"]
+    tables, rows = k.features(cyrillic)
+    assert (k.project(cyrillic, tables, rows) - np.eye(4) < 0.05).all()
 
 
 def test_strings():
     assert T.strings("I-D-I-O-T! you i d i o t.") == {"idiot", "you"} and T.strings(None) == T.strings(" .") == set()
+    assert T.strings("i - d - i . o ! t") == {"idiot"} and T.strings("so, what - now") == {"so", "what", "now"}
     assert all(len(s) <= T.WINDOW for s in T.strings("x" * 100 + " " + "ab" * 50))
+    rng = random.Random(1)
+    for n in range(15, 60):  # whatever has up to WINDOW - STEP + 1 characters is whole in some window
+        w = "".join(rng.choice("abcdef") for _ in range(n))
+        got = T.strings(w)
+        assert all(any(w[i : i + 13] in s for s in got) for i in range(n - 12))
+
+
+def test_table_is_the_sum_over_landmarks(spark):
+    """What the machine says is alpha times the kernel with each landmark, plus the bias."""
+    rows = corpus(random.Random(4), 300)
+    rows = [(i, t.replace("idiot", "идиот"), y) for i, t, y in rows]
+    m = T.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    k = T.SubsequenceKernel()
+    words = ["moron", "морон", "идиот", "stupid", "stxupid", "thering", "scumbag", "aaa", "ab"]
+    want = [sum(a * brute_kernel(w, x) for a, x in zip(m.alphas, m.landmarks)) + m.bias for w in words]
+    assert np.allclose(m.margins(k, words), want, atol=5e-2 * np.abs(m.alphas).max())
+    exact = [w for w in words if w.isascii()]
+    assert np.allclose(m.margins(k, exact), [x for x, w in zip(want, words) if w.isascii()], atol=1e-6 * np.abs(m.alphas).sum())
+
+
+def test_scripts_are_told_apart(spark):
+    """Insults in a script of their own, gapped or not, among clean words of the same letters and lengths."""
+    rng = random.Random(5)
+    clean = ["".join(rng.choice("идотурмнкаеслб") for _ in range(rng.choice([5, 6]))) for _ in range(200)]
+    rows = []
+    for i in range(600):
+        w = [rng.choice(clean) for _ in range(12)]
+        bad = i % 4 == 0
+        if bad:
+            w[rng.randrange(12)] = rng.choice(["идиот", "дурак"])
+        rows.append((i, " ".join(w), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, "тут и-д-и-о-т"), (1001, "тут идихот"), (1002, clean[0])], "doc_id long, text string")
+    got = {r.doc_id: r for r in T.judge(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()}
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert all(p == y for p, y in held) and len(held) > 100
+    assert got[1000].predicted == 1 and got[1001].score > got[1002].score and got[1002].predicted == 0
+
+
+def test_what_is_fitted_on_is_bounded(spark):
+    """An id with very many rows and very long texts gives one text, or none."""
+    rows = [(2, "some clean words here"), *[(3, f"you moron {i}") for i in range(500)], (5, "x " * 40_000)]
+    labels = [(2, 0), (3, 1), (3, 0), (5, 1), (8, 1)]
+    fitted = []
+    keep, T.fit = T.fit, lambda texts, y: fitted.append((texts, y))
+    try:
+        T.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    finally:
+        T.fit = keep
+    texts, y = fitted[0]
+    folds = [i for i in (2, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(texts) == len(folds) and y == [int(i == 3) for i in folds]
 
 
 def corpus(rng, n):
@@ -176,13 +230,49 @@ def test_toxicity_held_out(spark):
 def test_urls(spark):
     urls = [None, "", "no scheme/en/", "HTTP://WWW.Example.COM/en/7?x#y", "http://a.com/en/1", "http://example.com/en/71", "http://b.example.com/en/8", "http://x.net/de/1", "http://example.net/de/8", "http://notexample.net/de/8", "http://org/es/", "http://com", "http://a.com?q=/en/", "http://a.com#/en/", "x://y://z/en/", "http://É.COM/en/", "http://casino-win.example.org/en/12", "http://a.org/es" + "x" * 100_000]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'h' as host", "'v' as verdict", "0 as score")
-    got = [U.judge(df).collect()[i] for i in range(len(urls))]
     got = {r.page_id: r for r in U.judge(df).collect()}
     assert [(got[i].host, got[i].path) for i in range(len(urls) - 1)] == [U.split_url(u) for u in urls[:-1]]
     assert [got[i].rule for i in range(len(urls))] == [None, None, None, "example.com/en/7", "com/en/", "example.com/en/7", "com/en/", "net/de/", "example.net/de/8", "net/de/", "org/es/", None, None, None, None, "com/en/", None, None]
     assert [got[i].verdict for i in (3, 4, 7, 8, 10)] == ["allow", "block", "allow", "block", "block"]
     assert got[15].host == "É.com" and got[16].verdict == "block" and got[0].verdict == "allow"
     assert U.judge(df.limit(0)).count() == 0
+    several = spark.createDataFrame([(None, "http://a.com/en/1"), (7, "http://a.com/en/1"), (7, "http://x.net/de/1"), (7, None)], "page_id long, url string")
+    assert sorted((r.page_id or 0, r.verdict, r.rule or "") for r in U.judge(several).collect()) == [(0, "block", "com/en/"), (7, "allow", ""), (7, "allow", "net/de/"), (7, "block", "com/en/")]
+
+
+RULES_SQL = r"""
+WITH s AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS mark FROM pages),
+r AS (SELECT page_id, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM s),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM r),
+rules(rhost, rpath, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+fits AS (SELECT page_id, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, rhost || rpath) AS n
+  FROM h JOIN rules ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath))
+SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN fits ON fits.page_id = h.page_id AND n = 1
+"""
+
+
+def test_rules_against_sql(spark):
+    """Host, path, rule and the verdicts of rules over the whole table of pages."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view pages as select * from read_parquet('/root/testdata/sf0.01/pages.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(RULES_SQL).fetchall()}
+    got = U.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    assert {r.page_id: (r.host, r.path, r.rule) for r in got} == {i: w[:3] for i, w in want.items()}
+    assert all(r.verdict == want[r.page_id][3] for r in got if r.rule) and len({r.rule for r in got}) > 3
+    model = U.UrlModel()
+    assert all(r.verdict == ("block" if model.score(r.host, r.path) >= 0.5 else "allow") for r in got if not r.rule)
+
+
+def test_scores_of_a_batch_are_those_of_each(spark):
+    rng = random.Random(2)
+    m = U.UrlModel()
+    hosts = ["", "a", "casino.example.com", "é.org", "x" * 3000] + ["".join(rng.choice("abcdef.-") for _ in range(rng.randrange(30))) for _ in range(200)]
+    paths = ["".join(rng.choice("/abc0-é") for _ in range(rng.randrange(20))) for _ in hosts]
+    assert np.allclose(m.scores(hosts, paths), [m.score(h, p) for h, p in zip(hosts, paths)], atol=1e-12)
+
+
 
 
 def test_url_model_held_out():
