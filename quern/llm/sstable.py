@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -278,9 +279,11 @@ def encoder(path: str) -> PieceEncoder:
 def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Encode each row's whole text and write shards in ascending order of the id.
 
-    Returns the manifest: shard, file, n_docs, n_ids and start (ids in the shards before),
-    one entry per shard, in order.  A null text is an empty one and gives the end id only.
-    Rows that repeat an id follow each other, ordered by text; null ids come first.
+    Returns the manifest: shard, file, n_docs, n_ids, first and last key, and start (ids in the
+    shards before), one entry per shard, in order.  A null text is an empty one and gives
+    the end id only.  Rows that repeat an id follow each other, ordered by a hash of the
+    text, and may go on in the next shard, so that an id (or none) that very many rows
+    have fills no single shard unless their texts are equal, too; null ids come first.
     An empty table gives no shards.  Other columns are not read.
     """
 
@@ -288,29 +291,34 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str =
         store, path = open_filesystem(folder)
         shard = TaskContext.get().partitionId()
         final, temporary = f"shard-{shard:06d}.sst", f".shard-{shard:06d}-{uuid.uuid4().hex}"
-        table, end = None, np.array([end_id], "<u4").tobytes()
+        first, table, end = None, None, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             if table is None and batch.num_rows:
                 out = store.open_output_stream(f"{path}/{temporary}")
                 table = TableWriter(out)
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
+                first = key_of(part.column(0)[0].as_py()) if first is None else first
                 for key, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode_batch(part.column(1).to_pylist())):
                     table.add(key_of(key), ids + end)
         if table is not None:
             table.close()
             out.close()
             put(folder, temporary, final)
-            yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([final]), pa.array([table.docs], pa.int64()), pa.array([table.ids], pa.int64())], ["shard", "file", "n_docs", "n_ids"])
+            yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([final]), pa.array([table.docs], pa.int64()), pa.array([table.ids], pa.int64()), pa.array([first], pa.binary()), pa.array([table.last], pa.binary())], ["shard", "file", "n_docs", "n_ids", "first", "last"])
 
     store, path = open_filesystem(folder)
     store.create_dir(path, recursive=True)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    done = sorted(ordered.mapInArrow(run, "shard long, file string, n_docs long, n_ids long").collect(), key=lambda r: r.shard)
+    order = F.col("id").asc_nulls_first(), F.xxhash64("text").asc()
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    done = sorted(ordered.mapInArrow(run, "shard long, file string, n_docs long, n_ids long, first binary, last binary").collect(), key=lambda r: r.shard)
+    for left in store.get_file_info(fs.FileSelector(path)):  # of tasks that were lost
+        if left.base_name.startswith(".shard-"):
+            store.delete_file(left.path)
     out, start = [], 0
     for r in done:
-        out.append(r.asDict() | {"start": start})
+        out.append(r.asDict() | {"start": start, "first": bytes(r["first"]), "last": bytes(r["last"])})
         start += r.n_ids
     return out
 
@@ -349,10 +357,12 @@ def _rows(rows: list, ids: bool) -> pa.RecordBatch:
 
 
 def lookup(folder: str, manifest: list[dict], doc_id: int | None) -> list[np.ndarray]:
-    """Ids of the documents under a key, through the filters and indexes of the shards."""
+    """Ids of the documents under a key: a binary search of the manifest, then the filters and indexes of the shards that may have it."""
     store, path = open_filesystem(folder)
-    found = []
-    for m in manifest:
+    key, found = key_of(doc_id), []
+    for m in manifest[bisect.bisect_left([m["last"] for m in manifest], key) :]:
+        if m["first"] > key:
+            break
         with store.open_input_file(f"{path}/{m['file']}") as f:
             found += Table(f).get(doc_id)
     return found
