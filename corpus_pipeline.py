@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs.  All but the last return the columns of documents.
-Null, empty, very long and repeated texts, null ids and empty tables are handled as the
-operators' docstrings say; columns beyond those of documents pass through unread.
+Decisions are about rows: of rows that repeat an id each is judged by its own text, and null
+ids are judged like others.  Null, empty, very long and repeated texts and empty tables are
+handled as the operators' docstrings say; columns beyond those of documents pass through unread.
 """
 
 from __future__ import annotations
@@ -16,39 +17,31 @@ from quern.scratch import Scratch
 
 #: No SQL for the trained classifier, signatures or merges: the stages are tested against brute force.
 ORACLE_SQL = None
-#: Ids that a stage broadcasts at most; more of them are joined by shuffling.
-BROADCAST_IDS = 2_000_000
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents whose id is not in the column ``_id``; null ids stay."""
-    dropped = Scratch(docs.sparkSession).keep(dropped, "dropped")
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+#: Rows that a stage broadcasts at most; more of them are joined by shuffling.
+BROADCAST_ROWS = 2_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not predict to be toxic.
-
-    Rows that repeat an id are judged each on its own text; one toxic text drops the id.
-    """
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = toxicity.judge(docs, labels)
-    return _without(docs, judged.where("predicted = 1").select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct())
+    """Rows whose text the toxicity operator does not predict to be toxic."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that of the least id.
 
-    Rows that repeat the kept id are that document and stay with it; null ids stay.
+    Rows that repeat the kept id are that document and stay with it; rows with a null id
+    stay; a text without near-duplicates stays whatever other rows share its id.
     """
-    found = minhash.near_duplicates(docs)
-    return _without(docs, found.where("not kept").select(F.col("doc_id").alias("_id")).distinct())
+    found = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    found = Scratch(spark).keep(found, "dropped")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    same = (docs["doc_id"] == found["_id"]) & (minhash.version_of(docs["text"]) == found["_version"])
+    return docs.join(found, same, "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Rows in whose text no benchmark item is found."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -61,8 +54,10 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet below the shared folder and read again."""
+    """All stages, each written as Parquet below the shared folder and read again; what has been read is removed."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        done = scratch.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.drop(docs)
+        docs = done
     return docs

@@ -1,7 +1,9 @@
 """Embedding near-duplicates, benchmark decontamination, and the pipeline."""
 
+import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -156,6 +158,103 @@ def test_leaks_after_a_look_alike(spark):
     assert got == {(0, 0): "verbatim", (1, 0): "parameterised", (2, 0): "verbatim", (3, 0): "parameterised", (4, 1): "parameterised"}
 
 
+def brute_leaks(items, docs):
+    """The findings by comparing every window of every item with every window of every document."""
+    word, units, numbers = re.compile(r"\d+(?:[.,]\d+)*|[A-Za-z-]+"), set(D.UNITS.split("|")), set(D.NUMBER_WORDS.split("|"))
+
+    def typed(words):
+        out = []
+        for i, w in enumerate(words):
+            low = w.lower()
+            before = words[i - 1] if i else ""
+            if w[0].isdigit() or low in numbers:
+                out.append(D.NUMBER)
+            elif low in units and (before[:1].isdigit() or before.lower() in numbers):
+                out.append(D.UNIT)
+            elif len(w) > 1 and w[0].isupper() and w[1].isalpha():
+                out.append(D.NAME)
+            else:
+                out.append(low)
+        return out
+
+    def found(item, doc):
+        iw, dw = word.findall(item), word.findall(doc)
+        n = len(iw)
+        if not n:
+            return False
+        width = n if n < D.WHOLE else min((n + 1) // 3, D.WINDOW)
+        windows = n - width + 1
+        lower_i, lower_d = [w.lower() for w in iw], [w.lower() for w in dw]
+        for reading, (a, b) in enumerate(((lower_i, lower_d), (typed(iw), typed(dw)))):
+            offsets = []
+            for i in range(windows):
+                part = a[i : i + width]
+                literal = sum(w not in (D.NAME, D.NUMBER, D.UNIT) for w in part)
+                if reading and D.NAME in part and literal < max(1, width // 2):
+                    continue
+                offsets += [(d - i, i) for d in range(len(b) - width + 1) if b[d : d + width] == part]
+            bins = {}
+            for o, i in offsets:
+                for key in ((0, o // (2 * D.DRIFT)), (1, (o + D.DRIFT) // (2 * D.DRIFT)), (2, o)):
+                    bins.setdefault(key, {}).setdefault(o, set()).add(i)
+            for lines in bins.values():
+                best = {}
+                for o, at in lines.items():
+                    for i in at:
+                        best[i] = max(best.get(i, (0, -(10**9))), (len(at), -o))
+                run = max(max(sum(1 for _ in g) for _, g in itertools.groupby(sorted(at), key=lambda x, c=itertools.count(): x - next(c))) for at in lines.values())
+                if not (len(best) >= D.COVERAGE * windows or run + width - 1 >= D.RUN):
+                    continue
+                if not reading:
+                    return True
+                pairs = []
+                for s in [i for i, w in enumerate(typed(iw)) if w in (D.NAME, D.NUMBER, D.UNIT)]:
+                    over = [i for i in sorted(best) if i <= s < i + width]
+                    if over and 0 <= s - best[over[0]][1] < len(dw):
+                        pairs.append((lower_i[s], lower_d[s - best[over[0]][1]]))
+                maps = set(pairs)
+                sides = len({x for x, _ in maps}) + len({y for _, y in maps})
+                if all(x == y for x, y in pairs) or 2 * len(maps) - sides <= 1 or sides >= D.CONSISTENT * 2 * len(maps):
+                    return True
+        return False
+
+    return {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if found(item, doc)}
+
+
+def test_leaks_against_brute_force(spark):
+    """Questions of one mould with other names, numbers and units, edited, cut, in part and side by side."""
+    rng = random.Random(11)
+    names, things, units = ["Tom", "Ann", "Bob", "Eve", "Kim"], ["apples", "pens", "cars", "cups"], ["kg", "miles", "hours", "days"]
+
+    def question(kind):
+        a, b = rng.sample(names, 2)
+        x, y, z = (str(rng.randrange(2, 60)) if rng.random() < 0.8 else rng.choice(["two", "seven", "Twelve"]) for _ in range(3))
+        return [
+            f"{a} has {x} {rng.choice(things)}. {a} buys {y} more and gives {z} to {b}. How many does {a} have now?",
+            f"a train goes {x} {rng.choice(units)} and then {y} {rng.choice(units)} with {a} on board how far is it in all for {a} and {b}",
+            f"{a} and {b} share {x}{rng.choice(units)} of rice",
+            " ".join(rng.choice(["red", "blue", "green", "old", "new", "Big"]) for _ in range(rng.randrange(1, 40))),
+        ][kind]
+
+    items = [question(rng.randrange(4)) for _ in range(25)]
+    docs = []
+    for _ in range(260):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            t = (rng.choice(items) if rng.random() < 0.4 else question(rng.randrange(4))).split()
+            if rng.random() < 0.3:
+                t[rng.randrange(len(t))] = rng.choice(["word", "9", "Zoe"])
+            if rng.random() < 0.2:
+                t.insert(rng.randrange(len(t)), "extra")
+            if rng.random() < 0.2:
+                t = t[rng.randrange(len(t)) :] or t
+            parts += t + ["and", "so"] * rng.randrange(3)
+        docs.append(" ".join(parts))
+    want, got = brute_leaks(items, docs), set(found(spark, items, docs))
+    assert got == want, (sorted(got - want)[:3], sorted(want - got)[:3])
+    assert 200 < len(want) < 0.5 * len(items) * len(docs)
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against its operator, on its predecessor's rows; the rest of the columns untouched."""
     import corpus_pipeline as P
@@ -175,3 +274,39 @@ def test_pipeline(spark, sf_dir):
     d = P.encode(spark, c, sf_dir).collect()
     assert {(r.doc_id, r.ids_sha256) for r in d} == {(r.doc_id, r.ids_sha256) for r in bpe.digests(c, public_tokenizers.path("word_bpe_49k.json")).collect()}
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "decontamination", "bpe"]
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Null ids and texts, ids with several texts, clashing columns and empty tables through all stages."""
+    import corpus_pipeline as P
+    from test_text_models import corpus
+
+    rng = random.Random(8)
+    labelled = corpus(rng, 600)
+    long = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    a, b, c, item, big = long(40), long(40), long(40), long(30), " ".join(t for _, t, y in labelled if not y) * 3
+    rows = [(4000, a), (5000, a), (5000, b), (6000, None), (6001, ""), (None, c), (None, None), (7000, "you moron"), (7000, c + " only here"), (8000, "so " + item + " it ends"), (8000, long(50)), (None, item), (9000, big), (9000, big), (9001, big)]
+    docs = spark.createDataFrame([r[:2] for r in labelled] + rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1 as n_chars", "'x' as _id", "2 as _version", "3 as _key", "4 as _found", "0.5 as score", "5 as kept", "6 as node")
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, _, y in labelled] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, c)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    own = lambda df: sorted((str(r.doc_id), str(r.text)[:20]) for r in df.where("doc_id is null or doc_id >= 4000").collect())
+    shown = lambda some: sorted((str(i), str(t)[:20]) for i, t in some)
+    one = P.drop_toxic(spark, docs, sf)
+    left = [r for r in rows if r != (7000, "you moron")]
+    assert own(one) == shown(left) and one.columns == docs.columns
+    two = P.drop_near_duplicates(spark, one, sf)
+    left = [r for r in left if r not in ((5000, a), (9001, big))]
+    assert own(two) == shown(left) and two.columns == docs.columns
+    three = P.drop_contaminated(spark, two, sf)
+    left = [r for r in left if not (r[1] and item in r[1])]
+    assert own(three) == shown(left) and three.columns == docs.columns
+    four = P.encode(spark, three, sf)
+    assert four.count() == three.count() and {r.n_tokens for r in four.where("doc_id in (6000, 6001)").collect()} == {0}
+    assert sorted(P.run(spark, sf).select("ids_sha256").collect()) == sorted(four.select("ids_sha256").collect())
+    docs.limit(0).write.parquet(f"{sf}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{sf}/none/{t}.parquet")
+    assert P.run(spark, f"{sf}/none").count() == 0
