@@ -52,6 +52,8 @@ GROWTH, MIN_COUNT, MOST_WORDS = 6.0, 2, 1 << 18
 NOISE = 1
 RATE = 0.15
 BATCH = 4096
+#: Tokens in a row that stay together in a batch, so that a context vector is looked up once.
+RUN = 64
 #: Tokens that a copy holds and goes over in random order.
 BUFFER = 500_000
 #: Tokens that are scored together, so that the bins have many of them each.
@@ -70,19 +72,27 @@ END = b""
 LN10 = math.log(10.0)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text as bytes: exactly the white space of ASCII splits them, exactly A-Z is lowered."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8: exactly the white space of ASCII splits them, exactly A-Z is lowered."""
+    return text.lower().split() if text else []
 
 
-def _hash(part: bytes) -> int:
-    """Spark's xxhash64 of the bytes, but for the sign."""
-    return xxhash.xxh64_intdigest(part, 42)
+class _Hashes(dict):
+    """Spark's xxhash64 of bytes modulo NGRAMS; remembers what it has met, up to a bound."""
+
+    def __missing__(self, part: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[part] = xxhash.xxh64_intdigest(part, 42) % NGRAMS
+        return out
+
+
+_hash = _Hashes()
 
 
 def spelling(word: bytes) -> int:
     """Hashed n-grams of a word's ending and beginning, as one number below NGRAMS**2."""
-    return _hash(word[-3:]) % NGRAMS * NGRAMS + _hash(word[:4]) % NGRAMS
+    return _hash[word[-3:]] * NGRAMS + _hash[word[:4]]
 
 
 def group_of(spelt):
@@ -108,7 +118,7 @@ def training_fold(id_col: str):
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """(token binary, c long) of all texts; each task adds up what it can before the shuffle."""
+    """(token binary, c long) of all texts in UTF-8; each task adds up what it can before the shuffle."""
 
     def run(batches):
         held: Counter[bytes] = Counter()
@@ -207,15 +217,14 @@ def _shares(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
     return c / np.bincount(of, c)[of] if len(c) else c
 
 
-def before(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes two before and one before each token of texts laid end to end; -1 stands before a text."""
-    v = np.concatenate([[-1], codes[:-1]])
-    u = np.concatenate([[-1, -1], codes[:-2]])[: len(codes)]
-    v[starts] = -1
-    u[starts] = -1
-    second = starts + 1
-    u[second[second < len(codes)]] = -1
-    return u, v
+def laid_out(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts end to end with two starts (-1) before each, and where the tokens are: what is before a token is its context."""
+    text = np.zeros(len(codes), np.int64)
+    text[starts] = 1
+    at = np.arange(len(codes)) + 2 * np.cumsum(text)
+    out = np.full(len(codes) + 2 * len(starts), -1)
+    out[at] = codes
+    return out, at
 
 
 class LogBilinear:
@@ -316,22 +325,29 @@ class LogBilinear:
         self._step(name, rows, np.concatenate([h, np.repeat(h, k, 0)]) * g[:, None])
         return gh
 
-    def hidden(self, u: np.ndarray, v: np.ndarray):
-        """Hidden vectors (a last column of ones) of contexts given as codes, with what they are made of."""
-        out, parts = np.ones((len(u), self.dim + 1), np.float32), []
-        for codes in (u, v):
-            rows, spelt, second = self.layout.rows_of(codes)
-            c = self.r[rows]
-            c[spelt] += self.r[second]
-            parts.append((rows, spelt, second, c))
-        np.multiply(parts[0][3], self.ab[0], out=out[:, :-1])
-        out[:, :-1] += parts[1][3] * self.ab[1]
-        return out, parts
-
-    def update(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        """One step on contexts (u, v) and following tokens w, all codes."""
-        lay = self.layout
-        h, parts = self.hidden(u, v)
+    def vectors(self, codes: np.ndarray):
+        """Context vectors of codes, with the rows that they are made of."""
+        rows, spelt, second = self.layout.rows_of(codes)
+        c = self.r[rows]
+        c[spelt] += self.r[second]
+        return c, rows, spelt, second
+
+    def hidden(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """Hidden vectors (a last column of ones) of the context vectors two before and one before."""
+        out = np.ones((*two.shape[:-1], self.dim + 1), np.float32)
+        np.multiply(two, self.ab[0], out=out[..., :-1])
+        out[..., :-1] += one * self.ab[1]
+        return out
+
+    def update(self, window: np.ndarray) -> None:
+        """One step on runs of codes, a row each: their first two are contexts, all others outcomes, too, but for starts."""
+        lay, (n, width) = self.layout, window.shape
+        c, rows, spelt, second = self.vectors(window[:, :-1].ravel())
+        c = c.reshape(n, width - 1, -1)
+        u, v = c[:, :-1], c[:, 1:]
+        w = window[:, 2:].ravel()
+        real = np.flatnonzero(w >= 0)
+        h, w = self.hidden(u, v).reshape(len(w), -1)[real], w[real]
         gh = self._contrast_all(h, lay.outcome_of(w))
         inner = np.flatnonzero((w >= lay.singles) & (w < lay.v))
         if len(inner):
@@ -339,31 +355,37 @@ class LogBilinear:
             gi = self._contrast("f", hi, lay.fine_of[wi])
             gi += self._contrast("q", hi, wi)
             gh[inner] += gi
-        gh = gh[:, :-1]
-        at, g, ab = [], [], []
-        for (rows, spelt, second, c), d in zip(parts, self.ab):
-            x = gh * d
-            at += [rows, second]
-            g += [x, x[spelt]]
-            ab.append(np.einsum("ij,ij->j", gh, c) / np.float32(len(w)))
-        self._step("r", np.concatenate(at), np.concatenate(g))
-        self._apply("ab", np.arange(2), np.stack(ab), 1)
+        g = np.zeros((n * (width - 2), self.dim), np.float32)
+        g[real] = gh[:, :-1]
+        g = g.reshape(n, width - 2, -1)
+        # a token is one before its next and two before the one after that: its gradients meet before they are scattered
+        gc = np.zeros_like(c)
+        np.multiply(g, self.ab[0], out=gc[:, :-1])
+        gc[:, 1:] += g * self.ab[1]
+        ab = np.stack([np.einsum("ijk,ijk->k", g, u), np.einsum("ijk,ijk->k", g, v)]) / np.float32(max(1, len(w)))
+        gc = gc.reshape(len(rows), -1)
+        self._step("r", np.concatenate([rows, second]), np.concatenate([gc, gc[spelt]]))
+        self._apply("ab", np.arange(2), ab, 1)
 
     def learn(self, codes: np.ndarray, starts: np.ndarray, batch: int = BATCH) -> None:
-        u, v = before(codes, starts)
-        order = self.rng.permutation(len(codes))
-        u, v, w = u[order], v[order], codes[order]
-        for i in range(0, len(codes), batch):
-            self.update(u[i : i + batch], v[i : i + batch], w[i : i + batch])
+        """Go over texts in batches of runs of RUN tokens, in random order."""
+        laid = laid_out(codes, starts)[0]
+        runs = -(-(len(laid) - 2) // RUN)
+        laid = np.concatenate([laid, np.full(2 + runs * RUN - len(laid), -1)])
+        first = self.rng.permutation(runs) * RUN
+        for i in range(0, runs, batch // RUN):
+            self.update(laid[first[i : i + batch // RUN, None] + np.arange(RUN + 2)])
 
     def log_probabilities(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log of the exactly normalised probability of each word, and of the class of each spelt token."""
         lay, out = self.layout, np.zeros(len(codes))
-        u, v = before(codes, starts)
+        laid, place = laid_out(codes, starts)
         pt = np.ascontiguousarray(self.p.T)
         for a in range(0, len(codes), CHUNK):
-            w = codes[a : a + CHUNK]
-            h = self.hidden(u[a : a + CHUNK], v[a : a + CHUNK])[0]
+            w, at = codes[a : a + CHUNK], place[a : a + CHUNK]
+            low = at[0] - 2
+            c = self.vectors(laid[low : at[-1]])[0]
+            h = self.hidden(c[at - 2 - low], c[at - 1 - low])
             here, k = out[a : a + CHUNK], lay.outcome_of(w)
             for b in range(0, len(w), 4096):
                 here[b : b + 4096] = _log_softmax_at(h[b : b + 4096] @ pt, k[b : b + 4096])
@@ -431,7 +453,7 @@ class Coder:
 
 
 def encode(docs: DataFrame, stats: Statistics) -> DataFrame:
-    """(id, ord, training, n, known, base, within, codes, rare, times) of each row of (id, text, ord, training).
+    """(id, ord, training, n, known, base, within, codes, rare, times) of each row of (id, text in UTF-8, ord, training).
 
     ``base`` and ``within`` (the log10 share of spelt tokens in their groups) lack the tokens
     outside the head, which ``rare`` names with their ``times``.
@@ -483,7 +505,7 @@ def encode(docs: DataFrame, stats: Statistics) -> DataFrame:
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of lists end to end, and where each list starts and the last ends."""
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
 def _runs(batches, column: int, limit: int):
@@ -494,7 +516,7 @@ def _runs(batches, column: int, limit: int):
         while row < batch.num_rows:
             end = max(row + 1, int(np.searchsorted(cuts, cuts[row] + limit)))
             end = min(end, batch.num_rows)
-            yield batch, row, flat[cuts[row] : cuts[end]], cuts[row:end] - cuts[row]
+            yield batch, row, flat[cuts[row] : cuts[end]].astype(np.int64), cuts[row:end] - cuts[row]
             row = end
 
 
@@ -515,7 +537,7 @@ def train(encoded: DataFrame, stats: Statistics, scratch: Scratch) -> LogBilinea
 
             def learn():
                 nonlocal held, size
-                codes = np.concatenate([c for c, _ in held])
+                codes = np.concatenate([c for c, _ in held]).astype(np.int64)
                 at, starts = 0, []
                 for c, s in held:
                     starts.append(s + at)
@@ -609,6 +631,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("training", training_fold("id")).withColumn("ord", F.xxhash64(F.col("id").cast("string"), "text"))
+    docs = docs.withColumn("text", F.col("text").cast("binary"))  # UTF-8, which needs no decoding on the way to Python
     counts = scratch.keep(count_tokens(docs.where("training").select("text")), "lm-counts")
     stats = gather(counts, head, growth)
     encoded = scratch.keep(encode(docs, stats).withColumn("row", F.monotonically_increasing_id()), "lm-encoded")

@@ -51,7 +51,7 @@ def test_lm_against_brute_force_and_held_out(spark):
 def test_lm_score_is_an_exact_softmax(spark):
     """Scores recomputed token by token from the trained parameters, each level summed over all its outcomes."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40").select("doc_id", "text")
-    docs = docs.withColumn("id", docs.doc_id).withColumn("training", lm.training_fold("id")).withColumn("ord", docs.doc_id)
+    docs = docs.withColumn("id", docs.doc_id).withColumn("training", lm.training_fold("id")).withColumn("ord", docs.doc_id).withColumn("text", docs.text.cast("binary"))
     counts = lm.count_tokens(docs.where("training").select("text"))
     stats = lm.gather(counts, growth=16.0)
     encoded = lm.encode(docs, stats).cache()
@@ -69,7 +69,7 @@ def test_lm_score_is_an_exact_softmax(spark):
         return each[among == outcome][0] / each.sum()
 
     text = docs.where("doc_id = 3").first().text
-    words = [*lm.tokens(text)[:60], b"neverseenbefore", b""]
+    words = [*lm.tokens(bytes(text))[:60], b"neverseenbefore", b""]
     codes = coder.encode(words)[1]
     got = model.log_probabilities(codes, np.array([0]))
     assert any(c >= lay.v for c in codes) and any(lay.singles <= c < lay.v for c in codes) and any(c < lay.singles for c in codes)
@@ -88,7 +88,7 @@ def test_lm_score_is_an_exact_softmax(spark):
 def test_lm_shares_of_spelt_tokens(spark):
     """Words of a class of spelt tokens, and one unseen token, share its probability."""
     docs = spark.createDataFrame([(1, "a b c d e f g a b"), (2, "a h i")], "doc_id long, text string")
-    stats = lm.gather(lm.count_tokens(docs.select("text")))
+    stats = lm.gather(lm.count_tokens(docs.select(docs.text.cast("binary"))))
     spelt = [w for w in stats.head if w not in stats.words]
     for g in range(lm.GROUPS):
         c = [stats.head[w] for w in spelt if lm.group_of(lm.spelling(w)) == g]
