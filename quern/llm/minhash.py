@@ -13,7 +13,9 @@ Candidates come from joining bands of the signature; every pair is then checked
 exactly on whole texts.  Exact copies (equal shingle sets) are one node from the
 start.  Buckets of up to ``SMALL`` nodes are compared in full, so a row meets a
 bounded number of partners.  The nodes of larger buckets are compared with two
-leaders of the bucket; those that are not in the leader's component then meet all
+leaders of the bucket.  Nodes that are not in the bucket's largest component then are
+open; while there are many, some of them lead in turn and meet those of the bucket that they are not
+yet connected with, which closes most.  The rest meet all
 nodes of the bucket in blocks of ``BLOCK``, by exact counts of common shingles, and
 a pair of blocks gives a forest of its links, not the links.  No link is given up,
 no group is gathered in one task, and rows grow in proportion to the input.
@@ -244,6 +246,8 @@ def prefilter(pairs: DataFrame, sigs: DataFrame, least: float, k: int) -> DataFr
 SMALL = 32
 #: Nodes of a block of a larger bucket; two blocks meet in a task.
 BLOCK = 64
+#: Rounds in which open nodes lead, and how many of them in a bucket; only buckets with more than BLOCK open nodes need it.
+PEELS, LEADERS = 4, 8
 #: Ids that are broadcast at most, to read only the texts that are compared.
 BROADCAST_IDS = 2_000_000
 
@@ -314,6 +318,15 @@ def _block_links(state: DataFrame, texts: DataFrame, threshold: float, weighted:
     return tasks.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def _state(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, node, own, open) of members (bucket, node): the node's component, and whether it is not the bucket's largest."""
+    of_node = labels.select("node", F.col("label").alias("own"))
+    each = members.join(of_node, "node", "left").select("bucket", "node", F.coalesce("own", "node").alias("own"))
+    sizes = each.groupBy("bucket", "own").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "own")).getField("own").alias("main"))
+    return scratch.keep(each.join(main, "bucket").select("bucket", "node", "own", (F.col("own") != F.col("main")).alias("open")), "minhash-state")
+
+
 def _pairs_within(groups: DataFrame) -> DataFrame:
     """All pairs a < b of each short sorted array ``g``."""
     first = groups.select(F.posexplode("g").alias("i", "a"), "g")
@@ -373,15 +386,26 @@ def near_duplicates(
     edges = links.select("a", "b")
     labels = connected_components(edges, "a", "b")
     if large.limit(1).count():
-        state = large.select(F.col("l1").alias("bucket"), "node").union(large.select(F.col("l1").alias("bucket"), "l1")).groupBy("bucket", "node").agg(F.count("*").alias("times"))
-        of_node = labels.select("node", F.col("label").alias("own"))
-        of_leader = labels.select(F.col("node").alias("bucket"), F.col("label").alias("lead"))
-        state = state.join(of_node, "node", "left").join(of_leader, "bucket", "left")
-        state = scratch.keep(state.select("bucket", "node", (F.coalesce("own", "node") != F.coalesce("lead", "bucket")).alias("open")), "minhash-state")
+        members = large.select(F.col("l1").alias("bucket"), "node").union(large.select(F.col("l1").alias("bucket"), "l1")).groupBy("bucket", "node").agg(F.count("*").alias("times"))
+        members = scratch.keep(members.select("bucket", "node"), "minhash-members")
+        more = [links]
+        for turn in range(PEELS + 1):
+            state = _state(members, labels, scratch)
+            many = state.where("open").groupBy("bucket").agg(F.count("*").alias("u")).where(F.col("u") > BLOCK)
+            if turn == PEELS or not many.limit(1).count():
+                break
+            # nodes by a hash that changes from round to round, the least of each slot
+            h = F.xxhash64("node", F.lit(turn))
+            led = state.where("open").join(many, "bucket").groupBy("bucket", F.pmod(h, F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("own").alias("of")), h).alias("r")).select("bucket", "r.*")
+            meet = state.join(led, "bucket").where("own <> of").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
+            more.append(verified(meet, threshold))
+            edges = edges.union(more[-1].select("a", "b"))
+            labels = connected_components(edges, "a", "b")
+            scratch.drop(state)
         ids = scratch.keep(state.select("node").distinct(), "minhash-ids")
         forest = scratch.keep(_block_links(state, texts_of(docs, ids, ids.count()), threshold, weighted, shingle_words), "minhash-forest")
         labels = connected_components(edges.union(forest), "a", "b")
-        scratch.drop(state, ids, forest)
+        scratch.drop(state, ids, forest, members, *more[1:])
     scratch.drop(shared, links)
     classes = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
     out = sk.select("node", "version", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")

@@ -69,6 +69,26 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     assert [got[i][0] for i in range(len(texts))] == want
 
 
+def test_open_nodes_lead_in_turn(spark, monkeypatch):
+    """Buckets of several groups, the largest of which the first leaders miss: rounds of leaders and blocks find what brute force finds."""
+    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(M, "LEADERS", 2)
+    blocks = []
+    keep, M._block_links = M._block_links, lambda state, *a: blocks.append(state.where("open").count()) or keep(state, *a)
+    try:
+        rng = random.Random(12)
+        base = words(rng, 220)
+        texts = [" ".join(edited(rng, base, rng.choice([2, 5, 7, 9]))) for _ in range(200)]
+        want = brute(texts, weighted=True)
+        for peels in (0, 4):
+            monkeypatch.setattr(M, "PEELS", peels)
+            got = classes(spark, list(enumerate(texts)))
+            assert [got[i][0] for i in range(len(texts))] == want
+    finally:
+        M._block_links = keep
+    assert blocks[1] < blocks[0] and len(set(want)) > 3
+
+
 def test_cases(spark):
     rows = [(1, None), (2, ""), (3, " ... "), (4, "x y"), (4, "x y"), (5, "X, y"), (None, "x y"), (None, None), (7, "word " * 60_000), (8, "word " * 60_000)]
     got = classes(spark, rows)
