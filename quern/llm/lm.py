@@ -55,9 +55,9 @@ BATCH = 4096
 #: Tokens in a row that stay together in a batch, so that a context vector is looked up once.
 RUN = 64
 #: Tokens that a copy holds and goes over in random order.
-BUFFER = 500_000
+BUFFER = 400_000
 #: Tokens that are scored together, so that the bins have many of them each.
-CHUNK = 250_000
+CHUNK = 120_000
 ROUNDS = 3
 #: Tokens of a shard; beyond MOST_SHARDS shards become longer.
 SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
@@ -66,7 +66,7 @@ ENOUGH, MOST_PASSES = 3_000_000, 8
 ALPHA = 0.1
 #: The most frequent tokens, whose counts workers get directly; the others meet theirs in a join.
 HEAD = 200_000
-#: Rows of a parameter matrix that travel together.
+#: Rows that are taken from a batch at a time, and rows of a parameter matrix that travel together.
 ROWS = 1024
 END = b""
 LN10 = math.log(10.0)
@@ -81,7 +81,7 @@ class _Hashes(dict):
     """Spark's xxhash64 of bytes modulo NGRAMS; remembers what it has met, up to a bound."""
 
     def __missing__(self, part: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[part] = xxhash.xxh64_intdigest(part, 42) % NGRAMS
         return out
@@ -129,11 +129,12 @@ def count_tokens(texts: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.update(tokens(t))
-                held[END] += 1
-                if len(held) > 400_000:
-                    yield flush()
+            for a in range(0, batch.num_rows, ROWS):
+                for t in batch.column(0).slice(a, ROWS).to_pylist():
+                    held.update(tokens(t))
+                    held[END] += 1
+                    if len(held) > 250_000:
+                        yield flush()
         if held:
             yield flush()
 
@@ -420,7 +421,7 @@ def _log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Coder:
     """Texts to codes: words of the vocabulary by number, others by their spelling; remembers what it has met."""
 
-    def __init__(self, stats: Statistics, most: int = 500_000):
+    def __init__(self, stats: Statistics, most: int = 150_000):
         self.stats, self.v, self.most = stats, len(stats.words), most
         self.forget()
 
@@ -488,15 +489,17 @@ def encode(docs: DataFrame, stats: Statistics) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["id", "ord", "training", "n", "known", "base", "within", "codes", "rare", "times"])
 
         for batch in batches:
-            words, n, first = [], [], 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                w = tokens(text)
-                words += w
-                words.append(END)
-                n.append(len(w) + 1)
-                if len(words) > 200_000 or i + 1 == batch.num_rows:
-                    yield table(batch.slice(first, len(n)), words, np.array(n))
-                    words, n, first = [], [], i + 1
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                words, n, first = [], [], 0
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    w = tokens(text)
+                    words += w
+                    words.append(END)
+                    n.append(len(w) + 1)
+                    if len(words) > 200_000 or i + 1 == part.num_rows:
+                        yield table(part.slice(first, len(n)), words, np.array(n))
+                        words, n, first = [], [], i + 1
 
     schema = f"id {kind}, ord long, training boolean, n long, known long, base double, within double, codes array<int>, rare array<binary>, times array<long>"
     return docs.select("id", "text", "ord", "training").mapInArrow(run, schema)
