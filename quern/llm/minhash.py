@@ -1,6 +1,7 @@
 """MinHash near-duplicate detection with DartMinHash signatures.
 
-A document is the multiset (or, on demand, the set) of its five-word shingles.  Every element
+A document is the set (or, on demand, the multiset) of its five-word shingles, each
+with a weight that grows with how often it occurs.  Every element
 owns a strip of the plane: its weight on one axis, rank on the other.  Darts fall
 on a strip as a Poisson process that depends on the element alone; a dart counts
 if it lies below the element's weight and below a rank limit chosen so that a
@@ -15,9 +16,10 @@ start.  Buckets of up to ``SMALL`` nodes are compared in full, so a row meets a
 bounded number of partners.  The nodes of larger buckets are compared with two
 leaders of the bucket.  Nodes that are not in the bucket's largest component then are
 open; while there are many, some of them lead in turn and meet those of the bucket that they are not
-yet connected with, which closes most.  The rest meet all
-nodes of the bucket in blocks of ``BLOCK``, by exact counts of common shingles, and
-a pair of blocks gives a forest of its links, not the links.  No link is given up,
+yet connected with, which closes most.  The signatures of the rest meet those of all
+nodes of the bucket in blocks of ``SIGNATURES``, and what they do not rule out is checked exactly.
+Pairs of blocks with too many candidates for that compare the texts of these nodes in blocks of
+``BLOCK_SHINGLES``, by exact counts of common shingles, and give a forest of their links, not the links.  No link is given up,
 no group is gathered in one task, and rows grow in proportion to the input.
 """
 
@@ -153,6 +155,15 @@ def chunks(texts: list, limit: int):
         yield start, len(texts)
 
 
+def damped(counts: np.ndarray) -> np.ndarray:
+    """Weights of shingles in a signature where similarity is by sets: 1, and a little more for repeated ones.
+
+    A set similarity of 0.8 is then hardly less by these weights, while texts that share
+    no more than a line said over and over come no nearer than as sets.
+    """
+    return 1 + np.log2(counts) / 8
+
+
 def version_of(text):
     """What tells rows of one id apart: a hash of the text."""
     return F.xxhash64(text.cast("string"))
@@ -172,7 +183,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str, weighted: bool = False, ba
                     u, c = np.unique(shingler.shingles(t), return_counts=True)
                     sets.append(u)
                     weights.append(c)
-                sig = dart.signatures(sets, weights if weighted else None)
+                sig = dart.signatures(sets, weights if weighted else [damped(c) for c in weights])
                 keys = band_keys(sig, bands, rows)
                 hashed = [xxhash.xxh3_128_intdigest(u.tobytes() + (c.tobytes() if weighted else b"")) if len(u) else None for u, c in zip(sets, weights)]
                 low = (sig & np.uint64(255)).astype(np.uint8)
@@ -244,10 +255,10 @@ def prefilter(pairs: DataFrame, sigs: DataFrame, least: float, k: int) -> DataFr
 
 #: Buckets of up to so many nodes are compared in full.
 SMALL = 32
-#: Nodes of a block of a larger bucket; two blocks meet in a task.
-BLOCK = 64
-#: Rounds in which open nodes lead, and how many of them in a bucket; only buckets with more than BLOCK open nodes need it.
-PEELS, LEADERS = 4, 8
+#: Shingles of a block of texts, two of which meet in a task.
+BLOCK_SHINGLES = 100_000
+#: Rounds in which open nodes lead, how many of them in a bucket, and open nodes of a bucket beyond which they do.
+PEELS, LEADERS, MANY = 2, 8, 64
 #: Ids that are broadcast at most, to read only the texts that are compared.
 BROADCAST_IDS = 2_000_000
 
@@ -257,9 +268,10 @@ def texts_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "node", "left_semi")
 
 
-def common_counts(sets: list[np.ndarray], columns: int = 16384) -> np.ndarray:
-    """How many elements each two sets share."""
+def common_counts(sets: list[np.ndarray], numbers: int = 8_000_000) -> np.ndarray:
+    """How many elements each two sets share, by products of matrices of so many numbers."""
     n = len(sets)
+    columns = max(64, numbers // n)
     owner = np.repeat(np.arange(n), [len(x) for x in sets])
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1  # an element of one set alone counts for nothing
@@ -279,17 +291,9 @@ def common_counts(sets: list[np.ndarray], columns: int = 16384) -> np.ndarray:
 def _block_links(state: DataFrame, texts: DataFrame, threshold: float, weighted: bool, shingle_words: int) -> DataFrame:
     """Links (a, b) between nodes of large buckets in different components, as forests.
 
-    ``state`` has (bucket, node, open): open nodes are compared with all of their bucket.
+    ``state`` has (bucket, node, own, open): open nodes are compared with all of their bucket.
     """
-    sizes = state.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("open").alias("u")).where("u > 0")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long").alias(c)
-    rows = state.join(sizes.select("bucket", blocks("n"), blocks("u")), "bucket")
-    h = F.xxhash64("node")
-    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    # side 0: as one of the open nodes, against each block of all; side 1: as one of all, against each block of open ones
-    first = F.when(F.col("open"), F.transform(upto("n"), lambda j: F.struct(F.pmod(h, "u").alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.expr("cast(array() as array<struct<i:bigint,j:bigint,side:int>>)"))
-    second = F.transform(upto("u"), lambda i: F.struct(i.alias("i"), F.pmod(h, "n").alias("j"), F.lit(1).alias("side")))
-    tasks = rows.select("bucket", "node", F.explode(F.concat(first, second)).alias("t")).select("bucket", "node", "t.*").join(texts, "node")
+    tasks = _blocked(state, BLOCK_SHINGLES).join(texts, "node")
 
     def compare(table: pa.Table) -> pa.Table:
         shingler = Shingler(shingle_words)
@@ -318,6 +322,54 @@ def _block_links(state: DataFrame, texts: DataFrame, threshold: float, weighted:
     return tasks.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+#: Nodes of a block whose signatures are compared, and candidates per node beyond which a pair of blocks is compared by its texts.
+SIGNATURES, MOST_CANDIDATES = 1024, 16
+
+
+def _blocked(state: DataFrame, shingles: int | None = None) -> DataFrame:
+    """(bucket, node, own, side, i, j): each node in the pairs of blocks that it is in, open nodes against all of their bucket.
+
+    Blocks have about SIGNATURES nodes, and no more than so many shingles together, if that is
+    given.  Side 0: as one of the open nodes, against each block of all; side 1: as one of all,
+    against each block of open ones.
+    """
+    weight = F.lit(1 / SIGNATURES) if shingles is None else F.greatest(F.lit(1 / SIGNATURES), F.col("n_shingles") / shingles)
+    blocks = lambda w: F.ceil(F.sum(w)).cast("long")
+    sizes = state.groupBy("bucket").agg(blocks(weight).alias("n"), blocks(F.when(F.col("open"), weight)).alias("u")).where("u > 0")
+    rows = state.join(sizes, "bucket")
+    h = F.xxhash64("node")
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    first = F.when(F.col("open"), F.transform(upto("n"), lambda j: F.struct(F.pmod(h, "u").alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.expr("cast(array() as array<struct<i:bigint,j:bigint,side:int>>)"))
+    second = F.transform(upto("u"), lambda i: F.struct(i.alias("i"), F.pmod(h, "n").alias("j"), F.lit(1).alias("side")))
+    return rows.select("bucket", "node", "own", F.explode(F.concat(first, second)).alias("t")).select("bucket", "node", "own", "t.*")
+
+
+def _candidates(state: DataFrame, sigs: DataFrame, least: float, k: int) -> DataFrame:
+    """(bucket, a, b) of nodes in different components whose signatures do not rule a link out, an open one and any.
+
+    A pair of blocks with more than MOST_CANDIDATES of them per node gives its nodes instead: (bucket, a, null).
+    """
+    floor = least - 5 * math.sqrt(least * (1 - least) / k)
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, own, side = (table[c].to_numpy() for c in ("node", "own", "side"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, k)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        near = np.zeros((len(x), len(y)), np.int16)
+        for c in range(k):
+            near += sig[x, c][:, None] == sig[y, c][None, :]
+        near = (near >= floor * k) & (own[x][:, None] != own[y][None, :])
+        i, j = np.nonzero(near)
+        bucket = table["bucket"][0].as_py()
+        if len(i) > MOST_CANDIDATES * (len(x) + len(y)):
+            both = np.unique(np.concatenate([node[x[np.unique(i)]], node[y[np.unique(j)]]]))
+            return pa.table({"bucket": np.full(len(both), bucket), "a": both, "b": pa.nulls(len(both), pa.int64())})
+        a, b = node[x[i]], node[y[j]]
+        return pa.table({"bucket": np.full(len(a), bucket), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return _blocked(state).join(sigs, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "bucket long, a long, b long")
+
+
 def _state(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(bucket, node, own, open) of members (bucket, node): the node's component, and whether it is not the bucket's largest."""
     of_node = labels.select("node", F.col("label").alias("own"))
@@ -338,7 +390,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = THRESHOLD,
-    weighted: bool = True,
+    weighted: bool = False,
     bands: int = BANDS,
     rows: int = ROWS,
     shingle_words: int = SHINGLE_WORDS,
@@ -346,8 +398,8 @@ def near_duplicates(
     """One row per input row: (id_col, class_id, kept, n_shingles, version).
 
     ``class_id`` is the least id reachable by links, a link being a pair of documents
-    whose five-word shingles have a Jaccard similarity of at least ``threshold``: by their
-    counts (sum of the smaller over sum of the larger ones), or as sets if not ``weighted``; ``kept`` marks the document of that id.
+    whose five-word shingles have a Jaccard similarity of at least ``threshold``, as sets, or
+    if ``weighted`` by their counts (sum of the smaller over sum of the larger ones); ``kept`` marks the document of that id.
 
     * Null, empty or wordless texts have nothing to compare: own class, kept.
     * A null id has a null class and is kept.  Rows that repeat an id are versions of
@@ -362,7 +414,7 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     sk = scratch.keep(sketch(docs, "node", "text", weighted, bands, rows, shingle_words), "minhash-sketch")
     known = sk.where("node is not null and h1 is not null")
-    nodes = scratch.keep(known.groupBy("h1", "h2").agg(F.min(F.struct("node", "sig", "bands")).alias("r")).select("h1", "h2", "r.node", "r.sig", "r.bands"), "minhash-nodes")
+    nodes = scratch.keep(known.groupBy("h1", "h2").agg(F.min(F.struct("node", "n_shingles", "sig", "bands")).alias("r")).select("h1", "h2", "r.node", "r.n_shingles", "r.sig", "r.bands"), "minhash-nodes")
     sigs = nodes.select("node", "sig")
 
     def verified(pairs: DataFrame, least: float) -> DataFrame:
@@ -391,7 +443,7 @@ def near_duplicates(
         more = [links]
         for turn in range(PEELS + 1):
             state = _state(members, labels, scratch)
-            many = state.where("open").groupBy("bucket").agg(F.count("*").alias("u")).where(F.col("u") > BLOCK)
+            many = state.where("open").groupBy("bucket").agg(F.count("*").alias("u")).where(F.col("u") > MANY)
             if turn == PEELS or not many.limit(1).count():
                 break
             # nodes by a hash that changes from round to round, the least of each slot
@@ -399,12 +451,19 @@ def near_duplicates(
             led = state.where("open").join(many, "bucket").groupBy("bucket", F.pmod(h, F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("own").alias("of")), h).alias("r")).select("bucket", "r.*")
             meet = state.join(led, "bucket").where("own <> of").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
             more.append(verified(meet, threshold))
+            if not more[-1].limit(1).count():
+                break
             edges = edges.union(more[-1].select("a", "b"))
             labels = connected_components(edges, "a", "b")
             scratch.drop(state)
-        ids = scratch.keep(state.select("node").distinct(), "minhash-ids")
-        forest = scratch.keep(_block_links(state, texts_of(docs, ids, ids.count()), threshold, weighted, shingle_words), "minhash-forest")
+        close = scratch.keep(_candidates(state, sigs, threshold, k), "minhash-close")
+        more.append(verified(close.where("b is not null").select("a", "b").distinct(), threshold))
+        edges = edges.union(more[-1].select("a", "b"))
+        dense = state.join(close.where("b is null").select("bucket", F.col("a").alias("node")).distinct(), ["bucket", "node"], "left_semi").join(nodes.select("node", "n_shingles"), "node")
+        ids = scratch.keep(dense.select("node").distinct(), "minhash-ids")
+        forest = scratch.keep(_block_links(dense, texts_of(docs, ids, ids.count()), threshold, weighted, shingle_words), "minhash-forest")
         labels = connected_components(edges.union(forest), "a", "b")
+        scratch.drop(close)
         scratch.drop(state, ids, forest, members, *more[1:])
     scratch.drop(shared, links)
     classes = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))

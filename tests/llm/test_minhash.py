@@ -64,29 +64,31 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     rng = random.Random(7)
     base = words(rng, 150)
     texts = [" ".join(edited(rng, base, rng.choice([1, 2, 4, 6, 8]))) for _ in range(170)] + [" ".join(words(rng, 60)) for _ in range(20)]
-    want = brute(texts, weighted=True)
+    want = brute(texts)
     got = classes(spark, list(enumerate(texts)))
     assert [got[i][0] for i in range(len(texts))] == want
 
 
-def test_open_nodes_lead_in_turn(spark, monkeypatch):
-    """Buckets of several groups, the largest of which the first leaders miss: rounds of leaders and blocks find what brute force finds."""
-    monkeypatch.setattr(M, "BLOCK", 4)
+def test_open_nodes_of_large_buckets(spark, monkeypatch):
+    """Buckets of several groups: rounds of leaders, blocks of signatures and blocks of texts find what brute force finds."""
+    monkeypatch.setattr(M, "MANY", 4)
     monkeypatch.setattr(M, "LEADERS", 2)
-    blocks = []
-    keep, M._block_links = M._block_links, lambda state, *a: blocks.append(state.where("open").count()) or keep(state, *a)
-    try:
-        rng = random.Random(12)
-        base = words(rng, 220)
-        texts = [" ".join(edited(rng, base, rng.choice([2, 5, 7, 9]))) for _ in range(200)]
-        want = brute(texts, weighted=True)
-        for peels in (0, 4):
-            monkeypatch.setattr(M, "PEELS", peels)
-            got = classes(spark, list(enumerate(texts)))
-            assert [got[i][0] for i in range(len(texts))] == want
-    finally:
-        M._block_links = keep
-    assert blocks[1] < blocks[0] and len(set(want)) > 3
+    monkeypatch.setattr(M, "SIGNATURES", 16)
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 3000)
+    asked, dense = [], []
+    close, links = M._candidates, M._block_links
+    monkeypatch.setattr(M, "_candidates", lambda state, *a: asked.append(state.where("open").count()) or close(state, *a))
+    monkeypatch.setattr(M, "_block_links", lambda state, *a: dense.append(state.count()) or links(state, *a))
+    rng = random.Random(12)
+    base = words(rng, 220)
+    texts = [" ".join(edited(rng, base, rng.choice([2, 5, 7, 9]))) for _ in range(200)]
+    want = brute(texts)
+    for peels, most in ((0, 1000), (0, 0), (3, 1000), (3, 0)):
+        monkeypatch.setattr(M, "PEELS", peels)
+        monkeypatch.setattr(M, "MOST_CANDIDATES", most)
+        got = classes(spark, list(enumerate(texts)))
+        assert [got[i][0] for i in range(len(texts))] == want
+    assert asked[2] <= asked[0] and len(set(want)) > 3 and dense[0] == dense[2] == 0 and dense[1] > 0
 
 
 def test_cases(spark):
@@ -121,23 +123,28 @@ def test_signatures_estimate_weighted_similarity():
     assert (d.signatures([a])[0] == d.signatures([b, a])[1]).all()
 
 
-def test_query_uses_counts(spark, tmp_path):
-    """The query's links are by counts of shingles: a text is no copy of itself said three times over."""
+def test_signatures_of_the_query_are_weighted(spark, tmp_path, monkeypatch):
+    """Repeats weigh in the signatures, links are by sets: texts with one line said over and over are no copies."""
     from quern.llm import queries
 
     rng = random.Random(3)
-    once = words(rng, 60)
-    rows = [(1, " ".join(once)), (2, " ".join(once * 3)), (3, " ".join(once * 3 + once[:9])), (4, " ".join(once) + " end")]
+    once, line = words(rng, 60), words(rng, 12)
+    rows = [(1, " ".join(once)), (2, " ".join(once * 3)), (3, " ".join(once * 3 + once[:9])), *((10 + i, " ".join(line * 40 + words(rng, 30))) for i in range(5))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.class_id for r in queries.op1_minhash_dedup(spark, str(tmp_path)).collect()}
-    assert brute([t for _, t in rows], weighted=True) == [0, 1, 1, 0] and got == {1: 1, 2: 2, 3: 2, 4: 1}
+    want = brute([t for _, t in rows])
+    assert [got[i] for i, _ in rows] == [rows[g][0] for g in want] and len(set(got.values())) == 6
+    assert len(set(brute([t for _, t in rows], weighted=True)) & set(range(3, 8))) == 1  # by counts they would be
+    sets = [np.array([1, 2, 3], np.uint64), np.array([1, 2, 4], np.uint64)]
+    plain, heavy = (M.DartMinHash(4000).signatures(sets, [M.damped(np.array(c)) for c in counts]) for counts in (([1, 1, 1], [1, 1, 1]), ([4096, 1, 1], [4096, 1, 1])))
+    assert (plain[0] == plain[1]).mean() == pytest.approx(2 / 4, abs=0.04) and (heavy[0] == heavy[1]).mean() == pytest.approx(3.5 / 5.5, abs=0.04)
 
 
 def test_recall_on_documents(spark):
     """Every pair of documents of the small table that is linked by brute force is in one class, and no other."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows += [(10_000 + i, t + " and a few more") for i, t in rows if t][:60]
-    want = brute([t for _, t in rows], weighted=True)
+    want = brute([t for _, t in rows])
     got = classes(spark, rows)
     first: dict = {}
     for (i, _), g in zip(rows, want):
