@@ -64,21 +64,52 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
             ),
         ).alias("parts"),
     )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
-
-    def step(acc, p):
-        start = acc.getField("at") + F.length(p.getField("head"))
-        size = F.length(p.getField("text"))
-        spans = F.when(p.getField("loss"), F.concat(acc.getField("spans"), F.array(F.struct(start.cast("long").alias("start"), size.cast("long").alias("length"))))).otherwise(acc.getField("spans"))
-        return F.struct((start + size + F.length(p.getField("tail"))).cast("long").alias("at"), spans.alias("spans"))
-
     return marked.select(
         F.col("_conv").alias(conv_col),
         F.array_join(F.transform("parts", lambda p: F.concat(p.getField("head"), p.getField("text"), p.getField("tail"))), "").alias("formatted"),
-        F.aggregate("parts", zero, step, lambda acc: acc.getField("spans")).alias("loss_spans"),
+        _let(F.transform("parts", lambda p: F.struct(*[F.length(p.getField(c)).cast("long").alias(c) for c in ("head", "text", "tail")], p.getField("loss").alias("loss"))), _spans).alias("loss_spans"),
     )
 
 
+#: Turns whose spans are appended one by one; runs of so many turns are put together at once, so that time hardly grows faster than a conversation.
+CHUNK = 64
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _chunks(items: Column) -> Column:
+    """An array in runs of CHUNK; an empty one is one empty run."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(F.size(items) > 0, runs).otherwise(F.array(items))
+
+
+def _spans(sizes: Column) -> Column:
+    """Spans of the texts under the mask, from the lengths of heads, texts and tails."""
+    long = lambda x: F.lit(x).cast("long")
+    whole = lambda p: p.getField("head") + p.getField("text") + p.getField("tail")
+
+    def step(acc, p):
+        start = acc.getField("at") + p.getField("head")
+        span = F.struct(start.alias("start"), p.getField("text").alias("length"))
+        spans = F.when(p.getField("loss"), F.concat(acc.getField("spans"), F.array(span))).otherwise(acc.getField("spans"))
+        return F.struct((acc.getField("at") + whole(p)).alias("at"), spans.alias("spans"))
+
+    def inside(run, start):
+        zero = F.struct(start.alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
+        return F.aggregate(run, zero, step, lambda acc: acc.getField("spans"))
+
+    def put(runs):
+        lengths = F.transform(runs, lambda run: F.aggregate(run, long(0), lambda n, p: n + whole(p)))
+        zero = F.struct(long(0).alias("at"), F.expr("cast(array() as array<bigint>)").alias("all"))
+        starts = F.aggregate(lengths, zero, lambda acc, n: F.struct((acc.getField("at") + n).alias("at"), F.concat(acc.getField("all"), F.array(acc.getField("at"))).alias("all")), lambda acc: acc.getField("all"))
+        return _let(starts, lambda at: F.flatten(F.transform(runs, lambda run, i: inside(run, F.get(at, i)))))
+
+    return _let(_chunks(sizes), put)
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns, array<struct<role,text>>, of a formatted conversation."""
     runs = F.split(formatted, r"(?<=</turn>)\n(?=### |$)")
@@ -95,8 +126,15 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s.getField("start") + 1).cast("int"), s.getField("length").cast("int")))), "")
+    """All text under the loss mask, unescaped: runs of spans are cut out first, spans from those."""
+    end = lambda s: s.getField("start") + s.getField("length")
+
+    def run_text(run):
+        first = F.get(run, 0).getField("start")
+        part = F.substring(formatted, (first + 1).cast("int"), (end(F.element_at(run, -1)) - first).cast("int"))
+        return _let(part, lambda x: F.array_join(F.transform(run, lambda s: unescape(F.substring(x, (s.getField("start") - first + 1).cast("int"), s.getField("length").cast("int")))), ""))
+
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(_chunks(spans), run_text), "")).otherwise("")
 
 
 def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:

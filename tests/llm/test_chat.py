@@ -16,6 +16,7 @@ def test_round_trip(spark):
     roles = ["user", "assistant", "system", "a:b", "### x", "", "assistant", "Assistant", "</turn>"]
     rows = [(c, t, rng.choice(roles), "".join(rng.choice(pieces) for _ in range(rng.randrange(0, 9)))) for c in range(120) for t in range(rng.randrange(1, 7))]
     rows += [(900, 0, None, None), (900, 1, "assistant", None), (None, 0, "user", "x"), (901, 1, "user", "same"), (901, 1, "user", "same"), (902, None, "assistant", "z" * 300_000), (902, 2, "assistant", "end")]
+    rows += [(903, t, rng.choice(roles), rng.choice(pieces) * rng.randrange(3)) for t in range(1500)] + [(904, t, "assistant", "a") for t in range(64)] + [(905, t, "user", "a") for t in range(65)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as turns", "'q' as formatted", "2 as parts")
     f = chat.format_conversations(df)
     got = {r.conv_id: r for r in chat.digests(f).collect()}
