@@ -255,8 +255,8 @@ def prefilter(pairs: DataFrame, sigs: DataFrame, least: float, k: int) -> DataFr
 
 #: Buckets of up to so many nodes are compared in full.
 SMALL = 32
-#: Shingles of a block of texts, two of which meet in a task.
-BLOCK_SHINGLES = 100_000
+#: Texts of a block, two of which meet in a task, and their shingles at most (or a single longer text's).
+BLOCK, BLOCK_SHINGLES = 256, 50_000
 #: Rounds in which open nodes lead, how many of them in a bucket, and open nodes of a bucket beyond which they do.
 PEELS, LEADERS, MANY = 2, 8, 64
 #: Ids that are broadcast at most, to read only the texts that are compared.
@@ -268,7 +268,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "node", "left_semi")
 
 
-def common_counts(sets: list[np.ndarray], numbers: int = 8_000_000) -> np.ndarray:
+def common_counts(sets: list[np.ndarray], numbers: int = 4_000_000) -> np.ndarray:
     """How many elements each two sets share, by products of matrices of so many numbers."""
     n = len(sets)
     columns = max(64, numbers // n)
@@ -285,7 +285,7 @@ def common_counts(sets: list[np.ndarray], numbers: int = 8_000_000) -> np.ndarra
         m[owner[here], at[here] - start] = 1
         out += m @ m.T
     out[np.arange(n), np.arange(n)] = [len(x) for x in sets]
-    return out.round().astype(np.int64)
+    return out.round().astype(np.int32)
 
 
 def _block_links(state: DataFrame, texts: DataFrame, threshold: float, weighted: bool, shingle_words: int) -> DataFrame:
@@ -293,7 +293,7 @@ def _block_links(state: DataFrame, texts: DataFrame, threshold: float, weighted:
 
     ``state`` has (bucket, node, own, open): open nodes are compared with all of their bucket.
     """
-    tasks = _blocked(state, BLOCK_SHINGLES).join(texts, "node")
+    tasks = _blocked(state, BLOCK, BLOCK_SHINGLES).join(texts, "node")
 
     def compare(table: pa.Table) -> pa.Table:
         shingler = Shingler(shingle_words)
@@ -304,7 +304,7 @@ def _block_links(state: DataFrame, texts: DataFrame, threshold: float, weighted:
         else:
             sets = [u for u, _ in found]
         common = common_counts(sets)
-        size = np.diag(common)
+        size = np.diag(common).copy()
         whole = size[:, None] + size[None, :] - common
         linked = (common >= threshold * whole) & (whole > 0) & (side[:, None] == 0) & (side[None, :] == 1) & (node[:, None] != node[None, :])
         row, col = np.nonzero(linked)
@@ -326,14 +326,14 @@ def _block_links(state: DataFrame, texts: DataFrame, threshold: float, weighted:
 SIGNATURES, MOST_CANDIDATES = 1024, 16
 
 
-def _blocked(state: DataFrame, shingles: int | None = None) -> DataFrame:
+def _blocked(state: DataFrame, size: int, shingles: int | None = None) -> DataFrame:
     """(bucket, node, own, side, i, j): each node in the pairs of blocks that it is in, open nodes against all of their bucket.
 
-    Blocks have about SIGNATURES nodes, and no more than so many shingles together, if that is
+    Blocks have about ``size`` nodes, and no more than so many shingles together, if that is
     given.  Side 0: as one of the open nodes, against each block of all; side 1: as one of all,
     against each block of open ones.
     """
-    weight = F.lit(1 / SIGNATURES) if shingles is None else F.greatest(F.lit(1 / SIGNATURES), F.col("n_shingles") / shingles)
+    weight = F.lit(1 / size) if shingles is None else F.greatest(F.lit(1 / size), F.col("n_shingles") / shingles)
     blocks = lambda w: F.ceil(F.sum(w)).cast("long")
     sizes = state.groupBy("bucket").agg(blocks(weight).alias("n"), blocks(F.when(F.col("open"), weight)).alias("u")).where("u > 0")
     rows = state.join(sizes, "bucket")
@@ -367,7 +367,7 @@ def _candidates(state: DataFrame, sigs: DataFrame, least: float, k: int) -> Data
         a, b = node[x[i]], node[y[j]]
         return pa.table({"bucket": np.full(len(a), bucket), "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return _blocked(state).join(sigs, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "bucket long, a long, b long")
+    return _blocked(state, SIGNATURES).join(sigs, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "bucket long, a long, b long")
 
 
 def _state(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:

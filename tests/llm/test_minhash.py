@@ -74,6 +74,7 @@ def test_open_nodes_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(M, "MANY", 4)
     monkeypatch.setattr(M, "LEADERS", 2)
     monkeypatch.setattr(M, "SIGNATURES", 16)
+    monkeypatch.setattr(M, "BLOCK", 12)
     monkeypatch.setattr(M, "BLOCK_SHINGLES", 3000)
     asked, dense = [], []
     close, links = M._candidates, M._block_links
