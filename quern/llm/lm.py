@@ -33,12 +33,13 @@ from __future__ import annotations
 import copy
 import math
 from collections import Counter
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.scratch import Scratch
 
@@ -65,7 +66,7 @@ SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
 ENOUGH, MOST_PASSES = 3_000_000, 8
 ALPHA = 0.1
 #: The most frequent tokens, whose counts workers get directly; the others meet theirs in a join.
-HEAD = 200_000
+HEAD = 100_000
 #: Rows that are taken from a batch at a time, and rows of a parameter matrix that travel together.
 ROWS = 1024
 END = b""
@@ -421,7 +422,7 @@ def _log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Coder:
     """Texts to codes: words of the vocabulary by number, others by their spelling; remembers what it has met."""
 
-    def __init__(self, stats: Statistics, most: int = 150_000):
+    def __init__(self, stats: Statistics, most: int = 60_000):
         self.stats, self.v, self.most = stats, len(stats.words), most
         self.forget()
 
@@ -620,6 +621,18 @@ def _add_up(batches):
         yield out()
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Batches of so many rows for what is run inside, so that texts of any length take less memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, growth: float = GROWTH) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row's whole text.
 
@@ -635,10 +648,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("training", training_fold("id")).withColumn("ord", F.xxhash64(F.col("id").cast("string"), "text"))
     docs = docs.withColumn("text", F.col("text").cast("binary"))  # UTF-8, which needs no decoding on the way to Python
-    counts = scratch.keep(count_tokens(docs.where("training").select("text")), "lm-counts")
-    stats = gather(counts, head, growth)
-    encoded = scratch.keep(encode(docs, stats).withColumn("row", F.monotonically_increasing_id()), "lm-encoded")
-    shared = spark.sparkContext.broadcast(train(encoded, stats, scratch))
+    with batches_of(spark, ROWS):
+        counts = scratch.keep(count_tokens(docs.where("training").select("text")), "lm-counts")
+        stats = gather(counts, head, growth)
+        encoded = scratch.keep(encode(docs, stats).withColumn("row", F.monotonically_increasing_id()), "lm-encoded")
+        shared = spark.sparkContext.broadcast(train(encoded, stats, scratch))
     kind = dict(encoded.dtypes)["id"]
 
     def run(batches):

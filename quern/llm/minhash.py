@@ -258,7 +258,7 @@ SMALL = 32
 #: Texts of a block, two of which meet in a task, and their shingles at most (or a single longer text's).
 BLOCK, BLOCK_SHINGLES = 256, 50_000
 #: Rounds in which open nodes lead, how many of them in a bucket, and open nodes of a bucket beyond which they do.
-PEELS, LEADERS, MANY = 2, 8, 64
+PEELS, LEADERS, MANY = 4, 8, 4096
 #: Ids that are broadcast at most, to read only the texts that are compared.
 BROADCAST_IDS = 2_000_000
 
@@ -370,13 +370,13 @@ def _candidates(state: DataFrame, sigs: DataFrame, least: float, k: int) -> Data
     return _blocked(state, SIGNATURES).join(sigs, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "bucket long, a long, b long")
 
 
-def _state(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def _state(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, node, own, open) of members (bucket, node): the node's component, and whether it is not the bucket's largest."""
     of_node = labels.select("node", F.col("label").alias("own"))
     each = members.join(of_node, "node", "left").select("bucket", "node", F.coalesce("own", "node").alias("own"))
     sizes = each.groupBy("bucket", "own").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "own")).getField("own").alias("main"))
-    return scratch.keep(each.join(main, "bucket").select("bucket", "node", "own", (F.col("own") != F.col("main")).alias("open")), "minhash-state")
+    return each.join(main, "bucket").select("bucket", "node", "own", (F.col("own") != F.col("main")).alias("open"))
 
 
 def _pairs_within(groups: DataFrame) -> DataFrame:
@@ -439,12 +439,11 @@ def near_duplicates(
     labels = connected_components(edges, "a", "b")
     if large.limit(1).count():
         members = large.select(F.col("l1").alias("bucket"), "node").union(large.select(F.col("l1").alias("bucket"), "l1")).groupBy("bucket", "node").agg(F.count("*").alias("times"))
-        members = scratch.keep(members.select("bucket", "node"), "minhash-members")
+        state = scratch.keep(_state(members.select("bucket", "node"), labels), "minhash-state")
         more = [links]
-        for turn in range(PEELS + 1):
-            state = _state(members, labels, scratch)
+        for turn in range(PEELS):
             many = state.where("open").groupBy("bucket").agg(F.count("*").alias("u")).where(F.col("u") > MANY)
-            if turn == PEELS or not many.limit(1).count():
+            if not many.limit(1).count():
                 break
             # nodes by a hash that changes from round to round, the least of each slot
             h = F.xxhash64("node", F.lit(turn))
@@ -455,16 +454,24 @@ def near_duplicates(
                 break
             edges = edges.union(more[-1].select("a", "b"))
             labels = connected_components(edges, "a", "b")
-            scratch.drop(state)
+            before, state = state, scratch.keep(_state(state.select("bucket", "node"), labels), "minhash-state")
+            scratch.drop(before)
         close = scratch.keep(_candidates(state, sigs, threshold, k), "minhash-close")
-        more.append(verified(close.where("b is not null").select("a", "b").distinct(), threshold))
-        edges = edges.union(more[-1].select("a", "b"))
-        dense = state.join(close.where("b is null").select("bucket", F.col("a").alias("node")).distinct(), ["bucket", "node"], "left_semi").join(nodes.select("node", "n_shingles"), "node")
-        ids = scratch.keep(dense.select("node").distinct(), "minhash-ids")
-        forest = scratch.keep(_block_links(dense, texts_of(docs, ids, ids.count()), threshold, weighted, shingle_words), "minhash-forest")
-        labels = connected_components(edges.union(forest), "a", "b")
-        scratch.drop(close)
-        scratch.drop(state, ids, forest, members, *more[1:])
+        rest = []  # most often there is nothing left to do
+        if close.where("b is not null").limit(1).count():
+            rest.append(verified(close.where("b is not null").select("a", "b").distinct(), threshold))
+        if close.where("b is null").limit(1).count():
+            dense = state.join(close.where("b is null").select("bucket", F.col("a").alias("node")).distinct(), ["bucket", "node"], "left_semi").join(nodes.select("node", "n_shingles"), "node")
+            ids = scratch.keep(dense.select("node").distinct(), "minhash-ids")
+            rest.append(scratch.keep(_block_links(dense, texts_of(docs, ids, ids.count()), threshold, weighted, shingle_words), "minhash-forest"))
+            scratch.drop(ids)
+        rest = [x for x in rest if x.limit(1).count()]
+        if rest:
+            for x in rest:
+                edges = edges.union(x.select("a", "b"))
+            labels = connected_components(edges, "a", "b")
+        more += rest
+        scratch.drop(close, state, *more[1:])
     scratch.drop(shared, links)
     classes = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
     out = sk.select("node", "version", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
