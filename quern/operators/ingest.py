@@ -79,13 +79,18 @@ def migration(index: DataFrame, path: str = "path", source: str = "source") -> D
     return index.select("id", F.col(source).alias("current"), desired.alias("desired"), outcome.alias("outcome"))
 
 
-def backfill(stored: DataFrame, computed: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Keys of which some column differs from what was computed, a missing value included."""
+def backfill(stored: DataFrame, computed: DataFrame, key: str, columns: list[str], collections: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Keys, within the collections, of which some column differs from what was computed, a missing value included.
+
+    With a limit, so many of them in the order of the key: what one run is to write.
+    """
+    scope = stored.where(F.col("collection").isin(collections)) if collections else stored
     c = computed.select(key, *[F.col(x).alias(f"_c_{x}") for x in columns])
     differ = F.lit(False)
     for x in columns:
         differ = differ | ~F.col(x).eqNullSafe(F.col(f"_c_{x}"))
-    return stored.join(c, key).where(differ).select(key, *[F.col(f"_c_{x}").alias(x) for x in columns])
+    out = scope.join(c, key).where(differ).select(key, *[F.col(f"_c_{x}").alias(x) for x in columns])
+    return out.orderBy(key).limit(limit) if limit is not None else out
 
 
 def common_root(paths: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quern.functions.kernels import cosine_to, matrices, unit_rows
-from quern.functions.vectors import TINY, dot, l2_normalise
+from quern.functions.vectors import TINY, l2_normalise
 
 # fixed values: limits of the search interface
 MOST_LIMIT = 200
@@ -261,6 +261,11 @@ def compose(positive: Sequence[Sequence[float]], negative: Sequence[Sequence[flo
     return blend([[a - b for a, b in zip(mean(positive), mean(negative))]])
 
 
+def canonical_prompt(text: str) -> str:
+    """A prompt as the encoder gets it: trimmed and in lower case, so that spellings share a vector."""
+    return text.strip().lower()
+
+
 def normalise_prompts(q: str, positive: Sequence[str], negative: Sequence[str]) -> tuple[list[str], list[str]]:
     """Trimmed, without blank, overlong and (whatever the case) repeated prompts; q comes last; MOST_PROMPTS in all."""
 
@@ -306,16 +311,63 @@ def near_dup_threshold(seeds: DataFrame) -> DataFrame:
     """One row ``threshold``: first percentile (lower) of the cosine distances among seeds; 0 for fewer than two.
 
     All pairs of the set count.  Sets of up to SEEDS_AT_HAND seeds are compared by one matrix
-    product, larger ones by a distributed join.  Seeds without length are left out.
+    product, larger ones part by part.  Seeds without length are left out.
     """
     held = _at_hand(seeds)
     if held is not None:
         v = held[1]
         return seeds.sparkSession.createDataFrame([(_lower_percentile((1 - v @ v.T)[np.triu_indices(len(v), 1)]),)], "threshold double")
-    s = seeds.where(F.col("vector").isNotNull()).select("id", l2_normalise(F.col("vector")).alias("v")).where(F.col("v").isNotNull())
-    b = s.select(F.col("id").alias("id_b"), F.col("v").alias("v_b"))
-    d = s.join(b, F.col("id") < F.col("id_b")).select((1 - dot(F.col("v"), F.col("v_b"))).alias("d"))
-    return d.agg(F.coalesce(F.expr("percentile_disc(0.01) WITHIN GROUP (ORDER BY d)"), F.lit(0.0)).alias("threshold"))
+    return seeds.sparkSession.createDataFrame([(_percentile_by_blocks(seeds),)], "threshold double")
+
+
+def _blocks(seeds: DataFrame) -> list[DataFrame]:
+    """Seeds with a vector in parts of about SEEDS_AT_HAND / 2, by a hash of the id."""
+    numbered = seeds.where(F.col("vector").isNotNull()).select("id", "vector")
+    n = math.ceil(2 * numbered.count() / SEEDS_AT_HAND) + 1
+    return [numbered.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i) for i in range(n)]
+
+
+def _percentile_by_blocks(seeds: DataFrame, bins: int = 4096) -> float:
+    """The first percentile (lower) of all pairs' distances, found by counting them in ever finer bins.
+
+    Each part of the seeds goes to the tasks in turn and meets all seeds as they pass by, so
+    nothing but counts comes back; four passes settle a double's digits.
+    """
+    spark, held = seeds.sparkSession, seeds.where(F.col("vector").isNotNull()).select("id", "vector")
+    low, width, below, rank = -1e-9, (2 + 2e-9) / bins, 0, None
+    for _ in range(4):
+        counts = np.zeros(bins + 2, np.int64)  # what lies below, in each bin, above
+        for block in _blocks(seeds):
+            got = block.toArrow()
+            if not got.num_rows:
+                continue
+            v = unit_rows(np.array([np.asarray(x, float) for x in got["vector"].to_pylist()]))
+            on = v.any(1)
+            shared = spark.sparkContext.broadcast((np.array(got["id"].to_pylist())[on], v[on], low, width))
+
+            def run(batches, shared=shared):
+                ids, part, low, width = shared.value
+                total = np.zeros(bins + 2, np.int64)
+                for batch in batches:
+                    own = np.array(batch.column(0).to_pylist())
+                    for a, fits, m in matrices(batch.column(1), part.shape[1]):
+                        u = unit_rows(m)
+                        fits = fits & u.any(1)
+                        pairs = (own[a : a + len(m)][:, None] < ids[None, :]) & fits[:, None]
+                        at = np.floor((1 - u @ part.T - low) / width)[pairs]
+                        total += np.bincount(np.clip(at, -1, bins).astype(int) + 1, minlength=bins + 2)
+                yield pa.record_batch([pa.array(np.arange(bins + 2)), pa.array(total)], ["bin", "n"])
+
+            for r in held.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+                counts[r.bin] += r.n
+        if rank is None:
+            rank = max(1, math.ceil(0.01 * counts.sum()))
+            if not counts.sum():
+                return 0.0
+        upto = np.cumsum(counts)
+        at = int(np.searchsorted(upto, rank))
+        low, width = low + (at - 1) * width, width / bins
+    return low
 
 
 def near_dup_filter(candidates: DataFrame, seeds: DataFrame, threshold: DataFrame | float) -> DataFrame:
@@ -331,11 +383,9 @@ def near_dup_filter(candidates: DataFrame, seeds: DataFrame, threshold: DataFram
         shared = spark.sparkContext.broadcast(held[1])
         seen = _nearest(shared)
         return candidates.where(~F.coalesce(seen("vector") > 1 - least + 1e-9, F.lit(False)))
-    numbered = seeds.where(F.col("vector").isNotNull()).select("id", "vector")
-    blocks = math.ceil(numbered.count() / SEEDS_AT_HAND) + 1
     left = candidates
-    for i in range(blocks):  # each block is a pass; a candidate that is dropped is not seen again
-        left = near_dup_filter(left, numbered.where(F.pmod(F.xxhash64("id"), F.lit(4 * blocks)).between(4 * i, 4 * i + 3)), least)
+    for block in _blocks(seeds):  # each part is a pass; a candidate that is dropped is not seen again
+        left = near_dup_filter(left, block, least)
     return left
 
 

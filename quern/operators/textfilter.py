@@ -41,10 +41,20 @@ def fold(text: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c)).lower()
 
 
+def _accents() -> tuple[str, str]:
+    """Letters of the scripts with accents that Unicode takes apart into one letter and marks, and those letters."""
+    pairs = {}
+    for block in (range(0xC0, 0x250), range(0x370, 0x530), range(0x1E00, 0x2000)):
+        for c in map(chr, block):
+            plain = fold(c)
+            if c.lower() == c and len(plain) == 1 and plain != c:
+                pairs[c] = plain
+    return "".join(pairs), "".join(pairs.values())
+
+
 def tokens(path: Column) -> Column:
-    """Lower-cased runs of letters and digits, without the accents of Latin letters."""
-    accents, plain = "áàâäãåéèêëíìîïóòôöõúùûüýÿñç", "aaaaaaeeeeiiiiooooouuuuyync"
-    folded = F.translate(F.lower(path), accents, plain)
+    """Lower-cased runs of letters and digits, without accents."""
+    folded = F.translate(F.regexp_replace(F.lower(path), r"\p{M}+", ""), *_accents())
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from quern import fixtures as X
 from quern.functions import scalars as C
 from quern.operators import ingest as I, textfilter as T
+from quern.operators.search import MOST_PROMPTS
 from quern.plans.registry import query
 from quern.plans.retrieval import sql
 
@@ -228,5 +229,6 @@ def prompt_normalize(spark, d):
     c = X.table(spark, d, "conversations")
     p = c.select("conv_id", "turn", F.trim("text").alias("t")).where("t <> '' and length(t) <= 512")
     one = p.groupBy("conv_id", F.lower("t").alias("k")).agg(F.min(F.struct("turn", "t")).alias("r")).select("conv_id", "r.*")
-    kept = one.groupBy("conv_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("turn", "t"))), 1, 16).alias("p"))
-    return kept.select("conv_id", F.explode("p").alias("x")).select("conv_id", "x.turn", F.col("x.t").alias("prompt"))
+    # each task keeps sixteen rows of a conversation before they are shuffled
+    first = one.withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "t"))).where(F.col("n") <= MOST_PROMPTS)
+    return first.select("conv_id", "turn", F.col("t").alias("prompt"))

@@ -233,6 +233,11 @@ def saved_search_fold(spark, d):
     return O.live_searches(log).select("owner", "saved_id", "name", F.array_join("positives", "|").alias("positives"), F.array_join("negatives", "|").alias("negatives"), "created_at")
 
 
+@query("count_saved_searches", f"SELECT owner, count(*) AS n FROM ({sql(SAVED_FOLD)}) GROUP BY owner")
+def count_saved_searches(spark, d):
+    return saved_search_fold(spark, d).groupBy("owner").agg(F.count("*").alias("n"))
+
+
 RESET = f", r AS (SELECT user_id, max(ts) AS reset FROM events WHERE event_type = 'error' AND CAST(props->>'$.k' AS BIGINT) % 5 = 0 GROUP BY 1)"
 
 

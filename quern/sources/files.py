@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import signal
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.operators.ingest import IMAGE_SUFFIXES, is_image
@@ -25,8 +28,27 @@ def contents(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content", F.sha2("content", 256).alias("content_sha256"))
 
 
-def decoded(files: DataFrame, size: int = 384) -> DataFrame:
-    """Letterboxed RGB pixels (path, pixels binary or null) of image contents; needs Pillow on the executors."""
+@contextmanager
+def within(seconds: float):
+    """TimeoutError for what takes longer, in a process's main thread, as Python workers run their tasks."""
+
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def decoded(files: DataFrame, size: int = 384, seconds: float = 30.0) -> DataFrame:
+    """Letterboxed RGB pixels (path, pixels binary or null) of image contents; needs Pillow on the executors.
+
+    What is no image, or takes longer than ``seconds``, has null pixels.
+    """
 
     def run(batches):
         import io
@@ -38,9 +60,10 @@ def decoded(files: DataFrame, size: int = 384) -> DataFrame:
             out = []
             for content in batch["content"]:
                 try:
-                    image = ImageOps.exif_transpose(Image.open(io.BytesIO(content))).convert("RGB")
-                    out.append(ImageOps.pad(image, (size, size), color=(0, 0, 0)).tobytes())
-                except OSError:
+                    with within(seconds):
+                        image = ImageOps.exif_transpose(Image.open(io.BytesIO(content))).convert("RGB")
+                        out.append(ImageOps.pad(image, (size, size), color=(0, 0, 0)).tobytes())
+                except (OSError, ValueError):  # TimeoutError is an OSError
                     out.append(None)
             yield pd.DataFrame({"path": batch["path"], "pixels": out})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,3 +39,19 @@ def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
     delete_path(spark, path)
     if not store.rename(hadoop(beside), hadoop(path)):
         raise OSError(f"{beside} could not be moved to {path}")
+
+
+def once(spark: SparkSession, flags: str, key: str, work: Callable[[], None]) -> bool:
+    """Do a migration unless its flag is set, then set it; whether it was done now.
+
+    A flag is a file in the folder ``flags``, made after the work, so work that fails is
+    done again.
+    """
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{flags.rstrip('/')}/{key}")
+    store = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(mark):
+        return False
+    work()
+    store.mkdirs(mark.getParent())
+    store.createNewFile(mark)
+    return True

@@ -360,6 +360,8 @@ def test_token_matches(spark):
     ids = lambda p: [r.id for r in df.where(textfilter.matches(F.col("path"), textfilter.Pattern.parse(p))).orderBy("id").collect()]
     assert ids("lakeside") == [0, 1] and ids("lake*") == [0, 1] and ids("side") == [] and ids("zoe") == [2]
     assert ids("lakeside_dawn") == [1] and ids("lakeside_da*") == [1] and ids("lakeside_da") == []
+    more = spark.createDataFrame([("/Ελλάδα/x",), ("/Łódź-Ёлка/x",), ("/e\u0301te\u0301/x",), ("/İzmir/x",)], "path string")
+    assert [r[0][0] for r in more.select(textfilter.tokens(F.col("path"))).collect()][:3] == [textfilter.fold("Ελλάδα"), textfilter.fold("Łódź"), "ete"]
     assert textfilter.guarded(df, textfilter.Pattern.parse("png")).count() == 4
     assert textfilter.guarded(df, textfilter.Pattern.parse("1998")).count() == 1
     assert textfilter.guarded(df, textfilter.Pattern.parse("nothing")).count() == 0
@@ -377,6 +379,13 @@ def test_reconcile_and_plan(spark):
     assert plan == {"/r/a": "skip", "/r/b": "changed", "/r/c": "changed", "/r/n": "new"}
 
 
+def test_backfill_in_part(spark):
+    stored = spark.createDataFrame([(i, f"c{i % 2}", None if i == 4 else i) for i in range(8)], "id long, collection string, size long")
+    computed = spark.createDataFrame([(i, 3) for i in range(8)], "id long, size long")
+    ids = lambda *a: [r.id for r in ingest.backfill(stored, computed, "id", ["size"], *a).collect()]
+    assert sorted(ids()) == [0, 1, 2, 4, 5, 6, 7] and sorted(ids(["c1"])) == [1, 5, 7] and ids(["c0"], 2) == [0, 2]
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("C:\\Photos\\x\\1.JPG",), ("c:/photos/.hidden.jpg",), ("/Photos2/y.jpg",), ("/a/Thumbs.db",), (r"\\nas\images\A\B\c.png",), ("/images/a/b.jpg",)], "path string")
     p = F.col("path")
@@ -405,17 +414,24 @@ def test_cosine(spark):
 
 
 def test_feedback_stream(spark, tmp_path):
-    from quern.streaming.feedback import maintain
+    from quern.streaming.feedback import maintain, read_state
 
     schema = "photo_id long, kind string, at timestamp_ntz"
     src, out = str(tmp_path / "in"), str(tmp_path / "state")
     log = lambda rows: spark.createDataFrame(rows, "photo_id long, kind string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
-    for n, rows in enumerate(([(1, "like", "2024-01-01 00:00:00"), (2, "like", "2024-01-01 00:00:00")], [(1, "dislike", "2024-01-02 00:00:00"), (2, "dislike", "2023-01-01 00:00:00")])):
+    batches = [
+        [(1, "like", "2024-01-01 00:00:00"), (2, "like", "2024-01-01 00:00:00"), *((i, "like", "2024-01-01 00:00:00") for i in range(100, 300))],
+        [(1, "dislike", "2024-01-02 00:00:00"), (2, "dislike", "2023-01-01 00:00:00")], [(3, "like", "2024-01-01 00:00:00")], [(3, "dislike", "2024-01-01 00:00:00")],
+    ]
+    assert read_state(spark, out).count() == 0
+    for rows in batches:
         log(rows).coalesce(1).write.mode("append").parquet(src)
         q = maintain(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "cp"))
         q.awaitTermination(60)
-        got = {r.photo_id: r.kind for r in spark.read.parquet(f"{out}/v={n}").collect()}
-    assert got == {1: "dislike", 2: "like"}
+        got = {r.photo_id: r.kind for r in read_state(spark, out).collect()}
+    assert {i: k for i, k in got.items() if i < 100} == {1: "dislike", 2: "like", 3: "like"} and len(got) == 203
+    left = [p for p in (tmp_path / "state").glob("v=*/bucket=*")]
+    assert len(left) <= 64 + 4 and len(list((tmp_path / "state").glob("state-*"))) == 2  # versions that no longer count are gone
 
 
 def test_discovery_replays_alike():
@@ -437,13 +453,64 @@ def test_replay_takes_all_picks_and_all_vectors(spark, tmp_path):
     spark.createDataFrame([(e, e % 40, e // 40) for e in range(40 * 30)], "event_id long, user_id long, ts long").write.parquet(f"{tmp_path}/events.parquet")
     rows = registry.queries()["discover_replay"](spark, str(tmp_path)).toPandas()
     assert rows.groupby("user_id").size().tolist() == [31] * 40
-    # every id can be shown: of 2200 ids the first pairs are those of the least hashes over all
-    import hashlib
+    # every id can be shown: of 2200 ids the first pairs are those of the least keys over all
+    from quern.operators.discover import draw_keys
 
     first = rows[rows["round"] == 1].set_index("user_id")
     for u in range(40):
-        best = sorted(range(2200), key=lambda i: hashlib.md5(f"{u}:0:{i}".encode()).hexdigest())[:2]
-        assert [first.left_id[u], first.right_id[u]] == best
+        keys = draw_keys(str(u), 0, np.arange(2200))
+        assert [first.left_id[u], first.right_id[u]] == sorted(range(2200), key=lambda i: keys[i])[:2]
+
+
+def brute_replay(session, sides, ids, m):
+    """A session by its rules alone: ten rounds of draws, then bursts of five rounds out of ten diverse recommendations."""
+    from quern.operators.discover import draw_keys
+
+    unit = {int(i): v / np.linalg.norm(v) for i, v in zip(ids, m)}
+    liked, passed, seen, queue, out = [], [], set(), [], []
+    for n, side in enumerate([*sides, None]):
+        draw = lambda some: sorted(some, key=lambda i: (int(draw_keys(session, n, np.array([i]))[0]), i))  # noqa: E731, B023
+        pair, source = [], "seed"
+        if n >= 10 and liked:
+            source = "burst"
+            if (n - 10) % 5 == 0 or len(queue) < 2:
+                target = np.mean([unit[i] for i in liked], 0) - (np.mean([unit[i] for i in passed], 0) if passed else 0)
+                best = sorted((i for i in unit if i not in seen), key=lambda i: (-float(unit[i] @ target), i))[:200]
+                queue = []
+                if len(best) <= 10:
+                    queue = list(best)
+                elif best:
+                    queue = [best[0]]
+                    while len(queue) < 10:
+                        rest = [i for i in best if i not in queue]
+                        queue.append(max(rest, key=lambda i: (round(float(unit[i] @ target) - 0.5 * max(float(unit[i] @ unit[j]) for j in queue), 12), -best.index(i))))
+            fresh = [i for i in queue if i not in seen]
+            if len(fresh) >= 2:
+                third = len(fresh) // 3
+                pair = [draw(fresh[:third])[0], draw(fresh[-third:])[0]] if third and 2 * third < len(fresh) else draw(fresh)[:2]
+                queue = [i for i in queue if i not in pair]
+        if len(pair) < 2:
+            source = "seed" if source == "seed" else "fallback"
+            pair = draw([i for i in unit if i not in seen] or list(unit))[:2]
+        seen.update(pair)
+        out.append((n + 1, *pair, source))
+        if side is not None:
+            liked.append(pair[side])
+            passed.append(pair[1 - side])
+    return out
+
+
+@pytest.mark.parametrize("n", [300, 70])
+def test_replay_against_brute_force(n):
+    from quern.operators.discover import replay
+
+    rng = np.random.default_rng(n)
+    m, ids = rng.normal(size=(n, 6)), rng.permutation(1000)[:n]
+    order = np.argsort(ids)
+    m, ids = m[order], ids[order]
+    for session in ("a", "b"):
+        sides = [int(x) for x in rng.integers(0, 2, 36)]
+        assert replay(session, sides, ids, m) == brute_replay(session, sides, ids, m)
 
 
 def test_feed_collapses_copies(spark, tmp_path):

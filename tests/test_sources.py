@@ -33,6 +33,49 @@ def test_cache_and_replacement(spark, tmp_path):
     assert tables.read_cache(spark, path, "c").count() == 2
 
 
+def test_scratch_tables_lie_in_the_shared_folder(spark, tmp_path):
+    """Where the setting names a folder, tables are written there, read from there, and removed from there."""
+    from types import SimpleNamespace
+
+    from quern import scratch
+    from quern.operators.graph import connected_components
+
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared/")
+    try:
+        s = scratch.Scratch(spark)
+        kept = s.keep(spark.range(5), "t")
+        assert kept.count() == 5 and [p.name.split("-")[0] for p in (tmp_path / "shared").iterdir()] == ["t"]
+        s.drop(kept)
+        edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "src long, dst long")
+        labels = connected_components(edges)
+        assert {(r.node, r.label) for r in labels.collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
+        assert [p.name.split("-")[:2] for p in (tmp_path / "shared").iterdir()] == [["cc", "labels"]]  # what the result still reads
+        scratch._remove_all()
+        assert list((tmp_path / "shared").iterdir()) == []
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(cluster)
+
+
+def test_a_migration_is_done_once(spark, tmp_path):
+    done, flags = [], str(tmp_path / "flags")
+    with pytest.raises(ZeroDivisionError):
+        tables.once(spark, flags, "v1", lambda: 1 / 0)
+    assert tables.once(spark, flags, "v1", lambda: done.append(1)) and not tables.once(spark, flags, "v1", lambda: done.append(2)) and tables.once(spark, flags, "v2", lambda: done.append(3))
+    assert done == [1, 3]
+
+
+def test_what_takes_too_long():
+    import time
+
+    with pytest.raises(TimeoutError), files.within(0.05):
+        time.sleep(5)
+    with files.within(5):
+        pass
+
+
 def test_centroid_files(spark, tmp_path):
     good = '{"name": "%s", "model": "m", "feature_dim": 2, "centroid": [1.0, 0.0]}'
     for i, text in enumerate([good % "A", good % "A", good % "b", good % " ", '{"name": "x", "model": "other", "feature_dim": 2, "centroid": [1.0, 0.0]}', '{"name": "y", "model": "m", "feature_dim": 3, "centroid": [1.0]}', "{broken"]):
@@ -54,3 +97,25 @@ def test_sessions_stream_like_a_replay(spark, tmp_path):
         q.awaitTermination(120)
     got = sorted((r["round"], r.left_id, r.right_id, r.source) for r in spark.read.parquet(out).collect())
     assert got == [tuple(w) for w in want]
+
+
+def test_forgotten_sessions(spark, tmp_path):
+    """A session without picks for its time to live starts anew, others go on."""
+    import time
+
+    rng = np.random.default_rng(1)
+    m, ids = rng.normal(size=(40, 4)), np.arange(40)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(rows):
+        spark.createDataFrame(rows, "session string, picked_id long").coalesce(1).write.mode("append").parquet(src)
+        q = discover(spark.readStream.schema("session string, picked_id long").parquet(src), ids, m, 1500).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    run([("s", None)])
+    time.sleep(2)
+    run([("t", None)])
+    time.sleep(0.1)
+    run([("s", None)])
+    got = sorted((r.session, r["round"]) for r in spark.read.parquet(out).collect())
+    assert got == [("s", 1), ("s", 1), ("t", 1)]
