@@ -66,7 +66,7 @@ SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
 ENOUGH, MOST_PASSES = 3_000_000, 8
 ALPHA = 0.1
 #: The most frequent tokens, whose counts workers get directly; the others meet theirs in a join.
-HEAD = 100_000
+HEAD = 150_000
 #: Rows that are taken from a batch at a time, and rows of a parameter matrix that travel together.
 ROWS = 1024
 END = b""
@@ -422,17 +422,13 @@ def _log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Coder:
     """Texts to codes: words of the vocabulary by number, others by their spelling; remembers what it has met."""
 
-    def __init__(self, stats: Statistics, most: int = 60_000):
-        self.stats, self.v, self.most = stats, len(stats.words), most
-        self.forget()
-
-    def forget(self) -> None:
-        coder, number = self, {w: i for i, w in enumerate(self.stats.words)}
-        head = self.stats.head
-        self.words = [*self.stats.words, *(w for w in head if w not in number)]
-        self.codes = [number[w] if w in number else self.v + spelling(w) for w in self.words]
+    def __init__(self, stats: Statistics, most: int = 150_000):
+        self.v, self.most, head = len(stats.words), most, stats.head
+        number = set(stats.words)
+        self.words = [*stats.words, *(w for w in head if w not in number)]
+        self.codes = [*range(self.v), *(self.v + spelling(w) for w in self.words[self.v :])]
         self.logs = np.log10(np.array([head[w] for w in self.words], float) + ALPHA)
-        self.first_rare = len(self.words)
+        self.first_rare, coder = len(self.words), self
 
         class Places(dict):
             def __missing__(self, w):
@@ -444,6 +440,13 @@ class Coder:
         self.places = Places(zip(self.words, range(len(self.words))))
         self._array = np.array(self.codes, np.int64)
 
+    def forget(self) -> None:
+        """Forget the words outside the head."""
+        for w in self.words[self.first_rare :]:
+            del self.places[w]
+        del self.words[self.first_rare :], self.codes[self.first_rare :]
+        self._array = self._array[: self.first_rare]
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(places, codes); a place below ``first_rare`` has its count in ``logs``, others their word in ``words``."""
         if len(self.words) > self.first_rare + self.most:

@@ -85,6 +85,19 @@ def test_lm_score_is_an_exact_softmax(spark):
     encoded.unpersist()
 
 
+def test_lm_forgets_rare_words():
+    """What a coder says of a word does not depend on what it has met, nor on how often it has forgotten."""
+    stats = lm.Statistics({b"": 3, b"a": 5, b"b": 4, b"c": 1}, 13, 4, [b"", b"a"])
+    few, many = lm.Coder(stats, most=2), lm.Coder(stats)
+    rng = random.Random(1)
+    for _ in range(50):
+        words = [rng.choice([b"a", b"b", b"c", b"", *(b"w%d" % i for i in range(9))]) for _ in range(12)]
+        (p, c), (q, d) = few.encode(words), many.encode(words)
+        assert (c == d).all() and [few.words[i] for i in p] == [many.words[i] for i in q] == words
+        assert c.tolist() == [[b"", b"a"].index(w) if w in (b"", b"a") else 2 + lm.spelling(w) for w in words] and ((p < few.first_rare) == [w in stats.head for w in words]).all()
+    assert len(few.words) < 30
+
+
 def test_lm_shares_of_spelt_tokens(spark):
     """Words of a class of spelt tokens, and one unseen token, share its probability."""
     docs = spark.createDataFrame([(1, "a b c d e f g a b"), (2, "a h i")], "doc_id long, text string")
