@@ -27,8 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Words that a worker remembers before it starts anew.
-MOST_WORDS = 600_000
+#: Words that a worker remembers before they become the older half of what it remembers.
+MOST_WORDS = 150_000
 #: Longer words are not remembered, so that what is remembered is bounded in bytes, too.
 LONGEST_KNOWN = 256
 #: Symbols from which on a word is merged by a heap.
@@ -84,6 +84,7 @@ class SpeculativeBPE:
         self.pair_keys, self.pair_ranks, self.size = pairs[order], np.array(list(self.rank.values()))[order], size
         self.chars = byte_characters()
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.proposals: dict[str, int] = {}
         # a token may be proposed only if the merges really build it from its own characters
         ok = self.whole_tokens()
@@ -216,9 +217,17 @@ class SpeculativeBPE:
         """Encode words not seen before: propose, test all adjacent pairs at once, merge the rest."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
+            # words that go on being met move to the younger half, others are forgotten with the older one
+            self.older, self.known = self.known, {}
             new = list(words)
-        words = new
+        older = self.older
+        words = []
+        for w in new:
+            ids = older.get(w)
+            if ids is None:
+                words.append(w)
+            else:
+                self.known[w] = ids
         proposed = [self.propose(w) for w in words]
         first, second, owner = [], [], []
         for i, p in enumerate(proposed):
@@ -289,6 +298,7 @@ class SpeculativeBPE:
             for w in p:
                 if w.__class__ is str and len(w) > LONGEST_KNOWN:
                     known.pop(w, None)
+                    self.older.pop(w, None)
 
     def decode(self, ids) -> str:
         """Tokens of a file without a decoder are joined by spaces."""

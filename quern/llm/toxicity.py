@@ -46,7 +46,7 @@ POOLED, TOP = 1, 4.0
 SPEAKS = 2.0
 #: Share of the texts with a string that must be toxic for that.
 PRECISE = 0.9
-MOST_STRINGS = 400_000
+MOST_STRINGS = 250_000
 
 WORD = re.compile(r"\S+")
 NOT_LETTERS = re.compile(r"[\W_]+")
