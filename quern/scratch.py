@@ -17,13 +17,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP_BYTES = 16 << 20
+
 _local: dict[str, str] = {}
 _made: dict[str, SparkSession] = {}
 
 
+def _setting(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = _setting(spark)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
@@ -57,7 +63,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = scratch_path(self.spark, label)
-        df.write.parquet(path)
+        # small row groups: a task that writes long texts holds little of them
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         # the schema is known, so that no job is spent on reading it back
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quern_path = path  # keeps the frame and its path together

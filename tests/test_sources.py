@@ -33,14 +33,14 @@ def test_cache_and_replacement(spark, tmp_path):
     assert tables.read_cache(spark, path, "c").count() == 2
 
 
-def test_scratch_tables_lie_in_the_shared_folder(spark, tmp_path):
+def test_scratch_tables_lie_in_the_shared_folder(spark, tmp_path, monkeypatch):
     """Where the setting names a folder, tables are written there, read from there, and removed from there."""
     from types import SimpleNamespace
 
     from quern import scratch
     from quern.operators.graph import connected_components
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared/")
+    monkeypatch.setattr(scratch, "_setting", lambda s: f"file://{tmp_path}/shared/")  # a running session does not take it
     try:
         s = scratch.Scratch(spark)
         kept = s.keep(spark.range(5), "t")
@@ -53,7 +53,7 @@ def test_scratch_tables_lie_in_the_shared_folder(spark, tmp_path):
         scratch._remove_all()
         assert list((tmp_path / "shared").iterdir()) == []
     finally:
-        spark.conf.unset("spark.checkpoint.dir")
+        monkeypatch.undo()
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host", getConf=lambda: SimpleNamespace(get=lambda k: None)))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.scratch_root(cluster)
