@@ -66,7 +66,7 @@ SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
 ENOUGH, MOST_PASSES = 3_000_000, 8
 ALPHA = 0.1
 #: The most frequent tokens, whose counts workers get directly; the others meet theirs in a join.
-HEAD = 150_000
+HEAD = 200_000
 #: Rows that are taken from a batch at a time, and rows of a parameter matrix that travel together.
 ROWS = 1024
 END = b""
@@ -651,7 +651,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("training", training_fold("id")).withColumn("ord", F.xxhash64(F.col("id").cast("string"), "text"))
     docs = docs.withColumn("text", F.col("text").cast("binary"))  # UTF-8, which needs no decoding on the way to Python
-    with batches_of(spark, ROWS):
+    with batches_of(spark, 4 * ROWS):
         counts = scratch.keep(count_tokens(docs.where("training").select("text")), "lm-counts")
         stats = gather(counts, head, growth)
         encoded = scratch.keep(encode(docs, stats).withColumn("row", F.monotonically_increasing_id()), "lm-encoded")
