@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, decontaminate, embedding, lm, minhash, sstable, toxicity, urlfilter, warc
+from quern.llm import bpe, chat, decontaminate, embedding, filteraudit, lm, minhash, piece, quarantine, sstable, toxicity, urlfilter, warc
 from quern.scratch import scratch_path
 
 
@@ -65,6 +65,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order of five filters keeps, removes and loses in every source."""
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with a SentencePiece vocabulary."""
+    return piece.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts, deliveries and releases of every turn of all conversations."""
+    return quarantine.replay(_table(spark, sf_dir, "conversations"))
+
+
 WARC_ORACLE = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
@@ -94,8 +109,8 @@ FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_toxicity, op4_bpe, op5_chat_format, op6_token_shards, op7_decontaminate, op8_embedding_dedup, op9_warc, op10_url_filter)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_minhash_dedup, op2_lm_score, op3_toxicity, op4_bpe, op5_chat_format, op6_token_shards, op7_decontaminate, op8_embedding_dedup, op9_warc, op10_url_filter, op11_filter_audit, op12_sentencepiece, op13_quarantine)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.ORACLE, "op8_embedding_dedup": EMBEDDING_ORACLE, "op9_warc": WARC_ORACLE}
+    return {"op5_chat_format": chat.ORACLE, "op8_embedding_dedup": EMBEDDING_ORACLE, "op9_warc": WARC_ORACLE, "op11_filter_audit": filteraudit.ORACLE, "op13_quarantine": quarantine.ORACLE}
