@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quern.plans import ingestion, ranking, relational, retrieval  # noqa: F401
+    from quern.plans import indexed, ingestion, ranking, relational, retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
