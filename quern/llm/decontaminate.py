@@ -13,6 +13,10 @@ offsets that allows for inserted words.  An item counts as found at a place wher
 ``COVERAGE`` of its windows or ``RUN`` consecutive words of it match, and where, in the
 template, its slots are consistent: word by word within the matched windows, every value
 of the item becomes one value of the document and the other way round.
+
+Placeholders alone say nothing: a template window counts only if half of its words are
+literal, and a place, in either reading, only if its windows cover some of the item's literal words.  So
+tables of numbers, dates and price lists are not taken for questions with numbers.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ COVERAGE = 0.5
 RUN = 13
 #: Least share of slot values that must map one to one; a single coincidence of values is let pass, unchanged values always.
 CONSISTENT = 0.9
+#: Literal words of the item that a place covers at least, or half of those that the item has, if that is less.
+LITERAL = 3
+#: Words of a document whose places for an item are judged together; bounds what is gathered for a very long one.
+STRETCH = 4096
 #: Rows of windows or findings that are broadcast at most; more of them are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 #: Hash positions between which an alignment may drift through inserted or removed words.
@@ -93,8 +101,8 @@ def _width(n: Column, width: int) -> Column:
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
     """(item, width, n_windows, reading, ipos, h) of each window of each item in both readings.
 
-    A window of the template that has a name and whose words are mostly placeholders says
-    nothing and is not matched, but counts among the item's windows.
+    A window of the template that has placeholders and too few literal words says nothing
+    and is not matched, but counts among the item's windows.
     """
     b = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("words")).where("item is not null and size(words) > 0")
     b = b.select("item", "words", template_words(F.col("words")).alias("typed"), _width(F.size("words"), width).alias("width"))
@@ -105,7 +113,7 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int)
     b = b.withColumn("ipos", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)))
     part = F.slice("typed", F.col("ipos") + 1, F.col("width"))
     literal = F.size(F.filter(part, lambda w: ~w.isin(NAME, NUMBER, UNIT)))
-    says = (F.col("reading") == VERBATIM) | ~F.array_contains(part, NAME) | (literal >= F.greatest(F.lit(1), F.floor(F.col("width") / 2)))
+    says = (F.col("reading") == VERBATIM) | (literal == F.col("width")) | (literal >= F.greatest(F.lit(1), F.floor(F.col("width") / 2)))
     # the hash of window_hashes, for a width that differs by row
     h = F.coalesce(*[F.when(F.col("width") == w, F.xxhash64(2 * F.lit(w) + F.col("reading"), *[F.get("hashes", F.col("ipos") + k) for k in range(w)])) for w in range(1, max(width, WHOLE) + 1)])
     return b.where(says).select("item", "width", "n_windows", "reading", "ipos", h.alias("h"))
@@ -129,7 +137,8 @@ def find_contamination(
     * Null, empty or wordless texts and items match nothing; a null id of a document or an
       item is left out, for there is nothing to call the finding by.
     * Rows that repeat a document's id are one document; so are repeated items.
-    * Short items of fewer than ``WHOLE`` words must occur whole.
+    * Short items of fewer than ``WHOLE`` words must occur whole.  An item of placeholders
+      only, such as a list of numbers, is found only if it occurs whole and word by word.
     * An empty table on either side gives an empty result; other columns are not read.
     """
     items = item_windows(benchmark, item_col, item_text_col, width).dropDuplicates(["item", "width", "reading", "ipos", "h"])
@@ -154,8 +163,15 @@ def find_contamination(
     places = places.groupBy(*key).agg(F.count("*").alias("n"), F.max("run").alias("run"), F.sort_array(F.collect_list(F.struct("ipos", (-F.col("m.o")).alias("offset")))).alias("at"))
     enough = (F.col("n") >= coverage * F.col("n_windows")) | (F.col("run") + F.col("width") - 1 >= RUN)
     places = places.where(enough).select("doc", "item", "n_windows", "width", "reading", "n", "at").distinct()
-    # one verbatim place settles the item: its values are unchanged
-    places = places.groupBy("doc", "item").agg(
+    words = words_of(F.col(item_text_col))
+    literals = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.filter(F.transform(_let(words, template_words), lambda w, i: F.when(~w.isin(NAME, NUMBER, UNIT), i)), lambda i: i.isNotNull()).alias("literals"))
+    places = places.join(F.broadcast(literals) if small else literals, "item")
+    covered = F.size(F.filter("literals", lambda i: F.exists("at", lambda a: (a.getField("ipos") <= i) & (i < a.getField("ipos") + F.col("width")))))
+    of = F.size("literals")
+    said = F.when(of == 0, (F.col("reading") == VERBATIM) & (F.col("n") == F.col("n_windows"))).otherwise(covered >= F.least(F.lit(LITERAL), F.ceil(of / 2)))
+    # one verbatim place settles its stretch of the document, and the item: its values are unchanged
+    stretch = F.floor(F.element_at("at", 1).getField("offset") / STRETCH)
+    places = places.where(said).groupBy("doc", "item", stretch.alias("stretch")).agg(
         F.max(F.when(F.col("reading") == VERBATIM, F.struct("n", "n_windows", "width", "at"))).alias("same"),
         F.collect_list(F.when(F.col("reading") == TEMPLATE, F.struct("n", "n_windows", "width", "at"))).alias("others"),
     )
@@ -195,7 +211,7 @@ def _with_slots(docs, benchmark, places, id_col, text_col, item_col, item_text_c
     changed = F.size(F.filter("pairs", lambda p: p.getField("of") != p.getField("to"))).cast("long")
     rated = both.select("doc", "item", "n", "n_windows", F.size("pairs").cast("long").alias("n_slots"), changed.alias("n_changed"), share.alias("consistency"), (2 * F.size("maps") - sides).alias("clashes"), "verbatim")
     rated = rated.where(F.col("verbatim") | (F.col("n_changed") == 0) | (F.col("clashes") <= 1) | (F.col("consistency") >= consistent))
-    out = rated.groupBy("doc", "item").agg(F.max(F.struct("n", "consistency", F.struct(-F.col("n_changed")), "n_windows", "n_slots", "n_changed")).alias("r"))
+    out = rated.groupBy("doc", "item").agg(F.max(F.struct("verbatim", "n", "consistency", F.struct(-F.col("n_changed")), "n_windows", "n_slots", "n_changed")).alias("r"))
     return out.select(
         F.col("doc").alias(id_col),
         F.col("item").alias(item_col),

@@ -1,14 +1,18 @@
 """MinHash near-duplicate detection with DartMinHash signatures.
 
-A document is the set (or, on demand, the multiset) of its five-word shingles, each
-with a weight that grows with how often it occurs.  Every element
+A document is the set (or, on demand, the multiset) of its five-word shingles.  In a set
+each shingle has a weight of its own, which is the same in every document: one that says
+a word again weighs a little less, ``LIGHTEST`` at least.  Every element
 owns a strip of the plane: its weight on one axis, rank on the other.  Darts fall
 on a strip as a Poisson process that depends on the element alone; a dart counts
 if it lies below the element's weight and below a rank limit chosen so that a
 document expects ``k ln k + 2 k`` darts in all.  Each dart hits one of the ``k``
 coordinates, and a coordinate keeps its earliest dart.  Two documents agree on a
-coordinate with probability equal to their (weighted) Jaccard similarity, and the
-cost is the number of elements plus the number of darts, not their product.
+coordinate with probability equal to their weighted Jaccard similarity, and the
+cost is the number of elements plus the number of darts, not their product.  Weights
+between ``LIGHTEST`` and 1 lower the similarity of a set by a known amount at most
+(``least_weighted``), and bands and filters by signatures are set for that bound, so a
+link by plain sets is not lost to them.
 
 Candidates come from joining bands of the signature; every pair is then checked
 exactly on whole texts.  Exact copies (equal shingle sets) are one node from the
@@ -43,6 +47,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 #: Words of text that are hashed in one go; bounds the memory of a worker.
 CHUNK_WORDS = 200_000
+#: The least weight of a shingle, that of one word said over and over; the greatest is 1.
+LIGHTEST = 0.9
 _P = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -56,21 +62,39 @@ class Shingler:
         self.width = width
         self.hashes = WordHashes()
 
-    def shingles(self, text: str | None) -> np.ndarray:
+    def _words(self, text: str | None) -> np.ndarray:
         words = WORD.findall(text.lower()) if text else []
-        n = len(words)
+        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+
+    def _windows(self, h: np.ndarray) -> np.ndarray:
+        n = len(h)
         if not n:
             return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
         width = min(self.width, n)
         out = h[: n - width + 1].copy()
         for i in range(1, width):
             out = out * _P + h[i : n - width + 1 + i]
         return mix(out)
 
+    def shingles(self, text: str | None) -> np.ndarray:
+        return self._windows(self._words(text))
+
     def unique(self, text: str | None) -> np.ndarray:
         return np.unique(self.shingles(text))
 
+    def weighed(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles and their weights: 1, less the share of equal pairs among a shingle's words times 1 - LIGHTEST."""
+        h = self._words(text)
+        out, first = np.unique(self._windows(h), return_index=True)
+        width = min(self.width, len(h))
+        again = np.zeros(max(len(h) - width + 1, 0))
+        for step in range(1, width):
+            same = h[step:] == h[:-step]
+            if same.any():
+                for i in range(width - step):
+                    again += same[i : i + len(again)]
+        return out, 1 - (1 - LIGHTEST) * again[first] / max(1, width * (width - 1) // 2)
+
 
 class DartMinHash:
     """Sparse weighted signatures of ``k`` 64-bit coordinates."""
@@ -155,13 +179,12 @@ def chunks(texts: list, limit: int):
         yield start, len(texts)
 
 
-def damped(counts: np.ndarray) -> np.ndarray:
-    """Weights of shingles in a signature where similarity is by sets: 1, and a little more for repeated ones.
+def least_weighted(similarity: float) -> float:
+    """The weighted similarity that two sets of this similarity have at least, whatever shingles they share.
 
-    A set similarity of 0.8 is then hardly less by these weights, while texts that share
-    no more than a line said over and over come no nearer than as sets.
+    Least is what is shared if that has the least weight and all the rest the greatest.
     """
-    return 1 + np.log2(counts) / 8
+    return similarity * LIGHTEST / (similarity * LIGHTEST + 1 - similarity)
 
 
 def version_of(text):
@@ -180,10 +203,10 @@ def sketch(df: DataFrame, id_col: str, text_col: str, weighted: bool = False, ba
             for a, b in chunks(texts, CHUNK_WORDS):
                 sets, weights = [], []
                 for t in texts[a:b]:
-                    u, c = np.unique(shingler.shingles(t), return_counts=True)
+                    u, w = np.unique(shingler.shingles(t), return_counts=True) if weighted else shingler.weighed(t)
                     sets.append(u)
-                    weights.append(c)
-                sig = dart.signatures(sets, weights if weighted else [damped(c) for c in weights])
+                    weights.append(w)
+                sig = dart.signatures(sets, weights)
                 keys = band_keys(sig, bands, rows)
                 hashed = [xxhash.xxh3_128_intdigest(u.tobytes() + (c.tobytes() if weighted else b"")) if len(u) else None for u, c in zip(sets, weights)]
                 low = (sig & np.uint64(255)).astype(np.uint8)
@@ -400,6 +423,8 @@ def near_duplicates(
     ``class_id`` is the least id reachable by links, a link being a pair of documents
     whose five-word shingles have a Jaccard similarity of at least ``threshold``, as sets, or
     if ``weighted`` by their counts (sum of the smaller over sum of the larger ones); ``kept`` marks the document of that id.
+    How often a shingle occurs plays no part in the first case, in signatures or links, so a
+    text and the same text said many times are near-duplicates.
 
     * Null, empty or wordless texts have nothing to compare: own class, kept.
     * A null id has a null class and is kept.  Rows that repeat an id are versions of
@@ -411,16 +436,18 @@ def near_duplicates(
       gives an empty result; columns other than the two named are not read.
     """
     scratch, k = Scratch(docs.sparkSession), bands * rows
+    # what signatures of a link agree in, on average, at least; links of nodes are by the same measure, or bounded by it
+    least = threshold if weighted else least_weighted(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     sk = scratch.keep(sketch(docs, "node", "text", weighted, bands, rows, shingle_words), "minhash-sketch")
     known = sk.where("node is not null and h1 is not null")
     nodes = scratch.keep(known.groupBy("h1", "h2").agg(F.min(F.struct("node", "n_shingles", "sig", "bands")).alias("r")).select("h1", "h2", "r.node", "r.n_shingles", "r.sig", "r.bands"), "minhash-nodes")
     sigs = nodes.select("node", "sig")
 
-    def verified(pairs: DataFrame, least: float) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         pairs = scratch.keep(prefilter(pairs, sigs, least, k), "minhash-pairs")
         ids = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "minhash-ids")
-        found = exact_jaccard(pairs, texts_of(docs, ids, ids.count()), weighted, shingle_words).where(F.col("similarity") >= least)
+        found = exact_jaccard(pairs, texts_of(docs, ids, ids.count()), weighted, shingle_words).where(F.col("similarity") >= threshold)
         found = scratch.keep(found, "minhash-links")
         scratch.drop(pairs, ids)
         return found
@@ -434,7 +461,7 @@ def near_duplicates(
     large = shared.where(F.col("n") > SMALL)
     led = large.select(F.col("l1").alias("a"), F.col("node").alias("b")).union(large.select(F.col("l2").alias("a"), F.col("node").alias("b"))).where("a <> b")
     pairs = within.union(led).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
-    links = verified(pairs, threshold)
+    links = verified(pairs)
     edges = links.select("a", "b")
     labels = connected_components(edges, "a", "b")
     if large.limit(1).count():
@@ -449,17 +476,17 @@ def near_duplicates(
             h = F.xxhash64("node", F.lit(turn))
             led = state.where("open").join(many, "bucket").groupBy("bucket", F.pmod(h, F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("own").alias("of")), h).alias("r")).select("bucket", "r.*")
             meet = state.join(led, "bucket").where("own <> of").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
-            more.append(verified(meet, threshold))
+            more.append(verified(meet))
             if not more[-1].limit(1).count():
                 break
             edges = edges.union(more[-1].select("a", "b"))
             labels = connected_components(edges, "a", "b")
             before, state = state, scratch.keep(_state(state.select("bucket", "node"), labels), "minhash-state")
             scratch.drop(before)
-        close = scratch.keep(_candidates(state, sigs, threshold, k), "minhash-close")
+        close = scratch.keep(_candidates(state, sigs, least, k), "minhash-close")
         rest = []  # most often there is nothing left to do
         if close.where("b is not null").limit(1).count():
-            rest.append(verified(close.where("b is not null").select("a", "b").distinct(), threshold))
+            rest.append(verified(close.where("b is not null").select("a", "b").distinct()))
         if close.where("b is null").limit(1).count():
             dense = state.join(close.where("b is null").select("bucket", F.col("a").alias("node")).distinct(), ["bucket", "node"], "left_semi").join(nodes.select("node", "n_shingles"), "node")
             ids = scratch.keep(dense.select("node").distinct(), "minhash-ids")

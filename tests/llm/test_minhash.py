@@ -126,7 +126,7 @@ def test_signatures_estimate_weighted_similarity():
 
 
 def test_signatures_of_the_query_are_weighted(spark, tmp_path, monkeypatch):
-    """Repeats weigh in the signatures, links are by sets: texts with one line said over and over are no copies."""
+    """Shingles that say a word again weigh less, links are by sets: texts with one line said over and over are no copies."""
     from quern.llm import queries
 
     rng = random.Random(3)
@@ -137,9 +137,44 @@ def test_signatures_of_the_query_are_weighted(spark, tmp_path, monkeypatch):
     want = brute([t for _, t in rows])
     assert [got[i] for i, _ in rows] == [rows[g][0] for g in want] and len(set(got.values())) == 6
     assert len(set(brute([t for _, t in rows], weighted=True)) & set(range(3, 8))) == 1  # by counts they would be
-    sets = [np.array([1, 2, 3], np.uint64), np.array([1, 2, 4], np.uint64)]
-    plain, heavy = (M.DartMinHash(4000).signatures(sets, [M.damped(np.array(c)) for c in counts]) for counts in (([1, 1, 1], [1, 1, 1]), ([4096, 1, 1], [4096, 1, 1])))
-    assert (plain[0] == plain[1]).mean() == pytest.approx(2 / 4, abs=0.04) and (heavy[0] == heavy[1]).mean() == pytest.approx(3.5 / 5.5, abs=0.04)
+    made = M.Shingler()
+    u, w = made.weighed("a b c d e a b c a a a a a")
+    weights = dict(zip(u.tolist(), w.tolist()))
+    of = lambda t: weights[made.shingles(t).item()]
+    assert of("a b c d e") == 1 and of("a a a a a") == pytest.approx(M.LIGHTEST) and of("c d e a b") == 1 and of("e a b c a") == pytest.approx(1 - 0.1 / 10)
+    assert made.weighed("x x")[1].tolist() == pytest.approx([M.LIGHTEST]) and made.weighed(None)[1].size == 0
+
+
+def test_texts_said_many_times(spark, tmp_path):
+    """A text and the same text said 2 to 256 times, some with an edit: no link by sets is lost, in the registered query."""
+    from quern.llm import queries
+
+    rng = random.Random(13)
+    rows = []
+    for g in range(120):
+        base = words(rng, rng.choice([60, 100, 200]))
+        times = 2 ** (1 + g % 8)
+        again = base * times
+        if g % 3 == 0:
+            again[rng.randrange(len(base))] = "edited"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(again))]
+    rows += [(1000 + i, " ".join([w] * n)) for i, (w, n) in enumerate([("na", 5), ("na", 500), ("ho", 6), ("ho", 40)])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in queries.op1_minhash_dedup(spark, str(tmp_path)).collect()}
+    want = brute([t for _, t in rows])
+    assert [got[i] for i, _ in rows] == [rows[g][0] for g in want]
+    assert len(set(want)) < len(rows) - 110
+
+
+def test_least_weighted_similarity():
+    """The bound holds for any weights of shared and other shingles, and is met at its worst."""
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        common, rest = rng.integers(1, 50, 2)
+        w = rng.uniform(M.LIGHTEST, 1, common + rest)
+        assert w[:common].sum() / w.sum() >= M.least_weighted(common / (common + rest)) - 1e-12
+    assert M.least_weighted(0.8) == pytest.approx(0.72 / 0.92)
+    assert (1 - M.least_weighted(0.8) ** M.ROWS) ** M.BANDS < 5e-5
 
 
 def test_recall_on_documents(spark):

@@ -190,7 +190,7 @@ def brute_leaks(items, docs):
             for i in range(windows):
                 part = a[i : i + width]
                 literal = sum(w not in (D.NAME, D.NUMBER, D.UNIT) for w in part)
-                if reading and D.NAME in part and literal < max(1, width // 2):
+                if reading and literal < width and literal < max(1, width // 2):
                     continue
                 offsets += [(d - i, i) for d in range(len(b) - width + 1) if b[d : d + width] == part]
             bins = {}
@@ -205,6 +205,10 @@ def brute_leaks(items, docs):
                 run = max(max(sum(1 for _ in g) for _, g in itertools.groupby(sorted(at), key=lambda x, c=itertools.count(): x - next(c))) for at in lines.values())
                 if not (len(best) >= D.COVERAGE * windows or run + width - 1 >= D.RUN):
                     continue
+                literals = [i for i, w in enumerate(typed(iw)) if w not in (D.NAME, D.NUMBER, D.UNIT)]
+                covered = sum(any(i <= x < i + width for i in best) for x in literals)
+                if covered < min(D.LITERAL, (len(literals) + 1) // 2) or not literals and (reading or len(best) < windows):
+                    continue
                 if not reading:
                     return True
                 pairs = []
@@ -221,6 +225,37 @@ def brute_leaks(items, docs):
     return {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if found(item, doc)}
 
 
+def test_numbers_are_no_leaks(spark):
+    """Tables, dates and price lists next to questions with many numbers, against brute force and by hand."""
+    rng = random.Random(14)
+    n = lambda k=100: str(rng.randrange(1, k))
+    items = [
+        "Add 1 2 3 4 5 6 7 8 now",
+        "What is the sum of 12 15 18 21 24 27 30 33 36 39",
+        "Sort the list 9 4 7 1 8 2 and name the 3 largest values in it",
+        "On 3 May 2019 Ann paid 4 euros and 50 cents for 2 kg of rice, on 7 May 2019 she paid 5 euros. How much more was it?",
+        "1 2 3 4 5 6 7 8 9 10 11 12 13 14",
+        "12 kg 15 kg 20 kg",
+    ]
+    docs = ["table 5 6 7 8 9 1 2 3", " ".join(map(str, range(1, 500))), "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "she said: Add 1 2 3 4 5 6 7 8 now", "Add 5 2 9 4 5 6 7 1 now", "so Sort the list 3 5 6 2 9 1 and name the 4 largest values in it"]
+    docs += [" ".join(n() for _ in range(200)) for _ in range(10)]  # tables
+    docs += [" ".join(f"{n(28)} May {2000 + rng.randrange(30)} {n()} euros and {n()} cents" for _ in range(40)) for _ in range(10)]  # dates and prices
+    docs += [" ".join(f"{rng.choice(['rice', 'tea', 'salt'])} {n()} kg {n()}.{n()} dollars" for _ in range(60)) for _ in range(10)]
+    docs += ["\n".join(f"Item {i} {n()} {n()} {n()} Total {n()} kg" for i in range(50)) for _ in range(5)]
+    got = found(spark, items, docs)
+    assert set(got) == brute_leaks(items, docs)
+    assert got == {(2, 4): "verbatim", (3, 0): "verbatim", (5, 2): "parameterised", (1, 4): "verbatim"} | {k: v for k, v in got.items() if k == (4, 0)}
+
+
+def test_long_documents_with_many_places(spark):
+    """A worksheet of thousands of look-alikes with a copy far behind: places are judged stretch by stretch."""
+    item = "then Alice bought 12 kg of apples for 30 dollars and Alice gave 7 kg to her friend Bob on that day"
+    unlike = item.replace("Alice bought", "Maria bought").replace("Alice gave", "Eve gave").replace("12 kg", "9 kg").replace("7 kg", "9 miles").replace("30", "9")
+    other = item.replace("Alice", "Maria").replace("12", "5").replace(" 7 ", " 6 ")
+    sheet = (unlike + ". ") * 3000
+    assert found(spark, [item], [sheet, sheet + item, other + ". " + sheet, sheet + other + ". " + sheet + item]) == {(1, 0): "verbatim", (2, 0): "parameterised", (3, 0): "verbatim"}
+
+
 def test_leaks_against_brute_force(spark):
     """Questions of one mould with other names, numbers and units, edited, cut, in part and side by side."""
     rng = random.Random(11)
