@@ -5,6 +5,8 @@ mark that stands for a space, and around characters that are pieces of their own
 What lies between, a chunk, is merged by an agenda of its adjacent pairs of symbols,
 ordered by the score of the piece that they make, the leftmost of equals first; a merge puts
 the two pairs that it makes on the agenda.  Symbols that are no pieces are spelt in bytes.
+The agendas of many chunks are the rows of a matrix, from each of which the best pair is
+taken at a time; a long chunk has a heap of its own.
 
 Chunks not seen before are merged once for a batch of texts, and the batch's answers are
 held against the sentencepiece library before they are remembered.  Should the two ever
@@ -13,9 +15,11 @@ differ, the library's answer counts, and the difference is counted, too.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -29,14 +33,19 @@ SPACE = "▁"
 #: What an unknown piece is decoded as, unless the model says otherwise.
 UNKNOWN = " ⁇ "
 #: Chunks that a worker remembers before they become the older half of what it remembers.
-MOST_CHUNKS = 150_000
+MOST_CHUNKS = 300_000
 #: Longer chunks are not remembered.
 LONGEST_KNOWN = 64
+#: Chunks up to so many characters are merged many at a time, in matrices of these widths.
+WIDTHS = (4, 8, 12, 16, 24, 32)
+#: Chunks whose ids are asked of the library in one text.
+CHECKED = 200
 #: Chunks of the texts that are merged and checked together.
 RUN = 100_000
 #: Fields of the model file: where the trainer's and the normaliser's settings are, and their numbers.
 TRAINER, NORMALIZER, MODEL_TYPE, UNKNOWN_SURFACE, CHARSMAP, DUMMY_PREFIX, REMOVE_SPACES, ESCAPE_SPACES = 2, 3, 3, 44, 2, 3, 4, 5
 SUFFIX_SPACES, MERGE_TYPE = 24, 2
+NEVER = np.iinfo(np.int32).max
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -101,6 +110,20 @@ class PieceAgenda:
                 self.surface[i] = bytes([i - self.bytes_at])
         self.marked = [names[i].startswith(SPACE) for i in range(size)]
         self.controls = frozenset(i for i in range(size) if sp.is_control(i))
+        # symbols are pieces and the characters that they consist of, by number; pairs of them make pieces
+        symbols = [*self.ids, *sorted(joins - set(self.ids))]
+        number = {x: i for i, x in enumerate(symbols)}
+        self.joined = [str(self.ids[x]) if x in self.ids else ",".join(map(str, self._spell(x))) for x in symbols]
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for x, i in number.items():
+            if len(x) == 1:
+                self.of_char[ord(x)] = i
+        rank = {o: r for r, o in enumerate(sorted(set(self.order.values())))}
+        self.size = len(symbols)
+        pairs = {number[p[:k]] * self.size + number[p[k:]]: (rank[self.order[p]], number[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.ranks, self.makes = np.array([pairs[x] for x in self.pairs.tolist()], np.int32).T.copy()
+        self.line = self.bytes_at + 10
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.merged = self.corrected = 0
@@ -143,11 +166,53 @@ class PieceAgenda:
             if s:
                 x = ids.get(s)
                 if x is None:
-                    out += [self.bytes_at + b for b in s.encode("utf-8", "surrogatepass")]
+                    out += self._spell(s)
                 else:
                     out.append(x)
         return out
 
+    def _spell(self, symbol: str) -> list[int]:
+        return [self.bytes_at + b for b in symbol.encode("utf-8", "surrogatepass")]
+
+    def _look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and number of what each pair makes; a rank of NEVER for pairs that make nothing."""
+        key = a.astype(np.int64) * self.size + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        fits = (self.pairs[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(fits, self.ranks[at], NEVER), self.makes[at]
+
+    def merge_many(self, chunks: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of chunks of 2 to ``width`` characters, one after the other, and how many each has.
+
+        Each chunk is a row of agenda, whose best pair is merged in each step.
+        """
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        symbols = np.full((len(chunks), width), -1, np.int32)
+        symbols[np.arange(width) < sizes[:, None]] = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        agenda, makes = self._look_up(symbols[:, :-1], symbols[:, 1:])
+        done, row = symbols, np.arange(len(chunks))
+        symbols = symbols.copy()
+        place = np.arange(width)
+        while len(row):
+            best = agenda.argmin(1)
+            on = agenda[np.arange(len(row)), best] < NEVER
+            done[row[~on]] = symbols[~on]
+            row, symbols, agenda, makes, best = row[on], symbols[on], agenda[on], makes[on], best[on]
+            here = np.arange(len(row))
+            made = makes[here, best]
+            # what stands behind the pair moves up by one
+            moved = np.minimum(place + (place > best[:, None]), width - 1)
+            symbols = np.take_along_axis(symbols, moved, 1)
+            symbols[here, best], symbols[:, -1] = made, -1
+            moved = np.minimum(place[:-1] + (place[:-1] > best[:, None]), width - 2)
+            agenda, makes = np.take_along_axis(agenda, moved, 1), np.take_along_axis(makes, moved, 1)
+            agenda[:, -1] = NEVER
+            agenda[here, np.minimum(best, width - 2)], makes[here, np.minimum(best, width - 2)] = self._look_up(made, symbols[here, np.minimum(best + 1, width - 1)])
+            left = np.flatnonzero(best > 0)
+            agenda[left, best[left] - 1], makes[left, best[left] - 1] = self._look_up(symbols[left, best[left] - 1], made[left])
+        there = done >= 0
+        return done[there], there.sum(1)
+
     def learn(self, chunks: set[str]) -> None:
         """Merge chunks not seen before and check them all against the library."""
         new = [c for c in chunks if c not in self.known]
@@ -162,15 +227,36 @@ class PieceAgenda:
                 fresh.append(c)
             else:
                 self.known[c] = ids
-        made = [self.merge(c) for c in fresh]
-        # a line break is a piece of its own: what follows it is encoded as if the text went on
-        told = self.library.encode(["\n" + c for c in fresh], num_threads=1) if fresh else []
         self.merged += len(fresh)
-        for c, a, b in zip(fresh, made, told):
-            if a != b[2:]:
-                self.corrected += 1
-                a = b[2:]
-            self.known[c] = ",".join(map(str, a))
+        groups: dict[int, list[str]] = {}
+        for c in fresh:
+            groups.setdefault(bisect.bisect_left(WIDTHS, len(c)) if len(c) > 1 else len(WIDTHS), []).append(c)
+        for g, some in groups.items():
+            if g < len(WIDTHS):
+                symbols, counts = self.merge_many(some, WIDTHS[g])
+                names = list(map(self.joined.__getitem__, symbols.tolist()))
+                ends = np.cumsum(counts).tolist()
+                told = [",".join(names[a:b]) for a, b in zip([0, *ends], ends)]
+            else:
+                told = [",".join(map(str, self.merge(c))) for c in some]
+            self._check(some, told)
+            self.known.update(zip(some, told))
+
+    def _check(self, chunks: list[str], told: list[str]) -> None:
+        """Hold the ids of chunks against the library's; where they differ, ``told`` gets the library's.
+
+        A line break is a piece of its own, so chunks joined by it are encoded as if each stood alone.
+        """
+        for a in range(0, len(chunks), CHECKED):
+            some, line = chunks[a : a + CHECKED], f",{self.line},"
+            want = parsed(f"{self.ids[SPACE]}{line}{line.join(told[a : a + CHECKED])}").tolist()
+            if self.library.encode("\n" + "\n".join(some).replace(SPACE, " ")) == want:
+                continue
+            for i, c in enumerate(some, a):
+                right = ",".join(map(str, self.library.encode("\n" + c)[2:]))
+                if right != told[i]:
+                    self.corrected += 1
+                    told[i] = right
 
     # -- texts ----------------------------------------------------------------------
 

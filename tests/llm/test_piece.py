@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -36,6 +37,21 @@ def test_words_of_any_length(pair):
     assert own.corrected == 0 and not any(len(c) > piece.LONGEST_KNOWN for c in own.known)
 
 
+def test_rows_of_agendas_and_heaps_agree(pair):
+    """Chunks of every length up to beyond the widest matrix."""
+    own, library = pair
+    rng = random.Random(8)
+    for n in range(2, 40):
+        some = list({piece.SPACE * rng.randrange(2) + "".join(rng.choice("etaoinshrdluéßABC.,_日本") for _ in range(n)) for _ in range(60)})
+        assert own.split(" ".join(some).replace(piece.SPACE, "")) is not None
+        for w in piece.WIDTHS:
+            fits = [c for c in some if len(c) <= w]
+            symbols, counts = own.merge_many(fits, w)
+            ends = np.cumsum(counts).tolist()
+            made = [",".join(own.joined[x] for x in symbols[a:b].tolist()) for a, b in zip([0, *ends], ends)]
+            assert made == [",".join(map(str, own.merge(c))) for c in fits]
+
+
 def test_decodes_any_ids(pair):
     """Bytes that are no text, control and unknown ids among others."""
     own, library = pair
@@ -54,6 +70,7 @@ def test_forgetting_changes_nothing(monkeypatch):
 
 def test_a_difference_is_corrected_and_counted(monkeypatch):
     monkeypatch.setattr(piece.PieceAgenda, "merge", lambda self, chunk: [5])
+    monkeypatch.setattr(piece.PieceAgenda, "merge_many", lambda self, chunks, width: (np.zeros(len(chunks), int), np.ones(len(chunks), int)))
     own = piece.PieceAgenda(PATH)
     assert next(own.encode_batch(["hello world"])).tolist() == own.library.encode("hello world") and own.corrected == 2
 
