@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quern.operators.discover import Session, next_pair, pick
+from quern.operators.discover import AtHand, Session, next_pair, pick
 from quern.operators.rank import unit_rows
 
 TTL_MS = 1_800_000
@@ -32,15 +32,15 @@ def discover(picks: DataFrame, ids: np.ndarray, vectors: np.ndarray, ttl_ms: int
         if state.hasTimedOut:
             state.remove()
             return
-        at, unit = shared.value
+        library = AtHand(*shared.value)
         session, out = pickle.loads(state.get[0]) if state.exists else None, []
         for frame in frames:
             for chosen in frame["picked_id"]:
                 if session is None:
                     session = Session(key[0])
-                    shown = next_pair(session, at, unit)
+                    shown = next_pair(session, library)
                 else:
-                    shown = pick(session, int(chosen), at, unit) if chosen is not None and chosen == chosen else None
+                    shown = pick(session, int(chosen), library) if chosen is not None and chosen == chosen else None
                 if shown:
                     pair, source = shown
                     out.append((key[0], session.round, pair[0], pair[1] if len(pair) > 1 else None, source))
