@@ -50,9 +50,10 @@ def test_draw_many(spark, monkeypatch):
         assert got[k] == ids[np.lexsort((ids, keys))][: 1 + k].tolist()
 
 
-@pytest.mark.parametrize("n", [1, 7, 30, 260])
-def test_sessions_like_a_replay_at_hand(spark, n):
+@pytest.mark.parametrize("n, at_hand", [(1, 0), (7, 0), (30, 0), (260, 0), (1, 10**6), (260, 10**6)])
+def test_sessions_like_a_replay_at_hand(spark, monkeypatch, n, at_hand):
     """Libraries too small for a pair, for a burst and for the seeding rounds, and one beyond a pool."""
+    monkeypatch.setattr(replays, "LIBRARY_NUMBERS", at_hand)
     rng = np.random.default_rng(n)
     ids = np.sort(rng.permutation(1000)[:n])
     m = rng.normal(size=(n, 5))
