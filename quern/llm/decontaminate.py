@@ -39,6 +39,8 @@ LITERAL = 3
 STRETCH = 4096
 #: Rows of windows or findings that are broadcast at most; more of them are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
+#: Windows of found places that are broadcast at most: some 10 MB.
+BROADCAST_WINDOWS = 500_000
 #: Hash positions between which an alignment may drift through inserted or removed words.
 DRIFT = 4
 
@@ -176,7 +178,9 @@ def find_contamination(
         F.collect_list(F.when(F.col("reading") == TEMPLATE, F.struct("n", "n_windows", "width", "at"))).alias("others"),
     )
     places = Scratch(docs.sparkSession).keep(places.select("doc", "item", F.when(F.col("same").isNotNull(), F.array("same")).otherwise(F.col("others")).alias("places"), F.col("same").isNotNull().alias("verbatim")), "decontaminate")
-    if places.count() <= BROADCAST_ROWS:
+    # a place's windows are what makes it large
+    windows = places.agg(F.sum(F.aggregate("places", F.lit(0), lambda n, p: n + F.size(p.getField("at")) + 1))).first()[0] or 0
+    if windows <= BROADCAST_WINDOWS:
         places = F.broadcast(places)
     return _with_slots(docs, benchmark, places, id_col, text_col, item_col, item_text_col, consistent)
 
