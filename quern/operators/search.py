@@ -195,17 +195,17 @@ def mean_vectors(rows: DataFrame, by: Sequence[str] = (), weight: str | None = N
 
 
 def recommend_target(points: DataFrame, positive: DataFrame, negative: DataFrame) -> DataFrame:
-    """One row ``q``: the mean of the liked vectors minus the mean of the disliked, normalised.
+    """One row ``q``: the mean of the liked vectors minus the mean of the disliked, normalised, and ``liked``, whether any is.
 
     One pass over the points adds up both sides; a side without examples is left out.  An id
     on both sides counts for both.
     """
     signs = positive.select("id", F.lit(1).alias("side")).union(negative.select("id", F.lit(-1))).distinct()
     sums = sum_vectors(points.select("id", "vector").join(signs, "id"), ["side"])
-    each = sums.select(F.transform("s", lambda x: F.col("side") * x / F.col("w")).alias("m"))
-    both = each.agg(F.collect_list("m").alias("m"))  # two rows at most
+    each = sums.select("side", F.transform("s", lambda x: F.col("side") * x / F.col("w")).alias("m"))
+    both = each.agg(F.collect_list("m").alias("m"), F.coalesce(F.max("side") > 0, F.lit(False)).alias("liked"))  # two rows at most
     total = F.when(F.size("m") == 2, F.zip_with(F.get("m", F.lit(0)), F.get("m", F.lit(1)), lambda x, y: x + y)).otherwise(F.get("m", F.lit(0)))
-    return both.select(l2_normalise(total).alias("q"))
+    return both.select(l2_normalise(total).alias("q"), "liked")
 
 
 def recommend(points: DataFrame, positive: DataFrame, negative: DataFrame, rows: int, target: Sequence[float] | None = None) -> DataFrame:
@@ -217,6 +217,19 @@ def recommend(points: DataFrame, positive: DataFrame, negative: DataFrame, rows:
     return best(scored(rest, target), rows)
 
 
+def feed(points: DataFrame, positive: DataFrame, negative: DataFrame, rows: int) -> tuple[DataFrame, list[float] | None]:
+    """The pool of a feed, and what it was recommended by.
+
+    Without a like (that has a vector) nothing can be recommended, whatever is disliked: the
+    feed starts cold, with all that is neither liked nor disliked at a score of 0, by id.
+    """
+    found = recommend_target(points, positive, negative).first()
+    if found.liked and found.q is not None:
+        return recommend(points, positive, negative, rows, list(found.q)), list(found.q)
+    rest = filtered(points, excluded=positive.select("id").union(negative.select("id")))
+    return best(rest.where(F.col("vector").isNotNull()).withColumn("score", F.lit(0.0)), rows), None
+
+
 def blend(vectors: Sequence[Sequence[float]], weights: Sequence[float] | None = None) -> list[float]:
     """Weighted sum, normalised; missing weights are 1, surplus ones ignored."""
     if not vectors:

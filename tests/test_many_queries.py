@@ -68,3 +68,27 @@ def test_sessions_like_a_replay_at_hand(spark, monkeypatch, n, at_hand):
     assert replays.replay_all(sessions, points_of(spark, ids, m).limit(0)).count() == 0
     assert replays.replay_all(sessions.limit(0), points_of(spark, ids, m)).count() == 0
     assert sessions.count() == len(got)
+
+
+@pytest.mark.parametrize("kinds", [[], ["error"], ["error", "purchase"]])
+def test_feed_starts_cold_without_likes(spark, tmp_path, kinds):
+    """No events and dislikes alone give a cold feed: all but the disliked, spread out; a like makes it warm."""
+    from quern.fixtures import LIKER
+    from quern.plans import registry
+
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(200, 64))
+    m[100:] = m[:100] + rng.normal(size=(100, 64)) * 0.001  # near copies, which are not shown twice
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(i, LIKER, kind, f'{{"k": {3 + i}}}', i) for i, kind in enumerate(kinds)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string, ts long").write.parquet(f"{tmp_path}/events.parquet")
+    got = [r.id for r in registry.queries()["for_you_feed"](spark, str(tmp_path)).orderBy("position").collect()]
+    marked = {3 + i for i in range(len(kinds))}
+    assert len(got) == len(set(got)) == 30 and not marked & set(got)
+    if "purchase" not in kinds:
+        # the pool is the first 120 ids that are left; relevance is the same for all, so the first leads
+        assert got[0] == min(set(range(200)) - marked) and max(got) <= 120 + len(kinds) and len({i % 100 for i in got}) == 30
+        assert set(r.id for r in registry.queries()["for_you_sample"](spark, str(tmp_path)).collect()) <= set(range(200)) - marked
+    else:
+        assert 104 in got  # the near copy of what is liked
