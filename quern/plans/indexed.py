@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern import fixtures as X
-from quern.operators import search as S
+from quern.operators import search as S, textfilter as T
+from quern.operators.tokenindex import TokenIndex
 from quern.operators.vectorindex import VectorIndex
+from quern.plans.ingestion import TOK, _paths
 from quern.plans.registry import query
 from quern.plans.retrieval import near, out, sql
 from quern.scratch import scratch_path
@@ -47,3 +49,28 @@ def index_append(spark, d):
 def index_facet(spark, d):
     """Points of each collection from the index's table of cells."""
     return _index(spark, X.vectors(spark, d)).facet().select("collection", F.col("n").cast("long").alias("n"))
+
+
+def _tokens(spark, d) -> TokenIndex:
+    """The index after three batches: wrong paths for all and an id too many, then right ones for half of them, then the rest and a deletion."""
+    index, paths = TokenIndex(spark, scratch_path(spark, "token-index")), _paths(spark, d).select("id", "path")
+    extra = spark.createDataFrame([(-1, "/gone/m.jpg")], "id long, path string")
+    index.apply(paths.withColumn("path", F.concat(F.lit("/old/m/"), "id")).union(extra), 0)
+    index.apply(paths.where("id % 2 = 0"), 1)
+    index.apply(paths.where("id % 2 <> 0").union(extra.withColumn("path", F.lit(None).cast("string"))), 2)
+    return index
+
+
+@query("index_token_match", sql(TOK + " SELECT id FROM t WHERE list_contains(tokens, 'm')"))
+def index_token_match(spark, d):
+    return _tokens(spark, d).matches(T.Pattern.parse("M"))
+
+
+@query("index_token_prefix", sql(TOK + " SELECT id FROM t WHERE len(list_filter(tokens, lambda x: starts_with(x, 'thth'))) > 0"))
+def index_token_prefix(spark, d):
+    return _tokens(spark, d).matches(T.Pattern.parse("thth*"))
+
+
+@query("index_filename_guard", sql(TOK + ", c AS (SELECT avg(CASE WHEN list_contains(tokens, 'en') THEN 1.0 ELSE 0.0 END) AS share FROM t) SELECT id FROM t, c WHERE list_contains(tokens, 'en') OR share > 0.5"))
+def index_filename_guard(spark, d):
+    return _tokens(spark, d).guarded(T.Pattern.parse("en"))

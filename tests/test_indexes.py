@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import search as S
 from quern.operators.vectorindex import OTHER, VectorIndex, fit_centroids
@@ -92,3 +93,35 @@ def test_copies_and_empty_tables(spark, tmp_path):
     empty = VectorIndex.build(spark.createDataFrame([], SCHEMA), str(tmp_path / "y"))
     assert empty.search([1.0], 4).rows.count() == 0 and empty.facet().count() == 0
     assert len(fit_centroids(np.eye(3), 10)) == 3
+
+
+def test_token_index_follows_its_batches(spark, tmp_path):
+    """Inserts, updates and deletions in batches, one of them applied twice: as a scan of what is left."""
+    import random
+
+    from quern.operators.textfilter import Pattern, guarded, matches
+    from quern.operators.tokenindex import TokenIndex
+
+    rng, index, left = random.Random(10), TokenIndex(spark, str(tmp_path / "t")), {}
+    words = ["Chaewon", "kazuha", "2024", "Émile", "winter_portrait", "all", "img", "a", "ab", "abc"]
+    schema = "id long, path string, version long"
+    for segment in range(4):
+        batch = [(rng.randrange(60), None if rng.random() < 0.2 else "/all/" + "/".join(rng.choices(words, k=3)) + ".jpg", v) for v in range(50)] + [(None, "/all/x.jpg", 0)]
+        for i, p, _ in batch:
+            if i is not None:
+                left[i] = p
+        for _ in range(1 + (segment == 2)):
+            index.apply(spark.createDataFrame(batch, schema), segment)
+        live = spark.createDataFrame([(i, p) for i, p in left.items() if p], "id long, path string")
+        if segment in (0, 3):
+            for compacted in range(1 + (segment == 3)):
+                if compacted:
+                    index.compact()
+                for text in ("chaewon", "emile", "ab*", "winter_por*", "portrait_jpg", "none", "all", "a*"):
+                    pattern = Pattern.parse(text)
+                    ids = lambda df: sorted(r.id for r in df.select("id").collect())
+                    assert ids(index.matches(pattern)) == ids(live.where(matches(F.col("path"), pattern))), text
+                    if text in ("all", "emile", "a*"):
+                        assert ids(index.guarded(pattern)) == ids(guarded(live, pattern)), text
+    assert index._counts("all", False) == index.total() == sum(p is not None for p in left.values())
+    assert TokenIndex(spark, str(tmp_path / "none")).matches(Pattern.parse("a")).count() == 0
