@@ -8,6 +8,8 @@ from quern import fixtures as X
 from quern.operators import state as O
 from quern.plans.registry import query
 from quern.plans.retrieval import seeded, sql
+from quern.scratch import scratch_path
+from quern.streaming.points import point_table
 
 Q = '"at"'
 
@@ -258,7 +260,10 @@ def saved_search_json(spark, d):
     return p.select("event_id", F.size("p").cast("long").alias("n"), F.array_join("p", "|").alias("joined"))
 
 
-@query("upsert_fold", sql(", u AS (SELECT id, 'moved/' || path AS path, size, 2 AS version FROM points WHERE collection = 'lib4' UNION ALL SELECT id + 1000000, path, size, 2 FROM points WHERE collection = 'lib5'), a AS (SELECT id, path, size, 1 AS version FROM points UNION ALL SELECT * FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS n FROM a) SELECT id, path, size, CAST(version AS BIGINT) AS version FROM r WHERE n = 1"))
+UPSERTED = sql(", u AS (SELECT id, 'moved/' || path AS path, size, 2 AS version FROM points WHERE collection = 'lib4' UNION ALL SELECT id + 1000000, path, size, 2 FROM points WHERE collection = 'lib5'), a AS (SELECT id, path, size, 1 AS version FROM points UNION ALL SELECT * FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS n FROM a) SELECT id, path, size, CAST(version AS BIGINT) AS version FROM r WHERE n = 1")
+
+
+@query("upsert_fold", UPSERTED)
 def upsert_fold(spark, d):
     p = X.points(spark, d)
     base = p.select("id", "path", "size", F.lit(1).cast("long").alias("version"))
@@ -267,6 +272,21 @@ def upsert_fold(spark, d):
     return O.upsert(base, moved.union(added), ["id"], "version")
 
 
+@query("upsert_batches", UPSERTED)
+def upsert_batches(spark, d):
+    """The same points in three micro-batches, the second of which is run twice."""
+    p = X.points(spark, d)
+    row = lambda some, id, path, version: some.select(id.alias("id"), path.alias("path"), "size", F.lit(version).cast("long").alias("version"))
+    table = point_table(spark, scratch_path(spark, "points"), "id long, path string, size long, version long")
+    moved = row(p.where("collection = 'lib4'"), F.col("id"), F.concat(F.lit("moved/"), "path"), 2)
+    added = row(p.where("collection = 'lib5'"), F.col("id") + 1000000, F.col("path"), 2)
+    for number, batch in enumerate([moved, row(p.where("id % 2 = 0"), F.col("id"), F.col("path"), 1).union(added), row(p.where("id % 2 <> 0"), F.col("id"), F.col("path"), 1)]):
+        table.fold(batch, number)
+        if number == 1:
+            table.fold(batch, number)
+    return table.read()
+
+
 @query("payload_patch", sql("SELECT id, CASE WHEN collection IN ('lib1', 'lib2') THEN 'src-' || collection ELSE shard END AS shard FROM points"))
 def payload_patch(spark, d):
     p = X.points(spark, d).select("id", "shard", "collection")
