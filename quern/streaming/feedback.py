@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.operators.state import latest
-from quern.scratch import delete_path
+from quern.streaming.buckets import Buckets
 
 
 def window_counts(log: DataFrame, width: str, late: str | None = None) -> DataFrame:
@@ -15,65 +14,21 @@ def window_counts(log: DataFrame, width: str, late: str | None = None) -> DataFr
     return log.groupBy(F.window("at", width).alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
 
 
-#: Buckets of the state, by a hash of the photo; a micro-batch rewrites those that it touches.
+#: Buckets of the state, by a hash of the photo.
 BUCKETS = 64
+STATE = "photo_id long, at timestamp_ntz, kind string"
 
 
-def _store(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _versions(spark: SparkSession, path: str, number: int) -> dict[int, int]:
-    """Version of each bucket after micro-batch ``number``; nothing before the first."""
-    if number < 0:
-        return {}
-    row = spark.read.schema("bucket int, version int").json(f"{path}/state-{number}.json").collect()
-    return {r.bucket: r.version for r in row}
-
-
-def _bucket_paths(path: str, versions: dict[int, int]) -> list[str]:
-    return [f"{path}/v={v}/bucket={b}" for b, v in sorted(versions.items())]
-
-
-STATE = "photo_id long, at timestamp_ntz, kind string"
+def _table(spark: SparkSession, path: str) -> Buckets:
+    return Buckets(spark, path, STATE, "photo_id", ["at", "kind"], BUCKETS)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """(photo_id, at, kind): the last event of each photo, after the last micro-batch that is complete."""
-    store, root = _store(spark, path)
-    found = [f.getPath().getName() for f in store.listStatus(root)] if store.exists(root) else []
-    done = [int(n[len("state-") : -len(".json")]) for n in found if n.startswith("state-") and n.endswith(".json")]
-    paths = _bucket_paths(path, _versions(spark, path, max(done))) if done else []
-    return spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+    return _table(spark, path).read()
 
 
 def maintain(log: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Keep the last event of each photo up to date from a stream; ``read_state`` reads it.
-
-    Each micro-batch folds into the buckets that it touches and writes their next versions
-    under its number, then says in one small file which versions count: a batch that is run
-    again replaces its own.  Versions that neither this nor the last batch counts are removed.
-    """
-
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _versions(spark, path, number - 1)
-        bucket = F.pmod(F.xxhash64("photo_id"), F.lit(BUCKETS)).cast("int")
-        new = latest(batch.select("photo_id", "at", "kind"), ["photo_id"], ["at", "kind"])
-        touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]
-        old = _bucket_paths(path, {b: v for b, v in before.items() if b in touched})
-        if old:
-            new = latest(spark.read.schema(STATE).parquet(*old).unionByName(new), ["photo_id"], ["at", "kind"])
-        now = before | {b: number for b in touched}
-        new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
-        rows = spark.createDataFrame(sorted(now.items()), "bucket int, version int")
-        rows.coalesce(1).write.mode("overwrite").json(f"{path}/state-{number}.json")
-        counted = set(_bucket_paths(path, now)) | set(_bucket_paths(path, before))
-        for b, v in (_versions(spark, path, number - 2) if number > 1 else {}).items():
-            if f"{path}/v={v}/bucket={b}" not in counted:
-                delete_path(spark, f"{path}/v={v}/bucket={b}")
-        if number > 1:
-            delete_path(spark, f"{path}/state-{number - 2}.json")
-
-    return log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    """Keep the last event of each photo up to date from a stream; ``read_state`` reads it."""
+    table = _table(log.sparkSession, path)
+    return log.writeStream.foreachBatch(table.fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
