@@ -14,13 +14,17 @@ from quern.scratch import delete_path
 
 
 class Buckets:
-    """The table below ``path``: of each ``key`` the row that is last by ``order``.
+    """The table below ``path``: of each key the row that is last by ``order``.
 
-    ``buckets`` bounds what a batch of few keys rewrites, and how much of the table one task holds.
+    A key is one column or several.  Rows are dealt to buckets by the columns ``by``, which are
+    among the key's (all of them if not given).  ``buckets`` bounds what a batch of few keys
+    rewrites, and how much of the table one task holds.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, order: list[str], buckets: int = 64):
-        self.spark, self.path, self.schema, self.key, self.order, self.buckets = spark, path.rstrip("/"), schema, key, order, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | list[str], order: list[str], buckets: int = 64, by: list[str] | None = None):
+        self.spark, self.path, self.schema, self.order, self.buckets = spark, path.rstrip("/"), schema, order, buckets
+        self.keys = [key] if isinstance(key, str) else list(key)
+        self.by = by or self.keys
         self.columns = spark.createDataFrame([], schema).columns
 
     def _versions(self, number: int) -> dict[int, int]:
@@ -44,9 +48,21 @@ class Buckets:
         """Number of the last complete micro-batch, -1 before the first."""
         return max(self._complete(), default=-1)
 
-    def read(self) -> DataFrame:
-        """The table after the last complete micro-batch."""
-        folders = self._folders(self._versions(self.done()))
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """Numbers of the buckets that the rows, which have the columns ``by``, belong to."""
+        return sorted(r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect())
+
+    def read(self, number: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The table after the last complete micro-batch; of some buckets only, if these are given.
+
+        With a number, as it was after that batch, or after the last one before it.  This can be
+        asked for the last complete batch and for the one before it.
+        """
+        at = max((n for n in self._complete() if number is None or n <= number), default=-1)
+        folders = self._folders({b: v for b, v in self._versions(at).items() if buckets is None or b in buckets})
         return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
     def fold(self, batch: DataFrame, number: int) -> None:
@@ -55,15 +71,14 @@ class Buckets:
         if number <= last:
             return
         before = self._versions(last)
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        new = latest(batch.where(F.col(self.key).isNotNull()).select(*self.columns), [self.key], self.order)
-        touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]
+        new = latest(batch.dropna(subset=self.keys).select(*self.columns), self.keys, self.order)
+        touched = self.touched(new)
         old = self._folders({b: v for b, v in before.items() if b in touched})
         if old:
-            new = latest(self.spark.read.schema(self.schema).parquet(*old).unionByName(new), [self.key], self.order)
+            new = latest(self.spark.read.schema(self.schema).parquet(*old).unionByName(new), self.keys, self.order)
         now = before | {b: number for b in touched}
         if touched:
-            new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={number}")
+            new.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={number}")
         self._count(now, number)
         # what a reader of the batch before may still read stays
         kept = set(self._folders(now)) | set(self._folders(before))
