@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern import fixtures as X
 from quern.operators import search as S, textfilter as T
+from quern.operators.pages import Cursor, Pages, shuffled
 from quern.operators.tokenindex import TokenIndex
 from quern.operators.vectorindex import VectorIndex
 from quern.plans.ingestion import TOK, _paths
@@ -74,3 +75,29 @@ def index_token_prefix(spark, d):
 @query("index_filename_guard", sql(TOK + ", c AS (SELECT avg(CASE WHEN list_contains(tokens, 'en') THEN 1.0 ELSE 0.0 END) AS share FROM t) SELECT id FROM t, c WHERE list_contains(tokens, 'en') OR share > 0.5"))
 def index_filename_guard(spark, d):
     return _tokens(spark, d).guarded(T.Pattern.parse("en"))
+
+
+def _pages(spark, key) -> Pages:
+    return Pages(spark, scratch_path(spark, "pages"), "id long, collection string", key, "collection", part_rows=4096)
+
+
+@query("scan_cursor", sql(""", wanted AS (SELECT id FROM points WHERE collection IN ('lib1', 'lib3')), p1 AS (SELECT id FROM wanted WHERE id % 3 <> 0 ORDER BY id LIMIT 25),
+p2 AS (SELECT id FROM wanted WHERE id > (SELECT max(id) FROM p1) ORDER BY id LIMIT 25) SELECT 1 AS page, id FROM p1 UNION ALL SELECT 2, id FROM p2"""))
+def scan_cursor(spark, d):
+    """Two pages of two collections by id; a third of the points comes between them."""
+    v, pages = X.vectors(spark, d).select("id", "collection"), _pages(spark, F.col("id"))
+    pages.append(v.where("id % 3 <> 0"), 0)
+    first = pages.page(25, groups=["lib1", "lib3"])
+    pages.append(v.where("id % 3 = 0"), 1)
+    second = pages.page(25, first.after, ["lib1", "lib3"]).rows
+    return first.rows.select(F.lit(1).alias("page"), "id").union(second.select(F.lit(2), "id"))
+
+
+@query("shuffled_page", sql(""", keyed AS (SELECT id, collection, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15) AS BIGINT) AS key FROM points), start AS (SELECT key FROM keyed WHERE id = 7)
+SELECT id FROM keyed WHERE collection IN ('lib1', 'lib2') ORDER BY key <= (SELECT key FROM start), key, id LIMIT 40"""))
+def shuffled_page(spark, d):
+    """A page of two collections in shuffled order, from the place of a point on and around the end."""
+    v, pages = X.vectors(spark, d).select("id", "collection"), _pages(spark, shuffled())
+    pages.append(v, 0)
+    place = v.where("id = 7").select(shuffled()).first()
+    return pages.around(40, Cursor(place[0], 7), ["lib1", "lib2"]).rows.select("id")

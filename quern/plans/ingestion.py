@@ -10,6 +10,8 @@ from quern.operators import ingest as I, textfilter as T
 from quern.operators.search import MOST_PROMPTS
 from quern.plans.registry import query
 from quern.plans.retrieval import sql
+from quern.scratch import scratch_path
+from quern.streaming.changes import Changes
 
 IMG = r"regexp_matches(lower(path), '\.(jpg|jpeg|jfif|png|webp|heic|heif)$')"
 
@@ -67,6 +69,19 @@ def sync_plan_counts(spark, d):
     return I.sync_plan(X.disk(spark, d), X.indexed(spark, d)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query("change_decisions", sql("SELECT d.path, CASE WHEN i.path IS NULL THEN 'new' WHEN d.mtime = i.mtime AND d.size = i.size THEN 'skip' ELSE 'changed' END AS reason FROM disk d LEFT JOIN indexed i USING (path) UNION ALL SELECT path, 'gone' FROM indexed WHERE path NOT IN (SELECT path FROM disk)"))
+def change_decisions(spark, d):
+    """The plan of a sync from sightings in two micro-batches, one of them run twice, and a walk's end that comes before the second."""
+    changes, disk = Changes(spark, scratch_path(spark, "changes"), buckets=16), X.disk(spark, d)
+    changes.start(X.indexed(spark, d))
+    seen = disk.select("path", F.timestamp_seconds(F.col("mtime") % 1000 + 1).cast("timestamp_ntz").alias("seen_at"), "mtime", "size", F.lit(False).alias("walked"))
+    walk = spark.range(1).select(F.lit("/Images/").alias("path"), F.timestamp_seconds(F.lit(0)).cast("timestamp_ntz").alias("seen_at"), F.lit(None).cast("long").alias("mtime"), F.lit(None).cast("long").alias("size"), F.lit(True).alias("walked"))
+    changes.fold(seen.where("mtime % 2 = 0"), 1)
+    changes.fold(seen.where("mtime % 2 = 0"), 1)
+    changes.fold(seen.where("mtime % 2 <> 0").union(walk), 2)
+    return changes.decisions().select("path", "reason")
+
+
 @query("prune_missing", sql("SELECT id, path FROM indexed WHERE collection IN ('src0', 'src1') AND path NOT IN (SELECT path FROM disk)"))
 def prune_missing(spark, d):
     return I.prune(X.indexed(spark, d), X.disk(spark, d), ["src0", "src1"]).select("id", "path")

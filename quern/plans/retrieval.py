@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quern import fixtures as X
 from quern.operators import search as S
 from quern.plans.registry import query
+from quern.scratch import scratch_path
+from quern.streaming.centroids import KeptCentroids
 
 COS = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
 
@@ -139,6 +141,34 @@ def album_centroids(spark, d):
     return flat(S.mean_vectors(X.vectors(spark, d).join(m, "id"), ["album_id"]), "album_id")
 
 
+KEPT = """, log AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'album-' ELSE 'user-' END || user_id AS name, CAST(props->>'$.k' AS BIGINT) AS k, ts, event_type <> 'error' AS live FROM events WHERE event_type IN ('purchase', 'error', 'view')),
+emptied AS (SELECT name, max(ts) AS emptied_at FROM log WHERE NOT live AND k % 50 = 0 GROUP BY 1),
+pair AS (SELECT name, k, ts, live, row_number() OVER (PARTITION BY name, k ORDER BY ts DESC, live DESC) AS n FROM log WHERE live OR k % 50 <> 0),
+inset AS (SELECT p.name, p.k FROM pair p LEFT JOIN emptied e USING (name) WHERE n = 1 AND live AND (emptied_at IS NULL OR ts >= emptied_at) AND k % 17 <> 0)"""
+
+
+@query("kept_centroids", sql(KEPT + centroid_sql("s.name", "points p JOIN inset s ON s.k = p.id") + FLAT.format(name="name")))
+def kept_centroids(spark, d):
+    """Centroids of likes and albums kept by micro-batches: late events, points that change their vectors or are deleted, a batch run twice."""
+    e = X.table(spark, d, "events").where("event_type in ('purchase', 'error', 'view')")
+    k, wrong = F.get_json_object("props", "$.k").cast("long"), F.col("event_type") == "error"
+    kind = F.when(~wrong, "add").when(k % 50 == 0, "drop").otherwise("remove")
+    name = F.concat(F.when(F.col("event_type") == "view", "album-").otherwise("user-"), "user_id")
+    log = e.select(F.col("ts").alias("at"), kind.alias("kind"), name.alias("name"), k.alias("photo_id"), F.lit(None).cast("array<double>").alias("vector"), "event_id")
+    vectors = X.vectors(spark, d)
+
+    def point(day, kind, vector, some="true"):
+        return vectors.where(some).select(F.lit(day).cast("timestamp_ntz").alias("at"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("name"), F.col("id").alias("photo_id"), vector.alias("vector"))
+
+    kept, half = KeptCentroids(spark, scratch_path(spark, "centroids"), buckets=16), log.where("event_id % 2 = 0").drop("event_id")
+    first = half.union(point("2000-01-01", "vector", F.reverse("vector")))
+    rest = log.where("event_id % 2 <> 0").drop("event_id").union(point("2000-01-02", "vector", F.col("vector"))).union(point("2000-01-03", "delete", F.lit(None).cast("array<double>"), "id % 17 = 0"))
+    for number, batch in enumerate([first, rest]):
+        kept.fold(batch, number)
+    kept.fold(rest, 1)
+    return flat(kept.read().where("centroid is not null"), "name")
+
+
 @query("label_centroids", sql(centroid_sql("collection", "points p") + FLAT.format(name="collection")))
 def label_centroids(spark, d):
     return flat(S.mean_vectors(X.vectors(spark, d), ["collection"]), "collection")

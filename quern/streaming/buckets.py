@@ -7,6 +7,8 @@ batches, a batch that is run again replaces what it wrote, and one that had been
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.operators.state import latest
@@ -31,18 +33,27 @@ class Buckets:
         """Version of each bucket after micro-batch ``number``; nothing before the first."""
         if number < 0:
             return {}
-        return {r.bucket: r.version for r in self.spark.read.schema("bucket int, version int").json(f"{self.path}/state-{number}.json").collect()}
+        stream = self._store().open(self._state(number))
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return {int(b): v for b, v in json.loads(text).items()}
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _store(self):
+        return self._path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _state(self, number: int):
+        return self._path(f"{self.path}/state-{number}.json")
 
     def _folders(self, versions: dict[int, int]) -> list[str]:
         return [f"{self.path}/v={v}/bucket={b}" for b, v in sorted(versions.items())]
 
     def _complete(self) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [f.getPath() for f in store.listStatus(root)] if store.exists(root) else []
-        # a file of versions counts once it is wholly written
-        whole = [p.getName() for p in names if p.getName().startswith("state-") and store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n[len("state-") : -len(".json")]) for n in whole)
+        root, store = self._path(self.path), self._store()
+        names = [f.getPath().getName() for f in store.listStatus(root)] if store.exists(root) else []
+        return sorted(int(n[len("state-") : -len(".json")]) for n in names if n.startswith("state-"))
 
     def done(self) -> int:
         """Number of the last complete micro-batch, -1 before the first."""
@@ -88,5 +99,10 @@ class Buckets:
             delete_path(self.spark, f"{self.path}/state-{n}.json")
 
     def _count(self, versions: dict[int, int], number: int) -> None:
-        rows = self.spark.createDataFrame(sorted(versions.items()), "bucket int, version int")
-        rows.coalesce(1).write.mode("overwrite").json(f"{self.path}/state-{number}.json")
+        """Write the file of versions: it has its name once it is whole."""
+        store, draft = self._store(), self._path(f"{self.path}/_draft-{number}")
+        stream = store.create(draft, True)
+        stream.write(json.dumps(versions).encode())
+        stream.close()
+        if not store.rename(draft, self._state(number)):
+            raise OSError(f"batch {number} of {self.path} could not be counted")

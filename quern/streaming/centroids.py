@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.operators.search import sum_vectors
+from quern.operators.search import l2_normalise, sum_vectors
 from quern.scratch import Scratch
 from quern.streaming.buckets import Buckets
 
 LOG = "at timestamp_ntz, kind string, name string, photo_id long, vector array<double>"
+KINDS = ("add", "remove", "vector", "delete", "drop")
 #: Steps of the two parts of a component: 2**20 to one, and 2**24 to one of those.
 COARSE, FINE = float(1 << 20), float(1 << 24)
 
@@ -53,10 +54,13 @@ class KeptCentroids:
         self.sums = Buckets(spark, f"{path}/sums", "name string, dim int, version long, n long, s array<double>", ["name", "dim"], ["version"], buckets, ["name"])
 
     def read(self) -> DataFrame:
-        """(name, n, centroid) of the sets that have photos with vectors; one row for each dimension among these."""
+        """(name, n, mean, centroid) of the sets that have photos with vectors; one row for each dimension among these.
+
+        The centroid is the normalised mean, null where that has no length.
+        """
         half = F.col("dim")
         mean = F.zip_with(F.slice("s", 1, half), F.slice("s", half + 1, half), lambda a, b: (a / COARSE + b / (COARSE * FINE)) / F.col("n"))
-        return self.sums.read().where("n > 0").select("name", "n", mean.alias("centroid"))
+        return self.sums.read().where("n > 0").select("name", "n", mean.alias("mean")).withColumn("centroid", l2_normalise(F.col("mean")))
 
     def done(self) -> int:
         """Number of the last batch that readers see, -1 before the first."""
@@ -83,10 +87,13 @@ class KeptCentroids:
         pairs = log.where("kind in ('add', 'remove')").select("name", "photo_id", "at", (F.col("kind") == "add").alias("on")).dropna(subset=["name", "photo_id"])
         points = log.where("kind in ('vector', 'delete')").select("photo_id", "at", F.when(F.col("kind") == "vector", _usable(F.col("vector"))).alias("vector"))
         drops = log.where("kind = 'drop' and name is not null").select("name", "at")
-        for table, rows in ((self.pairs, pairs), (self.points, points), (self.drops, drops)):
-            table.fold(rows, number)
-        emptied = self.pairs.read(number).join(drops.select("name"), "name", "left_semi").select("photo_id")
-        ids = pairs.select("photo_id").union(points.select("photo_id")).union(emptied)
+        kinds = {r.kind for r in log.where(F.col("kind").isin(*KINDS)).select("kind").distinct().collect()}
+        for table, rows, some in ((self.pairs, pairs, {"add", "remove"}), (self.points, points, {"vector", "delete"}), (self.drops, drops, {"drop"})):
+            if kinds & some:
+                table.fold(rows, number)
+        ids = pairs.select("photo_id").union(points.select("photo_id"))
+        if "drop" in kinds:  # the photos of an emptied set may be in any bucket
+            ids = ids.union(self.pairs.read(number).join(drops.select("name"), "name", "left_semi").select("photo_id"))
         photos = scratch.keep(ids.where("photo_id is not null").distinct(), "centroid-photos")
         buckets = self.points.touched(photos)
         both = self._members(number, photos, buckets, 1).unionByName(self._members(number - 1, photos, buckets, -1))
@@ -94,8 +101,9 @@ class KeptCentroids:
         old = self.sums.read(number - 1).select("name", "dim", "n", "s")
         s = F.when(F.col("s").isNull(), F.col("by")).otherwise(F.zip_with("s", "by", lambda a, b: a + b))
         new = change.join(old, ["name", "dim"], "left").select("name", "dim", F.lit(number).cast("long").alias("version"), (F.coalesce("n", F.lit(0)) + F.col("more")).alias("n"), s.alias("s"))
+        new = scratch.keep(new, "centroid-sums")
         self.sums.fold(new, number)
-        scratch.drop(log, photos)
+        scratch.drop(log, photos, new)
 
 
 def centroid_stream(log: DataFrame, kept: KeptCentroids, checkpoint: str, trigger: dict | None = None):

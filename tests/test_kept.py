@@ -47,7 +47,7 @@ def by_hand(rows):
 
 
 def same(kept, rows):
-    got, want = {r.name: (r.n, np.array(r.centroid)) for r in kept.read().collect()}, by_hand(rows)
+    got, want = {r.name: (r.n, np.array(r.mean)) for r in kept.read().collect()}, by_hand(rows)
     assert got.keys() == want.keys()
     for name in want:
         assert got[name][0] == want[name][0] and np.abs(got[name][1] - want[name][1]).max() < 1e-12
@@ -99,9 +99,9 @@ def test_vectors_of_other_dimensions_and_nothing(spark, tmp_path):
     assert kept.read().count() == 0 and kept.done() == 0
     rows = [(at(1), "add", "s", 1, None), (at(1), "add", "s", 2, None), (at(1), "vector", None, 1, [1.0, 2.0]), (at(1), "vector", None, 2, [5.0])]
     kept.fold(spark.createDataFrame(rows, LOG), 1)
-    assert sorted((r.name, r.n, r.centroid) for r in kept.read().collect()) == [("s", 1, [1.0, 2.0]), ("s", 1, [5.0])]
+    assert sorted((r.name, r.n, r.mean) for r in kept.read().collect()) == [("s", 1, [1.0, 2.0]), ("s", 1, [5.0])]
     kept.fold(spark.createDataFrame([(at(2), "vector", None, 1, [3.0]), (at(2), "vector", None, 2, [])], LOG), 2)
-    assert [tuple(r) for r in kept.read().collect()] == [("s", 1, [3.0])]
+    assert [tuple(r) for r in kept.read().collect()] == [("s", 1, [3.0], [1.0])]
 
 
 def test_decisions_are_the_plan_whatever_the_order(spark, tmp_path):
