@@ -59,7 +59,8 @@ class KeptCentroids:
         The centroid is the normalised mean, null where that has no length.
         """
         half = F.col("dim")
-        mean = F.zip_with(F.slice("s", 1, half), F.slice("s", half + 1, half), lambda a, b: (a / COARSE + b / (COARSE * FINE)) / F.col("n"))
+        n = F.nullif(F.col("n"), F.lit(0))  # emptied sets are filtered out, but maybe after this is worked out
+        mean = F.zip_with(F.slice("s", 1, half), F.slice("s", half + 1, half), lambda a, b: (a / COARSE + b / (COARSE * FINE)) / n)
         return self.sums.read().where("n > 0").select("name", "n", mean.alias("mean")).withColumn("centroid", l2_normalise(F.col("mean")))
 
     def done(self) -> int:

@@ -102,6 +102,8 @@ def test_vectors_of_other_dimensions_and_nothing(spark, tmp_path):
     assert sorted((r.name, r.n, r.mean) for r in kept.read().collect()) == [("s", 1, [1.0, 2.0]), ("s", 1, [5.0])]
     kept.fold(spark.createDataFrame([(at(2), "vector", None, 1, [3.0]), (at(2), "vector", None, 2, [])], LOG), 2)
     assert [tuple(r) for r in kept.read().collect()] == [("s", 1, [3.0], [1.0])]
+    kept.fold(spark.createDataFrame([(at(3), "drop", "s", None, None)], LOG), 3)
+    assert kept.read().where("centroid is not null").count() == 0
 
 
 def test_decisions_are_the_plan_whatever_the_order(spark, tmp_path):
