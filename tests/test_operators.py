@@ -526,3 +526,25 @@ def test_feed_collapses_copies(spark, tmp_path):
     spark.createDataFrame([(1, LIKER, "purchase", '{"k": 120}', 1)], "event_id long, user_id long, event_type string, props string, ts long").write.parquet(f"{tmp_path}/events.parquet")
     got = [r.id for r in registry.queries()["for_you_feed"](spark, str(tmp_path)).orderBy("position").collect()]
     assert len(got) == 30 and len({i % 40 for i in got}) == 30
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 30, 700, 5000])
+def test_sessions_side_by_side_read_the_library_for_many_at_once(n, monkeypatch):
+    """As one by one: libraries that are used up, near and equal vectors, long and short sessions, more of them than play at once."""
+    from quern.operators import discover
+    from quern.operators.rank import unit_rows
+
+    monkeypatch.setattr(discover, "AT_ONCE", 7)
+    monkeypatch.setattr(discover, "KEYS", 64)
+    monkeypatch.setattr(discover, "BLOCK", 3 * n)
+    rng = np.random.default_rng(n)
+    m = rng.normal(size=(n, 6))
+    m[n // 2 :] = m[: n - n // 2] + rng.choice([0.0, 1e-9], size=(n - n // 2, 1))
+    ids = rng.permutation(10 * n)[:n] - 2
+    hand = discover.AtHand(np.sort(ids), unit_rows(m))
+    asked = []
+    monkeypatch.setattr(hand, "queues", lambda t, h, real=hand.queues: asked.append(len(t)) or real(t, h))
+    sessions = [(k, f"s{k}", rng.integers(0, 2, [0, 1, 12, 40][k % 4])) for k in range(24)]
+    got = dict(discover.play_many(sessions, hand))
+    assert got == {k: discover.play(discover.Session(name), sides, hand)[0] for k, name, sides in sessions}
+    assert n < 30 or len(asked) < sum(asked)
