@@ -36,7 +36,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalise(a: Column) -> Column:
     """Null if the vector has no length."""
-    return F.when(norm(a) > TINY, F.transform(a, lambda x: x / norm(a)))
+    # arrays of one bind the vector and its norm, which are otherwise worked out again for each component
+    scaled = lambda v: F.transform(F.array(norm(v)), lambda n: F.when(n > TINY, F.transform(v, lambda x: x / n)))[0]
+    return F.transform(F.array(a), scaled)[0]
 
 
 def literal(vector: Sequence[float]) -> Column:

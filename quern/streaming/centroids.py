@@ -67,13 +67,35 @@ class KeptCentroids:
         """Number of the last batch that readers see, -1 before the first."""
         return self.sums.done()
 
-    def _members(self, number: int, photos: DataFrame, buckets: list[int], sign: int) -> DataFrame:
-        """(name, dim, sign, vector) of the photos in their sets, as of a batch."""
+    def _live(self, number: int, photos: DataFrame, buckets: list[int]) -> DataFrame:
+        """(name, photo_id) of the photos in their sets, as of a batch."""
         pairs = self.pairs.read(number, buckets).where("on").join(photos, "photo_id", "left_semi")
         drops = self.drops.read(number).select("name", F.col("at").alias("dropped"))
-        live = pairs.join(drops, "name", "left").where("dropped is null or at >= dropped").select("name", "photo_id")
-        points = self.points.read(number, buckets).where("vector is not null").join(photos, "photo_id", "left_semi").select("photo_id", "vector")
-        return live.join(points, "photo_id").select("name", F.size("vector").alias("dim"), F.lit(sign).alias("sign"), _parts(F.col("vector")).alias("vector"))
+        return pairs.join(drops, "name", "left").where("dropped is null or at >= dropped").select("name", "photo_id")
+
+    def _moves(self, number: int, photos: DataFrame, buckets: list[int]) -> DataFrame:
+        """(photo_id, was, now, dim, vector): what a photo brings to a set that it was or is in, before and after a batch.
+
+        The vector has both parts of the photo's, and 1, 0 or -1 for their number.  It is worked out once a
+        photo, and a photo that stays in a set with the vector that it had brings nothing.
+        """
+
+        def known(n, column):
+            points = self.points.read(n, buckets).where("vector is not null").join(photos, "photo_id", "left_semi")
+            return points.select("photo_id", _parts(F.col("vector")).alias(column))
+
+        def move(was, now, vector, more):
+            dim = (F.size(vector) / 2).cast("int")
+            return F.struct(F.lit(was).alias("was"), F.lit(now).alias("now"), dim.alias("dim"), F.concat(vector, F.array(F.lit(more))).alias("vector"))
+
+        old, new = F.col("old"), F.col("new")
+        less = F.transform(old, lambda x: -x)
+        alike = F.coalesce(F.size(old) == F.size(new), F.lit(False)) & old.isNotNull() & new.isNotNull()
+        moves = [F.when(old.isNotNull(), move(True, False, less, -1.0)), F.when(new.isNotNull(), move(False, True, new, 1.0))]
+        moves.append(F.when(alike & (old != new), move(True, True, F.zip_with(new, old, lambda a, b: a - b), 0.0)))
+        moves += [F.when(old.isNotNull() & ~alike, move(True, True, less, -1.0)), F.when(new.isNotNull() & ~alike, move(True, True, new, 1.0))]
+        both = known(number - 1, "old").join(known(number, "new"), "photo_id", "full")
+        return both.select("photo_id", F.inline(F.filter(F.array(*moves), lambda m: m.isNotNull())))
 
     def fold(self, batch: DataFrame, number: int) -> None:
         """Take in a micro-batch of the log.
@@ -97,8 +119,11 @@ class KeptCentroids:
             ids = ids.union(self.pairs.read(number).join(drops.select("name"), "name", "left_semi").select("photo_id"))
         photos = scratch.keep(ids.where("photo_id is not null").distinct(), "centroid-photos")
         buckets = self.points.touched(photos)
-        both = self._members(number, photos, buckets, 1).unionByName(self._members(number - 1, photos, buckets, -1))
-        change = sum_vectors(both, ["name", "dim"], "sign").select("name", "dim", F.col("w").cast("long").alias("more"), F.col("s").alias("by"))
+        lives = [self._live(n, photos, buckets).select("name", "photo_id", F.lit(n < number).alias("was"), F.lit(n == number).alias("now")) for n in (number - 1, number)]
+        pairs = lives[0].union(lives[1]).groupBy("name", "photo_id").agg(F.max("was").alias("was"), F.max("now").alias("now"))
+        moved = pairs.join(self._moves(number, photos, buckets), ["photo_id", "was", "now"]).select("name", "dim", "vector")
+        more, by = F.element_at("s", -1).cast("long"), F.slice("s", F.lit(1), 2 * F.col("dim"))
+        change = sum_vectors(moved, ["name", "dim"]).select("name", "dim", more.alias("more"), by.alias("by"))
         old = self.sums.read(number - 1).select("name", "dim", "n", "s")
         s = F.when(F.col("s").isNull(), F.col("by")).otherwise(F.zip_with("s", "by", lambda a, b: a + b))
         new = change.join(old, ["name", "dim"], "left").select("name", "dim", F.lit(number).cast("long").alias("version"), (F.coalesce("n", F.lit(0)) + F.col("more")).alias("n"), s.alias("s"))

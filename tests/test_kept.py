@@ -142,3 +142,34 @@ def test_files_change_go_and_come_back(spark, tmp_path):
         change_stream(spark.readStream.schema(SIGHTINGS).parquet(source), changes, str(tmp_path / "cp")).awaitTermination()
     got = sorted((r.batch, r.path, r.reason) for r in changes.decisions().collect())
     assert got == [(1, "/r/x", "new"), (1, "/r/y", "new"), (2, "/r/x", "changed"), (2, "/r/y", "gone"), (3, "/r/x", "skip"), (3, "/r/y", "skip"), (3, "/r/z", "gone"), (3, "/r/z", "new"), (3, "/rr/z", "new"), (4, "/r/x", "skip"), (4, "/r/y", "new")]
+
+
+def test_a_norm_is_worked_out_once_a_vector(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions.vectors import l2_normalise
+
+    rows = [(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, []), (4, [1.0] * 9)]
+    out = spark.createDataFrame(rows, "id long, v array<double>").select("id", l2_normalise(F.transform("v", lambda x: x * 2)).alias("u"))
+    assert {r.id: r.u for r in out.collect()} == {0: [0.6, 0.8], 1: None, 2: None, 3: None, 4: [1 / 3] * 9}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_a_photo_brings_its_change_once_to_a_set_that_it_stays_in(spark, tmp_path, monkeypatch):
+    from quern.streaming import centroids
+
+    added, real = [], centroids.sum_vectors
+    monkeypatch.setattr(centroids, "sum_vectors", lambda rows, *by: added.append(rows.count()) or real(rows, *by))
+    first = [(at(1), "add", f"s{k % 2}", k, None) for k in range(10)] + [(at(1), "vector", None, k, [k + 0.1, 0.2]) for k in range(10)]
+    # 0 to 5 stay as they are, 6 has a new vector, 7 one of another size, 8 leaves, 9 loses its vector
+    second = [(at(2), "add", f"s{k % 2}", k, None) for k in range(8)] + [(at(2), "vector", None, k, [k + 0.1, 0.2]) for k in range(6)]
+    second += [(at(2), "vector", None, 6, [-6.3, 0.7]), (at(2), "vector", None, 7, [7.0]), (at(2), "remove", "s0", 8, None), (at(2), "delete", None, 9, None)]
+    kept = KeptCentroids(spark, str(tmp_path / "k"), 3)
+    for number, rows in enumerate((first, second)):
+        kept.fold(spark.createDataFrame(rows, LOG), number)
+    assert added == [10, 5]
+    got = {(r.name, len(r.mean)): (r.n, np.array(r.mean)) for r in kept.read().collect()}
+    want = {("s0", 2): [[0.1, 0.2], [2.1, 0.2], [4.1, 0.2], [-6.3, 0.7]], ("s1", 2): [[1.1, 0.2], [3.1, 0.2], [5.1, 0.2]], ("s1", 1): [[7.0]]}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k][0] == len(v) and np.abs(got[k][1] - np.mean(v, axis=0)).max() < 1e-12
