@@ -20,6 +20,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ MOST_WORDS = 150_000
 LONGEST_KNOWN = 256
 #: Symbols from which on a word is merged by a heap.
 LONG = 64
+#: First characters by which the lengths of tokens are known.
+HEAD = 3
 
 
 def byte_characters() -> list[str]:
@@ -83,13 +86,18 @@ class SpeculativeBPE:
         order = np.argsort(pairs)
         self.pair_keys, self.pair_ranks, self.size = pairs[order], np.array(list(self.rank.values()))[order], size
         self.chars = byte_characters()
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.proposals: dict[str, int] = {}
         # a token may be proposed only if the merges really build it from its own characters
         ok = self.whole_tokens()
         self.proposals = {t: i for t, i in self.vocab.items() if ok[i]}
         self.longest = max(map(len, self.proposals), default=1)
+        # longest token that begins with the same characters: no longer match can start there
+        self.reach: dict[str, int] = {}
+        for t in self.proposals:
+            self.reach[t[:HEAD]] = max(len(t), self.reach.get(t[:HEAD], 0))
+        self.texts = list(map(str, range(size)))
         self.speculated = self.merged = 0
 
     # -- verification ---------------------------------------------------------------
@@ -147,7 +155,7 @@ class SpeculativeBPE:
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None if some character is in no token."""
         text = "".join(self.chars[b] for b in word.encode("utf-8", "surrogatepass"))
-        end, at, out, known, suffix = len(text), 0, [], self.proposals, self.suffix
+        end, at, out, known, suffix, reach = len(text), 0, [], self.proposals, self.suffix, self.reach
         while at < end:
             token = None
             if end - at <= self.longest:
@@ -156,7 +164,7 @@ class SpeculativeBPE:
                     out.append(token)
                     return out
             # without the word's last character, which carries the suffix
-            stop = min(end - 1, at + self.longest) if suffix else min(end, at + self.longest)
+            stop = min(end - 1 if suffix else end, at + max(reach.get(text[at : at + HEAD], 0), HEAD - 1))
             while stop > at:
                 token = known.get(text[at:stop])
                 if token is not None:
@@ -171,25 +179,26 @@ class SpeculativeBPE:
     def merge(self, word: str) -> list[int]:
         """Exact merging: again and again the pair of least rank, leftmost first.
 
-        Short words are gone over once a merge.  Long ones keep their pairs in a heap and
+        Short words keep the ranks of their pairs in a list.  Long ones keep their pairs in a heap and
         their symbols in a linked list, so the time grows hardly faster than the word.
         """
         ids = [self.vocab[s] for s in self._symbols(word) if s in self.vocab]
         if len(ids) > LONG:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min(zip(ids, ids[1:]), key=lambda p: self.rank.get(p, 1 << 60))
-            if best not in self.rank:
+        rank, joined, none = self.rank.get, self.joined, len(self.rank)
+        ranks = [rank(p, none) for p in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
                 break
-            new, out, i = self.joined[best], [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            # only the pairs beside a merge change
+            i = ranks.index(least)
+            ids[i : i + 2] = [joined[ids[i], ids[i + 1]]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -244,7 +253,7 @@ class SpeculativeBPE:
             if p is None or i in failing:
                 self.merged += 1
                 p = self.merge(w)
-            self.known[w] = p
+            self.known[w] = tuple(p)  # tuples of numbers are nothing to the garbage collector
 
     # -- texts ----------------------------------------------------------------------
 
@@ -284,21 +293,18 @@ class SpeculativeBPE:
         yield from self._encode(run)
 
     def _encode(self, run: list[list]):
-        self.learn({w for p in run for w in p if w.__class__ is str})
+        words = set().union(*run)
+        special = {w for w in words if w.__class__ is not str}
+        words -= special
+        self.learn(words)
         known = self.known
+        ids_of = known.__getitem__ if not special else lambda w: (w,) if w.__class__ is not str else known[w]
         for p in run:
-            ids: list[int] = []
-            for w in p:
-                if w.__class__ is str:
-                    ids += known[w]
-                else:
-                    ids.append(w)
-            yield ids
-        for p in run:
-            for w in p:
-                if w.__class__ is str and len(w) > LONGEST_KNOWN:
-                    known.pop(w, None)
-                    self.older.pop(w, None)
+            yield list(chain.from_iterable(map(ids_of, p)))
+        for w in words:
+            if len(w) > LONGEST_KNOWN:
+                known.pop(w, None)
+                self.older.pop(w, None)
 
     def decode(self, ids) -> str:
         """Tokens of a file without a decoder are joined by spaces."""
@@ -361,7 +367,7 @@ def digests(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc
             n, one, two = [], [], []
             for ids in bpe.encode_batch(texts):
                 n.append(len(ids))
-                one.append(sha(" ".join(map(str, ids)).encode()).hexdigest())
+                one.append(sha(" ".join(map(bpe.texts.__getitem__, ids)).encode()).hexdigest())
                 two.append(sha(bpe.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.record_batch([keys, pa.array(n, pa.int64()), pa.array(one), pa.array(two)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -46,6 +46,23 @@ def test_words_of_any_length(pair):
     assert not any(len(w) > bpe.LONGEST_KNOWN for w in own.known)
 
 
+def test_merging_looks_only_at_pairs_beside_a_merge(pair):
+    own, library = bpe.SpeculativeBPE(PATH), pair[1]
+    asked = []
+
+    class Ranks(dict):
+        def get(self, *key):
+            asked.append(key)
+            return super().get(*key)
+
+    own.rank = Ranks(own.rank)
+    rng = random.Random(5)
+    for w in ["aaab" * 12, "ab" * 20, *("".join(rng.choice("etaoinshrdlu") for _ in range(50)) for _ in range(50))]:
+        asked.clear()
+        assert own.merge(w) == library.encode(w, add_special_tokens=False).ids
+        assert len(asked) <= 3 * len(w)
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MOST_WORDS", 3)
     own = bpe.SpeculativeBPE(PATH)
