@@ -548,3 +548,32 @@ def test_sessions_side_by_side_read_the_library_for_many_at_once(n, monkeypatch)
     got = dict(discover.play_many(sessions, hand))
     assert got == {k: discover.play(discover.Session(name), sides, hand)[0] for k, name, sides in sessions}
     assert n < 30 or len(asked) < sum(asked)
+
+
+def test_many_draws_and_queues_are_those_of_one_at_a_time(monkeypatch):
+    """Negative ids and large ones, keys spread unevenly, vectors that are not finite, many copies, targets without length and nearly all rows hidden."""
+    from quern.operators import discover
+    from quern.operators.rank import unit_rows
+
+    monkeypatch.setattr(discover, "KEYS", 2048)
+    monkeypatch.setattr(discover, "BLOCK", 40_000)
+    monkeypatch.setattr(discover, "SIDE", 3)
+    rng = np.random.default_rng(5)
+    n = 9001
+    m = rng.normal(size=(n, 7))
+    m[1000:2200] = m[5]  # more copies than a pool holds
+    m[7], m[8, 2] = 0, np.inf
+    ids = np.sort(np.concatenate([-1 - np.arange(2000), 2**62 + np.arange(n - 2000)]))
+    with np.errstate(invalid="ignore"):
+        hand = discover.AtHand(ids, unit_rows(m))
+    seeds, wanted = [discover.draw_seed("s", k) for k in range(40)], [1 + 3 * k for k in range(39)] + [n + 5]
+    for seed, w, got in zip(seeds, wanted, hand.draws(seeds, wanted)):
+        assert got == ids[np.lexsort((ids, discover.keys_by(np.uint64(seed), ids)))][:w].tolist()
+    targets = rng.normal(size=(20, 7)) * rng.choice([1e-3, 1.0, 50.0], size=(20, 1))
+    targets[0], targets[1], targets[2] = 0, m[5], np.nan
+    hidden = [rng.permutation(n)[: [0, 30, 4000, n - 3, n - 150, n][k % 6]] for k in range(20)]
+    got = hand.queues(targets, hidden)
+    for target, rows, queue in zip(targets, hidden, got):
+        assert queue == hand._queue(target, np.isin(np.arange(n), rows))
+        assert int(ids[8]) not in queue
+    assert {len(q) for q in got} == {0, 3, 10}
