@@ -577,3 +577,18 @@ def test_many_draws_and_queues_are_those_of_one_at_a_time(monkeypatch):
         assert queue == hand._queue(target, np.isin(np.arange(n), rows))
         assert int(ids[8]) not in queue
     assert {len(q) for q in got} == {0, 3, 10}
+
+
+def test_bursts_of_many_sessions_are_not_played_round_by_round(monkeypatch):
+    """Only seeding rounds are played one by one; sessions that end amid a burst show no more than they have picks for."""
+    from quern.operators import discover
+    from quern.operators.rank import unit_rows
+
+    rng = np.random.default_rng(11)
+    hand = discover.AtHand(np.arange(3000), unit_rows(rng.normal(size=(3000, 8))))
+    sessions = [(k, f"s{k}", rng.integers(0, 2, 40 + k)) for k in range(12)]
+    want = {k: discover.play(discover.Session(name), sides, hand)[0] for k, name, sides in sessions}
+    calls = []
+    monkeypatch.setattr(discover, "next_pair", lambda s, library, real=discover.next_pair: calls.append(s.round) or real(s, library))
+    assert dict(discover.play_many(sessions, hand)) == want
+    assert len(calls) == 12 * (discover.SEED_ROUNDS + 1) and max(calls) == discover.SEED_ROUNDS
